@@ -22,7 +22,7 @@ EMITTED = "stream_id string, seq long, choice int, tool_idx int, text string, fl
 DECIDED = "caller string, request_id long, ts_ms long, route string, allowed boolean, retry_after_ms long, remaining int"
 
 
-def _chunk_function(max_hold: int):
+def _chunk_function(max_hold: int, timeout_ms: int | None):
     def restore(text: str, tokens: dict[str, str]) -> str:
         return _TOKEN.sub(lambda m: tokens.get(m.group(), m.group()), text)
 
@@ -60,7 +60,8 @@ def _chunk_function(max_hold: int):
                 out.append((stream, int(r.seq), choice, tool, restore(text, tokens), False))
             if held:
                 state.update((json.dumps(held),))
-                state.setTimeoutDuration(60_000)
+                if timeout_ms:
+                    state.setTimeoutDuration(timeout_ms)
             elif state.exists:
                 state.remove()
         columns = ["stream_id", "seq", "choice", "tool_idx", "text", "flushed"]
@@ -71,12 +72,17 @@ def _chunk_function(max_hold: int):
 
 
 def rehydrate_chunk_stream(
-    chunks: DataFrame, maps: DataFrame, max_hold: int = MAX_STREAM_HOLD, enabled: bool = True
+    chunks: DataFrame,
+    maps: DataFrame,
+    max_hold: int = MAX_STREAM_HOLD,
+    enabled: bool = True,
+    timeout_ms: int | None = None,
 ) -> DataFrame:
     """Streaming twin of the batch operator. State per stream is its held tails, keyed by sequence.
 
     Rows are put in ``seq`` order inside a micro-batch; across micro-batches arrival order counts.
-    Streams that stop without an end marker release their tails on a timeout.
+    With ``timeout_ms``, streams that stop without an end marker release their tails after that time;
+    such a query keeps running batches to see timeouts, so it never ends by itself.
     """
     if not enabled:
         return chunks.where(~F.coalesce("done", F.lit(False))).select(
@@ -87,7 +93,11 @@ def rehydrate_chunk_stream(
         known.select("stream_id", "seq", "choice", "tool_idx", "fragment", "finished", "done", "token_map")
         .groupBy("stream_id")
         .applyInPandasWithState(
-            _chunk_function(max_hold), EMITTED, "held string", "append", GroupStateTimeout.ProcessingTimeTimeout
+            _chunk_function(max_hold, timeout_ms),
+            EMITTED,
+            "held string",
+            "append",
+            GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout,
         )
     )
 
