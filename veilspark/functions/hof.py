@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 64
@@ -15,6 +15,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column so that later filters on it are not pushed below it.
+
+    Catalyst moves a filter below the projection it depends on by repeating the projected expression
+    in the filter, which would run every regex twice. A one-element generator is a border such a
+    filter does not cross; filters on other columns still reach the scan.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def empty(array_type: str) -> Column:
     return F.array().cast(array_type)
 

@@ -83,7 +83,7 @@ def redact_batch(
             {
                 "redacted": splice(F.col(text), F.col("__pieces")),
                 "entities": reported(F.col("__pieces")),
-                "blocked": F.exists("__pieces", lambda s: s["action"] == "block"),
+                "blocked": F.exists("__acted", lambda s: s["action"] == "block"),
             }
         )
         .drop("__pieces", "__placeholders", "__keys", "__acted", text)

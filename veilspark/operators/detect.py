@@ -3,7 +3,7 @@
 A detector is a list of scans, each one regex over the text. Most texts hold nothing, so the scans
 share one joint probe: a single regex pass (or a byte search for a literal every match must hold)
 decides whether a text is scanned at all. Offsets are worked out only where a scan matched. Probe,
-raw matches and spans sit in consecutive projections, so no regex runs twice for its consumers.
+raw matches and spans sit in consecutive steps, so no regex runs twice for its consumers.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions import patterns as p
-from veilspark.functions.hof import empty
+from veilspark.functions.hof import empty, once
 from veilspark.functions.kinds import ENTITY_TYPES, SPANS
 from veilspark.functions.spans import is_card, place, span
 
@@ -235,13 +235,8 @@ def detect(
         steps["__scans"] = F.array_compact(F.array(*scans))
         parts.insert(0, F.flatten(F.transform("__scans", spans_of)))
     spans = F.concat(*parts) if parts else empty(SPANS)
-    return (
-        df.withColumns(probed)
-        .withColumns(raw)
-        .withColumns(steps)
-        .withColumn(out, spans)
-        .drop(*probed, *raw, *steps, *extra)
-    )
+    matched = df.withColumns(probed).withColumns(raw).withColumns(steps)
+    return once(matched, out, spans).drop(*probed, *raw, *steps, *extra)
 
 
 def findings(df: DataFrame, *ids: str, spans: str = "spans") -> DataFrame:

@@ -12,38 +12,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.hof import BLOCK, empty, let
-from veilspark.functions.kinds import ENTITIES, TOKEN_MAP
+from veilspark.functions.hof import BLOCK, let, once
 from veilspark.functions.labels import count_placeholders, normalize_label, placeholder
 from veilspark.functions.masks import mask_value
 from veilspark.operators.detect import BUILT_IN, ColumnDetector, Detector, detect
 from veilspark.operators.overlaps import resolve_overlaps
 from veilspark.operators.policy import LayeredPolicy, Policy
 
-ACTED = (
-    "struct<type:string,start:int,end:int,value:string,label:string,display:string,action:string>"
-)
-
-
 def with_actions(
     df: DataFrame, policy: Policy | LayeredPolicy, spans: str = "spans", out: str = "acted"
 ) -> DataFrame:
     """Resolve overlaps, then give every kept span its label, display label and action."""
-    return df.withColumn("__kept", resolve_overlaps(F.col(spans))).withColumn(
-        out,
-        F.transform(
-            "__kept",
-            lambda s: F.struct(
-                s["type"].alias("type"),
-                s["start"].alias("start"),
-                s["end"].alias("end"),
-                s["value"].alias("value"),
-                F.coalesce(s["label"], s["type"]).alias("label"),
-                F.when(s["label"].isNull(), s["type"]).otherwise(normalize_label(s["label"])).alias("display"),
-                policy.action(s["type"]).alias("action"),
-            ),
-        ),
-    ).drop("__kept")
+    def act(s: Column) -> Column:
+        return F.struct(
+            s["type"].alias("type"),
+            s["start"].alias("start"),
+            s["end"].alias("end"),
+            s["value"].alias("value"),
+            F.coalesce(s["label"], s["type"]).alias("label"),
+            F.when(s["label"].isNull(), s["type"]).otherwise(normalize_label(s["label"])).alias("display"),
+            policy.action(s["type"]).alias("action"),
+        )
+
+    return once(df, out, F.transform(resolve_overlaps(F.col(spans)), act))
 
 
 def tokenized(span: Column) -> Column:
@@ -171,7 +162,7 @@ def apply_actions(df: DataFrame, text: str = "text", acted: str = "acted", unico
             {
                 "redacted": splice(F.col(text), F.col("__pieces")),
                 "entities": reported(F.col("__pieces")),
-                "blocked": F.exists("__pieces", lambda s: s["action"] == "block"),
+                "blocked": F.exists(acted, lambda s: s["action"] == "block"),
             }
         )
         .drop("__tokens", "__placeholders", "__pieces", acted, text)
@@ -206,11 +197,3 @@ def split_blocked(redacted: DataFrame, *ids: str) -> tuple[DataFrame, DataFrame]
         *ids, F.lit("blocked").alias("error"), wire_entities(F.col("entities")).alias("entities")
     )
     return passed, quarantine
-
-
-def no_entities() -> Column:
-    return empty(ENTITIES)
-
-
-def no_tokens() -> Column:
-    return F.create_map().cast(TOKEN_MAP)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.functions.hof import once
+from veilspark.functions.masks import mask_value
 from veilspark.operators import detect as d
 from veilspark.operators.admission import admit, rate_limit
 from veilspark.operators.audit import (
@@ -27,7 +29,7 @@ from veilspark.operators.policy import LayeredPolicy, Policy, with_key_policy
 from veilspark.operators.redact import redact, split_blocked
 from veilspark.operators.rehydrate import rehydrate
 from veilspark.operators.rules import compile_rules, rules_from_json
-from veilspark.operators.staging import staging_path
+from veilspark.operators.staging import stage, staging_path
 from veilspark.operators.terms import term_spans
 from veilspark.operators.vault import (
     entries_from_json,
@@ -41,7 +43,6 @@ from veilspark.operators.vault import (
     vault_size,
     write_vault,
 )
-from veilspark.functions.masks import mask_value
 from veilspark.plans import tables as t
 from veilspark.plans.oracles import BUCKET_LIMIT, BUCKET_WINDOW_MS, LIMIT, LIMIT_WINDOW_SEC
 from veilspark.sources.chunks import parse_chunk_lines
@@ -151,8 +152,8 @@ def detect_all(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def overlap_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    found = d.detect(t.notes(spark, sf)).withColumn("spans", resolve_overlaps(F.col("spans")))
-    return _spans_out(found, "note_id").select("note_id", "type", "start", "end", "value")
+    found = once(d.detect(t.notes(spark, sf)), "kept", resolve_overlaps(F.col("spans")))
+    return _spans_out(found.drop("spans").withColumnRenamed("kept", "spans"), "note_id").select("note_id", "type", "start", "end", "value")
 
 
 def mask_by_type(spark: SparkSession, sf: str) -> DataFrame:
@@ -197,7 +198,7 @@ def rehydrate_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def block_split(spark: SparkSession, sf: str) -> DataFrame:
-    passed, quarantine = split_blocked(_notes_redacted(spark, sf), "note_id")
+    passed, quarantine = split_blocked(stage(_notes_redacted(spark, sf), "redacted"), "note_id")
     return passed.select("note_id", F.lit("passed").alias("output"), "redacted").unionByName(
         quarantine.select(
             "note_id", F.lit("quarantine").alias("output"), F.lit(None).cast("string").alias("redacted")
@@ -299,7 +300,8 @@ def model_spans(spark: SparkSession, sf: str) -> DataFrame:
     notes = t.notes(spark, sf)
     joined = join_model_spans(notes, _model_table(notes), ("note_id",))
     found = d.detect(joined, extra=("model_spans",))
-    return _spans_out(found.withColumn("spans", resolve_overlaps(F.col("spans"))), "note_id").select(
+    kept = once(found, "kept", resolve_overlaps(F.col("spans"))).drop("spans")
+    return _spans_out(kept.withColumnRenamed("kept", "spans"), "note_id").select(
         "note_id", "type", "start", "end", "value"
     )
 
@@ -466,7 +468,7 @@ def chunk_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def _vault(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Column]:
     """Notes redacted and put in a written vault; every fifth map is already expired at ``now``."""
-    done = redact(t.notes(spark, sf))
+    done = stage(redact(t.notes(spark, sf)), "redacted")
     made = F.when(F.col("note_id") % 5 == 0, F.timestamp_seconds(F.lit(1704067200 - 900))).otherwise(
         F.timestamp_seconds(F.lit(1704067200))
     )

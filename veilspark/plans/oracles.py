@@ -91,7 +91,7 @@ CHATS = """SELECT conv_id, turn, role, 'Hello. ' || text || ' write to u' || CAS
  || lpad(CAST(turn % 4 AS VARCHAR), 4, '0')
  || CASE WHEN conv_id % 10 = 3 AND turn = 1 THEN ' ssn 123-45-6789' ELSE '' END AS text FROM conversations"""
 
-REQUESTS = """SELECT CAST(user_id AS VARCHAR) AS caller, event_id AS request_id, epoch_ms(ts) AS ts_ms,
+REQUESTS = """SELECT CAST(user_id AS VARCHAR) AS caller, event_id AS request_id, epoch_us(ts) // 1000 AS ts_ms,
  CASE event_type WHEN 'error' THEN '/health' WHEN 'click' THEN '/v1/redact'
  ELSE '/v1/chat/completions' END AS route FROM events"""
 
