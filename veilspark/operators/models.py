@@ -65,7 +65,7 @@ def join_model_spans(
     grouped = known.groupBy(*ids).agg(
         F.sort_array(
             F.collect_list(
-                F.struct(F.col("start").cast("int"), F.col("end").cast("int"), F.col("type"))
+                F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "type")
             )
         ).alias("__offsets")
     )

@@ -135,7 +135,7 @@ def spans(source: str, key: str, types: list[str] = ORDER, extra: dict[str, str]
     for i, (label, pattern) in enumerate((extra or {}).items()):
         scans.append(("CUSTOM", len(ORDER) + i, label, pattern))
     raw = "\n UNION ALL ".join(
-        f"SELECT {key}, '{t}' AS type, {q(label) if label else 'NULL'} AS label, {rank} AS rank, {no} AS scan, "
+        f"SELECT {key}, '{t}' AS type, CAST({q(label) if label else 'NULL'} AS VARCHAR) AS label, {rank} AS rank, {no} AS scan, "
         f"regexp_extract_all(text, {q(p)}) AS m, regexp_extract_all(text, {q(p)}, {1 if '([A-Z]' in p else 0}) AS v, "
         f"string_split_regex(text, {q(p)}) AS g FROM src"
         for no, (t, rank, label, p) in enumerate(scans)
@@ -264,7 +264,7 @@ def _chat(action: str = "'redact'", scope: str = "conv_id", order: str = "turn,
 
 def _model_spans() -> str:
     """Model spans: the first word of every note after 'Account', and one out of bounds."""
-    return """model AS (SELECT note_id, 'NAME' AS type, NULL AS label, 1000000 AS rank, substring(text, 12, 18) AS value,
+    return """model AS (SELECT note_id, 'NAME' AS type, CAST(NULL AS VARCHAR) AS label, 1000000 AS rank, substring(text, 12, 18) AS value,
   11 AS start, 29 AS "end" FROM src)"""
 
 
