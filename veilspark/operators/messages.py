@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.functions.hof import let
 from veilspark.operators.rehydrate import rehydrate
 
 
@@ -69,11 +70,15 @@ def _field(v: Column, name: str) -> Column:
     return F.when(_kind(v).startswith("OBJECT"), F.try_variant_get(v, f"$.{name}", "variant"))
 
 
-def _with_field(v: Column, name: str, new: Column) -> Column:
-    """``v`` with one field of the object replaced; unchanged where ``new`` is null."""
-    others = F.map_filter(v.cast("map<string,variant>"), lambda k, _: k != name)
-    changed = F.to_variant_object(F.map_concat(others, F.create_map(F.lit(name), new)))
-    return F.when(new.isNotNull(), changed).otherwise(v)
+def _with_field(v: Column, name: str, edit: Callable[[Column], Column]) -> Column:
+    """The object variable ``v`` with one field edited; unchanged where ``edit`` gives null."""
+
+    def put(new: Column) -> Column:
+        others = F.map_filter(v.cast("map<string,variant>"), lambda k, _: k != name)
+        changed = F.to_variant_object(F.map_concat(others, F.create_map(F.lit(name), new)))
+        return F.when(new.isNotNull(), changed).otherwise(v)
+
+    return let(let(_field(v, name), edit), put)
 
 
 def _each(v: Column, edit: Callable[[Column], Column]) -> Column:
@@ -91,25 +96,26 @@ def rehydrate_reply(reply: Column, token_map: Column, json_escape: bool = False)
     """
 
     def swap(v: Column, escape: bool = False) -> Column:
-        restored = rehydrate(v.cast("string"), token_map, escape)
+        restored = let(v.cast("string"), lambda text: rehydrate(text, token_map, escape))
         return F.when(_kind(v) == "STRING", restored.cast("variant"))
 
-    def part(v: Column) -> Column:
-        return _with_field(v, "text", swap(_field(v, "text")))
-
-    def call(v: Column) -> Column:
-        function = _field(v, "function")
-        return _with_field(
-            v, "function", _with_field(function, "arguments", swap(_field(function, "arguments"), json_escape))
-        )
-
-    def choice(v: Column) -> Column:
-        message = _field(v, "message")
-        content = _field(message, "content")
-        changed = _with_field(message, "content", F.coalesce(swap(content), _each(content, part)))
-        calls = _each(_field(message, "tool_calls"), call)
-        return _with_field(v, "message", F.when(_kind(message).startswith("OBJECT"), _with_field(changed, "tool_calls", calls)))
-
-    body = F.try_parse_json(reply)
-    choices = _each(_field(body, "choices"), choice)
-    return F.when(choices.isNotNull(), F.to_json(_with_field(body, "choices", choices))).otherwise(reply)
+    def content(v: Column) -> Column:
+        return F.coalesce(swap(v), _each(v, lambda part: _with_field(part, "text", swap)))
+
+    def function(v: Column) -> Column:
+        return F.when(_kind(v).startswith("OBJECT"), _with_field(v, "arguments", lambda a: swap(a, json_escape)))
+
+    def calls(v: Column) -> Column:
+        return _each(v, lambda call: _with_field(call, "function", function))
+
+    def message(v: Column) -> Column:
+        changed = let(_with_field(v, "content", content), lambda m: _with_field(m, "tool_calls", calls))
+        return F.when(_kind(v).startswith("OBJECT"), changed)
+
+    def choices(v: Column) -> Column:
+        return _each(v, lambda choice: _with_field(choice, "message", message))
+
+    return let(
+        F.try_parse_json(reply),
+        lambda body: F.when(_kind(_field(body, "choices")).startswith("ARRAY"), F.to_json(_with_field(body, "choices", choices))).otherwise(reply),
+    )

@@ -29,7 +29,7 @@ from veilspark.operators.policy import LayeredPolicy, Policy, with_key_policy
 from veilspark.operators.redact import redact, split_blocked
 from veilspark.operators.rehydrate import rehydrate
 from veilspark.operators.rules import compile_rules, rules_from_json
-from veilspark.operators.staging import stage, staging_path
+from veilspark.operators.staging import spread, stage, staging_path
 from veilspark.operators.terms import term_spans
 from veilspark.operators.vault import (
     entries_from_json,
@@ -285,7 +285,7 @@ def term_dictionary_join(spark: SparkSession, sf: str) -> DataFrame:
         .join(t.table(spark, sf, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
         .selectExpr(*ids, "'Sent the ' || p_name || ', not ' || p_name || 's; by ' || s_name || '.' AS text")
     )
-    found = term_spans(lines, ids, part.select(F.col("p_name").alias("term")), "part")
+    found = term_spans(spread(lines, *ids), ids, part.select(F.col("p_name").alias("term")), "part")
     return _spans_out(found.withColumnRenamed("term_spans", "spans"), *ids).select(*ids, "start", "end", "value")
 
 

@@ -74,7 +74,7 @@ def chats(spark: SparkSession, folder: str) -> DataFrame:
         "'@example.com or call 415-555-' || lpad(CAST(turn % 4 AS STRING), 4, '0')"
     )
     secret = "CASE WHEN conv_id % 10 = 3 AND turn = 1 THEN ' ssn 123-45-6789' ELSE '' END"
-    return table(spark, folder, "conversations").selectExpr(
+    return spread(table(spark, folder, "conversations"), "conv_id", "turn").selectExpr(
         "conv_id", "turn", "role", f"'Hello. ' || text || {contact} || {secret} AS text"
     )
 
@@ -101,7 +101,7 @@ def reply_text() -> str:
 
 def replies(spark: SparkSession, folder: str) -> DataFrame:
     """``stream_id, text``: one model reply with placeholders per conversation turn."""
-    return table(spark, folder, "conversations").selectExpr(
+    return spread(table(spark, folder, "conversations"), "conv_id", "turn").selectExpr(
         "conv_id", "turn", "CAST(conv_id * 100 + turn AS STRING) AS stream_id", f"{reply_text()} AS text"
     )
 
