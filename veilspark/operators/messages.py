@@ -100,7 +100,7 @@ def rehydrate_reply(reply: Column, token_map: Column, json_escape: bool = False)
         return F.when(_kind(v) == "STRING", restored.cast("variant"))
 
     def content(v: Column) -> Column:
-        return F.coalesce(swap(v), _each(v, lambda part: _with_field(part, "text", swap)))
+        return F.coalesce(swap(v), _each(v, lambda part: _with_field(part, "text", lambda text: swap(text))))
 
     def function(v: Column) -> Column:
         return F.when(_kind(v).startswith("OBJECT"), _with_field(v, "arguments", lambda a: swap(a, json_escape)))

@@ -147,7 +147,8 @@ def admit_stream(
     """Streaming admission of requests ``caller, request_id, ts_ms, route[, ts]``.
 
     State is two numbers per caller. With ``watermark`` (a delay on the timestamp column ``ts``) the
-    state of callers idle for a full refill is dropped, which changes no outcome.
+    state of callers idle for a full refill is dropped, which changes no outcome; as with any watermark,
+    requests later than the delay get no decision.
     """
     source = requests.withWatermark("ts", watermark) if watermark else requests
     timeout = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
