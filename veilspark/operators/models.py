@@ -54,8 +54,8 @@ def join_model_spans(
 ) -> DataFrame:
     """Left-join a spans table ``(ids, start, end[, type])`` and add the usable spans as ``out``.
 
-    Spans are grouped per text first (a text has no more spans than characters), and only texts that
-    have spans take part in the join's shuffle partner; the others keep an empty array.
+    Spans are grouped per text first, so the join is one to one on unique ids and cannot be skewed;
+    adaptive execution broadcasts a small span side instead of shuffling the texts.
     """
     ids = list(ids)
     typed = spans if "type" in spans.columns else spans.withColumn("type", F.lit(kind or "NAME"))

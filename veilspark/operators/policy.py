@@ -80,7 +80,7 @@ SCOPED = "struct<default:string,overrides:map<string,string>>"
 
 
 def with_key_policy(
-    df: DataFrame, policies: DataFrame, key: str, out: str = "key_policy", max_rows: int = 1_000_000
+    df: DataFrame, policies: DataFrame, key: str, out: str = "key_policy", max_rows: int = 100_000
 ) -> DataFrame:
     """Attach each row's key policy: ``policies`` holds ``(scope_key, default_action, overrides)``.
 
@@ -96,6 +96,3 @@ def with_key_policy(
     side = F.broadcast(scoped) if small else scoped
     return df.join(side, df[key] == side["__key"], "left").drop("__key")
 
-
-def policy_map(policy: Policy) -> dict[str, str]:
-    return {t: policy.overrides.get(t, policy.default) for t in ENTITY_TYPES}

@@ -2,7 +2,8 @@
 
 A whole-word term starts and ends at the borders of word runs. Every run of 1 to ``longest`` words of
 a text, with the separators between them, is a candidate; candidates are joined with the dictionary
-by equality. With a dictionary of checked size the join is a broadcast and only matches are shuffled.
+by equality. With a dictionary of checked size the join is a broadcast, words that start no term are
+dropped first, and only matches are shuffled.
 """
 
 from __future__ import annotations
@@ -19,29 +20,35 @@ from veilspark.operators.lookup import join_hot
 from veilspark.operators.staging import stage
 
 WORD = r"\w+"
-BROADCAST_TERMS = 2_000_000
+BROADCAST_TERMS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
-def _candidates(longest: int) -> Column:
-    """``array<struct<start,end,value>>`` of all word runs of up to ``longest`` words."""
-
-    def run(i: Column, k: Column) -> Column:
-        words = F.slice("__w", i + 1, k)
-        seps = F.concat(F.array(F.lit("")), F.slice("__g", i + 2, k - 1))
-        return F.struct(
+def _positions(longest: int) -> Column:
+    """One struct per word: its start, and the words and separators its longest candidate needs."""
+    return F.transform(
+        "__w",
+        lambda w, i: F.struct(
             F.get("__s", i)["start"].alias("start"),
-            F.get("__s", i + k - 1)["end"].alias("end"),
-            F.array_join(F.zip_with(seps, words, lambda g, w: F.concat(g, w)), "").alias("value"),
-        )
+            w.alias("first"),
+            F.slice("__w", i + 1, F.lit(longest)).alias("w"),
+            F.slice("__g", i + 2, F.lit(longest - 1)).alias("g") if longest > 1 else F.array().cast("array<string>").alias("g"),
+        ),
+    )
 
-    lengths = F.sequence(F.lit(1), F.lit(longest))
-    return F.flatten(
-        F.transform(
-            "__w",
-            lambda _, i: F.transform(
-                F.filter(lengths, lambda k: k <= F.size("__w") - i), lambda k: run(i, k)
+
+def _candidates() -> Column:
+    """All runs of one or more words from the start of a position."""
+    return F.transform(
+        F.sequence(F.lit(1), F.size("w")),
+        lambda k: F.array_join(
+            F.zip_with(
+                F.concat(F.array(F.lit("")), F.slice("g", F.lit(1), k - 1)),
+                F.slice("w", F.lit(1), k),
+                lambda sep, word: F.concat(sep, word),
             ),
-        )
+            "",
+        ),
     )
 
 
@@ -70,8 +77,11 @@ def term_spans(
         .groupBy("__term")
         .agg(order.cast("int").alias("__ord"))
     )
-    size = known.agg(F.max(F.regexp_count("__term", F.lit(WORD))), F.count("*")).first()
-    longest, count = size[0] or 1, size[1]
+    size = known.agg(
+        F.max(F.regexp_count("__term", F.lit(WORD))), F.count("*"), F.sum(F.octet_length("__term"))
+    ).first()
+    longest = size[0] or 1
+    small = size[1] <= BROADCAST_TERMS and (size[2] or 0) <= BROADCAST_BYTES
 
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     cut = texts.select(*ids, words.alias("__w"), F.split(text, WORD, -1).alias("__g")).where(F.size("__w") > 0)
@@ -85,10 +95,17 @@ def term_spans(
             lambda start, end, v: span(F.lit("CUSTOM"), start, end, v, null, zero),
         ),
     )
-    found = located.select(*ids, F.explode(_candidates(longest)).alias("c")).select(
-        *ids, "c.start", "c.end", "c.value", fold(F.col("c.value")).alias("__term")
+    positions = located.select(*ids, F.explode(_positions(longest)).alias("c")).select(
+        *ids, "c.start", fold(F.col("c.first")).alias("__first"), "c.w", "c.g"
+    )
+    if small:
+        # Most words start no term; they are dropped before any candidate is built.
+        first = known.select(F.regexp_extract("__term", WORD, 0).alias("__first")).distinct()
+        positions = positions.join(F.broadcast(first), "__first", "left_semi")
+    found = positions.select(*ids, "start", F.explode(_candidates()).alias("value")).withColumns(
+        {"end": F.col("start") + F.length("value"), "__term": fold(F.col("value"))}
     )
-    if count <= BROADCAST_TERMS:
+    if small:
         hits = found.join(F.broadcast(known), "__term")
     else:
         used = found.groupBy("__term").agg(F.count("*").alias("__n")).join(known, "__term")

@@ -279,13 +279,12 @@ def term_dictionary_join(spark: SparkSession, sf: str) -> DataFrame:
     ids = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     part = t.table(spark, sf, "part")
     lines = (
-        t.table(spark, sf, "lineitem")
-        .where("l_quantity < 11")
+        spread(t.table(spark, sf, "lineitem").where("l_quantity < 11").select(*ids), *ids)
         .join(part, F.col("p_partkey") == F.col("l_partkey"))
         .join(t.table(spark, sf, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
         .selectExpr(*ids, "'Sent the ' || p_name || ', not ' || p_name || 's; by ' || s_name || '.' AS text")
     )
-    found = term_spans(spread(lines, *ids), ids, part.select(F.col("p_name").alias("term")), "part")
+    found = term_spans(lines, ids, part.select(F.col("p_name").alias("term")), "part")
     return _spans_out(found.withColumnRenamed("term_spans", "spans"), *ids).select(*ids, "start", "end", "value")
 
 
