@@ -117,5 +117,7 @@ def rehydrate_reply(reply: Column, token_map: Column, json_escape: bool = False)
 
     return let(
         F.try_parse_json(reply),
-        lambda body: F.when(_kind(_field(body, "choices")).startswith("ARRAY"), F.to_json(_with_field(body, "choices", choices))).otherwise(reply),
+        lambda body: F.when(
+            _kind(_field(body, "choices")).startswith("ARRAY"), F.to_json(_with_field(body, "choices", choices))
+        ).otherwise(reply),
     )

@@ -79,9 +79,11 @@ def _shown(redacted: DataFrame, *ids: str) -> DataFrame:
 
 
 def _map_text(entries: Column) -> Column:
-    pairs = F.transform(F.map_entries(entries), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    by_key = F.transform(F.sort_array(F.map_keys(entries)), lambda k: F.concat(k, F.lit("="), F.element_at(entries, k)))
-    return F.when(F.size(pairs) > 0, F.array_join(by_key, "|")).otherwise("")
+    """A token map as one string, sorted by placeholder, so that it can be compared."""
+    return F.array_join(
+        F.transform(F.sort_array(F.map_keys(entries)), lambda k: F.concat(k, F.lit("="), F.element_at(entries, k))),
+        "|",
+    )
 
 
 def _counts_text(counts: Column) -> Column:
