@@ -23,7 +23,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data"
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.catalog.queries()) == set(entry.oracles.oracle_sql())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
