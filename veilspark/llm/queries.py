@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.sharding import shard_rows
 from veilspark.llm.tokens import count_tokens
+from veilspark.llm.toxicity import score_toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,6 +30,12 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    labels = _table(spark, folder, "labels").select("doc_id", "toxic")
+    return score_toxicity(docs, labels, threshold=0.3).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     model = public_tokenizers.path("piece_bpe_32k.model")
@@ -38,7 +45,7 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op7_token_counts)}
+    return {f.__name__: f for f in (op1_sharding, op2_toxicity, op7_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
