@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.llm.decontaminate import contained_items
+from veilspark.llm.mixing import mix_sources
 from veilspark.llm.sharding import shard_rows
 from veilspark.llm.tokens import count_tokens
 from veilspark.llm.toxicity import score_toxicity
@@ -44,9 +46,59 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    mixed = mix_sources(docs, power=0.5, seed="mix")
+    return mixed.select("doc_id", "text", "lang", "source", "n_chars", "n_copies", "copy")
+
+
+OP9_SQL = """
+WITH RECURSIVE sized AS (SELECT *, coalesce(strlen(text), 0) + 1 AS size FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS DOUBLE) AS bytes FROM sized GROUP BY source),
+rates AS (
+  SELECT source, sqrt(bytes) / sum(sqrt(bytes)) OVER () * sum(bytes) OVER () / bytes AS rate FROM sources),
+cdf AS (
+  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rates
+  UNION ALL
+  SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM cdf
+  WHERE k < rate + 12 * sqrt(rate) + 30),
+drawn AS (
+  SELECT *, CAST('0x' || substr(md5('mix:' || doc_id || ':1'), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+  FROM sized),
+counted AS (
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars,
+         (SELECT count(*) FROM cdf WHERE cdf.source = d.source AND cdf.c <= d.u) AS n_copies
+  FROM drawn d)
+SELECT doc_id, text, lang, source, n_chars, CAST(n_copies AS INTEGER) AS n_copies, CAST(copy AS INTEGER) AS copy
+FROM (SELECT *, unnest(range(1, n_copies + 1)) AS copy FROM counted)
+"""
+
+
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    found = contained_items(docs, _table(spark, folder, "benchmark"), percent=75)
+    return found.select("doc_id", "item_id", "n_item", "n_shared")
+
+
+OP10_SQL = r"""
+WITH texts AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+split AS (
+  SELECT kind, id, list_filter(string_split_regex(lower(text), '[\x09-\x0D\x20]+'), lambda w: w <> '') AS w FROM texts),
+sets AS (
+  SELECT kind, id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3),
+           lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+  FROM split),
+items AS (SELECT id AS item_id, len(s) AS n_item, unnest(s) AS shingle FROM sets WHERE kind = 'i'),
+docs AS (SELECT id AS doc_id, unnest(s) AS shingle FROM sets WHERE kind = 'd')
+SELECT doc_id, item_id, any_value(n_item) AS n_item, count(*) AS n_shared
+FROM docs JOIN items USING (shingle) GROUP BY doc_id, item_id HAVING count(*) * 100 >= any_value(n_item) * 75
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_toxicity, op7_token_counts)}
+    return {f.__name__: f for f in (op1_sharding, op2_toxicity, op7_token_counts, op9_mixing, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mixing": OP9_SQL, "op10_decontamination": OP10_SQL}
