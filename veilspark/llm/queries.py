@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.decontaminate import contained_items
 from veilspark.llm.mixing import mix_sources
+from veilspark.llm.setjoin import similar_documents
 from veilspark.llm.sharding import shard_rows
 from veilspark.llm.tokens import count_tokens
 from veilspark.llm.toxicity import score_toxicity
@@ -38,6 +39,33 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score_toxicity(docs, labels, threshold=0.3).select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return similar_documents(docs, percent=75, n=5).select("doc_id", "n_shingles", "component_id")
+
+
+OP4_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+'), lambda w: w <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3),
+           lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+  FROM split),
+flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM flat a JOIN flat b USING (shingle) WHERE a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+  HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
+SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, min(y) AS component_id
+FROM sets JOIN reach ON reach.x = sets.doc_id GROUP BY sets.doc_id, s
+"""
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     model = public_tokenizers.path("piece_bpe_32k.model")
@@ -97,8 +125,8 @@ FROM docs JOIN items USING (shingle) GROUP BY doc_id, item_id HAVING count(*) *
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_toxicity, op7_token_counts, op9_mixing, op10_decontamination)}
+    return {f.__name__: f for f in (op1_sharding, op2_toxicity, op4_ngram_jaccard, op7_token_counts, op9_mixing, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": OP9_SQL, "op10_decontamination": OP10_SQL}
+    return {"op4_ngram_jaccard": OP4_SQL, "op9_mixing": OP9_SQL, "op10_decontamination": OP10_SQL}
