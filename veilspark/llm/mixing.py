@@ -50,15 +50,15 @@ def repetition_rates(
         names = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]) if weights else F.create_map()
         raw = F.coalesce(names[F.coalesce(F.col("__source"), F.lit("null"))].cast("double"), F.lit(0.0))
     weighed = stage(totals.withColumn("__raw", raw), "sources")
-    whole = weighed.agg(F.sum("__raw").alias("__all"), F.sum("bytes").alias("__bytes"))
-    return weighed.crossJoin(F.broadcast(whole)).select(
+    whole = weighed.agg(F.sum("__raw").alias("raw"), F.sum("bytes").alias("bytes")).first()
+    every, size_of_all = F.lit(float(whole["raw"] or 0)), F.lit(float(whole["bytes"] or 0))
+    rate = F.try_divide(F.col("__raw") / every * size_of_all, F.col("bytes"))
+    return weighed.select(
         "__source",
         "n_docs",
         "bytes",
-        F.try_divide("__raw", "__all").alias("weight"),
-        F.coalesce(F.try_divide(F.col("__raw") / F.col("__all") * F.col("__bytes"), F.col("bytes")), F.lit(0.0)).alias(
-            "rate"
-        ),
+        F.try_divide("__raw", every).alias("weight"),
+        F.when(every > 0, F.coalesce(rate, F.lit(0.0))).otherwise(F.lit(0.0)).alias("rate"),
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.decontaminate import contained_items
 from veilspark.llm.mixing import mix_sources
+from veilspark.llm.neighbours import nearest
 from veilspark.llm.setjoin import similar_documents
 from veilspark.llm.sharding import shard_rows
 from veilspark.llm.tokens import count_tokens
@@ -39,6 +40,25 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score_toxicity(docs, labels, threshold=0.3).select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors.where("vec_id % 20 = 0"), vectors, k=20)
+
+
+OP3_SQL = """
+WITH good AS (
+  SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e) AS score
+  FROM good q JOIN good c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 20
+"""
+
+
 def op4_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     return similar_documents(docs, percent=75, n=5).select("doc_id", "n_shingles", "component_id")
@@ -125,8 +145,8 @@ FROM docs JOIN items USING (shingle) GROUP BY doc_id, item_id HAVING count(*) *
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_toxicity, op4_ngram_jaccard, op7_token_counts, op9_mixing, op10_decontamination)}
+    return {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_nearest_neighbours, op4_ngram_jaccard, op7_token_counts, op9_mixing, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_jaccard": OP4_SQL, "op9_mixing": OP9_SQL, "op10_decontamination": OP10_SQL}
+    return {"op3_nearest_neighbours": OP3_SQL, "op4_ngram_jaccard": OP4_SQL, "op9_mixing": OP9_SQL, "op10_decontamination": OP10_SQL}

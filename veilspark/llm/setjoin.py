@@ -465,3 +465,35 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     linked = join_hot(rows.where("component is not null"), least, ["component"], "n")
     alone = rows.where("component is null").withColumn("component_id", F.col(doc_id))
     return linked.unionByName(alone).select(doc_id, "n_shingles", "component_id", "component", "th")
+
+
+def keep_one_each(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, n: int = 5, broadcast_rows: int = 1_000_000
+) -> DataFrame:
+    """Rows of ``docs``, all columns: of connected ones only the row with the smallest id stays.
+
+    Rows without shingles all stay. Of rows that repeat the staying row's id, one stays. The removed
+    rows are broadcast up to ``broadcast_rows`` of them (about 20 bytes each) and joined beyond.
+    """
+    rows = similar_documents(docs, doc_id, text, percent, n)
+    rows = stage(rows.where("component is not null").select(doc_id, "th", "component", "component_id"), "kept")
+    first = rows.where(F.col(doc_id).eqNullSafe(F.col("component_id"))).groupBy("component").agg(
+        F.min("th").alias("__th"), F.count("*").alias("__n")
+    )
+    # Only rows of components with a second row can go.
+    several = rows.groupBy("component").agg(F.count("*").alias("m")).where("m > 1")
+    many = rows.join(several.select("component"), "component", "left_semi")
+    judged = many.join(first, "component", "left").withColumn(
+        "stays", F.col(doc_id).eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("__th"))
+    )
+    judged = stage(judged.select(F.col(doc_id).alias("__id"), F.col("th").alias("__t"), "stays", "__n"), "judged")
+    gone = judged.where(~F.col("stays")).select("__id", "__t").distinct()
+    gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
+    key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (key == F.col("__t"))
+    kept = docs.join(gone, same, "left_anti")
+    repeated = judged.where(F.col("stays") & (F.col("__n") > 1)).select("__id", "__t").distinct()
+    if repeated.isEmpty():
+        return kept
+    again = kept.join(repeated, same, "left_semi").dropDuplicates([doc_id, text])
+    return kept.join(repeated, same, "left_anti").unionByName(again)
