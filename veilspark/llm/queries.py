@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.llm.chat import repair_roles
 from veilspark.llm.decontaminate import contained_items
+from veilspark.llm.lines import drop_repeated_lines
 from veilspark.llm.mixing import mix_sources
 from veilspark.llm.neighbours import nearest
 from veilspark.llm.setjoin import similar_documents
@@ -86,6 +88,49 @@ FROM sets JOIN reach ON reach.x = sets.doc_id GROUP BY sets.doc_id, s
 """
 
 
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    done = drop_repeated_lines(docs, least=50)
+    ends = F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["end"]))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return done.select(
+        "doc_id",
+        "n_units",
+        F.size("removed").cast("long").alias("n_removed"),
+        removed.alias("bytes_removed"),
+        F.array_join(ends, ",").alias("spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+OP5_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line,
+         len(string_split(text, chr(10))) AS last FROM documents),
+placed AS (
+  SELECT *, strlen(line) + CASE WHEN k < last THEN 1 ELSE 0 END AS size,
+         trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[\x09-\x0D\x20]+', ' ', 'g'), ' ') AS plain FROM lines),
+offsets AS (
+  SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY k) - size AS start FROM placed),
+ranked AS (
+  SELECT *, CASE WHEN strlen(plain) >= 50 THEN 1 ELSE 0 END AS unit,
+         CASE WHEN strlen(plain) >= 50 AND row_number() OVER (PARTITION BY plain ORDER BY doc_id, k) > 1
+              THEN 1 ELSE 0 END AS gone FROM offsets)
+SELECT doc_id, CAST(sum(unit) AS BIGINT) AS n_units, CAST(sum(gone) AS BIGINT) AS n_removed,
+       CAST(sum(gone * size) AS BIGINT) AS bytes_removed,
+       coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + size AS BIGINT), ',' ORDER BY k)
+                FILTER (WHERE gone = 1), '') AS spans,
+       sha256(coalesce(string_agg(line || CASE WHEN k < last THEN chr(10) ELSE '' END, '' ORDER BY k)
+                FILTER (WHERE gone = 0), '')) AS kept_sha256
+FROM ranked GROUP BY doc_id
+"""
+
+
+def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    return repair_roles(_table(spark, folder, "conversations"))
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     model = public_tokenizers.path("piece_bpe_32k.model")
@@ -145,8 +190,8 @@ FROM docs JOIN items USING (shingle) GROUP BY doc_id, item_id HAVING count(*) *
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_nearest_neighbours, op4_ngram_jaccard, op7_token_counts, op9_mixing, op10_decontamination)}
+    return {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_nearest_neighbours, op4_ngram_jaccard, op5_line_dedup, op7_token_counts, op8_chat_formatting, op9_mixing, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_nearest_neighbours": OP3_SQL, "op4_ngram_jaccard": OP4_SQL, "op9_mixing": OP9_SQL, "op10_decontamination": OP10_SQL}
+    return {"op3_nearest_neighbours": OP3_SQL, "op4_ngram_jaccard": OP4_SQL, "op5_line_dedup": OP5_SQL, "op9_mixing": OP9_SQL, "op10_decontamination": OP10_SQL}
