@@ -15,6 +15,7 @@ from veilspark.llm.mixing import mix_sources
 from veilspark.llm.neighbours import nearest
 from veilspark.llm.setjoin import similar_documents
 from veilspark.llm.sharding import shard_rows
+from veilspark.llm.suffixes import drop_repeated_substrings
 from veilspark.llm.tokens import count_tokens
 from veilspark.llm.toxicity import score_toxicity
 
@@ -131,6 +132,19 @@ def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return repair_roles(_table(spark, folder, "conversations"))
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    done = drop_repeated_substrings(docs)
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return done.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     model = public_tokenizers.path("piece_bpe_32k.model")
@@ -190,7 +204,7 @@ FROM docs JOIN items USING (shingle) GROUP BY doc_id, item_id HAVING count(*) *
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_nearest_neighbours, op4_ngram_jaccard, op5_line_dedup, op7_token_counts, op8_chat_formatting, op9_mixing, op10_decontamination)}
+    return {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_nearest_neighbours, op4_ngram_jaccard, op5_line_dedup, op6_suffix_dedup, op7_token_counts, op8_chat_formatting, op9_mixing, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
