@@ -16,11 +16,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import groupby
+from itertools import chain, groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from veilspark.operators.staging import stage
 
@@ -115,81 +117,78 @@ def _code(role: str | None) -> int:
     return ROLES.get(role, 0)
 
 
-def _runs(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by ``keys``; gives each run of equal keys as one frame, over batch borders."""
-    held: list[pd.DataFrame] = []
-    last = None
-    for frame in frames:
-        if frame.empty:
-            continue
-        marks = list(frame[keys].itertuples(index=False, name=None))
-        at = 0
-        for mark, group in groupby(marks):
-            size = len(list(group))
-            part = frame.iloc[at : at + size]
-            at += size
-            if held and mark != last:
-                yield pd.concat(held) if len(held) > 1 else held[0]
-                held = []
-            held.append(part)
-            last = mark
+def _rows(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple]:
+    return chain.from_iterable(zip(*(b.column(c).to_pylist() for c in names), strict=True) for b in batches)
+
+
+def _emit(rows: Iterator[tuple], schema: pa.Schema, size: int = 4_000) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of bounded numbers of rows and of characters of text."""
+    held: list[tuple] = []
+    chars = 0
+    for row in rows:
+        held.append(row)
+        chars += sum(len(v) for v in row if isinstance(v, str))
+        if len(held) >= size or chars >= 1 << 24:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+            held, chars = [], 0
     if held:
-        yield pd.concat(held) if len(held) > 1 else held[0]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
 
 
-def _tables(costs: Costs) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = []
-        for piece in _runs(frames, ["k", "seg"]):
-            roles = [_code(r) for r in piece["role"]]
-            flat = []
-            for begin in range(4):
-                last = walk(roles, begin, costs)[-1]
-                for end in range(4):
-                    flat += [float(last[end][0]), float(last[end][1])] if end in last else [INFINITE, 0.0]
-            rows.append((piece["k"].iloc[0], int(piece["seg"].iloc[0]), flat))
-            if len(rows) >= 2_000:
-                yield pd.DataFrame(rows, columns=["k", "seg", "flat"])
-                rows = []
-        yield pd.DataFrame(rows, columns=["k", "seg", "flat"])
+TABLES = pa.schema([("k", pa.string()), ("seg", pa.int64()), ("flat", pa.list_(pa.float64()))])
+WAYS = pa.schema(
+    [("k", pa.string()), ("seg", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("first_turn", pa.int64()),
+     ("is_last", pa.bool_()), ("total", pa.int64())]
+)
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _tables(costs: Costs) -> Step:
+    def table(roles: list[int]) -> list[float]:
+        flat = []
+        for begin in range(4):
+            last = walk(roles, begin, costs)[-1]
+            for end in range(4):
+                flat += [float(last[end][0]), float(last[end][1])] if end in last else [INFINITE, 0.0]
+        return flat
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = groupby(_rows(batches, ["k", "seg", "role"]), key=lambda r: r[:2])
+        yield from _emit(((*key, table([_code(r[2]) for r in piece])) for key, piece in pieces), TABLES)
 
     return run
 
 
-def _ways(costs: Costs) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _ways(costs: Costs) -> Step:
     """Begin and end state, first turn number and last flag of each piece, on the cheapest way."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = []
-        names = ["k", "seg", "begin", "end", "first_turn", "is_last", "total"]
-        for pieces in _runs(frames, ["k"]):
-            tables = [list(f) for f in pieces["flat"]]
-            layer: dict[int, tuple] = {START: (0.0, None)}
-            layers = [layer]
-            for table in tables:
-                new: dict[int, tuple] = {}
-                for begin in sorted(layer):
-                    for end in range(4):
-                        cost = layer[begin][0] + table[8 * begin + 2 * end]
-                        if cost < INFINITE and (end not in new or cost < new[end][0]):
-                            new[end] = (cost, begin)
-                layer = new
-                layers.append(layer)
-            closing = {s: c[0] + costs.insert * len(ending(s)) for s, c in layer.items()}
-            state = min(sorted(closing), key=closing.get)
-            total, states = closing[state], [state]
-            for step in reversed(layers[1:]):
-                states.append(step[states[-1]][1])
-            states.reverse()
-            turn = 0
-            for n, (seg, table) in enumerate(zip(pieces["seg"], tables, strict=True)):
-                begin, end = states[n], states[n + 1]
-                rows.append((pieces["k"].iloc[0], int(seg), begin, end, turn, n == len(tables) - 1, int(total)))
-                turn += int(table[8 * begin + 2 * end + 1])
-            if len(rows) >= 2_000:
-                yield pd.DataFrame(rows, columns=names)
-                rows = []
-        yield pd.DataFrame(rows, columns=names)
+    def ways(key: str, pieces: list[tuple]) -> Iterator[tuple]:
+        layer: dict[int, tuple] = {START: (0.0, None)}
+        layers = [layer]
+        for _, _, table in pieces:
+            new: dict[int, tuple] = {}
+            for begin in sorted(layer):
+                for end in range(4):
+                    cost = layer[begin][0] + table[8 * begin + 2 * end]
+                    if cost < INFINITE and (end not in new or cost < new[end][0]):
+                        new[end] = (cost, begin)
+            layer = new
+            layers.append(layer)
+        closing = {s: c[0] + costs.insert * len(ending(s)) for s, c in layer.items()}
+        state = min(sorted(closing), key=closing.get)
+        total, states = closing[state], [state]
+        for step in reversed(layers[1:]):
+            states.append(step[states[-1]][1])
+        states.reverse()
+        turn = 0
+        for n, (_, seg, table) in enumerate(pieces):
+            begin, end = states[n], states[n + 1]
+            yield key, seg, begin, end, turn, n == len(pieces) - 1, int(total)
+            turn += int(table[8 * begin + 2 * end + 1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = groupby(_rows(batches, ["k", "seg", "flat"]), key=lambda r: r[0])
+        yield from _emit(chain.from_iterable(ways(k, list(g)) for k, g in groups), WAYS)
 
     return run
 
@@ -198,26 +197,23 @@ def render_turn(role: int, text: str) -> str:
     return f"<|{NAMES[role]}|>\n{text}\n"
 
 
-def _repairs(costs: Costs) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for piece in _runs(frames, ["k", "seg"]):
-            head = piece.iloc[0]
-            chosen = trace(walk([_code(r) for r in piece["role"]], int(head["begin"]), costs), int(head["end"]))
-            turn = int(head["first_turn"])
-            actions, turns, roles, texts = [], [], [], []
-            for (new, _, action, path), text in zip(chosen, piece["text"], strict=True):
-                text = "" if text is None else text
-                empty = "".join(render_turn(role, "") for role in path)
-                merged = action.startswith("merge")
-                turn += len(path) + (0 if merged else 1)
-                actions.append(action)
-                turns.append(turn - 1)
-                roles.append(NAMES[new])
-                texts.append(f"{text}\n" if merged else empty + render_turn(new, text))
-            if head["is_last"]:
-                texts[-1] += "".join(render_turn(role, "") for role in ending(int(head["end"])))
-            done = piece[["conv_id", "turn", "role"]].reset_index(drop=True)
-            yield done.assign(action=actions, out_turn=turns, out_role=roles, rendered=texts, cost=int(head["total"]))
+def _repairs(costs: Costs, schema: pa.Schema) -> Step:
+    def repaired(piece: list[tuple]) -> Iterator[tuple]:
+        *_, begin, end, turn, is_last, total = piece[0]
+        chosen = trace(walk([_code(r[4]) for r in piece], begin, costs), end)
+        for n, ((new, _, action, path), (_, _, conv, number, role, text, *_)) in enumerate(zip(chosen, piece, strict=True)):
+            text = "" if text is None else text
+            merged = action.startswith("merge")
+            turn += len(path) + (0 if merged else 1)
+            done = f"{text}\n" if merged else "".join(render_turn(r, "") for r in path) + render_turn(new, text)
+            if is_last and n == len(piece) - 1:
+                done += "".join(render_turn(r, "") for r in ending(end))
+            yield conv, number, role, action, turn - 1, NAMES[new], done, total
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["k", "seg", "conv_id", "turn", "role", "text", "begin", "end", "first_turn", "is_last", "total"]
+        pieces = groupby(_rows(batches, names), key=lambda r: r[:2])
+        yield from _emit(chain.from_iterable(repaired(list(p)) for _, p in pieces), schema)
 
     return run
 
@@ -251,15 +247,14 @@ def repair_roles(
     def sorted_pieces(df: DataFrame) -> DataFrame:
         return df.repartition("k", "seg").sortWithinPartitions(*order)
 
-    tables = sorted_pieces(cut).select("k", "seg", "role").mapInPandas(_tables(costs), "k string, seg long, flat array<double>")
+    tables = sorted_pieces(cut).select("k", "seg", "role").mapInArrow(_tables(costs), "k string, seg long, flat array<double>")
     ways = stage(
-        tables.repartition("k").sortWithinPartitions("k", "seg").mapInPandas(
+        tables.repartition("k").sortWithinPartitions("k", "seg").mapInArrow(
             _ways(costs), "k string, seg long, begin int, end int, first_turn long, is_last boolean, total long"
         ),
         "ways",
     )
-    kinds = {c: named.schema[c].dataType.simpleString() for c in ("conv_id", "turn", "role")}
-    out = ", ".join(f"{c} {t}" for c, t in kinds.items())
-    return sorted_pieces(cut.join(ways, ["k", "seg"])).mapInPandas(
-        _repairs(costs), f"{out}, action string, out_turn long, out_role string, rendered string, cost long"
-    )
+    out = T.StructType([named.schema[c] for c in ("conv_id", "turn", "role")])
+    for name, kind in (("action", "string"), ("out_turn", "long"), ("out_role", "string"), ("rendered", "string"), ("cost", "long")):
+        out = out.add(name, kind)
+    return sorted_pieces(cut.join(ways, ["k", "seg"])).mapInArrow(_repairs(costs, to_arrow_schema(out)), out)

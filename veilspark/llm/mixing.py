@@ -99,7 +99,9 @@ def mix_sources(
     docs = docs.drop("n_copies", "copy", "rate", "shuffle_key")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
     rates = stage(with_inverse(repetition_rates(docs, source, size, weights, power)), "rates")
-    wanted = rates.select("__source", "rate", "pieces", "cdf")
+    wanted = rates.select(
+        "__source", F.col("rate").alias("__rate"), F.col("pieces").alias("__pieces"), F.col("cdf").alias("__cdf")
+    )
     if rates.count() <= MAX_BROADCAST:
         joined = docs.join(F.broadcast(wanted), F.col(source).eqNullSafe(F.col("__source")))
     else:
@@ -108,10 +110,11 @@ def mix_sources(
         dealt = docs.withColumn("__dealt", F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int"))
         same = F.col(source).eqNullSafe(F.col("__source")) & (F.col("__dealt") == F.col("__salt"))
         joined = dealt.join(salted, same).drop("__salt", "__dealt")
-    draws = F.transform(F.sequence(F.lit(1), F.col("pieces")), lambda k: uniform(seed, F.col(doc_id), k))
+    draws = F.transform(F.sequence(F.lit(1), F.col("__pieces")), lambda k: uniform(seed, F.col(doc_id), k))
     drawn = once(joined, "__draws", draws)
-    count = F.aggregate("__draws", F.lit(0), lambda n, u: n + F.size(F.filter("cdf", lambda c: c <= u)))
-    counted = once(drawn, "n_copies", count).drop("__draws", "cdf", "pieces", "__source")
+    count = F.aggregate("__draws", F.lit(0), lambda n, u: n + F.size(F.filter("__cdf", lambda c: c <= u)))
+    counted = once(drawn, "n_copies", count).withColumn("rate", F.col("__rate"))
+    counted = counted.drop("__draws", "__cdf", "__pieces", "__rate", "__source")
     copies = counted.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     keyed = copies.withColumn("shuffle_key", uniform(f"{seed}-order", F.col(doc_id), F.col("copy")))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key", doc_id, "copy")
