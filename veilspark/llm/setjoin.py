@@ -1,14 +1,16 @@
 """Word shingle sets joined by Jaccard resemblance: a size-aware heavy-light join.
 
 Two sets link at a threshold on the Jaccard resemblance of their distinct shingles. All shingles have
-one order, rare ones first, so two linked sets share a shingle among the first ones of each. Above a
-size boundary the first shingles are the inverted lists to scan. Up to the boundary sets enumerate
+one order, rare ones first, so two linked sets share a shingle among the first ones of each. Shingles
+that stand in one set only come first of all and need no list; a bitmap tells them. Above a size boundary the first shingles are the inverted lists to scan. Up to the boundary sets enumerate
 subsets of two of their first shingles instead; linked small sets share a subset, and strangers
 rarely do. A cost model over the sizes of all sets picks the boundary.
 
 Equal sets are one node. A list of up to ``SMALL_LIST`` nodes gives all its pairs. A longer one first
-gives only a chain and a star; once these are verified, it gives those pairs whose ends are not yet
-connected. Near copies thus never expand into all pairs, and every link between components is tested.
+gives only a chain and stars around its most central nodes, those whose shingles stand in most sets,
+since the original of many copies is central and copies need not resemble each other. Once these are
+verified, the list gives the pairs whose ends are not yet connected. Near copies thus seldom expand
+into all pairs, and every link between components is tested.
 
 Python sees numbers only in packed arrays: one row is a block of one bucket of hashes, so shuffles
 move few large rows. Buckets are sized from the bytes of the texts.
@@ -31,6 +33,7 @@ from veilspark.operators.staging import stage
 
 PERCENT = 75
 SMALL_LIST = 16
+CENTRES = 2
 #: Values that a task gathers before it writes blocks, and bytes of text a bucket stands for.
 FLUSH = 2_000_000
 BUCKET_BYTES = 16 << 20
@@ -39,6 +42,9 @@ MIN_BUCKETS = 16
 #: ``MAX_FREQUENT`` of them are broadcast (16 bytes each), all others count as rare.
 LEAST_COUNT = 4
 MAX_FREQUENT = 500_000
+#: Bits of the bitmap of shingles in several sets for each byte of text, and its largest size.
+BIT_SHARE = 8
+MAX_BITS = 1 << 28
 #: Residues by which texts of candidates are picked before the exact join, a bounded broadcast.
 RESIDUES = 1 << 20
 PAIRS_PER_BATCH = 200_000
@@ -123,21 +129,31 @@ def _sets_pass(buckets: int, n: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return run
 
 
-def _count_bucket(table: pa.Table) -> pa.Table:
-    """Shingles of a bucket with their numbers of sets; in the row without key, sums over all of them."""
+def _bit(low: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(low.astype(np.uint64)) % np.uint64(bits)).astype(np.int64)
+
+
+def _count_bucket(table: pa.Table, bits: int) -> pa.Table:
+    """Shingles of a bucket with their numbers of sets; in the row without key, sums over all of them
+    and the bits of those in several sets."""
     bucket = table.column("bucket")[0].as_py()
     values = np.sort(np.concatenate([np.frombuffer(b.as_py(), dtype=np.uint32) for b in table.column("blob")]))
     cuts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1], [True])))
     counts = np.diff(cuts)
     keep = counts >= LEAST_COUNT
     keys = (np.int64(bucket) << 32) | values[cuts[:-1]][keep].astype(np.int64)
-    rare = counts[~keep]
+    rare = counts[~keep & (counts > 1)]
+    known = np.zeros(bits, dtype=bool)
+    known[_bit(values[cuts[:-1]][counts > 1], bits)] = True
+    none = [None] * len(keys)
     return pa.table(
         {
+            "bucket": pa.array([*none, bucket], pa.int32()),
+            "bits": pa.array([*none, np.packbits(known).tobytes()], pa.binary()),
             "key": pa.array([*keys.tolist(), None], pa.int64()),
             "count": pa.array([*counts[keep].tolist(), None], pa.int64()),
-            "total": pa.array([None] * len(keys) + [int(rare.sum())], pa.int64()),
-            "squares": pa.array([None] * len(keys) + [int((rare * rare).sum())], pa.int64()),
+            "total": pa.array([*none, int(rare.sum())], pa.int64()),
+            "squares": pa.array([*none, int((rare * rare).sum())], pa.int64()),
         }
     )
 
@@ -163,47 +179,57 @@ def choose_boundary(sizes: Sequence[tuple[int, int]], partners: float, percent:
     return chosen
 
 
-def _keys(values: np.ndarray, counts: np.ndarray, percent: int, boundary: int) -> np.ndarray:
-    """Keys of the lists that a set belongs to. The lowest bit tells subsets from single shingles."""
+def _keys(values: np.ndarray, counts: np.ndarray, percent: int, boundary: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the lists that a set belongs to, and the places in its order of their (last) shingle.
+
+    The lowest bit of a key tells subsets from single shingles.
+    """
     size = len(values)
-    if size < 2:
-        return np.zeros(0, dtype=np.uint64)
     first = first_count(size, percent)
-    ordered = values[np.lexsort((values, counts))[: first + 1]]
-    out = []
+    order = np.lexsort((values, counts))[: first + 1]
+    keys, places = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
     if size * 100 > boundary * percent:
-        out.append(mix(ordered[:first]) & ~_SUBSET)
+        place = np.flatnonzero(counts[order[:first]] > 1)
+        keys.append(mix(values[order[place]]) & ~_SUBSET)
+        places.append(place)
     if size <= boundary:
+        place = np.flatnonzero(counts[order] > 1)
+        ordered = values[order[place]]
         i, j = np.triu_indices(len(ordered), 1)
         low, high = np.minimum(ordered[i], ordered[j]), np.maximum(ordered[i], ordered[j])
-        out.append(mix(low * np.uint64(0x9E3779B97F4A7C15) + high) | _SUBSET)
-    return np.concatenate(out)
+        keys.append(mix(low * np.uint64(0x9E3779B97F4A7C15) + high) | _SUBSET)
+        places.append(place[j])
+    return np.concatenate(keys), np.concatenate(places)
 
 
-def _lists_pass(frequent, buckets: int, count_buckets: int, percent: int, boundary: int, n: int):
+def _lists_pass(order, buckets: int, bits: int, percent: int, boundary: int, n: int):
     """Blocks of postings: keys, places of their sets, and the sets' signatures and sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, known_counts = frequent.value
+        several, known, known_counts = order.value
         keys: list[np.ndarray] = []
-        sets: list[tuple[bytes, int]] = []
+        ranks: list[np.ndarray] = []
+        sets: list[tuple[bytes, int, int]] = []
         seen: set[bytes] = set()
 
         def flush() -> Iterator[pa.RecordBatch]:
             if keys:
-                key = np.concatenate(keys)
+                key, rank = np.concatenate(keys), np.concatenate(ranks).astype(np.uint32)
                 place = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-                sig = np.frombuffer(b"".join(s for s, _ in sets), dtype="V16")
-                size = np.array([m for _, m in sets], dtype=np.uint32)
+                sig = np.frombuffer(b"".join(s for s, *_ in sets), dtype="V16")
+                size = np.array([m for _, m, _ in sets], dtype=np.uint32)
+                central = np.array([m for *_, m in sets], dtype=np.uint32)
                 for bucket, part in _blocks(_bucket(key, buckets)):
                     own, where = np.unique(place[part], return_inverse=True)
                     yield pa.record_batch(
                         [pa.array([bucket], pa.int32()), pa.array([key[part].tobytes()], pa.binary()),
                          pa.array([where.astype(np.uint32).tobytes()], pa.binary()),
-                         pa.array([sig[own].tobytes()], pa.binary()), pa.array([size[own].tobytes()], pa.binary())],
-                        names=["bucket", "keys", "places", "sigs", "sizes"],
+                         pa.array([sig[own].tobytes()], pa.binary()), pa.array([size[own].tobytes()], pa.binary()),
+                         pa.array([central[own].tobytes()], pa.binary()), pa.array([rank[part].tobytes()], pa.binary())],
+                        names=["bucket", "keys", "places", "sigs", "sizes", "central", "ranks"],
                     )
             keys.clear()
+            ranks.clear()
             sets.clear()
             seen.clear()
 
@@ -214,14 +240,20 @@ def _lists_pass(frequent, buckets: int, count_buckets: int, percent: int, bounda
                 sig = signature(values)
                 if len(values) < 2 or sig in seen:
                     continue
-                counts = np.ones(len(values), dtype=np.int64)
+                seen.add(sig)
+                bucket, bit = _bucket(values, buckets), _bit(values.astype(np.uint32), bits)
+                counts = 1 + ((several[bucket, bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1).astype(np.int64)
+                if int((counts == 1).sum()) >= first_count(len(values), percent):
+                    continue  # the first ones stand in no other set
                 if len(known):
-                    short = (_bucket(values, count_buckets) << 32) | values.astype(np.uint32).astype(np.int64)
+                    short = (bucket << 32) | values.astype(np.uint32).astype(np.int64)
                     at = np.minimum(np.searchsorted(known, short), len(known) - 1)
-                    counts = np.where(known[at] == short, known_counts[at], 1)
-                made = _keys(values, counts, percent, boundary)
-                seen.add(sig)
-                sets.append((sig, len(values)))
+                    counts = np.where(known[at] == short, known_counts[at], counts)
+                made, rank = _keys(values, counts, percent, boundary)
+                if not len(made):
+                    continue
+                ranks.append(rank)
+                sets.append((sig, len(values), int(1000 * np.log2(counts).mean())))
                 keys.append(made)
                 gathered += len(made)
                 if gathered >= FLUSH:
@@ -232,8 +264,15 @@ def _lists_pass(frequent, buckets: int, count_buckets: int, percent: int, bounda
     return run
 
 
-def _compatible(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    return np.minimum(a, b) * 100 >= np.maximum(a, b) * percent
+def _may_link(size_a, rank_a, size_b, rank_b, single, percent: int) -> np.ndarray:
+    """Whether two sets can link whose first common shingle, or second of a subset, has these places.
+
+    Of two linked sets each misses only so many shingles of the other, and in the common order their
+    first common shingle stands no later than that in either.
+    """
+    least = -(-percent * (size_a + size_b) // (100 + percent))
+    late = np.where(single, 0, 1)
+    return (rank_a <= size_a - least + late) & (rank_b <= size_b - least + late)
 
 
 def _scan_bucket(percent: int, boundary: int) -> Callable[[pa.Table], pa.Table]:
@@ -248,33 +287,36 @@ def _scan_bucket(percent: int, boundary: int) -> Callable[[pa.Table], pa.Table]:
         places = np.concatenate([p + s for p, s in zip(column("places", np.uint32), starts, strict=True)])
         names, first, inverse = np.unique(np.concatenate(sigs), return_index=True, return_inverse=True)
         size = np.concatenate(column("sizes", np.uint32)).astype(np.int64)[first]
+        central = np.concatenate(column("central", np.uint32)).astype(np.int64)[first]
         node = inverse.reshape(-1)[places]
+        rank = np.concatenate(column("ranks", np.uint32)).astype(np.int64)
         order = np.lexsort((node, size[node], keys))
-        keys, node = keys[order], node[order]
+        keys, node, rank = keys[order], node[order], rank[order]
         new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (node[1:] != node[:-1])))
-        keys, node = keys[new], node[new]
+        keys, node, rank = keys[new], node[new], rank[new]
         cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
         length = np.diff(cuts)
-        left, right, long_lists = [], [], []
+        left, right, long_lists = [], [], []  # places in the arrays above
         for m in range(2, SMALL_LIST + 1):
             at = cuts[:-1][length == m]
             if len(at):
                 i, j = np.triu_indices(m, 1)
-                members = node[at[:, None] + np.arange(m)]
-                single = np.repeat((keys[at] & _SUBSET) == 0, len(i))
-                x, y = members[:, i].ravel(), members[:, j].ravel()
-                ok = ~(single & (size[x] <= boundary) & (size[y] <= boundary))
-                left.append(x[ok])
-                right.append(y[ok])
+                left.append((at[:, None] + i).ravel())
+                right.append((at[:, None] + j).ravel())
         for at, end in zip(cuts[:-1][length > SMALL_LIST], cuts[1:][length > SMALL_LIST], strict=True):
-            members = node[at:end]
-            centre = np.full(len(members) - 1, members.min())
-            left += [members[:-1], centre]
-            right += [members[1:], members[members != members.min()]]
+            members = np.arange(at, end)
+            left.append(members[:-1])
+            right.append(members[1:])
+            for centre in members[np.lexsort((node[members], -central[node[members]]))[:CENTRES]]:
+                left.append(np.full(len(members), centre))
+                right.append(members)
             long_lists.append((at, end))
-        x = np.concatenate(left) if left else np.zeros(0, dtype=np.int64)
-        y = np.concatenate(right) if right else np.zeros(0, dtype=np.int64)
-        ok = _compatible(size[x], size[y], percent) & (x != y)
+        i = np.concatenate(left) if left else np.zeros(0, dtype=np.int64)
+        j = np.concatenate(right) if right else np.zeros(0, dtype=np.int64)
+        x, y = node[i], node[j]
+        single = (keys[i] & _SUBSET) == 0
+        ok = _may_link(size[x], rank[i], size[y], rank[j], single, percent) & (x != y)
+        ok &= ~(single & (size[x] <= boundary) & (size[y] <= boundary))
         pairs = np.unique(np.minimum(x[ok], y[ok]) * len(names) + np.maximum(x[ok], y[ok]))
         x, y = pairs // max(1, len(names)), pairs % max(1, len(names))
         rows = np.concatenate([np.arange(s, e) for s, e in long_lists]) if long_lists else np.zeros(0, dtype=np.int64)
@@ -286,6 +328,7 @@ def _scan_bucket(percent: int, boundary: int) -> Callable[[pa.Table], pa.Table]:
                 "b": pa.array([some[k] for k in y] + [None] * more, pa.binary()),
                 "key": pa.array([None] * none + keys[rows].view(np.int64).tolist(), pa.int64()),
                 "size": pa.array([None] * none + size[node[rows]].tolist(), pa.int64()),
+                "rank": pa.array([None] * none + rank[rows].tolist(), pa.int64()),
             }
         )
 
@@ -295,11 +338,12 @@ def _scan_bucket(percent: int, boundary: int) -> Callable[[pa.Table], pa.Table]:
 def _cross_bucket(percent: int, boundary: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Pairs of long lists whose ends are in different components. Rows come sorted by key."""
 
-    def pairs_of(key: int, sigs: list[bytes], size: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs_of(key: int, sigs: list[bytes], size: np.ndarray, rank: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
+        single = not key & 1
         for i in range(len(sigs) - 1):
             other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-            ok = _compatible(size[other], size[i], percent)
-            if not key & 1:
+            ok = _may_link(size[other], rank[other], size[i], rank[i], single, percent)
+            if single:
                 ok &= ~((size[other] <= boundary) & (size[i] <= boundary))
             other = other[ok]
             if len(other):
@@ -311,16 +355,16 @@ def _cross_bucket(percent: int, boundary: int) -> Callable[[Iterator[pa.RecordBa
 
         def close() -> Iterator[pa.RecordBatch]:
             if held:
-                sigs = [h[0] for h in held]
-                _, label = np.unique(np.array([h[2] for h in held], dtype="V16"), return_inverse=True)
-                yield from pairs_of(current, sigs, np.array([h[1] for h in held], dtype=np.int64), label)
+                sigs, sizes, ranks, names = zip(*held, strict=True)
+                _, label = np.unique(np.array(names, dtype="V16"), return_inverse=True)
+                yield from pairs_of(current, list(sigs), np.array(sizes), np.array(ranks), label)
 
         for batch in batches:
-            for key, sig, size, label in zip(*(batch.column(c).to_pylist() for c in ("key", "a", "size", "label"))):
+            for key, *member in zip(*(batch.column(c).to_pylist() for c in ("key", "a", "size", "rank", "label"))):
                 if key != current:
                     yield from close()
                     current, held = key, []
-                held.append((sig, size, label))
+                held.append(tuple(member))
         yield from close()
 
     return run
@@ -373,17 +417,21 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, n:
     return stage(with_b.mapInArrow(_verify(percent), "a binary, b binary"), "links")
 
 
-def _frequent(spark: SparkSession, counted: DataFrame):
-    """Keys and counts of the most frequent shingles, sorted by key, at most ``MAX_FREQUENT`` of them."""
-    steps = counted.where("key is not null").groupBy(F.floor(F.log2("count")).alias("step")).agg(F.count("*").alias("n"))
+def _order_of(spark: SparkSession, counted: DataFrame, buckets: int, bits: int):
+    """What the order of shingles needs: the bitmap of those in several sets, and keys and counts of
+    the most frequent, sorted by key, at most ``MAX_FREQUENT`` of them."""
+    counts = counted.where("key is not null").withColumn("step", F.floor(F.log2("count")))
     step, kept = 64, 0
-    for s, n in sorted(((r["step"], r["n"]) for r in steps.collect()), reverse=True):
+    by_step = counts.groupBy("step").agg(F.count("*").alias("n")).collect()
+    for s, n in sorted(((r["step"], r["n"]) for r in by_step), reverse=True):
         if kept + n > MAX_FREQUENT:
             break
         step, kept = s, kept + n
-    rows = counted.where((F.col("key").isNotNull()) & (F.floor(F.log2("count")) >= step)).select("key", "count").toPandas()
-    rows = rows.sort_values("key")
-    return spark.sparkContext.broadcast((rows["key"].to_numpy(np.int64), rows["count"].to_numpy(np.int64)))
+    rows = counts.where(F.col("step") >= step).select("key", "count").toPandas().sort_values("key")
+    several = np.zeros((buckets, bits // 8), dtype=np.uint8)
+    for row in counted.where("bits is not null").select("bucket", "bits").toLocalIterator():
+        several[row["bucket"]] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return spark.sparkContext.broadcast((several, rows["key"].to_numpy(np.int64), rows["count"].to_numpy(np.int64)))
 
 
 def similar_sets(docs: DataFrame, ids: Sequence[str] = ("doc_id",), text: str = "text", percent: int = PERCENT, n: int = 5) -> DataFrame:
@@ -398,6 +446,7 @@ def similar_sets(docs: DataFrame, ids: Sequence[str] = ("doc_id",), text: str =
     named = docs.select(*ids, t.alias("text"), F.xxhash64(t).alias("th"))
     total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(MIN_BUCKETS, ceil(total / BUCKET_BYTES))
+    bits = max(1 << 13, min(MAX_BITS, total // BIT_SHARE) // buckets // 8 * 8)
     work = named.withColumn("row", F.monotonically_increasing_id())
     made = stage(
         work.select("row", "th", "text").mapInArrow(
@@ -412,7 +461,8 @@ def similar_sets(docs: DataFrame, ids: Sequence[str] = ("doc_id",), text: str =
     )
     counted = stage(
         made.where("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(
-            _count_bucket, "key long, count long, total long, squares long"
+            lambda table: _count_bucket(table, bits),
+            "bucket int, bits binary, key long, count long, total long, squares long",
         ),
         "counts",
     )
@@ -420,21 +470,21 @@ def similar_sets(docs: DataFrame, ids: Sequence[str] = ("doc_id",), text: str =
     partners = (sums["squares"] or 0) / max(1, sums["total"] or 0) - 1
     by_size = nodes.where("size > 1").groupBy(F.least("size", F.lit(1024)).cast("int").alias("s")).agg(F.count("*").alias("k"))
     boundary = choose_boundary([(r["s"], r["k"]) for r in by_size.collect()], max(0.0, partners), percent)
-    frequent = _frequent(spark, counted)
+    order = _order_of(spark, counted, buckets, bits)
     lists = work.select("text").mapInArrow(
-        _lists_pass(frequent, buckets, buckets, percent, boundary, n),
-        "bucket int, keys binary, places binary, sigs binary, sizes binary",
+        _lists_pass(order, buckets, bits, percent, boundary, n),
+        "bucket int, keys binary, places binary, sigs binary, sizes binary, central binary, ranks binary",
     )
     scanned = stage(
-        lists.groupBy("bucket").applyInArrow(_scan_bucket(percent, boundary), "a binary, b binary, key long, size long"),
+        lists.groupBy("bucket").applyInArrow(_scan_bucket(percent, boundary), "a binary, b binary, key long, size long, rank long"),
         "scanned",
     )
     links = _links(named, nodes, scanned.where("b is not null").select("a", "b"), percent, n)
     labels = components(links)
-    long_lists = scanned.where("b is null").select("key", "a", "size")
+    long_lists = scanned.where("b is null").select("key", "a", "size", "rank")
     if not long_lists.isEmpty():
         told = long_lists.join(labels, long_lists["a"] == labels["node"], "left")
-        told = stage(told.select("key", "a", "size", F.coalesce("label", "a").alias("label")), "long")
+        told = stage(told.select("key", "a", "size", "rank", F.coalesce("label", "a").alias("label")), "long")
         split = told.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
         open_lists = told.join(split.select("key"), "key", "left_semi").repartition("key").sortWithinPartitions("key")
         cross = open_lists.mapInArrow(_cross_bucket(percent, boundary), "a binary, b binary")
