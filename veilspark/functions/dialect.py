@@ -27,20 +27,18 @@ class RuleError(ValueError):
 def check_safe(name: str, pattern: str) -> None:
     """Reject over-long patterns and nested quantifiers, before any job is started."""
     if len(pattern) > MAX_PATTERN_CHARS:
-        raise RuleError(f'Custom rule "{name}" pattern exceeds {MAX_PATTERN_CHARS} characters.')
+        raise RuleError(f"rule {name!r}: patterns may have at most {MAX_PATTERN_CHARS} characters")
     if re.search(NESTED_QUANTIFIER, pattern):
-        raise RuleError(
-            f'Custom rule "{name}" pattern looks catastrophically backtracking (nested quantifiers).'
-        )
+        raise RuleError(f"rule {name!r}: a quantifier inside a quantified group or class can take for ever")
 
 
 def java_flags(name: str, flags: str | None) -> str:
     """The inline flag prefix for ``flags``; ``g`` is always on and needs none."""
     given = flags or ""
     if "y" in given:
-        raise RuleError(f'Custom rule "{name}": the sticky flag "y" is not supported.')
+        raise RuleError(f"rule {name!r}: flag 'y' cannot be used on a column")
     if len(set(given)) != len(given) or not set(given) <= FLAGS or {"u", "v"} <= set(given):
-        raise RuleError(f'Custom rule "{name}" has an invalid regex: bad flags {given!r}')
+        raise RuleError(f'rule {name!r}: invalid regex: bad flags {given!r}')
     inline = "".join(f for f in "ims" if f in given)
     return f"(?{inline})" if inline else ""
 
@@ -55,8 +53,8 @@ def to_java(name: str, pattern: str, flags: str | None = "") -> str:
         c = pattern[i]
         if c == "\\":
             if i + 1 == len(pattern):
-                raise RuleError(f'Custom rule "{name}" has an invalid regex: \\ at end of pattern')
-            out.append(_escape(name, pattern[i + 1], in_class))
+                raise RuleError(f'rule {name!r}: invalid regex: \\ at end of pattern')
+            out.append(_escape(name, pattern[i + 1], in_class, bool({"u", "v"} & set(flags or ""))))
             i += 2
             continue
         if in_class:
@@ -81,19 +79,23 @@ def to_java(name: str, pattern: str, flags: str | None = "") -> str:
             if pattern.startswith("[^", i):
                 out.append("^")
                 i += 1
+        elif c == "{" and not re.match(r"\{\d+(,\d*)?\}", pattern[i:]) and not (
+            re.search(r"\\[pP]$", pattern[:i]) and {"u", "v"} & set(flags or "")
+        ):
+            out.append(r"\{")
         elif c == "$" and not multiline:
             out.append(r"\z")
         elif c == "+" and out and i > 0 and _quantified(pattern, i):
-            raise RuleError(f'Custom rule "{name}" has an invalid regex: nothing to repeat')
+            raise RuleError(f'rule {name!r}: invalid regex: nothing to repeat')
         elif pattern.startswith(("(?i", "(?m", "(?s", "(?-"), i) and ":" not in pattern[i : i + 8].split(")")[0]:
-            raise RuleError(f'Custom rule "{name}" has an invalid regex: invalid group')
+            raise RuleError(f'rule {name!r}: invalid regex: invalid group')
         elif pattern.startswith("(?>", i):
-            raise RuleError(f'Custom rule "{name}" has an invalid regex: invalid group')
+            raise RuleError(f'rule {name!r}: invalid regex: invalid group')
         else:
             out.append(c)
         i += 1
     if in_class:
-        raise RuleError(f'Custom rule "{name}" has an invalid regex: unterminated character class')
+        raise RuleError(f'rule {name!r}: invalid regex: unterminated character class')
     body = "".join(out)
     if "i" in (flags or "") and not pattern.isascii():
         prefix = prefix.replace("(?", "(?u")
@@ -110,11 +112,14 @@ def _quantified(pattern: str, i: int) -> bool:
     return before[-1] in "*+?" or re.search(r"\{\d+(,\d*)?\}$", before) is not None
 
 
-def _escape(name: str, c: str, in_class: bool) -> str:
+def _escape(name: str, c: str, in_class: bool, unicode: bool) -> str:
+    if c in "pP" and not unicode:
+        return c
     if c == "s":
         return SPACE_CHARS if in_class else f"[{SPACE_CHARS}]"
     if c == "S":
-        return f"&&[^{SPACE_CHARS}]" if in_class else f"[^{SPACE_CHARS}]"
+        # Inside a class this is a nested class, that is a union.
+        return f"[^{SPACE_CHARS}]"
     if c == "b":
         return "\\x08" if in_class else BORDER
     if c == "B" and not in_class:

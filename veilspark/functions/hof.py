@@ -29,6 +29,40 @@ def empty(array_type: str) -> Column:
     return F.array().cast(array_type)
 
 
+def lookup_all(keys: Column, entries: Column) -> Column:
+    """For each of ``keys`` the value of ``entries`` (``array<struct<key,value>>``, unique keys), or null.
+
+    Keys and entries are sorted together and every run of equal keys is answered from its head, so the
+    work is that of sorting. Searching a map for each key would walk it from its start every time.
+    """
+    sought = F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"), F.lit(None).cast("string").alias("v")))
+    given = F.transform(entries, lambda e: F.struct(e["key"].alias("k"), F.lit(-1).alias("i"), e["value"].alias("v")))
+
+    def answered(m: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(m) - 1)
+        heads = F.filter(places, lambda i: (i == 0) | ~F.get(m, i)["k"].eqNullSafe(F.get(m, i - 1)["k"]))
+
+        def runs(h: Column) -> Column:
+            def run(at: Column, n: Column) -> Column:
+                end = F.coalesce(F.get(h, n + 1), F.size(m))
+                value = F.when(F.get(m, at)["i"] == -1, F.get(m, at)["v"])
+                return let(
+                    F.struct(value.alias("v"), end.alias("e")),
+                    lambda r: F.transform(
+                        F.slice(m, at + 1, r["e"] - at), lambda x: F.struct(x["i"].alias("i"), r["v"].alias("v"))
+                    ),
+                )
+
+            return F.flatten(F.transform(h, run))
+
+        in_order = F.sort_array(F.filter(let(heads, runs), lambda x: x["i"] >= 0))
+        return F.transform(in_order, lambda x: x["v"])
+
+    return F.when(F.size(keys) > 0, let(F.sort_array(F.concat(given, sought)), answered)).otherwise(
+        empty("array<string>")
+    )
+
+
 def blocks(items: Column, size: int = BLOCK) -> Column:
     """Cut an array variable into consecutive arrays of at most ``size`` elements."""
     starts = F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(size))

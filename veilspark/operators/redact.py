@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.hof import BLOCK, let, once
+from veilspark.functions.hof import BLOCK, let, lookup_all, once
 from veilspark.functions.labels import count_placeholders, normalize_label, placeholder
 from veilspark.functions.masks import mask_value
 from veilspark.operators.detect import BUILT_IN, ColumnDetector, Detector, detect
@@ -107,20 +107,33 @@ def splice(text: Column, pieces: Column) -> Column:
 
 
 def replaced(acted: Column, placeholders: Column, unicode_mask: bool = False) -> Column:
-    """Spans that change or are reported, with their replacement text in ``new``."""
-    return F.transform(
-        F.filter(acted, lambda s: s["action"] != "allow"),
-        lambda s: F.struct(
-            s["type"].alias("type"),
-            s["label"].alias("label"),
-            s["action"].alias("action"),
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            F.when(s["action"] == "mask", mask_value(s["type"], s["value"], unicode_mask))
-            .otherwise(F.try_element_at(placeholders, token_key(s)))
-            .alias("new"),
-        ),
-    )
+    """Spans that change or are reported, with their replacement text in ``new``.
+
+    ``placeholders`` is ``array<struct<key,value>>``. All spans are looked up together; a token
+    without a placeholder fails the job rather than losing text.
+    """
+    missing = F.raise_error(F.lit("no placeholder for a finding")).cast("string")
+
+    def with_new(spans: Column, found: Column) -> Column:
+        return F.transform(
+            spans,
+            lambda s, i: F.struct(
+                s["type"].alias("type"),
+                s["label"].alias("label"),
+                s["action"].alias("action"),
+                s["start"].alias("start"),
+                s["end"].alias("end"),
+                F.when(s["action"] == "mask", mask_value(s["type"], s["value"], unicode_mask))
+                .otherwise(F.coalesce(F.get(found, i), missing))
+                .alias("new"),
+            ),
+        )
+
+    def looked_up(spans: Column) -> Column:
+        keys = F.transform(spans, lambda s: F.when(tokenized(s), token_key(s)))
+        return let(lookup_all(keys, placeholders), lambda found: with_new(spans, found))
+
+    return let(F.filter(acted, lambda s: s["action"] != "allow"), looked_up)
 
 
 def reported(pieces: Column) -> Column:
@@ -153,11 +166,13 @@ def wire_entities(entities: Column) -> Column:
 
 def apply_actions(df: DataFrame, text: str = "text", acted: str = "acted", unicode_mask: bool = False) -> DataFrame:
     """Replace ``text`` and ``acted`` by ``redacted, entities, token_map, blocked``."""
-    pairs = lambda a, b: F.map_from_entries(F.transform("__tokens", lambda t: F.struct(t[a], t[b])))
+    numbered = once(df, "__tokens", number_in_row(F.col(acted)))
+    entries = F.transform("__tokens", lambda t: F.struct(t["key"].alias("key"), t["placeholder"].alias("value")))
+    pieces = once(numbered, "__pieces", replaced(F.col(acted), entries, unicode_mask))
     return (
-        df.withColumn("__tokens", number_in_row(F.col(acted)))
-        .withColumns({"__placeholders": pairs("key", "placeholder"), "token_map": pairs("placeholder", "value")})
-        .withColumn("__pieces", replaced(F.col(acted), F.col("__placeholders"), unicode_mask))
+        pieces.withColumn(
+            "token_map", F.map_from_entries(F.transform("__tokens", lambda t: F.struct(t["placeholder"], t["value"])))
+        )
         .withColumns(
             {
                 "redacted": splice(F.col(text), F.col("__pieces")),
@@ -165,7 +180,7 @@ def apply_actions(df: DataFrame, text: str = "text", acted: str = "acted", unico
                 "blocked": F.exists(acted, lambda s: s["action"] == "block"),
             }
         )
-        .drop("__tokens", "__placeholders", "__pieces", acted, text)
+        .drop("__tokens", "__pieces", acted, text)
     )
 
 

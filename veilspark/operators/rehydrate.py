@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilspark.functions import patterns as p
+from veilspark.functions.hof import let, lookup_all
 
 
 def tokens_in(text: Column) -> Column:
@@ -22,17 +23,17 @@ def rehydrate(text: Column, token_map: Column, json_escape: bool = False) -> Col
     ``json_escape`` escapes the values for use inside a JSON string literal.
     """
 
-    def restore(token: Column) -> Column:
-        value = F.try_element_at(token_map, token)
+    def restore(token: Column, value: Column) -> Column:
         if json_escape:
             quoted = F.to_json(F.array(value))
             value = F.when(value.isNotNull(), F.substring(quoted, F.lit(3), F.length(quoted) - 4))
         return F.coalesce(value, token)
 
+    restored = let(
+        tokens_in(text), lambda tokens: F.zip_with(tokens, lookup_all(tokens, F.map_entries(token_map)), restore)
+    )
     pieces = F.zip_with(
-        F.split(text, p.PLACEHOLDER, -1),
-        F.transform(tokens_in(text), restore),
-        lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))),
+        F.split(text, p.PLACEHOLDER, -1), restored, lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))
     )
     return F.when(
         F.contains(text, F.lit("[")) & (F.coalesce(F.size(token_map), F.lit(0)) > 0), F.array_join(pieces, "")
