@@ -148,10 +148,10 @@ def test_rules(spark):
     [
         (Rule("bad"), "pattern.*terms"),
         (Rule("oops", "("), "invalid regex"),
-        (Rule("evil", "(a+)+"), "backtracking"),
-        (Rule("evil", "(a*){2,}"), "backtracking"),
-        (Rule("huge", "a" * 300), "exceeds 256"),
-        (Rule("sticky", "a", "y"), "sticky"),
+        (Rule("evil", "(a+)+"), "for ever"),
+        (Rule("evil", "(a*){2,}"), "for ever"),
+        (Rule("huge", "a" * 300), "at most 256"),
+        (Rule("sticky", "a", "y"), "flag 'y'"),
         (Rule("twice", "a++"), "invalid regex"),
         (Rule("flag", "a", "q"), "flags"),
     ],

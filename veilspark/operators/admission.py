@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions.kinds import UNLIMITED_ROUTES
+from veilspark.operators.lookup import join_null_safe
 
 
 def refill_rate(limit: int, window_sec: int) -> float:
@@ -53,7 +54,8 @@ def _stretches(moments: DataFrame, full_ms: int | None) -> DataFrame:
     order = Window.partitionBy("caller").orderBy("__slot")
     fresh = F.coalesce(F.col("__lo") - F.lag("__hi").over(order) >= full_ms, F.lit(True))
     numbered = slots.withColumn("__fresh", fresh.cast("long")).withColumn("__stretch", F.sum("__fresh").over(order))
-    return slotted.join(numbered.select("caller", "__slot", "__stretch"), ["caller", "__slot"]).drop("__slot")
+    found = join_null_safe(slotted, numbered.select("caller", "__slot", "__stretch"), ["caller", "__slot"])
+    return found.drop("__slot")
 
 
 def _scan(capacity: float, refill_per_ms: float):
@@ -87,7 +89,8 @@ def admit(
 ) -> DataFrame:
     """Add ``allowed, retry_after_ms, remaining`` to requests with ``caller`` and ``ts_ms``.
 
-    Requests of one millisecond are taken in the order of the columns ``order``. A denied request
+    Requests without a caller share one bucket; ``ts_ms`` may not be null. Requests of one
+    millisecond are taken in the order of the columns ``order``. A denied request
     that will never be satisfiable (no refill) has a null ``retry_after_ms``.
     """
     moments = requests.groupBy("caller", "ts_ms").agg(F.count("*").alias("n"))
@@ -99,7 +102,7 @@ def admit(
         .mapInPandas(_scan(capacity, refill_per_ms), "caller string, ts_ms long, before double, admitted long")
     )
     place = F.row_number().over(Window.partitionBy("caller", "ts_ms").orderBy(*order))
-    ranked = requests.withColumn("__place", place).join(outcome, ["caller", "ts_ms"])
+    ranked = join_null_safe(requests.withColumn("__place", place), outcome, ["caller", "ts_ms"])
     allowed = F.col("__place") <= F.col("admitted")
     if refill_per_ms > 0:
         wait = F.ceil((1 - (F.col("before") - F.col("admitted"))) / F.lit(float(refill_per_ms))).cast("long")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.operators.detect import BUILT_IN, ColumnDetector, Detector, detect
-from veilspark.operators.lookup import attach_values
+from veilspark.operators.lookup import attach_values, join_null_safe
 from veilspark.operators.numbering import distinct_values, number_values
 from veilspark.operators.policy import LayeredPolicy, Policy
 from veilspark.operators.redact import replaced, reported, splice, token_key, tokenized, with_actions
@@ -35,11 +35,11 @@ class Batch:
     def passed(self) -> DataFrame:
         """Texts of scopes where nothing was blocked; one blocked text holds back its whole scope."""
         bad = self.scopes.where("blocked").select(*self.scope)
-        return self.texts.join(bad, list(self.scope), "left_anti")
+        return join_null_safe(self.texts, bad, self.scope, "left_anti")
 
     def passed_tokens(self) -> DataFrame:
         bad = self.scopes.where("blocked").select(*self.scope)
-        return self.tokens.join(bad, list(self.scope), "left_anti")
+        return join_null_safe(self.tokens, bad, self.scope, "left_anti")
 
 
 def redact_batch(
@@ -56,8 +56,8 @@ def redact_batch(
     """Redact all texts of a scope under shared numbering.
 
     ``ids`` identify a text, ``scope`` names the columns of its scope (a constant column for the
-    whole table) and ``order`` its place in the scope, integral first column. A null scope value is
-    a scope of its own kind and is not supported.
+    whole table) and ``order`` its place in the scope, integral first column. Rows with a null scope
+    value share a scope; null ids match themselves.
     """
     scope, order, ids = list(scope), list(order), list(ids)
     found = detect(df, text, detectors, "__spans", model_spans)
@@ -78,7 +78,7 @@ def redact_batch(
     table = tokens.withColumn("__key", F.concat("display", F.lit(" "), "value"))
     mapped = attach_values(keyed, ids, "__keys", table, scope, "__key", "placeholder", "__placeholders")
     texts = (
-        mapped.withColumn("__pieces", replaced(F.col("__acted"), F.col("__placeholders"), unicode_mask))
+        mapped.withColumn("__pieces", replaced(F.col("__acted"), F.map_entries("__placeholders"), unicode_mask))
         .withColumns(
             {
                 "redacted": splice(F.col(text), F.col("__pieces")),

@@ -9,12 +9,21 @@ occurrences, so at most ``HOT_KEYS`` keys can be.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.operators.staging import stage
 
+def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on the columns ``on`` where null equals null; the columns of ``left`` are kept."""
+    named = right.withColumnsRenamed({c: f"__right_{c}" for c in on})
+    same = reduce(and_, (left[c].eqNullSafe(named[f"__right_{c}"]) for c in on))
+    return left.join(named, same, how).drop(*(f"__right_{c}" for c in on))
+
+
 HOT_KEYS = 1_000
 MIN_HOT = 10_000
 
@@ -31,14 +40,14 @@ def join_hot(occurrences: DataFrame, table: DataFrame, on: Sequence[str], count:
     total = table.agg(F.sum(count)).first()[0] or 0
     limit = hot_threshold(total)
     if total < limit:
-        return occurrences.join(table.drop(count), list(on))
+        return join_null_safe(occurrences, table.drop(count), on)
     hot = table.where(F.col(count) >= limit).drop(count)
     if hot.isEmpty():
-        return occurrences.join(table.drop(count), list(on))
-    flagged = occurrences.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), list(on), "left")
+        return join_null_safe(occurrences, table.drop(count), on)
+    flagged = join_null_safe(occurrences, F.broadcast(hot.withColumn("__hot", F.lit(True))), on, "left")
     warm = flagged.where("__hot").drop("__hot")
     cold_rows = flagged.where(F.col("__hot").isNull()).select(*occurrences.columns)
-    cold = cold_rows.join(table.where(F.col(count) < limit).drop(count), list(on))
+    cold = join_null_safe(cold_rows, table.where(F.col(count) < limit).drop(count), on)
     return warm.unionByName(cold)
 
 
@@ -52,7 +61,7 @@ def attach_values(
     value: str,
     out: str,
 ) -> DataFrame:
-    """Add ``out``, a map from each of the row's ``keys`` to its table value.
+    """Add ``out``, a map from each of the row's ``keys`` to its table value. Null ids and null ``on`` values match themselves.
 
     ``rows`` hold unique ``ids``, the columns ``on`` and the array column ``keys``. ``table`` holds
     ``on``, ``key`` and ``value``, unique per ``on`` and ``key``. Rows without keys skip every
@@ -64,11 +73,11 @@ def attach_values(
     without = rows.where(F.coalesce(F.size(keys), F.lit(0)) <= 0)
     pairs = with_keys.select(*dict.fromkeys([*ids, *on]), F.explode(F.array_distinct(keys)).alias(key))
     counts = pairs.groupBy(*on, key).agg(F.count("*").alias("__n"))
-    used = stage(counts.join(table.select(*on, key, value), [*on, key]), "lookup")
+    used = stage(join_null_safe(counts, table.select(*on, key, value), [*on, key]), "lookup")
     joined = join_hot(pairs, used, [*on, key], "__n")
     maps = joined.groupBy(*ids).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col(key), F.col(value)))).alias(out)
     )
-    found = with_keys.join(maps, ids, "left")
+    found = join_null_safe(with_keys, maps, ids, "left")
     nothing = F.lit(None).cast(maps.schema[out].dataType)
     return found.unionByName(without.withColumn(out, nothing))

@@ -19,7 +19,8 @@ OFFSETS = "array<struct<start:int,end:int,type:string>>"
 def parse_spans(reply: Column, kind: str = "NAME") -> Column:
     """Spans from a service's JSON reply: ``{"spans": [...]}`` or a bare array; null when unusable.
 
-    Entries whose offsets are not numbers are dropped. The caller fixes the entity type.
+    Offsets may be any JSON numbers and are cut to integers; entries without are dropped. The caller
+    fixes the entity type.
     """
     v = F.try_parse_json(reply)
     shape = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
@@ -31,8 +32,8 @@ def parse_spans(reply: Column, kind: str = "NAME") -> Column:
         lambda s: F.struct(
             *(
                 F.when(
-                    F.schema_of_variant(F.try_variant_get(s, f"$.{n}", "variant")).isin("BIGINT"),
-                    F.try_variant_get(s, f"$.{n}", "int"),
+                    F.schema_of_variant(F.try_variant_get(s, f"$.{n}", "variant")).rlike("^(BIGINT|DECIMAL|DOUBLE)"),
+                    F.try_variant_get(s, f"$.{n}", "double").cast("int"),
                 ).alias(n)
                 for n in ("start", "end")
             ),
@@ -54,14 +55,16 @@ def join_model_spans(
 ) -> DataFrame:
     """Left-join a spans table ``(ids, start, end[, type])`` and add the usable spans as ``out``.
 
-    Spans are grouped per text first, so the join is one to one on unique ids and cannot be skewed;
+    A type outside the known ones fails the job; name ``kind`` to map all of them to one. Spans are
+    grouped per text first, so the join is one to one on unique ids and cannot be skewed;
     adaptive execution broadcasts a small span side instead of shuffling the texts.
     """
     ids = list(ids)
     typed = spans if "type" in spans.columns else spans.withColumn("type", F.lit(kind or "NAME"))
     if kind:
         typed = typed.withColumn("type", F.lit(kind))
-    known = typed.where(F.col("type").isin(*ENTITY_TYPES))
+    unknown = F.raise_error(F.concat(F.lit("unknown entity type "), F.coalesce("type", F.lit("null")))).cast("string")
+    known = typed.withColumn("type", F.when(F.col("type").isin(*ENTITY_TYPES), F.col("type")).otherwise(unknown))
     grouped = known.groupBy(*ids).agg(
         F.sort_array(
             F.collect_list(

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions.labels import placeholder
+from veilspark.operators.lookup import join_null_safe
 
 LEVEL_BITS = 16
 
@@ -40,7 +41,7 @@ def _offsets(counts: DataFrame, group: list[str], level: int, top: int) -> DataF
     local = up.withColumn("__local", F.coalesce(F.sum("__c").over(before), F.lit(0)))
     above = up.groupBy(*group, F.col("__up").alias("__b")).agg(F.sum("__c").alias("__c"))
     base = _offsets(above, group, level + 1, top).withColumnRenamed("__b", "__up")
-    return local.join(base, [*group, "__up"]).select(
+    return join_null_safe(local, base, [*group, "__up"]).select(
         *group, "__b", (F.col("__local") + F.col("__offset")).alias("__offset")
     )
 
@@ -61,7 +62,7 @@ def number_values(values: DataFrame, scope: Sequence[str], order: Sequence[str])
         number = F.col("__rank")
     else:
         counts = bucketed.groupBy(*group, "__b").agg(F.count("*").alias("__c"))
-        ranked = ranked.join(_offsets(counts, group, 1, top), [*group, "__b"])
+        ranked = join_null_safe(ranked, _offsets(counts, group, 1, top), [*group, "__b"])
         number = F.col("__rank") + F.col("__offset")
     return ranked.select(
         *scope, "display", "value", "n", placeholder(F.col("display"), number.cast("long")).alias("placeholder")

@@ -63,7 +63,7 @@ def pattern_of(rule: Rule) -> str:
         if prefix and any(not t.isascii() for t in rule.terms):
             prefix = prefix.replace("(?", "(?u")
         return prefix + quote_terms(list(rule.terms))
-    raise RuleError(f'Custom rule "{rule.name}" must define either "pattern" or "terms".')
+    raise RuleError(f"rule {rule.name!r} has neither a pattern nor terms")
 
 
 def compile_rules(spark: SparkSession, rules: Iterable[Rule]) -> list[Detector]:
@@ -78,7 +78,7 @@ def compile_rules(spark: SparkSession, rules: Iterable[Rule]) -> list[Detector]:
                 compiler.compile(pattern)
             except Exception as e:  # noqa: BLE001 - the JVM names the fault
                 reason = str(getattr(e, "java_exception", e)).splitlines()[0]
-                raise RuleError(f'Custom rule "{rule.name}" has an invalid regex: {reason}') from None
+                raise RuleError(f"rule {rule.name!r}: invalid regex: {reason}") from None
             needles = rule.terms if not rule.pattern and len(rule.terms) <= 8 and "i" not in (rule.flags or "") else ()
             detectors.append(Detector("CUSTOM", (Scan(pattern, needles),), rule.name))
         except RuleError as e:

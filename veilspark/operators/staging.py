@@ -28,8 +28,19 @@ def staging_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{staging_dir(spark)}/veilspark/{spark.sparkContext.applicationId}"
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
-    return f"{staging_dir(spark)}/veilspark/{name}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete all tables that this application staged. They hold raw values: call it when the results
+    are written. Frames read from staged tables can not be used afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str = "table") -> DataFrame:
@@ -41,15 +52,11 @@ def stage(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a small input over all cores before heavy per-row work.
+    """Deal an input of a single split over all cores before heavy per-row work.
 
-    A small file is often one row group and so one task. Inputs of at least one full split per core
-    are left alone, so the shuffle here is never larger than cores times the split size.
+    A small file is often one row group and so one task. What is dealt is at most one split
+    (``spark.sql.files.maxPartitionBytes``); inputs of two or more splits are left alone at any size,
+    so a large input is never shuffled here.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.files.maxPartitionBytes", "128m")
-    ))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores, *keys) if size < cores * split else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() <= 1 else df

@@ -20,6 +20,8 @@ from veilspark.operators.lookup import join_hot
 from veilspark.operators.staging import stage
 
 WORD = r"\w+"
+#: Words of the longest term allowed. Candidates per word of a text are at most so many.
+LONGEST = 32
 BROADCAST_TERMS = 1_000_000
 BROADCAST_BYTES = 64 << 20
 
@@ -66,14 +68,17 @@ def term_spans(
 
     ``terms`` has a column ``term`` and optionally an integer ``ord``. Matches in one text do not
     overlap: the leftmost wins, then the lowest ``ord``, then the longest. Terms that do not start
-    and end with a word character have no whole-word form here; use a rule for those.
+    and end with a word character have no whole-word form here and fail the job, as do terms of more
+    than ``LONGEST`` words; use a rule for those. Null terms are ignored.
     """
     ids = list(ids)
     fold = F.lower if ignore_case else (lambda c: c)
     order = F.min("ord") if "ord" in terms.columns else F.lit(0)
+    whole = F.col("term").rlike(r"^\w(?:[\s\S]*\w)?\z") & (F.regexp_count("term", F.lit(WORD)) <= LONGEST)
+    refused = F.raise_error(F.concat(F.lit("not a whole-word term: "), F.col("term"))).cast("string")
     known = (
-        terms.where(F.col("term").rlike(r"^\w(?:[\s\S]*\w)?\z"))
-        .withColumn("__term", fold(F.col("term")))
+        terms.where(F.col("term").isNotNull())
+        .withColumn("__term", F.when(whole, fold(F.col("term"))).otherwise(refused))
         .groupBy("__term")
         .agg(order.cast("int").alias("__ord"))
     )

@@ -22,9 +22,23 @@ VAULT = (
 )
 
 
-def map_id(run_id: str, scope_id: Column) -> Column:
-    """An opaque id that is the same when a task is run again."""
-    return F.sha2(F.concat_ws("\x1f", F.lit(run_id), scope_id.cast("string")), 256)
+def map_id(run_id: str, scope_id: Column, secret: str = "") -> Column:
+    """An opaque id that is the same when a task is run again.
+
+    With a ``secret`` it can not be guessed from the run and the scope: the secret is hashed in twice,
+    around an inner digest.
+    """
+    plain = F.sha2(F.concat_ws("\x1f", F.lit(run_id), scope_id.cast("string")), 256)
+    if not secret:
+        return plain
+    inner = F.sha2(F.concat_ws("\x1f", F.lit(secret), plain), 256)
+    return F.sha2(F.concat_ws("\x1f", F.lit(secret), inner), 256)
+
+
+def utc_day(moment: Column) -> Column:
+    """The day in UTC, whatever the session's time zone."""
+    days = F.floor(F.unix_micros(moment.cast("timestamp")) / F.lit(86_400_000_000))
+    return F.date_from_unix_date(days.cast("int"))
 
 
 def later(moment: Column, ms: int) -> Column:
@@ -38,16 +52,17 @@ def to_vault(
     created_at: Column,
     ttl_ms: int = VAULT_TTL_MS,
     token_map: str = "token_map",
+    secret: str = "",
 ) -> DataFrame:
-    """Vault rows for redacted rows. Blocked rows store nothing."""
+    """Vault rows for redacted rows. Blocked rows store nothing. A ``secret`` makes ids unguessable."""
     made = created_at.cast("timestamp")
     return redacted.where(~F.col("blocked")).select(
-        map_id(run_id, F.col(scope_id)).alias("map_id"),
+        map_id(run_id, F.col(scope_id), secret).alias("map_id"),
         F.col(scope_id).cast("string").alias("scope_id"),
         F.col(token_map).alias("entries"),
         made.alias("created_at"),
         later(made, ttl_ms).alias("expires_at"),
-        F.to_date(later(made, ttl_ms)).alias("expires_date"),
+        utc_day(later(made, ttl_ms)).alias("expires_date"),
     )
 
 
@@ -63,7 +78,7 @@ def live(vault: DataFrame, now: Column) -> DataFrame:
     """Entries that have not expired: ``expires_at > now``. Prunes whole days where it can."""
     current = vault.where(F.col("expires_at") > now)
     if "expires_date" in vault.columns:
-        current = current.where(F.col("expires_date") >= F.to_date(now))
+        current = current.where(F.col("expires_date") >= utc_day(now))
     return current
 
 
@@ -93,10 +108,13 @@ def lookup_maps(
 
     An inline map wins over the vault; without either a usable id the row is a miss. Many texts may
     share one map id: the vault side is unique, so a hot id only makes large probe partitions, which
-    adaptive execution splits.
+    adaptive execution splits. A map that was written again counts once, by its latest expiry.
     """
-    current = live(vault, now).where(F.col("entries").isNotNull()).select(
-        F.col("map_id").alias("__id"), F.col("entries").alias("__entries")
+    current = (
+        live(vault, now)
+        .where(F.col("entries").isNotNull())
+        .groupBy(F.col("map_id").alias("__id"))
+        .agg(F.max_by("entries", "expires_at").alias("__entries"))
     )
     joined = texts.join(current, texts[map_id] == current["__id"], "left").drop("__id")
     given = F.coalesce(F.col(inline), F.col("__entries")) if inline else F.col("__entries")

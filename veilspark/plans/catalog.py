@@ -281,7 +281,7 @@ def term_dictionary_join(spark: SparkSession, sf: str) -> DataFrame:
     ids = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     part = t.table(spark, sf, "part")
     lines = (
-        spread(t.table(spark, sf, "lineitem").where("l_quantity < 11").select(*ids), *ids)
+        spread(t.table(spark, sf, "lineitem").select(*ids), *ids)
         .join(part, F.col("p_partkey") == F.col("l_partkey"))
         .join(t.table(spark, sf, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
         .selectExpr(*ids, "'Sent the ' || p_name || ', not ' || p_name || 's; by ' || s_name || '.' AS text")

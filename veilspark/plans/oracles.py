@@ -363,7 +363,7 @@ def oracle_sql() -> dict[str, str]:
     )
     sql["term_dictionary_join"] = """WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
        'Sent the ' || p_name || ', not ' || p_name || 's; by ' || s_name || '.' AS text
-       FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity < 11)
+       FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey)
       SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(9 AS BIGINT) AS start,
        CAST(9 + length(p_name) AS BIGINT) AS "end", p_name AS value
       FROM t JOIN part ON p_partkey = l_partkey"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions.kinds import ACTIONS, ENTITY_TYPES
@@ -63,13 +63,43 @@ def checked_policies(policies: DataFrame) -> DataFrame:
     return policies.withColumn("default_action", F.when(bad, fault).otherwise(F.col("default_action")))
 
 
+def _shape(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+
+
 def request_policy(policy_json: str, out: str = "request_policy"):
-    """A column ``struct<default,overrides>`` from request JSON; unknown actions or types fail."""
-    parsed = F.from_json(F.col(policy_json), "struct<default:string,overrides:map<string,string>>")
-    bad_action = F.exists(F.map_values(parsed["overrides"]), lambda a: ~a.isin(*ACTIONS)) | ~parsed["default"].isin(
-        *ACTIONS
+    """A column ``struct<default,overrides>`` from request JSON. Null text is no policy.
+
+    Any other text must be a JSON object with no fields but ``default`` and ``overrides``, of known
+    actions and types; cut JSON, other fields or other shapes fail the job, so a policy meant to block
+    is never ignored.
+    """
+    kind = "struct<default:string,overrides:map<string,string>>"
+    given = F.col(policy_json)
+    v = F.try_parse_json(given)
+    fields = F.when(_shape(v).startswith("OBJECT"), v.cast("map<string,variant>"))
+    overrides = F.try_variant_get(v, "$.overrides", "variant")
+    entries = F.when(_shape(overrides).startswith("OBJECT"), overrides.cast("map<string,variant>"))
+
+    def known_action(x: Column) -> Column:
+        return F.coalesce(F.when(_shape(x) == "STRING", x.cast("string")).isin(*ACTIONS), F.lit(False))
+
+    def absent(name: str) -> Column:
+        return ~F.array_contains(F.map_keys(fields), name)
+
+    good = (
+        F.forall(F.map_keys(fields), lambda k: k.isin("default", "overrides"))
+        & (absent("default") | known_action(F.try_variant_get(v, "$.default", "variant")))
+        & (
+            absent("overrides")
+            | F.coalesce(
+                F.forall(F.map_values(entries), known_action)
+                & F.forall(F.map_keys(entries), lambda t: t.isin(*ENTITY_TYPES)),
+                F.lit(False),
+            )
+        )
     )
-    bad_type = F.exists(F.map_keys(parsed["overrides"]), lambda t: ~t.isin(*ENTITY_TYPES))
-    bad = F.coalesce(bad_action, F.lit(False)) | F.coalesce(bad_type, F.lit(False))
-    fault = F.raise_error(F.lit("invalid request policy")).cast("struct<default:string,overrides:map<string,string>>")
-    return F.when(bad, fault).otherwise(parsed).alias(out)
+    parsed = F.from_json(given, kind)
+    fault = F.raise_error(F.lit("invalid request policy")).cast(kind)
+    checked = F.when(F.coalesce(good, F.lit(False)), parsed).otherwise(fault)
+    return F.when(given.isNotNull(), checked).alias(out)
