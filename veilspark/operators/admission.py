@@ -17,7 +17,7 @@ import math
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions.kinds import UNLIMITED_ROUTES
@@ -117,6 +117,20 @@ def admit(
     ).drop("__place", "before", "admitted")
 
 
+def unlimited_route(route: str) -> Column:
+    """Health and metrics routes; a query string does not matter."""
+    return F.coalesce(F.substring_index(route, "?", 1).isin(*UNLIMITED_ROUTES), F.lit(False))
+
+
+def decisions_of_free() -> dict[str, Column]:
+    """What a request that is not limited gets."""
+    return {
+        "allowed": F.lit(True),
+        "retry_after_ms": F.lit(0).cast("long"),
+        "remaining": F.lit(None).cast("int"),
+    }
+
+
 def rate_limit(
     requests: DataFrame, limit: int, window_sec: int = 60, order: Sequence[str] = ("request_id",)
 ) -> DataFrame:
@@ -125,15 +139,10 @@ def rate_limit(
     A limit of zero or less turns it off, and health and metrics routes are never limited. Adds
     ``retry_after_sec`` for denied requests.
     """
-    unlimited = {
-        "allowed": F.lit(True),
-        "retry_after_ms": F.lit(0).cast("long"),
-        "remaining": F.lit(None).cast("int"),
-    }
+    unlimited = decisions_of_free()
     if limit <= 0:
         return with_retry_after(requests.withColumns(unlimited))
-    path = F.substring_index("route", "?", 1)
-    free = F.coalesce(path.isin(*UNLIMITED_ROUTES), F.lit(False))
+    free = unlimited_route("route")
     counted = admit(requests.where(~free), limit, refill_rate(limit, window_sec), order)
     return with_retry_after(counted.unionByName(requests.where(free).withColumns(unlimited)))
 

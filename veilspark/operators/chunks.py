@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from veilspark.functions import patterns as p
 from veilspark.functions.kinds import MAX_STREAM_HOLD
 from veilspark.operators.rehydrate import rehydrate
+from veilspark.operators.staging import stage
 
 RANGE_BITS = 12
 _STREAM = ["stream_id", "choice", "tool_idx"]
@@ -63,22 +64,28 @@ def rehydrate_chunks(
 
     near = F.right("__text", F.lit(max_hold))
     inside = Window.partitionBy(*_KEY, "__range").orderBy("seq").rowsBetween(-max_hold, -1)
-    local = filled.withColumn("__before", F.array_join(F.collect_list(near).over(inside), ""))
+    # Written once: the ends of ranges and the chunks themselves are two readers of it.
+    local = stage(filled.withColumn("__before", F.array_join(F.collect_list(near).over(inside), "")), "chunks")
     ends = local.groupBy(*_KEY, "__range").agg(
         F.max_by(F.right(F.concat("__before", near), F.lit(max_hold)), "seq").alias("__end")
     )
     earlier = Window.partitionBy(*_KEY).orderBy("__range").rowsBetween(-max_hold, -1)
     incoming = ends.select(*_KEY, "__range", F.array_join(F.collect_list("__end").over(earlier), "").alias("__in"))
-    known = local.join(incoming, [*_KEY, "__range"]).join(
-        maps.select("stream_id", "token_map"), "stream_id", "left"
-    )
+    known = local.join(incoming, [*_KEY, "__range"])
     before = F.right(F.concat("__in", "__before"), F.lit(max_hold))
     buffered = known.withColumn("__buffer", F.concat(held_tail(before, max_hold), "fragment")).withColumn(
         "__held", F.when(F.col("finished"), "").otherwise(held_tail(F.col("__buffer"), max_hold))
     )
     safe = F.substring("__buffer", F.lit(1), F.length("__buffer") - F.length("__held"))
+    buffered = stage(buffered.withColumn("__safe", safe).drop("__before", "__in", "__text"), "buffered")
     shown = ["stream_id", "seq", "choice", "tool_idx", "text", "flushed"]
-    emitted = buffered.withColumn("text", rehydrate(safe, F.col("token_map"))).withColumn("flushed", F.lit(False))
+    # Only chunks that may hold a placeholder meet the maps.
+    holding = buffered.where(F.contains("__safe", F.lit("["))).join(
+        maps.select("stream_id", "token_map"), "stream_id", "left"
+    )
+    plain = buffered.where(~F.contains("__safe", F.lit("["))).withColumn("text", F.col("__safe"))
+    restored = holding.withColumn("text", rehydrate(F.col("__safe"), F.col("token_map")))
+    emitted = restored.select(*shown[:-1]).unionByName(plain.select(*shown[:-1])).withColumn("flushed", F.lit(False))
     silent = blank.withColumn("text", F.lit("")).withColumn("flushed", F.lit(False))
 
     # What is still held after the last chunk of a sequence.

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.hof import let
+from veilspark.operators.lookup import join_null_safe
 from veilspark.operators.rehydrate import rehydrate
 
 
@@ -81,12 +82,48 @@ def _with_field(v: Column, name: str, edit: Callable[[Column], Column]) -> Colum
     return let(let(_field(v, name), edit), put)
 
 
-def _each(v: Column, edit: Callable[[Column], Column]) -> Column:
-    """A variant array with ``edit`` applied to its elements; null for anything else."""
+def _each(v: Column, edit: Callable[..., Column]) -> Column:
+    """A variant array with ``edit`` applied to its elements, and to their places if it takes two
+    arguments; null for anything else."""
     edited = F.transform(v.cast("array<variant>"), edit)
     return F.when(_kind(v).startswith("ARRAY"), F.to_variant_object(edited))
 
 
+def write_back(
+    bodies: DataFrame,
+    texts: DataFrame,
+    ids: Sequence[str] = ("conv_id",),
+    body: str = "body",
+    text: str = "redacted",
+) -> DataFrame:
+    """The request bodies with the flattened ``texts`` (``ids, msg_idx, part_idx, text``) put back in place.
+
+    Only string contents and the ``text`` of parts change; other parts, names, null contents, tool
+    calls and all other fields stay, and messages stay in order. A body without texts is unchanged.
+    Texts meet per request, whose size the sender's request bounds. ``ids`` identify a request; null
+    ids match themselves.
+    """
+    slot = F.concat_ws(":", "msg_idx", F.coalesce("part_idx", F.lit(-1)))
+    edits = texts.groupBy(*ids).agg(
+        F.map_from_entries(F.collect_list(F.struct(slot.alias("slot"), F.col(text).alias("text")))).alias("__edits")
+    )
+    joined = join_null_safe(bodies, edits, ids, "left")
+
+    def new_text(v: Column, i: Column, j: Column) -> Column:
+        found = F.try_element_at("__edits", F.concat_ws(":", i, j))
+        return F.when(_kind(v) == "STRING", found.cast("variant"))
+
+    def content(v: Column, i: Column) -> Column:
+        parts = _each(v, lambda part, j: _with_field(part, "text", lambda t: new_text(t, i, j)))
+        return F.coalesce(new_text(v, i, F.lit(-1)), parts)
+
+    def message(v: Column, i: Column) -> Column:
+        return F.when(_kind(v).startswith("OBJECT"), _with_field(v, "content", lambda c: content(c, i))).otherwise(v)
+
+    edited = let(F.try_parse_json(body), lambda b: F.to_json(_with_field(b, "messages", lambda ms: _each(ms, message))))
+    return joined.withColumn(body, F.when(F.col("__edits").isNotNull(), edited).otherwise(F.col(body))).drop("__edits")
+
+
 def rehydrate_reply(reply: Column, token_map: Column, json_escape: bool = False) -> Column:
     """A chat-completion reply (JSON text) with its placeholders restored.
 

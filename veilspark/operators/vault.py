@@ -66,6 +66,36 @@ def to_vault(
     )
 
 
+def to_token_vault(
+    tokens: DataFrame,
+    scope: Sequence[str],
+    run_id: str,
+    created_at: Column,
+    ttl_ms: int = VAULT_TTL_MS,
+    secret: str = "",
+) -> DataFrame:
+    """Vault rows ``map_id, scope…, placeholder, value`` with times, from the token rows of a batch.
+
+    For scopes whose map can outgrow a row. ``map_id`` is one per scope.
+    """
+    made = created_at.cast("timestamp")
+    key = F.to_json(F.struct(*scope), {"ignoreNullFields": "false"})
+    return tokens.select(
+        map_id(run_id, key, secret).alias("map_id"),
+        *scope,
+        "placeholder",
+        "value",
+        made.alias("created_at"),
+        later(made, ttl_ms).alias("expires_at"),
+        utc_day(later(made, ttl_ms)).alias("expires_date"),
+    )
+
+
+def live_tokens(vault: DataFrame, now: Column, scope: Sequence[str]) -> DataFrame:
+    """``scope…, placeholder, value`` of the token rows that have not expired; rewritten rows count once."""
+    return live(vault, now).groupBy(*scope, "placeholder").agg(F.max_by("value", "expires_at").alias("value"))
+
+
 def write_vault(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("expires_date").parquet(path)
 

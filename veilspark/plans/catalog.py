@@ -22,7 +22,7 @@ from veilspark.operators.audit import (
 )
 from veilspark.operators.batch import Batch, redact_batch
 from veilspark.operators.chunks import rehydrate_chunks
-from veilspark.operators.messages import flatten_messages, reassemble_messages, rehydrate_reply
+from veilspark.operators.messages import flatten_messages, reassemble_messages, rehydrate_reply, write_back
 from veilspark.operators.models import detect_with_model, join_model_spans
 from veilspark.operators.overlaps import resolve_overlaps
 from veilspark.operators.policy import LayeredPolicy, Policy, with_key_policy
@@ -35,10 +35,12 @@ from veilspark.operators.vault import (
     entries_from_json,
     entries_to_json,
     evict,
+    live_tokens,
     lookup_maps,
     map_id,
     read_vault,
     rehydrate_from_rows,
+    to_token_vault,
     to_vault,
     vault_size,
     write_vault,
@@ -48,7 +50,7 @@ from veilspark.plans.oracles import BUCKET_LIMIT, BUCKET_WINDOW_MS, LIMIT, LIMIT
 from veilspark.sources.chunks import parse_chunk_lines
 from veilspark.sources.policies import checked_policies, request_policy
 from veilspark.sources.text import split_overlong
-from veilspark.streaming.stateful import admit_stream, rehydrate_chunk_stream
+from veilspark.streaming.stateful import admit_stream, rate_limit_stream, rehydrate_chunk_stream
 from veilspark.streaming.stateless import (
     drain,
     drain_totals,
@@ -146,6 +148,60 @@ def message_reassemble(spark: SparkSession, sf: str) -> DataFrame:
     return whole.select("conv_id", F.col("msg_idx").alias("turn"), "content")
 
 
+def message_write_back(spark: SparkSession, sf: str) -> DataFrame:
+    """Redacted chats put back into requests with a name, an image part and a message without content."""
+    part = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    parts = F.array(part("text", F.col("text")), part("image", F.lit("not text")))
+    call = F.lit('{"role":"assistant","content":null,"tool_calls":[{"id":"c1"}]}')
+
+    def body(content: Column) -> Column:
+        own = F.to_json(F.struct("role", F.lit("ann").alias("name"), content.alias("content")))
+        return F.concat(F.lit('{"model":"m","messages":['), call, F.lit(","), own, F.lit("]}"))
+
+    chats = t.chats(spark, sf)
+    sent = stage(chats.select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, body(F.col("text"))).otherwise(body(parts)).alias("body")), "bodies")
+    ids = ("conv_id", "turn")
+    flat = flatten_messages(sent, ids=ids)
+    done = redact_batch(flat, (*ids, "msg_idx"), ("conv_id",), ("turn",)).texts
+    v = F.parse_json("body")
+    got = lambda path: F.try_variant_get(v, path, "string")
+    return write_back(sent, done, ids).select(
+        *ids,
+        F.coalesce(got("$.messages[1].content[0].text"), got("$.messages[1].content")).alias("redacted"),
+        F.concat_ws(
+            "|", got("$.model"), got("$.messages[0].role"), F.coalesce(got("$.messages[0].content"), F.lit("-")),
+            got("$.messages[0].tool_calls[0].id"), got("$.messages[1].name"), got("$.messages[1].role"),
+            got("$.messages[1].content[1].type"), got("$.messages[1].content[1].text"),
+        ).alias("rest"),
+    )
+
+
+def _token_vault(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Chats redacted per conversation, and their token rows in a written vault, written twice. The
+    maps of every fifth conversation have expired at second 1704067200."""
+    batch = _chat_batch(spark, sf, BLOCK_SSN)
+    made = F.timestamp_seconds(F.lit(1704067200) - F.when(F.col("conv_id") % 5 == 0, 900).otherwise(0))
+    path = staging_path(spark, "token-vault")
+    rows = to_token_vault(batch.passed_tokens(), ("conv_id",), "run", made, secret="s")
+    for _ in range(2):
+        write_vault(rows, path)
+    return batch.passed(), live_tokens(spark.read.parquet(path), F.timestamp_seconds(F.lit(1704067200)), ("conv_id",))
+
+
+def chat_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Redact conversations, store their tokens, and restore the redacted turns from the stored rows."""
+    texts, tokens = _token_vault(spark, sf)
+    restored = rehydrate_from_rows(texts.where("conv_id % 5 <> 0"), tokens, ("conv_id", "turn"), ("conv_id",), "redacted")
+    return restored.select("conv_id", "turn", "restored")
+
+
+def token_vault_expiry(spark: SparkSession, sf: str) -> DataFrame:
+    """Expired maps restore nothing: the turns stay as redacted."""
+    texts, tokens = _token_vault(spark, sf)
+    restored = rehydrate_from_rows(texts.where("conv_id % 5 = 0"), tokens, ("conv_id", "turn"), ("conv_id",), "redacted")
+    return restored.select("conv_id", "turn", "restored")
+
+
 def detect_all(spark: SparkSession, sf: str) -> DataFrame:
     spans = _spans_out(d.detect(t.corpus(spark, sf)), "src", "id")
     return spans.groupBy("src", "type").agg(
@@ -282,6 +338,7 @@ def term_dictionary_join(spark: SparkSession, sf: str) -> DataFrame:
     part = t.table(spark, sf, "part")
     lines = (
         spread(t.table(spark, sf, "lineitem").select(*ids), *ids)
+        .distinct()  # lines that agree in all four have the same text
         .join(part, F.col("p_partkey") == F.col("l_partkey"))
         .join(t.table(spark, sf, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
         .selectExpr(*ids, "'Sent the ' || p_name || ', not ' || p_name || 's; by ' || s_name || '.' AS text")
@@ -416,15 +473,31 @@ def rate_limit_routes(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("request_id", "allowed", "retry_after_ms", "retry_after_sec")
 
 
-def admission_stream(spark: SparkSession, sf: str) -> DataFrame:
+def _request_stream(spark: SparkSession, sf: str) -> DataFrame:
     source = read_stream(spark, sf, "events.parquet", t.table(spark, sf, "events").schema)
-    requests = source.selectExpr(
+    return source.selectExpr(
         "CAST(user_id AS STRING) AS caller",
         "event_id AS request_id",
         "unix_millis(CAST(ts AS TIMESTAMP)) AS ts_ms",
         "CASE event_type WHEN 'error' THEN '/health' WHEN 'click' THEN '/v1/redact' "
         "ELSE '/v1/chat/completions' END AS route",
     )
+
+
+def rate_limit_stream_routes(spark: SparkSession, sf: str) -> DataFrame:
+    done = drain(rate_limit_stream(_request_stream(spark, sf), LIMIT, LIMIT_WINDOW_SEC), "limits")
+    return done.select("request_id", "allowed", "retry_after_ms", "retry_after_sec")
+
+
+def admission_null_callers(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third request has no caller; these share one bucket."""
+    caller = F.when(F.col("request_id") % 3 > 0, F.col("caller"))
+    done = admit(t.requests(spark, sf).withColumn("caller", caller).drop("ts"), BUCKET_LIMIT, BUCKET_LIMIT / BUCKET_WINDOW_MS)
+    return done.select("request_id", "allowed", "retry_after_ms")
+
+
+def admission_stream(spark: SparkSession, sf: str) -> DataFrame:
+    requests = _request_stream(spark, sf)
     done = drain(admit_stream(requests, BUCKET_LIMIT, BUCKET_LIMIT / BUCKET_WINDOW_MS), "admission")
     return done.withColumn("remaining", F.col("remaining").cast("long"))
 
@@ -437,7 +510,7 @@ def chunk_rehydration(spark: SparkSession, sf: str) -> DataFrame:
 
 def chunk_stream(spark: SparkSession, sf: str) -> DataFrame:
     source = read_stream(spark, sf, "conversations.parquet", t.table(spark, sf, "conversations").schema)
-    replies = source.selectExpr("CAST(conv_id * 100 + turn AS STRING) AS stream_id", f"{t.reply_text()} AS text")
+    replies = source.selectExpr("conv_id || ':' || turn AS stream_id", f"{t.reply_text()} AS text")
     maps = t.reply_maps(t.replies(spark, sf))
     done = drain(rehydrate_chunk_stream(t.reply_chunks(replies), maps), "chunks")
     return done.select("stream_id", "seq", "text", "flushed")
@@ -530,6 +603,9 @@ def queries() -> dict[str, Query]:
         "text_scan": text_scan,
         "message_flatten": message_flatten,
         "message_reassemble": message_reassemble,
+        "message_write_back": message_write_back,
+        "chat_round_trip": chat_round_trip,
+        "token_vault_expiry": token_vault_expiry,
         **{f"detect_{x.type.lower()}": _detect(x) for x in d.BUILT_IN},
         "detect_all": detect_all,
         "overlap_resolution": overlap_resolution,
@@ -567,6 +643,8 @@ def queries() -> dict[str, Query]:
         "rate_limited_total": lambda spark, sf: rate_limited_total(admission(spark, sf)),
         "admission": admission,
         "admission_stream": admission_stream,
+        "admission_null_callers": admission_null_callers,
+        "rate_limit_stream": rate_limit_stream_routes,
         "rate_limit_routes": rate_limit_routes,
         "chunk_rehydration": chunk_rehydration,
         "chunk_stream": chunk_stream,

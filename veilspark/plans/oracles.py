@@ -105,7 +105,7 @@ def reply_text_sql() -> str:
 
 
 REPLIES = (
-    f"SELECT conv_id, turn, CAST(conv_id * 100 + turn AS VARCHAR) AS stream_id, {reply_text_sql()} AS text "
+    f"SELECT conv_id, turn, conv_id || ':' || turn AS stream_id, {reply_text_sql()} AS text "
     "FROM conversations"
 )
 
@@ -320,6 +320,14 @@ def oracle_sql() -> dict[str, str]:
       '[{"type":"text","text":' || CAST(to_json(redacted) AS VARCHAR) || '},{"type":"text","text":"tail"}]' END AS content
       FROM rendered"""
     )
+    sql["message_write_back"] = _chat() + """ SELECT r.conv_id, r.turn, r.redacted,
+      'm|assistant|-|c1|ann|' || c.role || CASE WHEN r.turn % 2 = 1 THEN '|image|not text' ELSE '' END AS rest
+      FROM rendered r JOIN conversations c ON c.conv_id = r.conv_id AND c.turn = r.turn"""
+    kept_chats = "conv_id NOT IN (SELECT conv_id FROM conversations WHERE conv_id % 10 = 3 AND turn = 1)"
+    sql["chat_round_trip"] = f"""SELECT conv_id, turn, text AS restored FROM ({CHATS})
+      WHERE conv_id % 5 <> 0 AND {kept_chats}"""
+    sql["token_vault_expiry"] = _chat(CHAT_ACTION) + f""" SELECT conv_id, turn, redacted AS restored FROM rendered
+      WHERE conv_id % 5 = 0 AND {kept_chats}"""
     sql["detect_all"] = (
         "WITH " + spans(CORPUS, "src, id") + " SELECT src, type, CAST(count(*) AS BIGINT) AS spans, "
         'CAST(sum(start) AS BIGINT) AS starts, CAST(sum("end") AS BIGINT) AS ends FROM spans GROUP BY src, type'
@@ -361,7 +369,7 @@ def oracle_sql() -> dict[str, str]:
         "WITH " + spans(NOTES, "note_id", [], {"codename": CUSTOM["codename"]})
         + ' SELECT note_id, label, start, "end", value FROM spans'
     )
-    sql["term_dictionary_join"] = """WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+    sql["term_dictionary_join"] = """WITH t AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey,
        'Sent the ' || p_name || ', not ' || p_name || 's; by ' || s_name || '.' AS text
        FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey)
       SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(9 AS BIGINT) AS start,
@@ -425,6 +433,12 @@ def oracle_sql() -> dict[str, str]:
       SELECT request_id, allowed, retry_after_ms, CASE WHEN NOT allowed THEN
       greatest(1, CAST(ceil(retry_after_ms / 1000.0) AS BIGINT)) END AS retry_after_sec FROM b
       UNION ALL SELECT request_id, true, 0, NULL FROM ({REQUESTS}) WHERE route = '/health'"""
+    nameless = f"SELECT CASE WHEN request_id % 3 > 0 THEN caller ELSE '' END AS caller, request_id, ts_ms, route FROM ({REQUESTS})"
+    sql["admission_null_callers"] = (
+        BUCKET.format(requests=nameless, limit=BUCKET_LIMIT, window_ms=BUCKET_WINDOW_MS, where="true")
+        + " SELECT request_id, allowed, retry_after_ms FROM b"
+    )
+    sql["rate_limit_stream"] = sql["rate_limit_routes"]
     sql["chunk_rehydration"] = "WITH " + CHUNKS + " " + EMITTED
     sql["chunk_stream"] = sql["chunk_rehydration"]
     sql["chunk_lines"] = f"""WITH replies AS ({REPLIES}),

@@ -102,7 +102,7 @@ def reply_text() -> str:
 def replies(spark: SparkSession, folder: str) -> DataFrame:
     """``stream_id, text``: one model reply with placeholders per conversation turn."""
     return spread(table(spark, folder, "conversations"), "conv_id", "turn").selectExpr(
-        "conv_id", "turn", "CAST(conv_id * 100 + turn AS STRING) AS stream_id", f"{reply_text()} AS text"
+        "conv_id", "turn", "conv_id || ':' || turn AS stream_id", f"{reply_text()} AS text"
     )
 
 

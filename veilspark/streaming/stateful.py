@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from veilspark.functions.kinds import MAX_STREAM_HOLD
-from veilspark.operators.admission import full_after_ms
+from veilspark.operators.admission import decisions_of_free, full_after_ms, refill_rate, unlimited_route, with_retry_after
 
 _TOKEN = re.compile(r"\[[A-Z0-9_]+\]")
 _OPEN = re.compile(r"\[[A-Z0-9_]*\Z")
@@ -156,3 +156,20 @@ def admit_stream(
     return source.groupBy("caller").applyInPandasWithState(
         run, DECIDED, "tokens double, last_ms long", "append", timeout
     )
+
+
+def rate_limit_stream(
+    requests: DataFrame, limit: int, window_sec: int = 60, watermark: str | None = None
+) -> DataFrame:
+    """Streaming admission with the server's settings; adds ``retry_after_sec`` for denied requests.
+
+    As in the batch form, a limit of zero or less turns it off and health and metrics routes are never
+    limited and never reach the state.
+    """
+    columns = ["caller", "request_id", "ts_ms", "route"]
+    if limit <= 0:
+        return with_retry_after(requests.select(*columns).withColumns(decisions_of_free()))
+    free = unlimited_route("route")
+    counted = admit_stream(requests.where(~free), limit, refill_rate(limit, window_sec), watermark)
+    passed = requests.where(free).select(*columns).withColumns(decisions_of_free())
+    return with_retry_after(counted.unionByName(passed))
