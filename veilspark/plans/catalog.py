@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,7 +47,7 @@ from veilspark.operators.vault import (
     write_vault,
 )
 from veilspark.plans import tables as t
-from veilspark.plans.oracles import BUCKET_LIMIT, BUCKET_WINDOW_MS, LIMIT, LIMIT_WINDOW_SEC
+from veilspark.plans.oracles import BUCKET_LIMIT, BUCKET_WINDOW_MS, CLASSES, LIMIT, LIMIT_WINDOW_SEC
 from veilspark.sources.chunks import parse_chunk_lines
 from veilspark.sources.policies import checked_policies, request_policy
 from veilspark.sources.text import split_overlong
@@ -333,6 +334,25 @@ def _custom(which: int) -> Query:
     return run
 
 
+def custom_pattern_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """A rule whose class holds an escape and its opposite, over the documents."""
+    rules = compile_rules(spark, rules_from_json(json.dumps([{"name": "any", "pattern": CLASSES}])))
+    found = d.detect(t.documents(spark, sf), detectors=tuple(rules))
+    return _spans_out(found, "doc_id").select("doc_id", "label", "start", "end", "value")
+
+
+def redact_long_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """All notes joined into sixteen long texts, redacted and restored."""
+    lines = F.sort_array(F.collect_list(F.struct("note_id", "text")))
+    long = t.notes(spark, sf).groupBy((F.col("note_id") % 16).alias("part")).agg(lines.alias("l"))
+    done = redact(long.select("part", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("text")))
+    return done.select(
+        "part",
+        (F.size("token_map") > 0).alias("found"),
+        rehydrate(F.col("redacted"), F.col("token_map")).alias("restored"),
+    )
+
+
 def term_dictionary_join(spark: SparkSession, sf: str) -> DataFrame:
     ids = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     part = t.table(spark, sf, "part")
@@ -604,6 +624,8 @@ def queries() -> dict[str, Query]:
         "message_flatten": message_flatten,
         "message_reassemble": message_reassemble,
         "message_write_back": message_write_back,
+        "custom_pattern_classes": custom_pattern_classes,
+        "redact_long_texts": redact_long_texts,
         "chat_round_trip": chat_round_trip,
         "token_vault_expiry": token_vault_expiry,
         **{f"detect_{x.type.lower()}": _detect(x) for x in d.BUILT_IN},

@@ -254,6 +254,7 @@ KEYED = """CASE tenant % 4 WHEN 0 THEN CASE type WHEN 'PHONE' THEN 'allow' ELSE
 SERVER = "CASE type WHEN 'SSN' THEN 'block' ELSE 'redact' END"
 MIXED = "CASE type WHEN 'EMAIL' THEN 'mask' WHEN 'PHONE' THEN 'allow' WHEN 'SSN' THEN 'block' ELSE 'redact' END"
 CUSTOM = {"customer no": r"Customer#\d{9}", "codename": r"(?i)\b(?:maple hill|Maple Street|here since)\b"}
+CLASSES = r"and[\s\S]{1,4}of[^\S]"
 CHAT_ACTION = "CASE type WHEN 'SSN' THEN 'block' ELSE 'redact' END"
 TS = "'2024-01-01T00:00:00Z'"
 
@@ -320,6 +321,12 @@ def oracle_sql() -> dict[str, str]:
       '[{"type":"text","text":' || CAST(to_json(redacted) AS VARCHAR) || '},{"type":"text","text":"tail"}]' END AS content
       FROM rendered"""
     )
+    sql["custom_pattern_classes"] = (
+        "WITH " + spans(DOCS, "doc_id", [], {"any": CLASSES.replace(r"[^\S]", r"\s")})
+        + ' SELECT doc_id, label, start, "end", value FROM spans'
+    )
+    sql["redact_long_texts"] = f"""SELECT note_id % 16 AS part, true AS found,
+      string_agg(text, chr(10) ORDER BY note_id) AS restored FROM ({NOTES}) GROUP BY note_id % 16"""
     sql["message_write_back"] = _chat() + """ SELECT r.conv_id, r.turn, r.redacted,
       'm|assistant|-|c1|ann|' || c.role || CASE WHEN r.turn % 2 = 1 THEN '|image|not text' ELSE '' END AS rest
       FROM rendered r JOIN conversations c ON c.conv_id = r.conv_id AND c.turn = r.turn"""
