@@ -8,8 +8,8 @@ first thinned and dealt out by their own content:
    bytes. It depends on these bytes alone, so equal strings have equal anchors. Consecutive positions
    mostly share one and form a run. Spark counts in how many documents an anchor stands; a bitmap of
    bounded size keeps those that stand in several.
-2. Runs of such anchors, each with its bytes, are dealt by anchor. A task sends equal runs once, with
-   the smallest document id, however often they occur in it.
+2. Runs of such anchors, each with its bytes, are dealt by anchor. A block of documents keeps the bytes
+   of its runs once and sends equal runs once, with the smallest document id.
 3. In each bucket the positions of all runs are ranked by prefix doubling: pairs of ranks at offsets 12
    and 25 are sorted and ranked anew, positions whose rank is unique drop out, and the doubling ends
    past ``LENGTH``. Equal ranks then mean equal strings, and the smallest id of each is known.
@@ -27,6 +27,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,9 +42,9 @@ WINDOW = LENGTH - PART + 1
 RUN = LENGTH
 #: Bytes of text that are scanned at once, and bytes of text in a block of documents.
 CHUNK = 1 << 20
-BLOCK = 24 << 20
+BLOCK = 8 << 20
 #: Bytes of text for which there is a bucket; bits of the bitmap for each byte, and its largest size.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 2 << 20
 MIN_BUCKETS = 16
 BIT_SHARE = 8
 MAX_BITS = 1 << 28
@@ -196,19 +197,33 @@ def _bits_of_bucket(bits: int):
     return run
 
 
-BLOCK_SCHEMA = (
-    "block long, bucket int, ids binary, ths binary, doc binary, place binary, run binary, count binary, least binary, bytes binary"
-)
-_NAMES = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
+_NAMES = ("ids", "ths", "doc", "place", "run", "count", "least", "bucket", "begin", "name", "bytes")
+BLOCK_SCHEMA = "block long, " + ", ".join(f"{c} binary" for c in _NAMES)
+RUNS_SCHEMA = "block long, bucket int, run binary, count binary, least binary, name binary, bytes binary"
 
 
-def _row(**values) -> pa.RecordBatch:
-    kinds = {"block": pa.int64(), "bucket": pa.int32()}
-    return pa.record_batch([pa.array([values.get(c)], kinds.get(c, pa.binary())) for c in _NAMES], names=_NAMES)
+#: Numbers that mostly grow by little are packed as steps.
+_STEPS = {"ids", "doc", "place", "run", "begin"}
+_KINDS = {
+    "ids": np.int64, "ths": np.int64, "doc": np.uint32, "place": np.int64, "run": np.uint32, "count": np.uint8,
+    "least": np.int64, "bucket": np.uint32, "begin": np.int64, "name": np.uint64, "bytes": np.uint8, "lo": np.uint8, "hi": np.uint8,
+}
+
+
+def _pack(name: str, values: np.ndarray) -> bytes:
+    values = values.astype(_KINDS[name])
+    if name in _STEPS:
+        values = np.diff(values, prepend=values.dtype.type(0))
+    return zstandard.ZstdCompressor(level=3).compress(values.tobytes())
+
+
+def _unpack(name: str, packed: bytes) -> np.ndarray:
+    values = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype=_KINDS[name])
+    return np.cumsum(values, dtype=values.dtype) if name in _STEPS else values
 
 
 def _blocks_pass(repeated, buckets: int, bits: int):
-    """For each block of documents: a row with all places of runs, and a row of distinct runs per bucket."""
+    """A row for each block of documents: all places of runs, the distinct runs, and their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = repeated.value
@@ -220,43 +235,41 @@ def _blocks_pass(repeated, buckets: int, bits: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal serial
-            parts, texts = [], []
+            parts, runs, data, kept = [], [], [], 0
             for chunk in _chunks(iter(held)):
                 bucket, bit = _bucket(chunk.anchor, buckets), _bit(chunk.anchor, bits)
                 here = (known[bucket, bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
                 start, count = chunk.start[here], chunk.count[here]
                 name = mix(string_hash(chunk.words, start) + count.astype(np.uint64) * _B)
                 name = mix(name + string_hash(chunk.words, start + count - 1))
-                # Bytes of all distinct runs of the chunk, one behind another.
-                own, first, which = np.unique(name, return_index=True, return_inverse=True)
-                data = np.frombuffer(chunk.raw, dtype=np.uint8)
-                length = count[first] + LENGTH - 1
-                texts.append((own, bucket[here][first], count[first], length, data[ragged(start[first], length)]))
-                parts.append((chunk.doc[here], chunk.place[here], own[which.reshape(-1)]))
+                own, first = np.unique(name, return_index=True)
+                # Neighbouring runs share their bytes.
+                need = np.zeros(len(chunk.raw), dtype=bool)
+                need[ragged(start[first], count[first] + LENGTH - 1)] = True
+                begin = kept + (np.cumsum(need) - 1)[start[first]]
+                data.append(np.frombuffer(chunk.raw, dtype=np.uint8)[need])
+                kept += len(data[-1])
+                runs.append((own, bucket[here][first], count[first], begin))
+                parts.append((chunk.doc[here], chunk.place[here], name))
             block = task << 24 | serial
             serial += 1
             if sum(len(p[0]) for p in parts):
                 doc, place, name = (np.concatenate(x) for x in zip(*parts, strict=True))
-                own, bucket, count, length = (np.concatenate([t[k] for t in texts]) for k in range(4))
-                data = np.concatenate([t[4] for t in texts])
-                begin = np.cumsum(length) - length
-                names, first, = np.unique(own, return_index=True)
-                which = np.searchsorted(names, name)
-                bucket, count, length, begin = bucket[first], count[first], length[first], begin[first]
+                own, bucket, count, begin = (np.concatenate(x) for x in zip(*runs, strict=True))
+                names, first = np.unique(own, return_index=True)
+                # Runs are numbered by place, so that numbers and places grow together.
+                order = np.argsort(begin[first], kind="stable")
+                number = np.empty(len(order), dtype=np.int64)
+                number[order] = np.arange(len(order))
+                which, first = number[np.searchsorted(names, name)], first[order]
                 id_of = np.array(ids, dtype=np.int64)
                 least = np.full(len(names), np.iinfo(np.int64).max)
                 np.minimum.at(least, which, id_of[doc])
-                yield _row(
-                    block=block, ids=id_of.tobytes(), ths=np.array(ths, dtype=np.int64).tobytes(),
-                    doc=doc.astype(np.uint32).tobytes(), place=place.astype(np.int64).tobytes(),
-                    run=which.astype(np.uint32).tobytes(), count=count.astype(np.uint8).tobytes(), least=least.tobytes(),
-                )
-                for b, part in _split(bucket):
-                    yield _row(
-                        block=block, bucket=b, run=part.astype(np.uint32).tobytes(),
-                        count=count[part].astype(np.uint8).tobytes(), least=least[part].tobytes(),
-                        bytes=data[ragged(begin[part], length[part])].tobytes(),
-                    )
+                values = (id_of, np.array(ths, dtype=np.int64), doc, place, which, count[first], least, bucket[first],
+                          begin[first], own[first], np.concatenate(data))
+                row = [pa.array([block], pa.int64())]
+                row += [pa.array([_pack(c, v)], pa.binary()) for c, v in zip(_NAMES, values, strict=True)]
+                yield pa.record_batch(row, names=["block", *_NAMES])
             ids.clear()
             ths.clear()
             held.clear()
@@ -277,6 +290,28 @@ def _blocks_pass(repeated, buckets: int, bits: int):
     return run
 
 
+RUN_COLUMNS = ("run", "count", "least", "name", "bytes")
+
+
+def _deal_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block and bucket a row with the runs of the bucket and their bytes."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            names = ("count", "least", "begin", "bucket", "name", "bytes")
+            count, least, begin, bucket_of, name, data = (_unpack(c, row[c]) for c in names)
+            out: tuple[list, ...] = ([], [], [], [], [], [])
+            for bucket, part in _split(bucket_of):
+                text = data[ragged(begin[part], count[part].astype(np.int64) + LENGTH - 1)]
+                packed = zip(RUN_COLUMNS, (part, count[part], least[part], name[part], text), strict=True)
+                values = (bucket, *(_pack(c, v) for c, v in packed))
+                for column, value in zip(out, values, strict=True):
+                    column.append(value)
+            kinds = (pa.int32(), *[pa.binary()] * 5)
+            columns = [pa.array(v, t) for v, t in zip(out, kinds, strict=True)]
+            block = pa.array([row["block"]] * len(out[0]), pa.int64())
+            yield pa.record_batch([block, *columns], names=["block", "bucket", *RUN_COLUMNS])
+
+
 def rerank(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Dense ranks of the keys, and whether a rank occurs more than once."""
     order = np.argsort(key)
@@ -312,36 +347,49 @@ def doubled_ranks(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _rank_bucket(table: pa.Table) -> pa.Table:
-    """For runs of a bucket: the positions whose string starts in a document below the run's own."""
-    def column(name: str, kind) -> np.ndarray:
-        return np.concatenate([np.frombuffer(b.as_py(), dtype=kind) for b in table.column(name)])
+    """For runs of a bucket: the positions whose string starts in a document below the run's own.
 
-    sizes = [len(b.as_py()) for b in table.column("count")]
+    Equal runs of many blocks are one run here, so a passage in very many documents is ranked once.
+    """
+    counts = [_unpack("count", b.as_py()) for b in table.column("count")]
+    sizes = np.array([len(c) for c in counts])
     block = np.repeat(table.column("block").to_numpy(), sizes)
-    run, count, least = column("run", np.uint32), column("count", np.uint8).astype(np.int64), column("least", np.int64)
-    data = column("bytes", np.uint8)
-    length = count + LENGTH - 1
-    begin = np.cumsum(length) - length
-    at = ragged(begin, count)
-    owner = np.repeat(np.arange(len(count)), count)
-    rank = doubled_ranks(data, at)
+    count = np.concatenate(counts).astype(np.int64)
+    run, least, name = (np.concatenate([_unpack(c, b.as_py()) for b in table.column(c)]) for c in ("run", "least", "name"))
+    _, first, which = np.unique(name, return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    first, own = first[order], np.argsort(order)[which.reshape(-1)]
+    parts, start = [], 0
+    for b, c in zip(table.column("bytes"), counts, strict=True):
+        mine = first[(first >= start) & (first < start + len(c))] - start
+        length = c.astype(np.int64) + LENGTH - 1
+        parts.append(_unpack("bytes", b.as_py())[ragged((np.cumsum(length) - length)[mine], length[mine])])
+        start += len(c)
+    wide = count[first]
+    at = ragged(np.cumsum(wide + LENGTH - 1) - (wide + LENGTH - 1), wide)
+    smallest = np.full(len(first), np.iinfo(np.int64).max)
+    np.minimum.at(smallest, own, least)
+    owner = np.repeat(np.arange(len(first)), wide)
+    rank = doubled_ranks(np.concatenate(parts), at)
     some = np.flatnonzero(rank >= 0)
-    smallest = np.full(int(rank.max(initial=-1)) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(smallest, rank[some], least[owner[some]])
-    best = least[owner].copy()
-    best[some] = smallest[rank[some]]
-    lower = np.flatnonzero(best < least[owner])
-    # Neighbouring positions of a run with the same smallest document become one answer.
-    follows = (np.diff(lower) == 1) & (owner[lower][1:] == owner[lower][:-1]) & (best[lower][1:] == best[lower][:-1])
-    first = np.flatnonzero(np.concatenate(([True], ~follows))) if len(lower) else np.zeros(0, dtype=np.int64)
-    last = np.concatenate((first[1:], [len(lower)])) - 1 if len(lower) else first
-    who = owner[lower[first]]
+    of_rank = np.full(int(rank.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(of_rank, rank[some], smallest[owner[some]])
+    best = smallest[owner]
+    best[some] = of_rank[rank[some]]
+    # Neighbouring positions of a run with the same smallest document are one step of the answer.
+    new = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (best[1:] != best[:-1]))))
+    stop = np.concatenate((new[1:], [len(owner)]))
+    begin = (np.cumsum(wide) - wide)[owner[new]]
+    lo, hi, low_doc = new - begin, stop - begin, best[new]
+    steps = np.bincount(owner[new], minlength=len(first))
+    asker = np.repeat(np.arange(len(own)), steps[own])
+    step = ragged((np.cumsum(steps) - steps)[own], steps[own])
+    below = low_doc[step] < least[asker]
+    asker, step = asker[below], step[below]
     rows: tuple[list, ...] = ([], [], [], [], [])
-    for b, part in _split(block[who]):
-        lo = lower[first[part]] - (np.cumsum(count) - count)[who[part]]
-        hi = lower[last[part]] - (np.cumsum(count) - count)[who[part]] + 1
-        values = (b, run[who[part]].tobytes(), lo.astype(np.uint8).tobytes(), hi.astype(np.uint8).tobytes(),
-                  best[lower[first[part]]].tobytes())
+    for b, part in _split(block[asker]):
+        found = (run[asker[part]], lo[step[part]], hi[step[part]], low_doc[step[part]])
+        values = (b, *(_pack(c, v) for c, v in zip(("run", "lo", "hi", "least"), found, strict=True)))
         for column_of, value in zip(rows, values, strict=True):
             column_of.append(value)
     kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
@@ -355,17 +403,13 @@ def _spans_of_block(asked: pa.Table, answers: pa.Table) -> pa.Table:
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     out: tuple[list, ...] = ([], [], [])
     for row in asked.to_pylist():
-        column = lambda c, t: np.frombuffer(row[c], dtype=t)  # noqa: E731, B023
-        ids, ths = column("ids", np.int64), column("ths", np.int64)
-        doc, place, run = (column(c, t).astype(np.int64) for c, t in (("doc", np.uint32), ("place", np.int64), ("run", np.uint32)))
-        count = column("count", np.uint8).astype(np.int64)
+        ids, ths = _unpack("ids", row["ids"]), _unpack("ths", row["ths"])
+        doc, place, run, count = (_unpack(c, row[c]).astype(np.int64) for c in ("doc", "place", "run", "count"))
         offset = np.cumsum(count) - count
-        least = np.repeat(column("least", np.int64), count)
+        least = np.repeat(_unpack("least", row["least"]), count)
         for answer in answers.to_pylist():
-            to = np.frombuffer(answer["run"], dtype=np.uint32).astype(np.int64)
-            lo = np.frombuffer(answer["lo"], dtype=np.uint8).astype(np.int64)
-            hi = np.frombuffer(answer["hi"], dtype=np.uint8).astype(np.int64)
-            least[ragged(offset[to] + lo, hi - lo)] = np.repeat(np.frombuffer(answer["least"], dtype=np.int64), hi - lo)
+            to, lo, hi = (_unpack(c, answer[c]).astype(np.int64) for c in ("run", "lo", "hi"))
+            least[ragged(offset[to] + lo, hi - lo)] = np.repeat(_unpack("least", answer["least"]), hi - lo)
         wide = count[run]
         step = ragged(np.zeros(len(run), dtype=np.int64), wide)
         owner = np.repeat(doc, wide)
@@ -398,11 +442,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         known[bucket] = np.frombuffer(row, dtype=np.uint8)
     repeated = spark.sparkContext.broadcast(known)
     blocks = stage(docs.mapInArrow(_blocks_pass(repeated, buckets, bits), BLOCK_SCHEMA), "blocks")
-    runs = blocks.where("bucket is not null").select("block", "bucket", "run", "count", "least", "bytes")
+    runs = blocks.select("block", "count", "least", "bucket", "begin", "name", "bytes").mapInArrow(_deal_runs, RUNS_SCHEMA)
     answers = runs.groupBy("bucket").applyInArrow(
         _rank_bucket, "block long, run binary, lo binary, hi binary, least binary"
     )
-    asked = blocks.where("bucket is null").select("block", "ids", "ths", "doc", "place", "run", "count", "least")
+    asked = blocks.select("block", "ids", "ths", "doc", "place", "run", "count", "least")
     spans = asked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _spans_of_block, "id long, th long, removed array<struct<start:bigint,end:bigint>>"
     )
