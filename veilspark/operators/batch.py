@@ -56,7 +56,7 @@ def redact_batch(
     """Redact all texts of a scope under shared numbering.
 
     ``ids`` identify a text, ``scope`` names the columns of its scope (a constant column for the
-    whole table) and ``order`` its place in the scope, integral first column. Rows with a null scope
+    whole table) and ``order`` its place in the scope. Rows with a null scope
     value share a scope; null ids match themselves.
     """
     scope, order, ids = list(scope), list(order), list(ids)

@@ -2,10 +2,10 @@
 
 The reference order is "first occurrence". Per scope and display label, distinct values are numbered
 1, 2, 3… by the position of their first occurrence. A scope may be a conversation or the whole table,
-so a window over a scope is not an option. Instead the order key is cut into buckets, values are
-numbered inside their bucket, and a bucket's offset is the running count of the buckets before it,
-worked out the same way one level up. With a 64-bit order key and 16 bits per level no window ever
-sees more than 65,536 order values of one scope.
+so a window over a scope is not an option. Instead all values are dealt to ranges of scope, label and
+full order key, written with the number of their range, and numbered inside it; a range's offset is
+the running count of the ranges before it. However large one scope or one conversation is, no window
+sees more than a range.
 """
 
 from __future__ import annotations
@@ -17,9 +17,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.labels import placeholder
 from veilspark.operators.lookup import join_null_safe
-
-LEVEL_BITS = 16
-
+from veilspark.operators.staging import stage
 
 def distinct_values(occurrences: DataFrame, scope: Sequence[str], order: Sequence[str]) -> DataFrame:
     """``scope, display, value, order…, n``: each value's first position and how often it occurs.
@@ -31,39 +29,17 @@ def distinct_values(occurrences: DataFrame, scope: Sequence[str], order: Sequenc
     return grouped.select(*scope, "display", "value", *(F.col(f"__first.{o}").alias(o) for o in order), "n")
 
 
-def _offsets(counts: DataFrame, group: list[str], level: int, top: int) -> DataFrame:
-    """Values in earlier buckets, per bucket: ``group, __b, __offset``."""
-    if level >= top:
-        before = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-        return counts.select(*group, "__b", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__offset"))
-    up = counts.withColumn("__up", F.shiftright("__b", LEVEL_BITS))
-    before = Window.partitionBy(*group, "__up").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    local = up.withColumn("__local", F.coalesce(F.sum("__c").over(before), F.lit(0)))
-    above = up.groupBy(*group, F.col("__up").alias("__b")).agg(F.sum("__c").alias("__c"))
-    base = _offsets(above, group, level + 1, top).withColumnRenamed("__b", "__up")
-    return join_null_safe(local, base, [*group, "__up"]).select(
-        *group, "__b", (F.col("__local") + F.col("__offset")).alias("__offset")
-    )
-
-
 def number_values(values: DataFrame, scope: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Add ``placeholder`` to the rows of :func:`distinct_values`. ``order[0]`` must be integral."""
+    """Add ``placeholder`` to the rows of :func:`distinct_values`. Null scopes are a scope."""
     group = [*scope, "display"]
-    low, high = values.agg(F.min(order[0]), F.max(order[0])).first()
-    # Levels needed to bring the widest bucket range of this table down to one window.
-    top, span = 1, ((high or 0) >> LEVEL_BITS) - ((low or 0) >> LEVEL_BITS)
-    while span >> LEVEL_BITS:
-        span >>= LEVEL_BITS
-        top += 1
-    bucketed = values.withColumn("__b", F.shiftright(F.col(order[0]).cast("long"), LEVEL_BITS))
-    rank = F.row_number().over(Window.partitionBy(*group, "__b").orderBy(*order, "value"))
-    ranked = bucketed.withColumn("__rank", rank)
-    if (low or 0) >> LEVEL_BITS == (high or 0) >> LEVEL_BITS:
-        number = F.col("__rank")
-    else:
-        counts = bucketed.groupBy(*group, "__b").agg(F.count("*").alias("__c"))
-        ranked = join_null_safe(ranked, _offsets(counts, group, 1, top), [*group, "__b"])
-        number = F.col("__rank") + F.col("__offset")
-    return ranked.select(
-        *scope, "display", "value", "n", placeholder(F.col("display"), number.cast("long")).alias("placeholder")
-    )
+    # Written, so that every reader sees the same ranges.
+    dealt = values.repartitionByRange(*group, *order, "value").withColumn("__range", F.spark_partition_id())
+    dealt = stage(dealt, "ranges")
+    inside = Window.partitionBy(*group, "__range").orderBy(*order, "value")
+    ranked = dealt.withColumn("__rank", F.row_number().over(inside))
+    counts = dealt.groupBy(*group, "__range").agg(F.count("*").alias("__c"))
+    before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*group, "__range", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__offset"))
+    numbered = join_null_safe(ranked, offsets, [*group, "__range"])
+    number = (F.col("__rank") + F.col("__offset")).cast("long")
+    return numbered.select(*scope, "display", "value", "n", placeholder(F.col("display"), number).alias("placeholder"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from veilspark.functions.kinds import TOKEN_MAP, VAULT_MAX_ENTRIES, VAULT_TTL_MS
 from veilspark.operators.lookup import attach_values
 from veilspark.operators.rehydrate import rehydrate, tokens_in
+from veilspark.operators.staging import stage
 
 VAULT = (
     "map_id string, scope_id string, entries map<string,string>, created_at timestamp, "
@@ -168,10 +169,10 @@ def rehydrate_from_rows(
 
     Each text looks up only the placeholders it holds; texts with none are not shuffled.
     """
-    keyed = texts.withColumn(
-        "__keys", F.when(F.contains(text, F.lit("[")), F.array_distinct(tokens_in(F.col(text)))).otherwise(
-            F.array().cast("array<string>")
-        )
+    held = F.when(F.contains(text, F.lit("[")), F.array_distinct(tokens_in(F.col(text)))).otherwise(
+        F.array().cast("array<string>")
     )
+    # Written once: the texts may be a long plan, and the lookup reads them four times.
+    keyed = stage(texts.withColumn("__keys", held), "keyed")
     mapped = attach_values(keyed, ids, "__keys", tokens, scope, "placeholder", "value", "__map")
     return mapped.withColumn(out, rehydrate(F.col(text), F.col("__map"))).drop("__map", "__keys")
