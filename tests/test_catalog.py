@@ -17,7 +17,7 @@ CHECKED = [
     "text_scan", "detect_all", "overlap_resolution", "redact_documents", "redact_notes", "policy_layers",
     "custom_rules", "redact_conversations", "redact_table_scope", "audit_conversations", "admission",
     "chunk_rehydration", "vault_misses", "streaming_entity_counts", "message_write_back", "chat_round_trip",
-    "custom_pattern_classes", "redact_long_texts", "token_vault_expiry", "rate_limit_stream", "admission_null_callers", "term_dictionary_join", "chunk_stream",
+    "custom_pattern_classes", "chunk_frames", "vault_rewritten", "redact_null_scopes", "redact_long_texts", "token_vault_expiry", "rate_limit_stream", "admission_null_callers", "term_dictionary_join", "chunk_stream",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")

@@ -48,7 +48,7 @@ from veilspark.operators.vault import (
 )
 from veilspark.plans import tables as t
 from veilspark.plans.oracles import BUCKET_LIMIT, BUCKET_WINDOW_MS, CLASSES, LIMIT, LIMIT_WINDOW_SEC
-from veilspark.sources.chunks import parse_chunk_lines
+from veilspark.sources.chunks import chunk_frames, parse_chunk_lines
 from veilspark.sources.policies import checked_policies, request_policy
 from veilspark.sources.text import split_overlong
 from veilspark.streaming.stateful import admit_stream, rate_limit_stream, rehydrate_chunk_stream
@@ -423,6 +423,13 @@ def redact_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return passed.select("conv_id", "turn", "redacted", F.size("entities").cast("long").alias("n_entities"))
 
 
+def redact_null_scopes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third conversation has no scope of its own; together they are one."""
+    chats = t.chats(spark, sf).withColumn("scope", F.when(F.col("conv_id") % 3 > 0, F.col("conv_id")))
+    done = redact_batch(chats, ("conv_id", "turn"), ("scope",), ("conv_id", "turn"))
+    return done.texts.select("conv_id", "turn", "redacted", F.size("entities").cast("long").alias("n_entities"))
+
+
 def numbering_conversation(spark: SparkSession, sf: str) -> DataFrame:
     return _chat_batch(spark, sf, Policy()).tokens.select("conv_id", "placeholder", "value")
 
@@ -536,6 +543,14 @@ def chunk_stream(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("stream_id", "seq", "text", "flushed")
 
 
+def query_chunk_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Rehydrated replies written out as event lines."""
+    replies = t.replies(spark, sf)
+    chunks = t.reply_chunks(replies)
+    frames = chunk_frames(rehydrate_chunks(chunks, t.reply_maps(replies)), chunks)
+    return frames.withColumn("part", F.col("part").cast("long"))
+
+
 def chunk_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Chunk rows written out as event lines and parsed back, with a broken and a tool-call line."""
     replies = t.replies(spark, sf)
@@ -559,14 +574,15 @@ def chunk_lines(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumns({"choice": F.col("choice").cast("long"), "tool_idx": F.col("tool_idx").cast("long")})
 
 
-def _vault(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Column]:
+def _vault(spark: SparkSession, sf: str, writes: int = 1) -> tuple[DataFrame, DataFrame, Column]:
     """Notes redacted and put in a written vault; every fifth map is already expired at ``now``."""
     done = stage(redact(t.notes(spark, sf)), "redacted")
     made = F.when(F.col("note_id") % 5 == 0, F.timestamp_seconds(F.lit(1704067200 - 900))).otherwise(
         F.timestamp_seconds(F.lit(1704067200))
     )
     path = staging_path(spark, "vault")
-    write_vault(to_vault(done, "note_id", "run", made), path)
+    for _ in range(writes):
+        write_vault(to_vault(done, "note_id", "run", made), path)
     texts = done.select("note_id", F.col("redacted").alias("text"), map_id("run", F.col("note_id")).alias("map_id"))
     return texts, read_vault(spark, path), F.timestamp_seconds(F.lit(1704067200))
 
@@ -578,6 +594,12 @@ def vault_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("note_id", rehydrate(F.col("text"), F.col("token_map")).alias("restored"))
 
 
+def vault_rewritten(spark: SparkSession, sf: str) -> DataFrame:
+    """A run that wrote its vault twice restores every text once."""
+    found, _ = lookup_maps(*_vault(spark, sf, writes=2))
+    return found.select("note_id", rehydrate(F.col("text"), F.col("token_map")).alias("restored"))
+
+
 def vault_misses(spark: SparkSession, sf: str) -> DataFrame:
     texts, vault, now = _vault(spark, sf)
     _, missing = lookup_maps(texts, vault, now)
@@ -671,6 +693,9 @@ def queries() -> dict[str, Query]:
         "chunk_rehydration": chunk_rehydration,
         "chunk_stream": chunk_stream,
         "chunk_lines": chunk_lines,
+        "chunk_frames": query_chunk_frames,
+        "vault_rewritten": vault_rewritten,
+        "redact_null_scopes": redact_null_scopes,
         "vault_round_trip": vault_round_trip,
         "vault_misses": vault_misses,
         "vault_size": query_vault_size,

@@ -448,6 +448,16 @@ def oracle_sql() -> dict[str, str]:
     sql["rate_limit_stream"] = sql["rate_limit_routes"]
     sql["chunk_rehydration"] = "WITH " + CHUNKS + " " + EMITTED
     sql["chunk_stream"] = sql["chunk_rehydration"]
+    sql["chunk_frames"] = f"""WITH {CHUNKS}, emitted AS ({EMITTED})
+      SELECT stream_id, seq, CAST(CAST(flushed AS INTEGER) AS BIGINT) AS part,
+        'data: {{"choices":[{{"index":0,"delta":{{"content":' || CAST(to_json(text) AS VARCHAR) || '}}}}]}}' AS line
+      FROM emitted WHERE text <> ''
+      UNION ALL SELECT stream_id, (length(text) - 1) // 7 + 1, 2, 'data: [DONE]' FROM replies"""
+    scoped = f"SELECT *, CASE WHEN conv_id % 3 > 0 THEN conv_id ELSE -1 END AS scope FROM ({CHATS})"
+    sql["redact_null_scopes"] = (
+        redaction(scoped, "conv_id, turn, scope", scope="scope", order="conv_id, turn, start")
+        + " SELECT conv_id, turn, redacted, n_entities FROM rendered"
+    )
     sql["chunk_lines"] = f"""WITH replies AS ({REPLIES}),
       cut AS (SELECT stream_id, text, unnest(range(0, CAST((length(text) - 1) // 7 + 1 AS BIGINT))) AS seq FROM replies)
       SELECT stream_id, seq, CAST(0 AS BIGINT) AS choice, CAST(NULL AS BIGINT) AS tool_idx,
@@ -457,6 +467,7 @@ def oracle_sql() -> dict[str, str]:
       UNION ALL SELECT stream_id, (length(text) - 1) // 7 + 3, 1, 2, '[EMAIL_1]', true, false, NULL FROM replies
       UNION ALL SELECT stream_id, (length(text) - 1) // 7 + 3, 1, NULL, NULL, true, false, NULL FROM replies"""
     sql["vault_round_trip"] = f"SELECT note_id, text AS restored FROM ({NOTES}) WHERE note_id % 5 <> 0"
+    sql["vault_rewritten"] = sql["vault_round_trip"]
     sql["vault_misses"] = f"SELECT note_id, 'missing_token_map' AS error FROM ({NOTES}) WHERE note_id % 5 = 0"
     sql["vault_size"] = f"SELECT CAST(count(*) AS BIGINT) AS size FROM customer WHERE c_custkey % 5 <> 0"
     sql["vault_eviction"] = f"""SELECT CAST(event_id AS VARCHAR) AS scope_id FROM events

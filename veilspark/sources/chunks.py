@@ -89,3 +89,28 @@ def parse_chunk_lines(lines: DataFrame, ids: Sequence[str] = ("stream_id",), lin
         done.alias("done"),
         F.when(~done & (F.coalesce(F.size("__parts"), F.lit(0)) <= 0), F.col("__payload")).alias("passthrough"),
     ).select(*ids, "seq", "c.choice", "c.tool_idx", "c.fragment", "c.finished", "done", "passthrough")
+
+
+def chunk_frames(emitted: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``stream_id, seq, part, line``: rehydrated chunks as event lines again.
+
+    Content goes back as a ``delta`` of its choice, arguments as those of their tool call; a released
+    tail is a frame of its own at the place of the end marker, in front of ``data: [DONE]``. Lines are
+    in order by ``seq`` and ``part``. Empty texts give no line.
+    """
+    index = F.coalesce(F.col("choice"), F.lit(0)).alias("index")
+    spoken = F.struct(index, F.struct(F.col("text").alias("content")).alias("delta"))
+    call = F.struct(F.col("tool_idx").alias("index"), F.struct(F.col("text").alias("arguments")).alias("function"))
+    called = F.struct(index, F.struct(F.array(call).alias("tool_calls")).alias("delta"))
+
+    def line(choice: Column) -> Column:
+        return F.concat(F.lit("data: "), F.to_json(F.struct(F.array(choice).alias("choices"))))
+
+    frames = emitted.where(F.col("text") != "").select(
+        "stream_id",
+        "seq",
+        F.col("flushed").cast("int").alias("part"),
+        F.when(F.col("tool_idx").isNull(), line(spoken)).otherwise(line(called)).alias("line"),
+    )
+    ends = chunks.where("done").select("stream_id", "seq", F.lit(2).alias("part"), F.lit("data: [DONE]").alias("line"))
+    return frames.unionByName(ends)
