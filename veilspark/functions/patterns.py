@@ -39,7 +39,7 @@ EMAIL = (
     r"(?:\w(?<!\w\w)|[.%+-](?<=\w[.%+-]))[A-Za-z0-9._%+-]*+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?!\w)"
 )
 CREDIT_CARD = r"\d(?<!\w\d)(?:[ -]?\d){12,18}(?!\w)"
-SSN = r"\d(?<!\w\d)\d\d(?<!000|666|9\d\d)[- ]\d\d(?<!00)[- ]\d{4}(?<!0000)(?!\w)"
+SSN = r"\d(?<!\w\d)\d\d(?<!000|666|9\d\d)[- ](?!00)\d\d[- ](?!0000)\d{4}(?!\w)"
 PHONE = (
     rf"(?=[0-9+(])(?<!\w)(?:\+?\d{{1,3}}{_PHONE_SEP}?)?(?:\(\d{{3}}\)|\d{{3}})"
     rf"{_PHONE_SEP}?\d{{3}}{_PHONE_SEP}?\d{{4}}(?!\w)"
@@ -60,12 +60,12 @@ _IPV6_FORMS = (
     f"(?:{HEX}:){{1,2}}(?::{HEX}){{1,5}}",
     f"{HEX}:(?::{HEX}){{1,6}}",
 )
-_IPV6_BARE = f":(?:(?::{HEX}){{1,7}}|:)"
-IPV6 = rf"(?:(?=[A-Fa-f0-9])(?<!\w)(?:{'|'.join(_IPV6_FORMS)})|:(?<=\w:){_IPV6_BARE[1:]})"
+_IPV6_TAIL = f"(?:(?::{HEX}){{1,7}}|:)"
+IPV6 = rf"(?:(?=[A-Fa-f0-9])(?<!\w)(?:{'|'.join(_IPV6_FORMS)})|:(?<=\w:){_IPV6_TAIL})"
 # Opt-in form that takes the longest address at each place, and accepts a leading "::".
 IPV6_FULL = (
     rf"(?:(?=[A-Fa-f0-9])(?<![\w:])(?:{_IPV6_FORMS[0]}|{'|'.join(reversed(_IPV6_FORMS[2:]))}|"
-    rf"{_IPV6_FORMS[1]})|(?<![\w:]):(?:(?::{HEX}){{1,7}}|:))(?![\w:])"
+    rf"{_IPV6_FORMS[1]})|(?<![\w:]):{_IPV6_TAIL})(?![\w:])"
 )
 
 DATE_ISO = r"\d(?<!\w\d)\d{3}-\d{2}-\d{2}(?!\w)"
