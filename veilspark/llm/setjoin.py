@@ -44,7 +44,7 @@ LEAST_COUNT = 4
 MAX_FREQUENT = 500_000
 #: Bits of the bitmap of shingles in several sets for each byte of text, and its largest size.
 BIT_SHARE = 8
-MAX_BITS = 1 << 28
+MIN_BITS, MAX_BITS = 1 << 17, 1 << 28
 #: Residues by which texts of candidates are picked before the exact join, a bounded broadcast.
 RESIDUES = 1 << 20
 PAIRS_PER_BATCH = 200_000
@@ -446,7 +446,8 @@ def similar_sets(docs: DataFrame, ids: Sequence[str] = ("doc_id",), text: str =
     named = docs.select(*ids, t.alias("text"), F.xxhash64(t).alias("th"))
     total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(MIN_BUCKETS, ceil(total / BUCKET_BYTES))
-    bits = max(1 << 13, min(MAX_BITS, total // BIT_SHARE) // buckets // 8 * 8)
+    # Of one bucket; all buckets together stay below the largest size.
+    bits = max(8, max(MIN_BITS, min(MAX_BITS, total // BIT_SHARE)) // buckets // 8 * 8)
     work = named.withColumn("row", F.monotonically_increasing_id())
     made = stage(
         work.select("row", "th", "text").mapInArrow(

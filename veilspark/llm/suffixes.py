@@ -47,7 +47,7 @@ BLOCK = 8 << 20
 BUCKET_BYTES = 2 << 20
 MIN_BUCKETS = 16
 BIT_SHARE = 8
-MAX_BITS = 1 << 28
+MIN_BITS, MAX_BITS = 1 << 17, 1 << 28
 #: Residues of affected documents, a bounded broadcast by which the others skip the last join.
 RESIDUES = 1 << 20
 
@@ -434,7 +434,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.length("raw"))).first()[0] or 0
     buckets = max(MIN_BUCKETS, ceil(total / BUCKET_BYTES))
-    bits = max(1 << 13, min(MAX_BITS, total // BIT_SHARE) // buckets // 8 * 8)
+    # Of one bucket; all buckets together stay below the largest size.
+    bits = max(8, max(MIN_BITS, min(MAX_BITS, total // BIT_SHARE)) // buckets // 8 * 8)
     counted = docs.select("raw").mapInArrow(_count_pass(buckets), "bucket int, blob binary")
     found = counted.groupBy("bucket").applyInArrow(_bits_of_bucket(bits), "bucket int, bits binary").toPandas()
     known = np.zeros((buckets, bits // 8), dtype=np.uint8)
