@@ -5,14 +5,15 @@ the codes of consecutive words. Each window is compressed with the dictionary of
 the one of ordinary text; the difference of the two lengths is its gain. Codes have no accidental
 matches, so a gain comes only from words that the toxic dictionary knows and the other does not.
 
-Both dictionaries hold the same frequent codes at their end, and in front equally many bytes of codes
-that mark one class: those found in a given share of its documents and so many times as often as in
-the other class. Equal sizes and equal ends keep the gain of an ordinary window at zero.
+Both dictionaries hold the same frequent codes at their end. In front the toxic one holds the codes
+that mark toxic text: those found so many times as often in it as in ordinary text, on more evidence
+than random labels give. The other one holds equally many codes that no text has, so that a known
+word of a window is never set off by an ordinary word beside it. Equal sizes and equal ends keep the
+gain of an ordinary window at zero.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
@@ -29,10 +30,16 @@ SAMPLE_BYTES = 32_768
 STEM = 5
 WINDOW = 32
 COMMON = 512
-SHARE = 0.03
+#: A marking code stands in so many toxic texts at least, and so many times as often as in ordinary ones.
+LEAST = 3
 RATIO = 8.0
-#: Share of ordinary windows that may pass the calibrated gain.
-FALSE_WINDOWS = 0.001
+#: Share of marking codes that may be chance; as many of them as a dictionary of 64 KiB holds.
+FALSE_WORDS = 0.1
+MARKS = 8_192 - COMMON
+FOLDS = 10
+DEALS = 4
+#: Gains of a window, in bytes, whose rate among ordinary windows is calibrated.
+LEVELS = 24
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -61,13 +68,18 @@ def codes(text: str) -> np.ndarray:
     return code ^ (code >> np.uint64(32))
 
 
+#: Opens every window and ends both dictionaries. Without it a block that saves only a few bytes is
+#: stored as it is, and the gain of a single known word in a window of unknown ones would be lost.
+HEAD = np.random.default_rng(0).bytes(64)
+
+
 @dataclass(frozen=True)
 class Model:
-    """Dictionaries, the calibrated gain of a window, and the weights that turn hits into a score."""
+    """Dictionaries, the calibrated tail of ordinary gains, and the weights that turn hits into a score."""
 
     toxic: bytes
     ordinary: bytes
-    least_gain: int
+    tail: tuple[float, ...]
     weights: tuple[float, ...]
 
 
@@ -76,7 +88,7 @@ def _compressor(dictionary: bytes):
     import zstandard
 
     parameters = zstandard.ZstdCompressionParameters(
-        window_log=17, chain_log=15, hash_log=16, search_log=5, min_match=6, target_length=0,
+        window_log=17, chain_log=17, hash_log=17, search_log=5, min_match=6, target_length=0,
         strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False,
     )
     data = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -86,14 +98,26 @@ def _compressor(dictionary: bytes):
 def gains(text: str, toxic: bytes, ordinary: bytes) -> np.ndarray:
     """For each window of the whole text: bytes that the toxic dictionary saves over the other."""
     raw = codes(text).tobytes()
-    windows = [raw[i : i + 8 * WINDOW] for i in range(0, len(raw), 8 * WINDOW)]
+    windows = [HEAD + raw[i : i + 8 * WINDOW] for i in range(0, len(raw), 8 * WINDOW)]
     plain, marked = _compressor(ordinary), _compressor(toxic)
     return np.array([len(plain.compress(w)) - len(marked.compress(w)) for w in windows], dtype=np.int64)
 
 
-def _features(gain: np.ndarray, least: int) -> list[float]:
-    hits = gain[gain >= least]
-    return [1.0, float(min(gain.max(initial=0), 24)), float(np.log1p(len(hits))), float(np.log1p(hits.sum()))]
+def _tail(plain: np.ndarray) -> np.ndarray:
+    """Share of ordinary windows with a gain of 1, 2, … ``LEVELS`` bytes or more; never zero."""
+    return np.array([((plain >= g).sum() + 0.5) / (len(plain) + 1) for g in range(1, LEVELS + 1)])
+
+
+def _features(gain: np.ndarray, tail: np.ndarray) -> list[float]:
+    """Evidence that the windows of a text are not ordinary, at the level of gain that shows most.
+
+    Hits are compared with the number expected among so many ordinary windows, so a few false ones
+    in a very long text weigh nothing: the Chernoff bound of a Poisson count.
+    """
+    hits = np.array([(gain >= g).sum() for g in range(1, LEVELS + 1)], dtype=float)
+    expected = tail * max(len(gain), 1)
+    surplus = np.where(hits > expected, hits * np.log(np.maximum(hits, 1) / expected) - hits + expected, 0.0)
+    return [1.0, float(np.log1p(surplus.max()))]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 40) -> np.ndarray:
@@ -109,52 +133,106 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 40
     return w
 
 
-def fit(texts: Sequence[str], labels: Sequence[int]) -> Model | None:
-    """Fit on a bounded sample of labelled texts. None without texts of both classes.
+class _Counts:
+    """In how many distinct texts of each class and fold every code stands.
 
     Near copies would make their own words look typical of a class, so only one of the texts that
-    share their two smallest codes of word pairs counts for the dictionaries.
+    share their two smallest codes of word pairs counts. Near copies are in one fold.
     """
-    sets: dict[int, dict[tuple, np.ndarray]] = {0: {}, 1: {}}
-    for text, label in zip(texts, labels, strict=True):
-        c = codes(text)
-        pairs = np.unique(c[:-1] * np.uint64(31) + c[1:])
-        sets[int(label)].setdefault(tuple(pairs[:2].tolist()) or tuple(c.tolist()), np.unique(c))
-    n = {k: len(v) for k, v in sets.items()}
-    if not n[0] or not n[1]:
-        return None
-    found = {k: Counter(x for c in v.values() for x in c.tolist()) for k, v in sets.items()}
-
-    def ranked(k: int) -> list[int]:
-        return [x for x, _ in sorted(found[k].items(), key=lambda e: (-e[1], e[0]))]
 
-    def marks(k: int) -> list[int]:
-        own, other, m = found[k], found[1 - k], n[1 - k]
-        often = (x for x in ranked(k) if own[x] >= max(3, SHARE * n[k]))
-        return [x for x in often if (own[x] + 0.5) / (n[k] + 1) >= RATIO * (other[x] + 0.5) / (m + 1)]
+    def __init__(self, texts: Sequence[str], labels: Sequence[int]) -> None:
+        seen: set[tuple] = set()
+        folds, single, sets = [], [], []
+        for text, label in zip(texts, labels, strict=True):
+            c = codes(text)
+            pairs = np.unique(c[:-1] * np.uint64(31) + c[1:])
+            key = tuple(pairs[:2].tolist()) or tuple(c.tolist())
+            folds.append(key[0] % FOLDS if key else 0)
+            if (int(label), key) not in seen:
+                seen.add((int(label), key))
+                single.append((int(label), folds[-1]))
+                sets.append(np.unique(c))
+        self.folds = np.array(folds)
+        self.labels, self.fold = np.array(single, dtype=np.int64).reshape(-1, 2).T
+        self.row = np.repeat(np.arange(len(sets)), [len(c) for c in sets])
+        self.codes, self.place = np.unique(np.concatenate(sets or [np.zeros(0, np.uint64)]), return_inverse=True)
+
+    def found(self, labels: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(texts with each code, texts) of ordinary and of toxic texts among ``rows``."""
+        counts = np.zeros((2, len(self.codes)), dtype=np.int64)
+        for k in (0, 1):
+            counts[k] = np.bincount(self.place[(rows & (labels == k))[self.row]], minlength=len(self.codes))
+        return counts, np.array([(rows & (labels == k)).sum() for k in (0, 1)])
+
+    def dictionaries(self, without: int | None = None) -> tuple[bytes, bytes]:
+        """The toxic and the ordinary dictionary, of all folds but one."""
+        rows = self.fold != without if without is not None else np.ones(len(self.fold), dtype=bool)
+        counts, n = self.found(self.labels, rows)
+        rng, random = np.random.default_rng(0), []
+        for _ in range(DEALS):
+            dealt = self.labels.copy()
+            dealt[rows] = rng.permutation(self.labels[rows])
+            random.append(self.found(dealt, rows)[0])
+        toxic = self.codes[_marks(counts, np.hstack(random), n)]
+        ranked = self.codes[np.lexsort((self.codes, -counts[0]))]
+        shared = ranked[~np.isin(ranked, toxic)][:COMMON]
+        unknown = np.frombuffer(np.random.default_rng(1).bytes(8 * max(len(toxic), 1)), dtype=np.uint64)
+        front = toxic if len(toxic) else unknown
+
+        def dictionary(front: np.ndarray) -> bytes:
+            # The most frequent codes come last, where a reference to them is shortest.
+            return np.concatenate((front[::-1], shared[::-1])).tobytes() + HEAD
+
+        return dictionary(front), dictionary(unknown)
+
+
+def _evidence(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratio that a code stands more often in toxic texts; 0 for too few or too even."""
+    other, own = counts
+    total = counts.sum(axis=0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = sum(np.where(c > 0, c * np.log(c * n.sum() / (total * m)), 0.0) for c, m in zip(counts, n, strict=True))
+    often = (own >= LEAST) & ((own + 0.5) / (n[1] + 1) >= RATIO * (other + 0.5) / (n[0] + 1))
+    return np.where(often, gain, 0.0)
+
+
+def _marks(counts: np.ndarray, random: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places of the codes that mark toxic texts, most evidence first, as many as the dictionary holds.
+
+    How often a code stands in them does not matter, only that it is not chance: the evidence is cut
+    where, with labels dealt at random, FALSE_WORDS as many codes would pass.
+    """
+    evidence = _evidence(counts, n)
+    ranked = np.argsort(-evidence, kind="stable")[: int((evidence > 0).sum())]
+    chance = np.sort(_evidence(random, n))
+    passed = (len(chance) - np.searchsorted(chance, evidence[ranked])) / DEALS
+    good = np.flatnonzero(passed <= FALSE_WORDS * np.arange(1, len(ranked) + 1))
+    return ranked[: good[-1] + 1 if len(good) else 0][:MARKS]
 
-    toxic, ordinary = marks(1), marks(0)
-    shared = [x for x in ranked(0) if x not in set(toxic) and x not in set(ordinary)]
-    size = max(len(toxic), len(ordinary), 1)
-    filling = shared[COMMON : COMMON + size]
 
-    def dictionary(own: list[int]) -> bytes:
-        front = (own + filling)[:size]
-        front += [0] * (size - len(front))
-        # The most frequent codes come last, where a reference to them is shortest.
-        return np.array(front[::-1] + shared[:COMMON][::-1], dtype=np.uint64).tobytes()
+def fit(texts: Sequence[str], labels: Sequence[int]) -> Model | None:
+    """Fit on a bounded sample of labelled texts. None without texts of both classes.
 
-    a, b = dictionary(toxic), dictionary(ordinary)
+    Gains that calibrate the model are those of dictionaries made without the text's own fold, so
+    words of a single text do not look like evidence.
+    """
     y = np.array(labels, dtype=float)
-    gain = [gains(t, a, b) for t in texts]
+    if not (y == 0).any() or not (y == 1).any():
+        return None
+    counts = _Counts(texts, labels)
+    gain: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(texts)
+    for fold in np.unique(counts.folds):
+        a, b = counts.dictionaries(without=fold)
+        for i in np.flatnonzero(counts.folds == fold):
+            gain[i] = gains(texts[i], a, b)
     plain = np.concatenate([g for g, label in zip(gain, labels, strict=True) if not label])
-    least = max(1, int(np.quantile(plain, 1 - FALSE_WINDOWS)) + 1) if len(plain) else 1
-    weights = _logistic(np.array([_features(g, least) for g in gain]), y)
-    return Model(a, b, least, tuple(float(w) for w in weights))
+    tail = _tail(plain)
+    weights = _logistic(np.array([_features(g, tail) for g in gain]), y)
+    return Model(*counts.dictionaries(), tuple(tail.tolist()), tuple(float(w) for w in weights))
 
 
 def score_text(text: str, model: Model) -> float:
-    z = float(np.dot(model.weights, _features(gains(text, model.toxic, model.ordinary), model.least_gain)))
+    z = float(np.dot(model.weights, _features(gains(text, model.toxic, model.ordinary), np.array(model.tail))))
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
