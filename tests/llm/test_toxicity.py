@@ -9,7 +9,8 @@ from veilspark.llm import toxicity
 
 def spread_out(rng, n, bad, words=60):
     """``n`` ordinary texts and ``n`` toxic ones with one or two of many insults."""
-    texts = [prose(rng, words).split() for _ in range(2 * n)]
+    known = sorted(set(prose(random.Random(1), 3_000).split()))
+    texts = [rng.choices(known, k=words) for _ in range(2 * n)]
     for t in texts[n:]:
         for w in rng.sample(bad, rng.randrange(1, 3)):
             t[rng.randrange(words)] = w
@@ -23,3 +24,40 @@ def test_long_tail_of_toxic_words():
     texts, labels = spread_out(rng, 200, bad)
     got = np.array([toxicity.score_text(t, model) >= 0.3 for t in texts])
     assert got[200:].mean() > 0.85 and got[:200].mean() < 0.1
+
+
+def test_words_are_read_whole():
+    def read(text):
+        return toxicity.codes(text).tolist()
+
+    assert read("Idiotic idiotIC") == read("idiotic") * 2 and read("idiotic") != read("idiomatic")
+    assert len({*read("Überraschung Übermut переход перевод")}) == 4
+    assert read("don't, x_1") == read("don") + read("t") + read("x") + read("1")
+    whole = "我们今天去公园散步然后回家吃饭"
+    for k in range(len(whole)):  # every code point of a text without blanks counts
+        assert read(whole[:k] + "笨" + whole[k + 1 :]) != read(whole)
+    assert set(read("笨蛋")) < set(read(whole + "笨蛋" + whole))
+    assert read("abc笨蛋é") == read("abc") + read("笨蛋") + read("é") and len(read("好")) == 1 and read("") == []
+
+
+def test_blocks_change_nothing(monkeypatch):
+    text = " ".join(["ab cd", "笨蛋我们今天", "é" * 40, "x" * 100]) * 20
+    whole = toxicity.codes(text).tolist()
+    monkeypatch.setattr(toxicity, "BLOCK", 7)
+    assert toxicity.codes(text).tolist() == whole
+
+
+def test_toxic_passage_without_blanks():
+    rng = random.Random(8)
+    script = [chr(0x4E00 + k) for k in range(300)]
+    bad = ["笨蛋", "白痴", "蠢货"]
+
+    def text(toxic):
+        t = [rng.choice(script) for _ in range(80)]
+        if toxic:
+            t.insert(rng.randrange(20, 80), rng.choice(bad))
+        return "".join(t)
+
+    model = toxicity.fit([text(k % 4 == 0) for k in range(600)], [int(k % 4 == 0) for k in range(600)])
+    got = np.array([toxicity.score_text(text(k % 4 == 0), model) >= 0.3 for k in range(200)])
+    assert got[::4].mean() > 0.9 and got.sum() - got[::4].sum() <= 10

@@ -28,7 +28,7 @@ _VALUES = mix(_LOWER.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint
 
 
 @lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (_ODD, _INVERSE):
         p = np.full(size, base, dtype=np.uint64)
@@ -45,7 +45,7 @@ def word_hashes(raw: bytes) -> np.ndarray:
     data = np.frombuffer(raw, dtype=np.uint8)
     if not len(data):
         return np.zeros(0, dtype=np.uint64)
-    up, down = _powers(1 << max(16, int(len(data)).bit_length()))
+    up, down = powers(1 << max(16, int(len(data)).bit_length()))
     inside = np.concatenate(([False], ~_BLANK[data], [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edges[::2], edges[1::2]

@@ -1,6 +1,6 @@
 """Toxicity by compression distance: two zstandard dictionaries and the lengths they give to windows.
 
-A text is read as words, a word as an 8-byte code of its first bytes in lower case, and a window as
+A text is read as words, a word as an 8-byte code of all its letters in lower case, and a window as
 the codes of consecutive words. Each window is compressed with the dictionary of toxic text and with
 the one of ordinary text; the difference of the two lengths is its gain. Codes have no accidental
 matches, so a gain comes only from words that the toxic dictionary knows and the other does not.
@@ -14,6 +14,7 @@ gain of an ordinary window at zero.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
@@ -23,49 +24,88 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.llm.hashing import mix, powers
+
 #: Bounds of the labelled sample that the model is fitted on: rows of a class and bytes of a text.
 SAMPLE_ROWS = 2_000
 SAMPLE_BYTES = 32_768
 
-STEM = 5
+#: Lengths of the overlapping pieces that a run of a dense script is cut into, in code points.
+GRAMS = (2, 4)
+#: Code points hashed at a time.
+BLOCK = 1 << 20
 WINDOW = 32
 COMMON = 512
 #: A marking code stands in so many toxic texts at least, and so many times as often as in ordinary ones.
 LEAST = 3
 RATIO = 8.0
 #: Share of marking codes that may be chance; as many of them as a dictionary of 64 KiB holds.
-FALSE_WORDS = 0.1
+FALSE_WORDS = 0.2
 MARKS = 8_192 - COMMON
 FOLDS = 10
 DEALS = 4
 #: Gains of a window, in bytes, whose rate among ordinary windows is calibrated.
 LEVELS = 24
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
-_WORD = np.zeros(256, dtype=bool)
-for _first, _last in (("0", "9"), ("A", "Z"), ("a", "z")):
-    _WORD[ord(_first) : ord(_last) + 1] = True
-_WORD[128:] = True
+#: Separator, letter of a word, or code point of a script that may do without blanks.
+_GAP, _LETTER, _DENSE = range(3)
+_POINTS = 0x110000
+
+
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """For every code point its kind and a random-looking value.
+
+    Letters, digits and marks below U+0E00, and Latin and Greek of U+1E00 to U+1FFF, make words. ASCII
+    signs, punctuation, blanks and controls part them. All else is dense: scripts from Thai upwards
+    with Chinese, Japanese and Korean, and symbols.
+    """
+    first = [unicodedata.category(chr(k))[0] for k in range(_POINTS)]
+    kind = np.full(_POINTS, _DENSE, dtype=np.uint8)
+    point, first = np.arange(_POINTS), np.array(first)
+    kind[np.isin(first, ["P", "Z", "C"]) & ~((point >= 0xE000) & (point <= 0xF8FF))] = _GAP
+    kind[(first == "S") & (point < 128)] = _GAP
+    kind[np.isin(first, ["L", "M", "N"]) & ((point < 0x0E00) | (point >> 9 == 0x1E00 >> 9))] = _LETTER
+    return kind, mix(point.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(0x9FB21C651E98DF25))
+
+
+def _spans(starts: np.ndarray, ends: np.ndarray, dense: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words as they are; of each dense run all pieces of GRAMS code points, of a run of one itself."""
+    if not dense.any():
+        return starts, ends
+    long = dense & (ends - starts > 1)
+    length = (ends - starts)[long]
+    at = np.arange(length.sum()) + np.repeat(starts[long] - (np.cumsum(length) - length), length)
+    stop = np.repeat(ends[long], length)
+    s, e = [starts[~long]], [ends[~long]]
+    for n in GRAMS:
+        s.append(at[at + n <= stop])
+        e.append(s[-1] + n)
+    s, e = np.concatenate(s), np.concatenate(e)
+    order = np.lexsort((e, s))
+    return s[order], e[order]
 
 
 def codes(text: str) -> np.ndarray:
-    """One 64-bit code for each word: a run of ASCII letters, digits and bytes above ASCII."""
-    raw = np.frombuffer(text.lower().encode("utf-8", "replace"), dtype=np.uint8)
-    inside = np.zeros(len(raw) + STEM, dtype=bool)
-    inside[: len(raw)] = _WORD[raw]
-    starts = np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1])))
-    padded = np.zeros(len(raw) + STEM, dtype=np.uint64)
-    padded[: len(raw)] = _LOWER[raw]
-    code = np.zeros(len(starts), dtype=np.uint64)
-    alive = np.ones(len(starts), dtype=bool)
-    for k in range(STEM):
-        alive &= inside[starts + k]
-        code = (code << np.uint64(8)) | np.where(alive, padded[starts + k], np.uint64(0))
-    code *= np.uint64(0x9E3779B97F4A7C15)
-    code ^= code >> np.uint64(29)
-    code *= np.uint64(0xBF58476D1CE4E5B9)
-    return code ^ (code >> np.uint64(32))
+    """One 64-bit code for each word, of all its letters, and for each piece of a dense run."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    kinds, values = _tables()
+    kind = kinds[points]
+    edges = np.flatnonzero(np.concatenate(([_GAP], kind)) != np.concatenate((kind, [_GAP])))
+    keep = kind[edges[:-1]] != _GAP
+    starts, ends = edges[:-1][keep], edges[1:][keep]
+    out, at = [np.zeros(0, dtype=np.uint64)], 0
+    while at < len(starts):  # in blocks of whole runs, to bound the memory of long texts
+        base = starts[at]
+        upto = int(np.searchsorted(starts, base + BLOCK))
+        part = points[base : ends[upto - 1]]
+        up, down = powers(1 << max(16, len(part).bit_length()))
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(values[part] * up[: len(part)], out=sums[1:])
+        s, e = _spans(starts[at:upto] - base, ends[at:upto] - base, kind[starts[at:upto]] == _DENSE)
+        out.append(mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
+        at = upto
+    return np.concatenate(out)
 
 
 #: Opens every window and ends both dictionaries. Without it a block that saves only a few bytes is
