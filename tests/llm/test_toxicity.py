@@ -61,3 +61,21 @@ def test_toxic_passage_without_blanks():
     model = toxicity.fit([text(k % 4 == 0) for k in range(600)], [int(k % 4 == 0) for k in range(600)])
     got = np.array([toxicity.score_text(text(k % 4 == 0), model) >= 0.3 for k in range(200)])
     assert got[::4].mean() > 0.9 and got.sum() - got[::4].sum() <= 10
+
+
+def test_classes_weigh_as_they_occur(spark, monkeypatch):
+    rng = random.Random(9)
+    rows, labels = [], []
+    for k in range(1_500):
+        toxic = k % 8 == 0
+        rows.append((k, prose(rng, 30) + (" idiot" if toxic and k % 16 else "")))
+        labels.append((k, int(toxic)))
+    docs = spark.createDataFrame([*rows, (5_000, "plain")], "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+
+    def score():
+        return toxicity.score_toxicity(docs, known).where("doc_id = 5000").first().score
+
+    whole = score()
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 130)  # the sample is now about 1:1, the table 1:7
+    assert abs(score() - whole) < 0.05 and whole < 0.3

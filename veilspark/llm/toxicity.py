@@ -160,13 +160,13 @@ def _features(gain: np.ndarray, tail: np.ndarray) -> list[float]:
     return [1.0, float(np.log1p(surplus.max()))]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 40) -> np.ndarray:
-    """Ridge logistic regression by Newton's method; the two classes weigh as they occur."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1, rounds: int = 40) -> np.ndarray:
+    """Ridge logistic regression of weighted rows by Newton's method."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(hessian, x.T @ (p - y) + ridge * w)
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(hessian, x.T @ (weight * (p - y)) + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -250,9 +250,11 @@ def _marks(counts: np.ndarray, random: np.ndarray, n: np.ndarray) -> np.ndarray:
     return ranked[: good[-1] + 1 if len(good) else 0][:MARKS]
 
 
-def fit(texts: Sequence[str], labels: Sequence[int]) -> Model | None:
+def fit(texts: Sequence[str], labels: Sequence[int], known: Sequence[int] | None = None) -> Model | None:
     """Fit on a bounded sample of labelled texts. None without texts of both classes.
 
+    ``known`` has how many labels of class 0 and 1 the sample stands for; each class weighs by that.
+
     Gains that calibrate the model are those of dictionaries made without the text's own fold, so
     words of a single text do not look like evidence.
     """
@@ -267,7 +269,10 @@ def fit(texts: Sequence[str], labels: Sequence[int]) -> Model | None:
             gain[i] = gains(texts[i], a, b)
     plain = np.concatenate([g for g, label in zip(gain, labels, strict=True) if not label])
     tail = _tail(plain)
-    weights = _logistic(np.array([_features(g, tail) for g in gain]), y)
+    rows = np.array([(y == 0).sum(), (y == 1).sum()])
+    share = np.array(known if known is not None else rows) / rows
+    weight = share[y.astype(int)] * len(y) / (share * rows).sum()
+    weights = _logistic(np.array([_features(g, tail) for g in gain]), y, weight)
     return Model(*counts.dictionaries(), tuple(tail.tolist()), tuple(float(w) for w in weights))
 
 
@@ -299,11 +304,13 @@ def train(
 ) -> Model | None:
     """Fit on at most ``SAMPLE_ROWS`` labelled rows of each class, chosen by a hash of the id.
 
+    The classes weigh by their numbers of labels, so the score does not depend on the sample's size.
     Rows of ``held_out`` ids, null labels and texts above ``SAMPLE_BYTES`` are left out of the sample.
     The sampled ids are bounded, so they are broadcast and no text is shuffled.
     """
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col(doc_id)))
     known = known.groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).cast("int").alias("__label"))
+    n = dict(known.groupBy("__label").count().collect())
     picked = None
     for value in (0, 1):
         rows = known.where(F.col("__label") == value).orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE_ROWS)
@@ -313,7 +320,7 @@ def train(
     )
     sample = short.join(F.broadcast(picked), "__id").select("__id", "__text", "__label").toPandas()
     sample = sample.drop_duplicates(["__id", "__text"]).sort_values(["__id", "__text"])
-    return fit(sample["__text"].tolist(), sample["__label"].tolist())
+    return fit(sample["__text"].tolist(), sample["__label"].tolist(), [n.get(0, 0), n.get(1, 0)])
 
 
 def score_toxicity(
