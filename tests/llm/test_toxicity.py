@@ -79,3 +79,34 @@ def test_classes_weigh_as_they_occur(spark, monkeypatch):
     whole = score()
     monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 130)  # the sample is now about 1:1, the table 1:7
     assert abs(score() - whole) < 0.05 and whole < 0.3
+
+
+def test_long_texts(spark):
+    rng = random.Random(10)
+    common, bad = sorted(set(prose(rng, 2_000).split())), "idiot scum loser moron".split()
+
+    def text(n, toxic=0):
+        words = rng.choices(common, k=n)
+        for _ in range(toxic):
+            words[rng.randrange(n)] = rng.choice(bad)
+        return " ".join(words)
+
+    # A few ordinary texts quote an insult: windows pass at a calibrated rate, not never.
+    rows = [(k, text(60, 2 if k % 5 == 0 else 0) + (" idiot" if k % 97 == 1 else ""), int(k % 5 == 0)) for k in range(1_000)]
+    clean = text(400_000).split()
+    for k in range(0, len(clean), 40_000):
+        clean[k] = "idiot"
+    rows += [(2_000, " ".join(clean), None), (2_001, text(60, 2), None), (2_002, text(200_000) + " idiot scum moron" * 40, None)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    done = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs, labels).where("doc_id >= 2000").collect()}
+    assert len(rows[1000][1]) > 3_000_000 and done == {2_000: 0, 2_001: 1, 2_002: 1}
+
+
+def test_long_labelled_texts_take_part(spark):
+    rng = random.Random(12)
+    rows = [(k, prose(rng, 5_000) + (" idiot scum" * 3 if k % 2 else ""), k % 2) for k in range(60)]
+    assert min(len(r[1]) for r in rows) > 32_768
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    assert toxicity.train(docs, labels) is not None

@@ -15,6 +15,7 @@ gain of an ordinary window at zero.
 from __future__ import annotations
 
 import unicodedata
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
@@ -26,9 +27,9 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.hashing import mix, powers
 
-#: Bounds of the labelled sample that the model is fitted on: rows of a class and bytes of a text.
+#: Bounds of the labelled sample that the model is fitted on: rows and bytes of a class.
 SAMPLE_ROWS = 2_000
-SAMPLE_BYTES = 32_768
+SAMPLE_BYTES = 1 << 24
 
 #: Lengths of the overlapping pieces that a run of a dense script is cut into, in code points.
 GRAMS = (2, 4)
@@ -45,7 +46,9 @@ MARKS = 8_192 - COMMON
 FOLDS = 10
 DEALS = 4
 #: Gains of a window, in bytes, whose rate among ordinary windows is calibrated.
-LEVELS = 24
+#: A known word saves five to seven bytes wherever it stands, so a level is one word more.
+LEVELS = range(1, 41, 8)
+DECAY = 0.2
 
 #: Separator, letter of a word, or code point of a script that may do without blanks.
 _GAP, _LETTER, _DENSE = range(3)
@@ -108,7 +111,8 @@ def codes(text: str) -> np.ndarray:
     return np.concatenate(out)
 
 
-#: Opens every window and ends both dictionaries. Without it a block that saves only a few bytes is
+#: Opens every window and ends both dictionaries; its start also ends a window, as no match begins in
+#: the last eight bytes, so the last word would never be seen. Without it a block that saves only a few bytes is
 #: stored as it is, and the gain of a single known word in a window of unknown ones would be lost.
 HEAD = np.random.default_rng(0).bytes(64)
 
@@ -138,14 +142,22 @@ def _compressor(dictionary: bytes):
 def gains(text: str, toxic: bytes, ordinary: bytes) -> np.ndarray:
     """For each window of the whole text: bytes that the toxic dictionary saves over the other."""
     raw = codes(text).tobytes()
-    windows = [HEAD + raw[i : i + 8 * WINDOW] for i in range(0, len(raw), 8 * WINDOW)]
+    windows = [HEAD + raw[i : i + 8 * WINDOW] + HEAD[:16] for i in range(0, len(raw), 8 * WINDOW)]
     plain, marked = _compressor(ordinary), _compressor(toxic)
     return np.array([len(plain.compress(w)) - len(marked.compress(w)) for w in windows], dtype=np.int64)
 
 
 def _tail(plain: np.ndarray) -> np.ndarray:
-    """Share of ordinary windows with a gain of 1, 2, … ``LEVELS`` bytes or more; never zero."""
-    return np.array([((plain >= g).sum() + 0.5) / (len(plain) + 1) for g in range(1, LEVELS + 1)])
+    """Share of ordinary windows with a gain of each of ``LEVELS`` or more; never zero.
+
+    Where none were seen, it falls by DECAY for each level.
+    """
+    share: list[float] = []
+    for g in LEVELS:
+        seen = int((plain >= g).sum())
+        least = (seen + 0.5) / (len(plain) + 1)
+        share.append(least if seen or not share else min(least, share[-1] * DECAY))
+    return np.array(share)
 
 
 def _features(gain: np.ndarray, tail: np.ndarray) -> list[float]:
@@ -154,7 +166,7 @@ def _features(gain: np.ndarray, tail: np.ndarray) -> list[float]:
     Hits are compared with the number expected among so many ordinary windows, so a few false ones
     in a very long text weigh nothing: the Chernoff bound of a Poisson count.
     """
-    hits = np.array([(gain >= g).sum() for g in range(1, LEVELS + 1)], dtype=float)
+    hits = np.array([(gain >= g).sum() for g in LEVELS], dtype=float)
     expected = tail * max(len(gain), 1)
     surplus = np.where(hits > expected, hits * np.log(np.maximum(hits, 1) / expected) - hits + expected, 0.0)
     return [1.0, float(np.log1p(surplus.max()))]
@@ -305,7 +317,8 @@ def train(
     """Fit on at most ``SAMPLE_ROWS`` labelled rows of each class, chosen by a hash of the id.
 
     The classes weigh by their numbers of labels, so the score does not depend on the sample's size.
-    Rows of ``held_out`` ids, null labels and texts above ``SAMPLE_BYTES`` are left out of the sample.
+    Of these so many that their texts have ``SAMPLE_BYTES`` together; only a text that is longer alone
+    is never chosen. Rows of ``held_out`` ids and null labels are left out of the sample.
     The sampled ids are bounded, so they are broadcast and no text is shuffled.
     """
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col(doc_id)))
@@ -315,11 +328,24 @@ def train(
     for value in (0, 1):
         rows = known.where(F.col("__label") == value).orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE_ROWS)
         picked = rows if picked is None else picked.unionByName(rows)
-    short = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).where(
-        F.octet_length("__text") <= SAMPLE_BYTES
+    texts = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).where(F.col("__text").isNotNull())
+    found = texts.join(F.broadcast(picked), "__id")
+    digest = F.xxhash64("__text").alias("__digest")
+    # One text for each id. Only lengths are looked at, then the chosen texts are read.
+    sizes = found.groupBy("__id", "__label").agg(F.min(F.struct(digest, F.octet_length("__text").alias("n"))).alias("one"))
+    sizes = sizes.select("__id", "__label", "one.*").toPandas()
+    sizes["__order"] = sizes["__id"].map(lambda i: zlib.crc32(str(i).encode()))
+    sizes = sizes.sort_values(["__order", "__id"])
+    sizes = sizes[sizes["n"] <= SAMPLE_BYTES]
+    sizes = sizes[sizes.groupby("__label")["n"].cumsum() <= SAMPLE_BYTES]
+    if not len(sizes):
+        return None
+    kind = docs.select(F.col(doc_id).alias("__id")).schema.add("__digest", "long").add("__label", "integer")
+    chosen = docs.sparkSession.createDataFrame(
+        list(zip(*(sizes[c].tolist() for c in ("__id", "__digest", "__label")), strict=True)), kind
     )
-    sample = short.join(F.broadcast(picked), "__id").select("__id", "__text", "__label").toPandas()
-    sample = sample.drop_duplicates(["__id", "__text"]).sort_values(["__id", "__text"])
+    sample = texts.withColumn("__digest", F.xxhash64("__text")).join(F.broadcast(chosen), ["__id", "__digest"])
+    sample = sample.dropDuplicates(["__id"]).select("__id", "__text", "__label").toPandas().sort_values("__id")
     return fit(sample["__text"].tolist(), sample["__label"].tolist(), [n.get(0, 0), n.get(1, 0)])
 
 
