@@ -203,6 +203,13 @@ def token_vault_expiry(spark: SparkSession, sf: str) -> DataFrame:
     return restored.select("conv_id", "turn", "restored")
 
 
+def token_vault_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All conversations in one lookup: live ones come back as they were, expired ones as redacted."""
+    texts, tokens = _token_vault(spark, sf)
+    restored = rehydrate_from_rows(texts, tokens, ("conv_id", "turn"), ("conv_id",), "redacted")
+    return restored.select("conv_id", "turn", "restored")
+
+
 def detect_all(spark: SparkSession, sf: str) -> DataFrame:
     spans = _spans_out(d.detect(t.corpus(spark, sf)), "src", "id")
     return spans.groupBy("src", "type").agg(
@@ -648,6 +655,7 @@ def queries() -> dict[str, Query]:
         "message_write_back": message_write_back,
         "custom_pattern_classes": custom_pattern_classes,
         "redact_long_texts": redact_long_texts,
+        "token_vault_all": token_vault_all,
         "chat_round_trip": chat_round_trip,
         "token_vault_expiry": token_vault_expiry,
         **{f"detect_{x.type.lower()}": _detect(x) for x in d.BUILT_IN},

@@ -335,6 +335,9 @@ def oracle_sql() -> dict[str, str]:
       WHERE conv_id % 5 <> 0 AND {kept_chats}"""
     sql["token_vault_expiry"] = _chat(CHAT_ACTION) + f""" SELECT conv_id, turn, redacted AS restored FROM rendered
       WHERE conv_id % 5 = 0 AND {kept_chats}"""
+    sql["token_vault_all"] = _chat(CHAT_ACTION) + f""" SELECT r.conv_id, r.turn,
+      CASE WHEN r.conv_id % 5 = 0 THEN r.redacted ELSE c.text END AS restored
+      FROM rendered r JOIN ({CHATS}) c ON c.conv_id = r.conv_id AND c.turn = r.turn WHERE r.{kept_chats}"""
     sql["detect_all"] = (
         "WITH " + spans(CORPUS, "src, id") + " SELECT src, type, CAST(count(*) AS BIGINT) AS spans, "
         'CAST(sum(start) AS BIGINT) AS starts, CAST(sum("end") AS BIGINT) AS ends FROM spans GROUP BY src, type'
