@@ -7,7 +7,7 @@ from test_catalog import test_query_equals_sql as equals_sql
 import __spark_entry__ as entry
 
 
-@pytest.mark.parametrize("name", ["token_vault_all"])
+@pytest.mark.parametrize("name", ["token_vault_all", "redact_joined_notes"])
 def test_whole_query_equals_sql(spark, name):
     equals_sql(spark, name)
 
@@ -15,3 +15,8 @@ def test_whole_query_equals_sql(spark, name):
 def test_live_and_expired_conversations_together(spark):
     rows = entry.queries()["token_vault_all"](spark, FOLDER).collect()
     assert {r.conv_id % 5 == 0 for r in rows} == {True, False}
+
+
+def test_joined_notes_are_bounded(spark):
+    rows = entry.queries()["redact_joined_notes"](spark, FOLDER).collect()
+    assert max(r.restored.count("\n") for r in rows) < 500

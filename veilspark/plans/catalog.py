@@ -360,6 +360,18 @@ def redact_long_texts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def redact_joined_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every 500 notes joined into one long text, redacted and restored; the texts grow in number only."""
+    lines = F.sort_array(F.collect_list(F.struct("note_id", "text")))
+    long = t.notes(spark, sf).groupBy(F.floor(F.col("note_id") / 500).cast("long").alias("part")).agg(lines.alias("l"))
+    done = redact(long.select("part", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("text")))
+    return done.select(
+        "part",
+        (F.size("token_map") > 0).alias("found"),
+        rehydrate(F.col("redacted"), F.col("token_map")).alias("restored"),
+    )
+
+
 def term_dictionary_join(spark: SparkSession, sf: str) -> DataFrame:
     ids = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     part = t.table(spark, sf, "part")
@@ -655,6 +667,7 @@ def queries() -> dict[str, Query]:
         "message_write_back": message_write_back,
         "custom_pattern_classes": custom_pattern_classes,
         "redact_long_texts": redact_long_texts,
+        "redact_joined_notes": redact_joined_notes,
         "token_vault_all": token_vault_all,
         "chat_round_trip": chat_round_trip,
         "token_vault_expiry": token_vault_expiry,

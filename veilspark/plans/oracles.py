@@ -327,6 +327,8 @@ def oracle_sql() -> dict[str, str]:
     )
     sql["redact_long_texts"] = f"""SELECT note_id % 16 AS part, true AS found,
       string_agg(text, chr(10) ORDER BY note_id) AS restored FROM ({NOTES}) GROUP BY note_id % 16"""
+    sql["redact_joined_notes"] = f"""SELECT CAST(note_id // 500 AS BIGINT) AS part, true AS found,
+      string_agg(text, chr(10) ORDER BY note_id) AS restored FROM ({NOTES}) GROUP BY note_id // 500"""
     sql["message_write_back"] = _chat() + """ SELECT r.conv_id, r.turn, r.redacted,
       'm|assistant|-|c1|ann|' || c.role || CASE WHEN r.turn % 2 = 1 THEN '|image|not text' ELSE '' END AS rest
       FROM rendered r JOIN conversations c ON c.conv_id = r.conv_id AND c.turn = r.turn"""
