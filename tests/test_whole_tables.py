@@ -7,7 +7,7 @@ from test_catalog import test_query_equals_sql as equals_sql
 import __spark_entry__ as entry
 
 
-@pytest.mark.parametrize("name", ["token_vault_all", "redact_joined_notes"])
+@pytest.mark.parametrize("name", ["token_vault_all", "redact_joined_notes", "op5_every_line_dedup", "op5_line_dedup"])
 def test_whole_query_equals_sql(spark, name):
     equals_sql(spark, name)
 

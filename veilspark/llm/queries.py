@@ -89,9 +89,8 @@ FROM sets JOIN reach ON reach.x = sets.doc_id GROUP BY sets.doc_id, s
 """
 
 
-def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _table(spark, folder, "documents").select("doc_id", "text")
-    done = drop_repeated_lines(docs, least=50)
+def _lines_removed(docs: DataFrame, least: int) -> DataFrame:
+    done = drop_repeated_lines(docs, least=least)
     ends = F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["end"]))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return done.select(
@@ -104,6 +103,15 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return _lines_removed(_table(spark, folder, "documents").select("doc_id", "text"), least=50)
+
+
+def op5_every_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line that is not blank is a unit, however short."""
+    return _lines_removed(_table(spark, folder, "documents").select("doc_id", "text"), least=1)
+
+
 OP5_SQL = r"""
 WITH lines AS (
   SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line,
@@ -128,6 +136,9 @@ FROM ranked GROUP BY doc_id
 """
 
 
+OP5_EVERY_SQL = OP5_SQL.replace("strlen(plain) >= 50", "strlen(plain) >= 1")
+
+
 def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return repair_roles(_table(spark, folder, "conversations"))
 
@@ -204,8 +215,8 @@ FROM docs JOIN items USING (shingle) GROUP BY doc_id, item_id HAVING count(*) *
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_nearest_neighbours, op4_ngram_jaccard, op5_line_dedup, op6_suffix_dedup, op7_token_counts, op8_chat_formatting, op9_mixing, op10_decontamination)}
+    return {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_nearest_neighbours, op4_ngram_jaccard, op5_line_dedup, op5_every_line_dedup, op6_suffix_dedup, op7_token_counts, op8_chat_formatting, op9_mixing, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_nearest_neighbours": OP3_SQL, "op4_ngram_jaccard": OP4_SQL, "op5_line_dedup": OP5_SQL, "op9_mixing": OP9_SQL, "op10_decontamination": OP10_SQL}
+    return {"op3_nearest_neighbours": OP3_SQL, "op4_ngram_jaccard": OP4_SQL, "op5_line_dedup": OP5_SQL, "op5_every_line_dedup": OP5_EVERY_SQL, "op9_mixing": OP9_SQL, "op10_decontamination": OP10_SQL}
