@@ -9,15 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.llm.chat import repair_roles
+from veilspark.llm.codes import compress_vectors
 from veilspark.llm.decontaminate import contained_items
 from veilspark.llm.lines import drop_repeated_lines
 from veilspark.llm.mixing import mix_sources
 from veilspark.llm.neighbours import nearest
 from veilspark.llm.setjoin import similar_documents
 from veilspark.llm.sharding import shard_rows
+from veilspark.llm.simhash import near_duplicates
 from veilspark.llm.suffixes import drop_repeated_substrings
 from veilspark.llm.tokens import count_tokens
 from veilspark.llm.toxicity import score_toxicity
+from veilspark.llm.turns import EMPTY_DIGEST, repair_conversations
+from veilspark.operators.lookup import join_null_safe
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -214,9 +218,161 @@ FROM docs JOIN items USING (shingle) GROUP BY doc_id, item_id HAVING count(*) *
 """
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    done = compress_vectors(_table(spark, folder, "embeddings").select("vec_id", "embedding", "label"))
+    return done.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return near_duplicates(docs, n=3, radius=3).select("doc_id", "fingerprint", "component_id")
+
+
+def damaged_conversations(rows: DataFrame) -> DataFrame:
+    """Rows dropped, emptied, without their sentence ends, repeated or made user turns, by a checksum of
+    conversation and turn. Nulls are one blank, in the checksum, too."""
+    blank = F.lit(" ")
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), blank) for c in ("conv_id", "turn")))
+    kind = F.crc32(key.cast("binary")) % 20
+    kinds = rows.select("conv_id", "turn", F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"), kind.alias("kind"))
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    copies = F.when(F.col("kind") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return kinds.where("kind <> 0").select(
+        "conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"),
+        text.alias("text"), F.explode(copies).alias("copy"),
+    ).drop("copy")
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    damaged = damaged_conversations(rows)
+    done = repair_conversations(damaged)
+    missing = F.max("turn") - F.min("turn") + 1 - F.count_distinct("turn")
+    gaps = done.ordered.groupBy("conv").agg(F.coalesce(missing, F.lit(0)).alias("gaps"))
+    digests = done.digests().withColumnRenamed("sha256", "repaired_sha256")
+    found = join_null_safe(join_null_safe(done.conversations, gaps, ["conv"]), digests, ["conv"])
+    ids = rows.select(F.col("conv_id").alias("conv")).distinct()
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return join_null_safe(ids, found, ["conv"], "left").select(
+        F.col("conv").alias("conv_id"),
+        *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in numbers),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.lit(EMPTY_DIGEST)).alias("repaired_sha256"),
+    )
+
+
+def _op11_sql() -> str:
+    """Four rounds written out: cross distances of all parts and entries, means, and the last assignment."""
+    far = "list_inner_product(v, v) - 2 * list_inner_product(v, w) + list_inner_product(w, w)"
+    steps = []
+    for k in range(5):
+        steps.append(f"""a{k} AS MATERIALIZED (
+  SELECT r, p, any_value(v) AS v, min({{'far': {far}, 'e': e}}) AS best FROM parts JOIN c{k} USING (p) GROUP BY r, p)""")
+        if k < 4:
+            steps.append(f"""m{k} AS (
+  SELECT p, e, list(mean ORDER BY i) AS w FROM (
+    SELECT p, e, i, floor(sum(x) / count(*)) AS mean FROM (
+      SELECT p, best.e AS e, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{k}) GROUP BY p, e, i) GROUP BY p, e),
+c{k + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m.w, c.w) AS w FROM c{k} c LEFT JOIN m{k} m ON m.p = c.p AND m.e = c.e)""")
+    return """
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label,
+         list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS whole, len(embedding) // 4 AS n
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT r, p, whole[p * n + 1:(p + 1) * n] AS v FROM kept, (SELECT unnest(range(4)) AS p)),
+c0 AS (SELECT p, r - 1 AS e, v AS w FROM parts WHERE r <= 256),
+""" + ",\n".join(steps) + """,
+coded AS (
+  SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.far) AS BIGINT) AS error FROM a4 GROUP BY r),
+books AS (
+  SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) AS digest
+  FROM (SELECT p, e, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM c4))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256
+FROM kept JOIN coded USING (r), books
+"""
+
+
+def _op13_sql() -> str:
+    """Costs to go row by row from the end, then the least letters from the front."""
+    # Costs to go behind the row: n0 nothing yet, n1 after system, n2 after user, n3 after assistant.
+    stays = "CASE fault WHEN 't' THEN 5 ELSE 0 END"
+    own = {
+        q: f"least(2 + n{q}, CASE WHEN fault IN ('b', 'd') THEN 1e9 ELSE {stays} + least(1 + n{said}, "
+        f"CASE initial WHEN '{letter}' THEN n{said} {'WHEN ' + chr(39) + 's' + chr(39) + ' THEN n1' if q == 0 else ''} ELSE 1e9 END) END)"
+        for q, said, letter in ((0, 2, "u"), (1, 2, "u"), (2, 3, "a"), (3, 2, "u"))
+    }
+    said = "CASE WHEN q = 2 THEN 3 ELSE 2 END"
+    return f"""
+WITH RECURSIVE crc_bits AS (
+  SELECT i AS start, i AS c, 0 AS k FROM (SELECT unnest(range(256)) AS i)
+  UNION ALL SELECT start, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc_bits WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY start) AS crc FROM crc_bits WHERE k = 8),
+plain AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+kinds AS (
+  SELECT plain.*, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(key) + 1), lambda i: CAST(ascii(key[i]) AS BIGINT))),
+    lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind FROM plain, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM kinds WHERE kind <> 0),
+convs AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+ordered AS (
+  SELECT c, turn, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS stripped
+  FROM damaged d JOIN convs v ON d.conv_id IS NOT DISTINCT FROM v.conv_id),
+seen AS (SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY i) AS nth FROM ordered),
+faults AS (
+  SELECT c, turn, role, text, i, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) || left(role, 1) AS pair,
+         CASE WHEN stripped = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN right(stripped, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault
+  FROM seen),
+counts AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n,
+         count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+         count(*) FILTER (WHERE fault = 't') AS truncated,
+         count(*) FILTER (WHERE pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY c),
+back AS (
+  SELECT c, n + 1 AS i, 0.0::DOUBLE AS n0, 10.0::DOUBLE AS n1, 5.0::DOUBLE AS n2, 0.0::DOUBLE AS n3 FROM counts
+  UNION ALL
+  SELECT c, i, least(e0, 5 + e2, 10 + e3), least(e1, 5 + e2, 10 + e3), least(e2, 5 + e3), least(e3, 5 + e2) FROM (
+    SELECT back.c, f.i, {own[0]} AS e0, {own[1]} AS e1, {own[2]} AS e2, {own[3]} AS e3
+    FROM back JOIN faults f ON f.c = back.c AND f.i = back.i - 1)),
+moves AS (
+  SELECT f.c, f.i, q, here.here, [here.n0, here.n1, here.n2, here.n3][{said} + 1] AS inserted, [b.n0, b.n1, b.n2, b.n3] AS behind,
+         {said} AS said, initial, fault, {stays} AS stays, role, text
+  FROM faults f JOIN back b ON b.c = f.c AND b.i = f.i + 1,
+       LATERAL (SELECT h.n0, h.n1, h.n2, h.n3, q, [h.n0, h.n1, h.n2, h.n3][q + 1] AS here
+                FROM back h, (SELECT unnest(range(4)) AS q) WHERE h.c = f.c AND h.i = f.i) here),
+choices AS (
+  SELECT c, i, q, said, role, text, initial,
+         CASE WHEN 2 + behind[q + 1] = here THEN 'D' WHEN 5 + inserted = here THEN 'I'
+              WHEN initial = 's' AND q = 0 AND stays + behind[2] = here THEN 'K'
+              WHEN initial = CASE WHEN said = 3 THEN 'a' ELSE 'u' END AND stays + behind[said + 1] = here THEN 'K' ELSE 'R' END AS edit
+  FROM moves
+  UNION ALL SELECT c, n + 1, 1, 2, '', '', '', 'I' FROM counts UNION ALL SELECT c, n + 1, 2, 3, '', '', '', 'I' FROM counts),
+played AS (
+  SELECT c, CAST(1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS q, '' AS audit, CAST([] AS VARCHAR[]) AS repaired FROM counts
+  UNION ALL
+  SELECT p.c, CASE WHEN edit = 'I' THEN p.i ELSE p.i + 1 END,
+         CASE WHEN edit = 'D' THEN p.q WHEN edit = 'K' AND initial = 's' THEN 1 ELSE said END, audit || edit,
+         CASE edit WHEN 'D' THEN repaired WHEN 'K' THEN list_append(repaired, role || ':' || text)
+              ELSE list_append(repaired, CASE WHEN said = 3 THEN 'assistant:' ELSE 'user:' END || CASE WHEN edit = 'R' THEN text ELSE '' END) END
+  FROM played p JOIN choices m ON m.c = p.c AND m.i = p.i AND m.q = p.q),
+ended AS (SELECT p.c, audit, repaired FROM played p JOIN counts k ON k.c = p.c WHERE p.i = k.n + 1 AND p.q IN (0, 3))
+SELECT v.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(b.n0, 0) AS BIGINT) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(repaired, chr(10)), '')) AS repaired_sha256
+FROM convs v LEFT JOIN counts k ON k.c = v.c LEFT JOIN back b ON b.c = v.c AND b.i = 1 LEFT JOIN ended e ON e.c = v.c
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_nearest_neighbours, op4_ngram_jaccard, op5_line_dedup, op5_every_line_dedup, op6_suffix_dedup, op7_token_counts, op8_chat_formatting, op9_mixing, op10_decontamination)}
+    return {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_nearest_neighbours, op4_ngram_jaccard, op5_line_dedup, op5_every_line_dedup, op6_suffix_dedup, op7_token_counts, op8_chat_formatting, op9_mixing, op10_decontamination, op11_vector_codes, op12_simhash, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_nearest_neighbours": OP3_SQL, "op4_ngram_jaccard": OP4_SQL, "op5_line_dedup": OP5_SQL, "op5_every_line_dedup": OP5_EVERY_SQL, "op9_mixing": OP9_SQL, "op10_decontamination": OP10_SQL}
+    return {"op3_nearest_neighbours": OP3_SQL, "op4_ngram_jaccard": OP4_SQL, "op5_line_dedup": OP5_SQL, "op5_every_line_dedup": OP5_EVERY_SQL, "op9_mixing": OP9_SQL, "op10_decontamination": OP10_SQL, "op11_vector_codes": _op11_sql(), "op13_conversation_repair": _op13_sql()}
