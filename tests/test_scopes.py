@@ -90,7 +90,8 @@ def test_hot_keys_take_the_broadcast_path(spark, monkeypatch):
     rows = [(i, 0, ["hot", f"k{i % 50}"] if i % 3 else ["hot"]) for i in range(300)] + [(300, 0, []), (301, 0, ["unknown"])]
     df = spark.createDataFrame(rows, "id int, scope int, keys array<string>")
     table = spark.createDataFrame([(0, "hot", "H")] + [(0, f"k{i}", f"v{i}") for i in range(50)], "scope int, k string, v string")
-    got = {r.id: r.m for r in attach_values(df, ["id"], "keys", table, ["scope"], "k", "v", "m").collect()}
+    df = stage(lookup.numbered_rows(df))
+    got = {r.id: r.m for r in attach_values(df, "keys", table, ["scope"], "k", "v", "m").collect()}
     assert len(got) == 302 and got[300] is None and not got[301]
     for i in range(300):
         assert got[i] == ({"hot": "H", f"k{i % 50}": f"v{i % 50}"} if i % 3 else {"hot": "H"})
@@ -184,6 +185,27 @@ def test_model_spans(spark):
     assert [s.type for s in custom.model_spans] == ["CUSTOM"]
 
 
+def test_model_spans_of_texts_without_an_id(spark):
+    texts = spark.createDataFrame([(None, "hi Zephyr ok"), (2, "by Zephyr"), (2, "or Zephyr")], "id int, text string")
+    spans = spark.createDataFrame([(None, 3, 9), (None, 3, 9), (2, 3, 9)], "id int, start int, end int")
+    done = redact(join_model_spans(texts, spans, ("id",)), model_spans=("model_spans",))
+    assert sorted(r.redacted for r in done.collect()) == ["by [NAME_1]", "hi [NAME_1] ok", "or [NAME_1]"]
+
+
+def test_repeated_and_null_ids(spark):
+    """Texts that share an id and a value are redacted and restored one by one."""
+    rows = [(None, 0, "a@b.com one"), (None, 1, "a@b.com two"), (7, 2, "a@b.com c@d.com"), (7, 3, "c@d.com"), (7, 4, "none")]
+    df = spark.createDataFrame([(i, "s", p, x) for i, p, x in rows], "id int, scope string, pos int, text string")
+    done = redact_batch(df, ["id"], ["scope"], ["pos"])
+    got = {r.pos: (r.id, r.redacted) for r in done.texts.collect()}
+    assert got == {
+        0: (None, "[EMAIL_1] one"), 1: (None, "[EMAIL_1] two"), 2: (7, "[EMAIL_1] [EMAIL_2]"), 3: (7, "[EMAIL_2]"), 4: (7, "none"),
+    }
+    back = rehydrate_from_rows(done.texts, done.tokens, ["id"], ["scope"], "redacted")
+    assert {r.pos: r.restored for r in back.collect()} == {p: x for _, p, x in rows}
+    assert set(back.columns) == {*done.texts.columns, "restored"}
+
+
 def test_model_replies(spark):
     rows = [('{"spans": [{"start": 3, "end": 9, "label": "PERSON"}, {"start": "x", "end": 2}]}',), ("[]",), ("{}",), ("nope",), ('[{"start": 0, "end": 2}]',)]
     got = [r[0] for r in spark.createDataFrame(rows, "j string").select(parse_spans(F.col("j"))).collect()]

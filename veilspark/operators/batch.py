@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.operators.detect import BUILT_IN, ColumnDetector, Detector, detect
-from veilspark.operators.lookup import attach_values, join_null_safe
+from veilspark.operators.lookup import ROW, attach_values, join_null_safe, numbered_rows
 from veilspark.operators.numbering import distinct_values, number_values
 from veilspark.operators.policy import LayeredPolicy, Policy
 from veilspark.operators.redact import replaced, reported, splice, token_key, tokenized, with_actions
@@ -55,13 +55,17 @@ def redact_batch(
 ) -> Batch:
     """Redact all texts of a scope under shared numbering.
 
-    ``ids`` identify a text, ``scope`` names the columns of its scope (a constant column for the
-    whole table) and ``order`` its place in the scope. Rows with a null scope
-    value share a scope; null ids match themselves.
+    ``ids`` name the columns that identify a text for the caller; they may be null or repeat, and every
+    row is still redacted on its own. ``scope`` names the columns of its scope (a constant column for
+    the whole table) and ``order`` its place in the scope. Rows with a null scope value share a scope.
     """
-    scope, order, ids = list(scope), list(order), list(ids)
+    missing = [c for c in ids if c not in df.columns]
+    if missing:
+        raise ValueError(f"no columns {missing}")
+    scope, order = list(scope), list(order)
     found = detect(df, text, detectors, "__spans", model_spans)
-    acted = stage(with_actions(found, policy or Policy(), "__spans", "__acted").drop("__spans"), "batch")
+    acted = with_actions(found, policy or Policy(), "__spans", "__acted").drop("__spans")
+    acted = stage(numbered_rows(acted), "batch")
 
     occurrences = (
         acted.where(F.exists("__acted", tokenized))
@@ -76,7 +80,7 @@ def redact_batch(
         "__keys", F.array_distinct(F.transform(F.filter("__acted", tokenized), token_key))
     )
     table = tokens.withColumn("__key", F.concat("display", F.lit(" "), "value"))
-    mapped = attach_values(keyed, ids, "__keys", table, scope, "__key", "placeholder", "__placeholders")
+    mapped = attach_values(keyed, "__keys", table, scope, "__key", "placeholder", "__placeholders")
     texts = (
         mapped.withColumn("__pieces", replaced(F.col("__acted"), F.map_entries("__placeholders"), unicode_mask))
         .withColumns(
@@ -86,7 +90,7 @@ def redact_batch(
                 "blocked": F.exists("__acted", lambda s: s["action"] == "block"),
             }
         )
-        .drop("__pieces", "__placeholders", "__keys", "__acted", text)
+        .drop("__pieces", "__placeholders", "__keys", "__acted", ROW, text)
     )
     hits = acted.where(F.size("__acted") > 0)
     scopes = hits.groupBy(*scope).agg(

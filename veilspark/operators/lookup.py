@@ -51,9 +51,16 @@ def join_hot(occurrences: DataFrame, table: DataFrame, on: Sequence[str], count:
     return warm.unionByName(cold)
 
 
+ROW = "__row"
+
+
+def numbered_rows(rows: DataFrame) -> DataFrame:
+    """Add a number that no two rows share. Stage the result, so that every reader sees the same numbers."""
+    return rows.withColumn(ROW, F.monotonically_increasing_id())
+
+
 def attach_values(
     rows: DataFrame,
-    ids: Sequence[str],
     keys: str,
     table: DataFrame,
     on: Sequence[str],
@@ -61,23 +68,23 @@ def attach_values(
     value: str,
     out: str,
 ) -> DataFrame:
-    """Add ``out``, a map from each of the row's ``keys`` to its table value. Null ids and null ``on`` values match themselves.
+    """Add ``out``, a map from each of the row's ``keys`` to its table value. Null ``on`` values match themselves.
 
-    ``rows`` hold unique ``ids``, the columns ``on`` and the array column ``keys``. ``table`` holds
-    ``on``, ``key`` and ``value``, unique per ``on`` and ``key``. Rows without keys skip every
-    shuffle. A row's map is no larger than the row's own list of keys.
+    ``rows`` are staged :func:`numbered_rows` with the columns ``on`` and the array column ``keys``: a
+    row is known by its number, so ids may be null or repeat. ``table`` holds ``on``, ``key`` and
+    ``value``, unique per ``on`` and ``key``. Rows without keys skip every shuffle. A row's map is no
+    larger than the row's own list of keys.
     """
     on = list(on)
-    ids = list(ids)
     with_keys = rows.where(F.size(keys) > 0)
     without = rows.where(F.coalesce(F.size(keys), F.lit(0)) <= 0)
-    pairs = with_keys.select(*dict.fromkeys([*ids, *on]), F.explode(F.array_distinct(keys)).alias(key))
+    pairs = with_keys.select(ROW, *on, F.explode(F.array_distinct(keys)).alias(key))
     counts = pairs.groupBy(*on, key).agg(F.count("*").alias("__n"))
     used = stage(join_null_safe(counts, table.select(*on, key, value), [*on, key]), "lookup")
     joined = join_hot(pairs, used, [*on, key], "__n")
-    maps = joined.groupBy(*ids).agg(
+    maps = joined.groupBy(ROW).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col(key), F.col(value)))).alias(out)
     )
-    found = join_null_safe(with_keys, maps, ids, "left")
+    found = with_keys.join(maps, ROW, "left")
     nothing = F.lit(None).cast(maps.schema[out].dataType)
     return found.unionByName(without.withColumn(out, nothing))

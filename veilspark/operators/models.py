@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from veilspark.functions.hof import empty
 from veilspark.functions.kinds import ENTITY_TYPES, SPANS
 from veilspark.operators.detect import MODEL_RANK, cut_spans
+from veilspark.operators.lookup import join_null_safe
 
 OFFSETS = "array<struct<start:int,end:int,type:string>>"
 
@@ -56,8 +57,9 @@ def join_model_spans(
     """Left-join a spans table ``(ids, start, end[, type])`` and add the usable spans as ``out``.
 
     A type outside the known ones fails the job; name ``kind`` to map all of them to one. Spans are
-    grouped per text first, so the join is one to one on unique ids and cannot be skewed;
-    adaptive execution broadcasts a small span side instead of shuffling the texts.
+    grouped per text first, so the join cannot be skewed by spans; adaptive execution broadcasts a small
+    span side instead of shuffling the texts. Null ids match themselves, and texts that share an id
+    share its spans.
     """
     ids = list(ids)
     typed = spans if "type" in spans.columns else spans.withColumn("type", F.lit(kind or "NAME"))
@@ -67,12 +69,12 @@ def join_model_spans(
     known = typed.withColumn("type", F.when(F.col("type").isin(*ENTITY_TYPES), F.col("type")).otherwise(unknown))
     grouped = known.groupBy(*ids).agg(
         F.sort_array(
-            F.collect_list(
+            F.collect_set(
                 F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "type")
             )
         ).alias("__offsets")
     )
-    joined = texts.join(grouped, ids, "left")
+    joined = join_null_safe(texts, grouped, ids, "left")
     cut = cut_spans(F.col("__offsets"), F.col(text), None, None, rank)
     return joined.withColumn(out, F.coalesce(cut, empty(SPANS))).drop("__offsets")
 

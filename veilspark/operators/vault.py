@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions.kinds import TOKEN_MAP, VAULT_MAX_ENTRIES, VAULT_TTL_MS
-from veilspark.operators.lookup import attach_values
+from veilspark.operators.lookup import ROW, attach_values, numbered_rows
 from veilspark.operators.rehydrate import rehydrate, tokens_in
 from veilspark.operators.staging import stage
 
@@ -167,12 +167,13 @@ def rehydrate_from_rows(
 ) -> DataFrame:
     """Rehydrate against token rows ``(scope…, placeholder, value)`` of any size.
 
-    Each text looks up only the placeholders it holds; texts with none are not shuffled.
+    Each text looks up only the placeholders it holds; texts with none are not shuffled. ``ids`` name
+    the caller's columns and may be null or repeat.
     """
     held = F.when(F.contains(text, F.lit("[")), F.array_distinct(tokens_in(F.col(text)))).otherwise(
         F.array().cast("array<string>")
     )
     # Written once: the texts may be a long plan, and the lookup reads them four times.
-    keyed = stage(texts.withColumn("__keys", held), "keyed")
-    mapped = attach_values(keyed, ids, "__keys", tokens, scope, "placeholder", "value", "__map")
-    return mapped.withColumn(out, rehydrate(F.col(text), F.col("__map"))).drop("__map", "__keys")
+    keyed = stage(numbered_rows(texts.withColumn("__keys", held)), "keyed")
+    mapped = attach_values(keyed, "__keys", tokens, scope, "placeholder", "value", "__map")
+    return mapped.withColumn(out, rehydrate(F.col(text), F.col("__map"))).drop("__map", "__keys", ROW)

@@ -177,37 +177,26 @@ def message_write_back(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _token_vault(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Chats redacted per conversation, and their token rows in a written vault, written twice. The
-    maps of every fifth conversation have expired at second 1704067200."""
+def _token_vault(spark: SparkSession, sf: str, at: int = 1704067200) -> tuple[DataFrame, DataFrame]:
+    """Chats redacted per conversation, and their token rows in a written vault, written twice, as they
+    are live at second ``at``. The maps of every fifth conversation expire at second 1704067200, the
+    others 15 minutes later."""
     batch = _chat_batch(spark, sf, BLOCK_SSN)
     made = F.timestamp_seconds(F.lit(1704067200) - F.when(F.col("conv_id") % 5 == 0, 900).otherwise(0))
     path = staging_path(spark, "token-vault")
     rows = to_token_vault(batch.passed_tokens(), ("conv_id",), "run", made, secret="s")
     for _ in range(2):
         write_vault(rows, path)
-    return batch.passed(), live_tokens(spark.read.parquet(path), F.timestamp_seconds(F.lit(1704067200)), ("conv_id",))
+    return batch.passed(), live_tokens(spark.read.parquet(path), F.timestamp_seconds(F.lit(at)), ("conv_id",))
 
 
-def chat_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """Redact conversations, store their tokens, and restore the redacted turns from the stored rows."""
-    texts, tokens = _token_vault(spark, sf)
-    restored = rehydrate_from_rows(texts.where("conv_id % 5 <> 0"), tokens, ("conv_id", "turn"), ("conv_id",), "redacted")
-    return restored.select("conv_id", "turn", "restored")
-
-
-def token_vault_expiry(spark: SparkSession, sf: str) -> DataFrame:
-    """Expired maps restore nothing: the turns stay as redacted."""
-    texts, tokens = _token_vault(spark, sf)
-    restored = rehydrate_from_rows(texts.where("conv_id % 5 = 0"), tokens, ("conv_id", "turn"), ("conv_id",), "redacted")
-    return restored.select("conv_id", "turn", "restored")
-
+def _from_token_vault(at: int) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        texts, tokens = _token_vault(spark, sf, at)
+        restored = rehydrate_from_rows(texts, tokens, ("conv_id", "turn"), ("conv_id",), "redacted")
+        return restored.select("conv_id", "turn", "restored")
 
-def token_vault_all(spark: SparkSession, sf: str) -> DataFrame:
-    """All conversations in one lookup: live ones come back as they were, expired ones as redacted."""
-    texts, tokens = _token_vault(spark, sf)
-    restored = rehydrate_from_rows(texts, tokens, ("conv_id", "turn"), ("conv_id",), "redacted")
-    return restored.select("conv_id", "turn", "restored")
+    return run
 
 
 def detect_all(spark: SparkSession, sf: str) -> DataFrame:
@@ -348,28 +337,21 @@ def custom_pattern_classes(spark: SparkSession, sf: str) -> DataFrame:
     return _spans_out(found, "doc_id").select("doc_id", "label", "start", "end", "value")
 
 
-def redact_long_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """All notes joined into sixteen long texts, redacted and restored."""
-    lines = F.sort_array(F.collect_list(F.struct("note_id", "text")))
-    long = t.notes(spark, sf).groupBy((F.col("note_id") % 16).alias("part")).agg(lines.alias("l"))
-    done = redact(long.select("part", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("text")))
-    return done.select(
-        "part",
-        (F.size("token_map") > 0).alias("found"),
-        rehydrate(F.col("redacted"), F.col("token_map")).alias("restored"),
-    )
+def _joined_notes(size: int) -> Query:
+    """Every ``size`` notes joined into one long text, redacted and restored; the texts grow in number only."""
 
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        lines = F.sort_array(F.collect_list(F.struct("note_id", "text")))
+        part = F.floor(F.col("note_id") / size).cast("long").alias("part")
+        long = t.notes(spark, sf).groupBy(part).agg(lines.alias("l"))
+        done = redact(long.select("part", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("text")))
+        return done.select(
+            "part",
+            (F.size("token_map") > 0).alias("found"),
+            rehydrate(F.col("redacted"), F.col("token_map")).alias("restored"),
+        )
 
-def redact_joined_notes(spark: SparkSession, sf: str) -> DataFrame:
-    """Every 500 notes joined into one long text, redacted and restored; the texts grow in number only."""
-    lines = F.sort_array(F.collect_list(F.struct("note_id", "text")))
-    long = t.notes(spark, sf).groupBy(F.floor(F.col("note_id") / 500).cast("long").alias("part")).agg(lines.alias("l"))
-    done = redact(long.select("part", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("text")))
-    return done.select(
-        "part",
-        (F.size("token_map") > 0).alias("found"),
-        rehydrate(F.col("redacted"), F.col("token_map")).alias("restored"),
-    )
+    return run
 
 
 def term_dictionary_join(spark: SparkSession, sf: str) -> DataFrame:
@@ -409,6 +391,13 @@ def redact_with_model(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(redact(joined, model_spans=("model_spans",)), "note_id")
 
 
+def redact_model_null_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third note has no id, and neither have its spans."""
+    notes = t.notes(spark, sf).withColumn("id", F.when(F.col("note_id") % 3 > 0, F.col("note_id")))
+    spans = _model_table(notes.select(F.col("id").alias("note_id"))).withColumnRenamed("note_id", "id")
+    return _shown(redact(join_model_spans(notes, spans, ("id",)), model_spans=("model_spans",)), "note_id")
+
+
 def model_plugin(spark: SparkSession, sf: str) -> DataFrame:
     def load():
         return lambda texts: [[(11, 29), (2, 2)] for _ in texts]
@@ -442,6 +431,13 @@ def redact_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return passed.select("conv_id", "turn", "redacted", F.size("entities").cast("long").alias("n_entities"))
 
 
+def redact_repeated_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Chats whose turns all carry their conversation's number as id, redacted and restored."""
+    done = redact_batch(t.chats(spark, sf), ("conv_id",), ("conv_id",), ("turn",))
+    back = rehydrate_from_rows(done.texts, done.tokens, ("conv_id",), ("conv_id",), "redacted")
+    return back.select("conv_id", "turn", "redacted", "restored")
+
+
 def redact_null_scopes(spark: SparkSession, sf: str) -> DataFrame:
     """Every third conversation has no scope of its own; together they are one."""
     chats = t.chats(spark, sf).withColumn("scope", F.when(F.col("conv_id") % 3 > 0, F.col("conv_id")))
@@ -666,11 +662,12 @@ def queries() -> dict[str, Query]:
         "message_reassemble": message_reassemble,
         "message_write_back": message_write_back,
         "custom_pattern_classes": custom_pattern_classes,
-        "redact_long_texts": redact_long_texts,
-        "redact_joined_notes": redact_joined_notes,
-        "token_vault_all": token_vault_all,
-        "chat_round_trip": chat_round_trip,
-        "token_vault_expiry": token_vault_expiry,
+        "redact_long_texts": _joined_notes(1000),
+        "redact_joined_notes": _joined_notes(500),
+        # Live and expired conversations in one lookup; all live; all expired.
+        "token_vault_all": _from_token_vault(1704067200),
+        "chat_round_trip": _from_token_vault(1704067199),
+        "token_vault_expiry": _from_token_vault(1704068100),
         **{f"detect_{x.type.lower()}": _detect(x) for x in d.BUILT_IN},
         "detect_all": detect_all,
         "overlap_resolution": overlap_resolution,
@@ -691,6 +688,7 @@ def queries() -> dict[str, Query]:
         "term_dictionary_join": term_dictionary_join,
         "model_spans": model_spans,
         "redact_with_model": redact_with_model,
+        "redact_model_null_ids": redact_model_null_ids,
         "model_plugin": model_plugin,
         "column_plugin": column_plugin,
         "redact_conversations": redact_conversations,
@@ -717,6 +715,7 @@ def queries() -> dict[str, Query]:
         "chunk_frames": query_chunk_frames,
         "vault_rewritten": vault_rewritten,
         "redact_null_scopes": redact_null_scopes,
+        "redact_repeated_ids": redact_repeated_ids,
         "vault_round_trip": vault_round_trip,
         "vault_misses": vault_misses,
         "vault_size": query_vault_size,

@@ -325,18 +325,15 @@ def oracle_sql() -> dict[str, str]:
         "WITH " + spans(DOCS, "doc_id", [], {"any": CLASSES.replace(r"[^\S]", r"\s")})
         + ' SELECT doc_id, label, start, "end", value FROM spans'
     )
-    sql["redact_long_texts"] = f"""SELECT note_id % 16 AS part, true AS found,
-      string_agg(text, chr(10) ORDER BY note_id) AS restored FROM ({NOTES}) GROUP BY note_id % 16"""
-    sql["redact_joined_notes"] = f"""SELECT CAST(note_id // 500 AS BIGINT) AS part, true AS found,
-      string_agg(text, chr(10) ORDER BY note_id) AS restored FROM ({NOTES}) GROUP BY note_id // 500"""
+    for name, size in (("redact_long_texts", 1000), ("redact_joined_notes", 500)):
+        sql[name] = f"""SELECT CAST(note_id // {size} AS BIGINT) AS part, true AS found,
+          string_agg(text, chr(10) ORDER BY note_id) AS restored FROM ({NOTES}) GROUP BY note_id // {size}"""
     sql["message_write_back"] = _chat() + """ SELECT r.conv_id, r.turn, r.redacted,
       'm|assistant|-|c1|ann|' || c.role || CASE WHEN r.turn % 2 = 1 THEN '|image|not text' ELSE '' END AS rest
       FROM rendered r JOIN conversations c ON c.conv_id = r.conv_id AND c.turn = r.turn"""
     kept_chats = "conv_id NOT IN (SELECT conv_id FROM conversations WHERE conv_id % 10 = 3 AND turn = 1)"
-    sql["chat_round_trip"] = f"""SELECT conv_id, turn, text AS restored FROM ({CHATS})
-      WHERE conv_id % 5 <> 0 AND {kept_chats}"""
-    sql["token_vault_expiry"] = _chat(CHAT_ACTION) + f""" SELECT conv_id, turn, redacted AS restored FROM rendered
-      WHERE conv_id % 5 = 0 AND {kept_chats}"""
+    sql["chat_round_trip"] = f"SELECT conv_id, turn, text AS restored FROM ({CHATS}) WHERE {kept_chats}"
+    sql["token_vault_expiry"] = _chat(CHAT_ACTION) + f" SELECT conv_id, turn, redacted AS restored FROM rendered WHERE {kept_chats}"
     sql["token_vault_all"] = _chat(CHAT_ACTION) + f""" SELECT r.conv_id, r.turn,
       CASE WHEN r.conv_id % 5 = 0 THEN r.redacted ELSE c.text END AS restored
       FROM rendered r JOIN ({CHATS}) c ON c.conv_id = r.conv_id AND c.turn = r.turn WHERE r.{kept_chats}"""
@@ -404,6 +401,7 @@ def oracle_sql() -> dict[str, str]:
         ]
     )
     sql["redact_with_model"] = model_redaction + f" SELECT note_id, {REDACTED} FROM rendered"
+    sql["redact_model_null_ids"] = sql["redact_with_model"]
     sql["model_plugin"] = model_redaction + f" SELECT note_id, {REDACTED} FROM rendered"
     sql["column_plugin"] = redaction(
         NOTES, "note_id", extra={"account": r"\bAccount\b"}
@@ -411,6 +409,8 @@ def oracle_sql() -> dict[str, str]:
     sql["redact_conversations"] = _chat(CHAT_ACTION) + """
       SELECT conv_id, turn, redacted, n_entities FROM rendered
       WHERE conv_id NOT IN (SELECT conv_id FROM rendered WHERE blocked)"""
+    sql["redact_repeated_ids"] = _chat() + f""" SELECT r.conv_id, r.turn, r.redacted, c.text AS restored
+      FROM rendered r JOIN ({CHATS}) c ON c.conv_id = r.conv_id AND c.turn = r.turn"""
     sql["numbering_conversation"] = _chat() + " SELECT conv_id, placeholder, value FROM numbered"
     sql["numbering_table"] = _chat(scope="", order="conv_id, turn, start") + " SELECT placeholder, value FROM numbered"
     sql["redact_table_scope"] = (
