@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import patterns as p
 from veilspark.functions.kinds import MAX_STREAM_HOLD
-from veilspark.operators.rehydrate import rehydrate
+from veilspark.operators.lookup import ROW, attach_values, join_null_safe, numbered_rows
+from veilspark.operators.rehydrate import rehydrate, tokens_in
 from veilspark.operators.staging import stage
 
 RANGE_BITS = 12
@@ -33,17 +34,33 @@ def held_tail(text: Column, max_hold: int) -> Column:
     return F.when(F.length(tail) <= max_hold, tail).otherwise("")
 
 
+def restored_texts(rows: DataFrame, text: str, out: str, maps: DataFrame | None, tokens: DataFrame | None) -> DataFrame:
+    """Rows of streams with ``out``, their text restored from ``maps`` (``stream_id, token_map``) or from
+    token rows (``stream_id, placeholder, value``) of any size. Only texts with a bracket look anything up."""
+    may = F.contains(text, F.lit("["))
+    plain = rows.where(~may).withColumn(out, F.col(text))
+    if tokens is None:
+        known = join_null_safe(rows.where(may), maps.select("stream_id", "token_map"), ["stream_id"], "left")
+        return known.withColumn(out, rehydrate(F.col(text), F.col("token_map"))).drop("token_map").unionByName(plain)
+    keyed = stage(numbered_rows(rows.where(may).withColumn("__keys", F.array_distinct(tokens_in(F.col(text))))), "keyed")
+    found = attach_values(keyed, "__keys", tokens, ("stream_id",), "placeholder", "value", "__map")
+    return found.withColumn(out, rehydrate(F.col(text), F.col("__map"))).drop("__map", "__keys", ROW).unionByName(plain)
+
+
 def rehydrate_chunks(
     chunks: DataFrame,
-    maps: DataFrame,
+    maps: DataFrame | None = None,
     max_hold: int = MAX_STREAM_HOLD,
     enabled: bool = True,
     flush_at_end: bool = True,
+    tokens: DataFrame | None = None,
+    range_bits: int = RANGE_BITS,
 ) -> DataFrame:
     """``stream_id, seq, choice, tool_idx, text, flushed`` from chunk rows.
 
     ``chunks``: ``stream_id, seq, choice, tool_idx, fragment, finished, done``; ``maps``:
-    ``stream_id, token_map``. A ``finished`` row releases the tail of its own sequence, a ``done`` row
+    ``stream_id, token_map``, or ``tokens``, rows ``stream_id, placeholder, value`` as a vault holds them.
+    Streams are cut into ranges of ``2 ** range_bits`` sequence numbers. A ``finished`` row releases the tail of its own sequence, a ``done`` row
     all tails of its stream, as extra rows marked ``flushed``. A stream that just stops releases its
     tails after its last row unless ``flush_at_end`` is off. Without ``enabled`` chunks pass unchanged.
     """
@@ -57,7 +74,7 @@ def rehydrate_chunks(
         .withColumn("fragment", F.coalesce(F.col("fragment"), F.lit("")))
         # A finished sequence starts anew; a line break can not be part of a held tail.
         .withColumn("__text", F.concat("fragment", F.when(F.col("finished"), "\n").otherwise("")))
-        .withColumn("__range", F.shiftright(F.col("seq").cast("long"), RANGE_BITS))
+        .withColumn("__range", F.shiftright(F.col("seq").cast("long"), range_bits))
     )
     filled = rows.where(F.col("__text") != "")
     blank = rows.where(F.col("__text") == "")
@@ -71,7 +88,7 @@ def rehydrate_chunks(
     )
     earlier = Window.partitionBy(*_KEY).orderBy("__range").rowsBetween(-max_hold, -1)
     incoming = ends.select(*_KEY, "__range", F.array_join(F.collect_list("__end").over(earlier), "").alias("__in"))
-    known = local.join(incoming, [*_KEY, "__range"])
+    known = join_null_safe(local, incoming, [*_KEY, "__range"])
     before = F.right(F.concat("__in", "__before"), F.lit(max_hold))
     buffered = known.withColumn("__buffer", F.concat(held_tail(before, max_hold), "fragment")).withColumn(
         "__held", F.when(F.col("finished"), "").otherwise(held_tail(F.col("__buffer"), max_hold))
@@ -79,13 +96,8 @@ def rehydrate_chunks(
     safe = F.substring("__buffer", F.lit(1), F.length("__buffer") - F.length("__held"))
     buffered = stage(buffered.withColumn("__safe", safe).drop("__before", "__in", "__text"), "buffered")
     shown = ["stream_id", "seq", "choice", "tool_idx", "text", "flushed"]
-    # Only chunks that may hold a placeholder meet the maps.
-    holding = buffered.where(F.contains("__safe", F.lit("["))).join(
-        maps.select("stream_id", "token_map"), "stream_id", "left"
-    )
-    plain = buffered.where(~F.contains("__safe", F.lit("["))).withColumn("text", F.col("__safe"))
-    restored = holding.withColumn("text", rehydrate(F.col("__safe"), F.col("token_map")))
-    emitted = restored.select(*shown[:-1]).unionByName(plain.select(*shown[:-1])).withColumn("flushed", F.lit(False))
+    safe_rows = buffered.select(*shown[:4], "__safe")
+    emitted = restored_texts(safe_rows, "__safe", "text", maps, tokens).withColumn("flushed", F.lit(False))
     silent = blank.withColumn("text", F.lit("")).withColumn("flushed", F.lit(False))
 
     # What is still held after the last chunk of a sequence.
@@ -93,6 +105,6 @@ def rehydrate_chunks(
         F.max_by(F.struct("seq", "choice", "tool_idx", F.col("__held").alias("text")), "seq").alias("l")
     ).select("stream_id", "l.*").where(F.col("text") != "")
     closed = chunks.where("done").groupBy("stream_id").agg(F.max("seq").alias("__done"))
-    tails = last.join(closed, "stream_id", "left" if flush_at_end else "inner")
+    tails = join_null_safe(last, closed, ["stream_id"], "left" if flush_at_end else "inner")
     flushed = tails.withColumn("seq", F.coalesce("__done", "seq")).withColumn("flushed", F.lit(True))
     return emitted.select(*shown).unionByName(silent.select(*shown)).unionByName(flushed.select(*shown))

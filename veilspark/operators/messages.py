@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.hof import let
-from veilspark.operators.lookup import join_null_safe
-from veilspark.operators.rehydrate import rehydrate
-
+from veilspark.operators.lookup import ROW, attach_values, join_null_safe, numbered_rows
+from veilspark.operators.rehydrate import rehydrate, tokens_in
+from veilspark.operators.staging import stage
 
 
 def flatten_messages(df: DataFrame, body: str = "body", ids: Sequence[str] = ("conv_id",)) -> DataFrame:
@@ -63,15 +63,15 @@ def reassemble_messages(
     return grouped.select(*ids, "msg_idx", "role", content.alias("content"))
 
 
-def _kind(v: Column) -> Column:
+def kind_of(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
 
 
 def _field(v: Column, name: str) -> Column:
-    return F.when(_kind(v).startswith("OBJECT"), F.try_variant_get(v, f"$.{name}", "variant"))
+    return F.when(kind_of(v).startswith("OBJECT"), F.try_variant_get(v, f"$.{name}", "variant"))
 
 
-def _with_field(v: Column, name: str, edit: Callable[[Column], Column]) -> Column:
+def edit_field(v: Column, name: str, edit: Callable[[Column], Column]) -> Column:
     """The object variable ``v`` with one field edited; unchanged where ``edit`` gives null."""
 
     def put(new: Column) -> Column:
@@ -82,11 +82,11 @@ def _with_field(v: Column, name: str, edit: Callable[[Column], Column]) -> Colum
     return let(let(_field(v, name), edit), put)
 
 
-def _each(v: Column, edit: Callable[..., Column]) -> Column:
+def edit_elements(v: Column, edit: Callable[..., Column]) -> Column:
     """A variant array with ``edit`` applied to its elements, and to their places if it takes two
     arguments; null for anything else."""
     edited = F.transform(v.cast("array<variant>"), edit)
-    return F.when(_kind(v).startswith("ARRAY"), F.to_variant_object(edited))
+    return F.when(kind_of(v).startswith("ARRAY"), F.to_variant_object(edited))
 
 
 def write_back(
@@ -111,19 +111,38 @@ def write_back(
 
     def new_text(v: Column, i: Column, j: Column) -> Column:
         found = F.try_element_at("__edits", F.concat_ws(":", i, j))
-        return F.when(_kind(v) == "STRING", found.cast("variant"))
+        return F.when(kind_of(v) == "STRING", found.cast("variant"))
 
     def content(v: Column, i: Column) -> Column:
-        parts = _each(v, lambda part, j: _with_field(part, "text", lambda t: new_text(t, i, j)))
+        parts = edit_elements(v, lambda part, j: edit_field(part, "text", lambda t: new_text(t, i, j)))
         return F.coalesce(new_text(v, i, F.lit(-1)), parts)
 
     def message(v: Column, i: Column) -> Column:
-        return F.when(_kind(v).startswith("OBJECT"), _with_field(v, "content", lambda c: content(c, i))).otherwise(v)
+        return F.when(kind_of(v).startswith("OBJECT"), edit_field(v, "content", lambda c: content(c, i))).otherwise(v)
 
-    edited = let(F.try_parse_json(body), lambda b: F.to_json(_with_field(b, "messages", lambda ms: _each(ms, message))))
+    edited = let(F.try_parse_json(body), lambda b: F.to_json(edit_field(b, "messages", lambda ms: edit_elements(ms, message))))
     return joined.withColumn(body, F.when(F.col("__edits").isNotNull(), edited).otherwise(F.col(body))).drop("__edits")
 
 
+def rehydrate_replies(
+    replies: DataFrame,
+    tokens: DataFrame,
+    scope: Sequence[str],
+    reply: str = "reply",
+    out: str = "restored",
+    json_escape: bool = False,
+) -> DataFrame:
+    """Replies (JSON text) restored from token rows ``(scope…, placeholder, value)`` of any size.
+
+    Each reply looks up only the placeholders it holds, also those written with JSON escapes. Null
+    scopes match themselves; replies may repeat.
+    """
+    spelled = F.coalesce(F.to_json(F.try_parse_json(reply)), F.col(reply), F.lit(""))
+    keyed = stage(numbered_rows(replies.withColumn("__keys", F.array_distinct(tokens_in(spelled)))), "keyed")
+    found = attach_values(keyed, "__keys", tokens, scope, "placeholder", "value", "__map")
+    return found.withColumn(out, rehydrate_reply(F.col(reply), F.col("__map"), json_escape)).drop("__map", "__keys", ROW)
+
+
 def rehydrate_reply(reply: Column, token_map: Column, json_escape: bool = False) -> Column:
     """A chat-completion reply (JSON text) with its placeholders restored.
 
@@ -134,27 +153,27 @@ def rehydrate_reply(reply: Column, token_map: Column, json_escape: bool = False)
 
     def swap(v: Column, escape: bool = False) -> Column:
         restored = let(v.cast("string"), lambda text: rehydrate(text, token_map, escape))
-        return F.when(_kind(v) == "STRING", restored.cast("variant"))
+        return F.when(kind_of(v) == "STRING", restored.cast("variant"))
 
     def content(v: Column) -> Column:
-        return F.coalesce(swap(v), _each(v, lambda part: _with_field(part, "text", lambda text: swap(text))))
+        return F.coalesce(swap(v), edit_elements(v, lambda part: edit_field(part, "text", lambda text: swap(text))))
 
     def function(v: Column) -> Column:
-        return F.when(_kind(v).startswith("OBJECT"), _with_field(v, "arguments", lambda a: swap(a, json_escape)))
+        return F.when(kind_of(v).startswith("OBJECT"), edit_field(v, "arguments", lambda a: swap(a, json_escape)))
 
     def calls(v: Column) -> Column:
-        return _each(v, lambda call: _with_field(call, "function", function))
+        return edit_elements(v, lambda call: edit_field(call, "function", function))
 
     def message(v: Column) -> Column:
-        changed = let(_with_field(v, "content", content), lambda m: _with_field(m, "tool_calls", calls))
-        return F.when(_kind(v).startswith("OBJECT"), changed)
+        changed = let(edit_field(v, "content", content), lambda m: edit_field(m, "tool_calls", calls))
+        return F.when(kind_of(v).startswith("OBJECT"), changed)
 
     def choices(v: Column) -> Column:
-        return _each(v, lambda choice: _with_field(choice, "message", message))
+        return edit_elements(v, lambda choice: edit_field(choice, "message", message))
 
     return let(
         F.try_parse_json(reply),
         lambda body: F.when(
-            _kind(_field(body, "choices")).startswith("ARRAY"), F.to_json(_with_field(body, "choices", choices))
+            kind_of(_field(body, "choices")).startswith("ARRAY"), F.to_json(edit_field(body, "choices", choices))
         ).otherwise(reply),
     )

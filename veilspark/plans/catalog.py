@@ -23,7 +23,8 @@ from veilspark.operators.audit import (
 )
 from veilspark.operators.batch import Batch, redact_batch
 from veilspark.operators.chunks import rehydrate_chunks
-from veilspark.operators.messages import flatten_messages, reassemble_messages, rehydrate_reply, write_back
+from veilspark.operators.events import rehydrate_events
+from veilspark.operators.messages import flatten_messages, reassemble_messages, rehydrate_replies, rehydrate_reply, write_back
 from veilspark.operators.models import detect_with_model, join_model_spans
 from veilspark.operators.overlaps import resolve_overlaps
 from veilspark.operators.policy import LayeredPolicy, Policy, with_key_policy
@@ -48,10 +49,17 @@ from veilspark.operators.vault import (
 )
 from veilspark.plans import tables as t
 from veilspark.plans.oracles import BUCKET_LIMIT, BUCKET_WINDOW_MS, CLASSES, LIMIT, LIMIT_WINDOW_SEC
+from veilspark.sources.bytes import lines_of_chunks
 from veilspark.sources.chunks import chunk_frames, parse_chunk_lines
 from veilspark.sources.policies import checked_policies, request_policy
 from veilspark.sources.text import split_overlong
-from veilspark.streaming.stateful import admit_stream, rate_limit_stream, rehydrate_chunk_stream
+from veilspark.streaming.stateful import (
+    admit_stream,
+    line_stream,
+    rate_limit_stream,
+    rehydrate_chunk_stream,
+    rehydrate_event_stream,
+)
 from veilspark.streaming.stateless import (
     drain,
     drain_totals,
@@ -465,14 +473,14 @@ def rehydrate_table_scope(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def reply_rehydration(spark: SparkSession, sf: str) -> DataFrame:
-    """Replies as JSON, with a tool call and an id that must stay as it is."""
-    replies = t.replies(spark, sf)
+def _reply_bodies(replies: DataFrame) -> DataFrame:
     call = F.struct(F.struct(F.lit('{"to":"[EMAIL_1]"}').alias("arguments")).alias("function"))
     message = F.struct(F.col("text").alias("content"), F.array(call).alias("tool_calls"))
     body = F.to_json(F.struct(F.lit("[EMAIL_1]").alias("id"), F.array(F.struct(message.alias("message"))).alias("choices")))
-    sent = replies.withColumn("reply", body).join(t.reply_maps(replies), "stream_id")
-    done = sent.select("stream_id", rehydrate_reply(F.col("reply"), F.col("token_map")).alias("reply"))
+    return replies.withColumn("reply", body)
+
+
+def _reply_shown(done: DataFrame) -> DataFrame:
     return done.select(
         "stream_id",
         F.get_json_object("reply", "$.choices[0].message.content").alias("content"),
@@ -481,6 +489,20 @@ def reply_rehydration(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def reply_rehydration(spark: SparkSession, sf: str) -> DataFrame:
+    """Replies as JSON, with a tool call and an id that must stay as it is."""
+    replies = t.replies(spark, sf)
+    sent = _reply_bodies(replies).join(t.reply_maps(replies), "stream_id")
+    return _reply_shown(sent.select("stream_id", rehydrate_reply(F.col("reply"), F.col("token_map")).alias("reply")))
+
+
+def reply_token_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The same replies restored from token rows, as the vault holds them."""
+    replies = t.replies(spark, sf)
+    done = rehydrate_replies(_reply_bodies(replies), t.reply_tokens(replies), ("stream_id",))
+    return _reply_shown(done.select("stream_id", F.col("restored").alias("reply")))
+
+
 def _audit(spark: SparkSession, sf: str) -> DataFrame:
     return audit_events(_notes_redacted(spark, sf), "note_id", "/v1/redact", _ts())
 
@@ -566,6 +588,53 @@ def query_chunk_frames(spark: SparkSession, sf: str) -> DataFrame:
     return frames.withColumn("part", F.col("part").cast("long"))
 
 
+def _event_shown(frames: DataFrame) -> DataFrame:
+    """What a reader takes from each line; the line itself where it holds no content."""
+    v = F.try_parse_json(F.substring("line", 7, 2_000_000_000))
+    got = lambda path: F.try_variant_get(v, path, "string")
+    shown = frames.select(
+        "stream_id", "seq", F.col("part").cast("long").alias("part"), got("$.id").alias("id"),
+        got("$.choices[0].delta.content").alias("content"), got("$.choices[0].finish_reason").alias("finish"), "line",
+    )
+    return shown.withColumn("line", F.when(F.col("content").isNull(), F.col("line")))
+
+
+def event_write_back(spark: SparkSession, sf: str) -> DataFrame:
+    """Replies received as event lines, with ids, models, finish reasons, usage and broken lines."""
+    replies = t.replies(spark, sf)
+    return _event_shown(rehydrate_events(t.reply_lines(replies), t.reply_maps(replies)))
+
+
+def event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    source = read_stream(spark, sf, "conversations.parquet", t.table(spark, sf, "conversations").schema)
+    replies = source.selectExpr("conv_id", "turn", "conv_id || ':' || turn AS stream_id", f"{t.reply_text()} AS text")
+    maps = t.reply_maps(t.replies(spark, sf))
+    return _event_shown(drain(rehydrate_event_stream(t.reply_lines(replies), maps), "events"))
+
+
+def chunk_token_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks restored from token rows, as the vault holds them."""
+    replies = t.replies(spark, sf)
+    done = rehydrate_chunks(t.reply_chunks(replies), tokens=t.reply_tokens(replies))
+    return done.select("stream_id", "seq", "text", "flushed")
+
+
+def byte_chunk_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents sent as byte chunks, cut anywhere, and put together to lines."""
+    return lines_of_chunks(t.document_bytes(spark, sf), ("doc_id",))
+
+
+def byte_chunk_stream(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = read_stream(spark, sf, "documents.parquet", t.table(spark, sf, "documents").schema).selectExpr(
+        "CAST(doc_id AS STRING) AS stream_id",
+        "posexplode(transform(sequence(0, CAST(octet_length(text) DIV 997 AS INT)), "
+        "i -> substring(CAST(text AS BINARY), i * 997 + 1, 997))) AS (seq, bytes)",
+        "octet_length(text) DIV 997 AS final",
+    ).withColumn("last", F.col("seq") == F.col("final"))
+    done = drain(line_stream(chunks), "lines")
+    return done.select(F.col("stream_id").cast("long").alias("doc_id"), "line_no", "line")
+
+
 def chunk_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Chunk rows written out as event lines and parsed back, with a broken and a tool-call line."""
     replies = t.replies(spark, sf)
@@ -713,6 +782,12 @@ def queries() -> dict[str, Query]:
         "chunk_stream": chunk_stream,
         "chunk_lines": chunk_lines,
         "chunk_frames": query_chunk_frames,
+        "event_write_back": event_write_back,
+        "event_stream": event_stream,
+        "chunk_token_rows": chunk_token_rows,
+        "reply_token_rows": reply_token_rows,
+        "byte_chunk_lines": byte_chunk_lines,
+        "byte_chunk_stream": byte_chunk_stream,
         "vault_rewritten": vault_rewritten,
         "redact_null_scopes": redact_null_scopes,
         "redact_repeated_ids": redact_repeated_ids,

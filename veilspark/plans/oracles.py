@@ -458,6 +458,25 @@ def oracle_sql() -> dict[str, str]:
         'data: {{"choices":[{{"index":0,"delta":{{"content":' || CAST(to_json(text) AS VARCHAR) || '}}}}]}}' AS line
       FROM emitted WHERE text <> ''
       UNION ALL SELECT stream_id, (length(text) - 1) // 7 + 1, 2, 'data: [DONE]' FROM replies"""
+    sql["chunk_token_rows"] = sql["chunk_rehydration"]
+    sql["reply_token_rows"] = sql["reply_rehydration"]
+    count = "((length(text) - 1) // 7 + 1)"
+    line = "{{\"id\":\"' || stream_id || '\",".replace("{{", "{")
+    sql["event_write_back"] = f"""WITH {CHUNKS}
+      SELECT stream_id, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS part, stream_id AS id, CAST(NULL AS VARCHAR) AS content,
+        CAST(NULL AS VARCHAR) AS finish, 'data: {line}"model":"m","choices":[{{"index":0,"delta":{{"role":"assistant"}},"finish_reason":null}}]}}' AS line
+      FROM replies
+      UNION ALL SELECT stream_id, seq + 1, 0, stream_id, text, NULL, NULL FROM ({EMITTED}) WHERE NOT flushed
+      UNION ALL SELECT stream_id, {count} + 1, 0, stream_id, '[X', 'stop', NULL FROM replies WHERE turn % 3 <> 0
+      UNION ALL SELECT stream_id, {count} + 2, 0, NULL, NULL, NULL, 'data: {{"choices":[],"usage":{{"total_tokens":7}}}}' FROM replies
+      UNION ALL SELECT stream_id, {count} + 3, 0, NULL, NULL, NULL, 'data: {{broken' FROM replies
+      UNION ALL SELECT stream_id, {count} + 5, -1, NULL, '[X', NULL, NULL FROM replies WHERE turn % 3 = 0
+      UNION ALL SELECT stream_id, {count} + 5, 0, NULL, NULL, NULL, 'data: [DONE]' FROM replies"""
+    sql["event_stream"] = sql["event_write_back"]
+    sql["byte_chunk_lines"] = """SELECT doc_id, CAST(k - 1 AS BIGINT) AS line_no, line FROM (
+      SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line,
+        len(string_split(text, chr(10))) AS n FROM documents) WHERE k < n OR line <> ''"""
+    sql["byte_chunk_stream"] = sql["byte_chunk_lines"]
     scoped = f"SELECT *, CASE WHEN conv_id % 3 > 0 THEN conv_id ELSE -1 END AS scope FROM ({CHATS})"
     sql["redact_null_scopes"] = (
         redaction(scoped, "conv_id, turn, scope", scope="scope", order="conv_id, turn, start")

@@ -115,6 +115,42 @@ def reply_maps(replies: DataFrame) -> DataFrame:
     )
 
 
+def reply_lines(replies: DataFrame, width: int = 7) -> DataFrame:
+    """The replies as event lines: a role, texts of ``width`` characters with id and model, a finish reason
+    for two turns of three, usage, a broken and an empty line, and the end marker."""
+    texts = (
+        f"transform(sequence(0, CAST((length(text) - 1) DIV {width} AS INT)), i -> concat('data: ', to_json(named_struct("
+        f"'id', stream_id, 'model', 'm', 'choices', array(named_struct('index', 0, 'delta', "
+        f"named_struct('content', substring(text, i * {width} + 1, {width}))))))))"
+    )
+    role = (
+        "'data: {\"id\":\"' || stream_id || '\",\"model\":\"m\",\"choices\":[{\"index\":0,\"delta\":{\"role\":\"assistant\"},"
+        "\"finish_reason\":null}]}'"
+    )
+    finish = (
+        "CASE WHEN turn % 3 = 0 THEN ': no finish' ELSE 'data: {\"id\":\"' || stream_id || "
+        "'\",\"choices\":[{\"index\":0,\"delta\":{},\"finish_reason\":\"stop\"}]}' END"
+    )
+    rest = "'data: {\"choices\":[],\"usage\":{\"total_tokens\":7}}', 'data: {broken', '', 'data: [DONE]'"
+    return replies.selectExpr(
+        "stream_id", f"posexplode(concat(array({role}), {texts}, array({finish}, {rest}))) AS (seq, line)"
+    ).withColumn("seq", F.col("seq").cast("long"))
+
+
+def reply_tokens(replies: DataFrame) -> DataFrame:
+    """``stream_id, placeholder, value``: the maps of the replies as rows."""
+    return reply_maps(replies).select("stream_id", F.explode("token_map").alias("placeholder", "value"))
+
+
+def document_bytes(spark: SparkSession, folder: str, size: int = 997) -> DataFrame:
+    """``doc_id, seq, bytes``: the texts of the documents as chunks of ``size`` bytes, cut anywhere."""
+    cut = (
+        f"transform(sequence(0, CAST(octet_length(text) DIV {size} AS INT)), "
+        f"i -> substring(CAST(text AS BINARY), i * {size} + 1, {size}))"
+    )
+    return documents(spark, folder).selectExpr("doc_id", f"posexplode({cut}) AS (seq, bytes)")
+
+
 def reply_chunks(replies: DataFrame, width: int = 7) -> DataFrame:
     """The replies in chunks of ``width`` characters, as chunk rows closed by a ``done`` row."""
     cut = (

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK = "struct<choice:int,tool_idx:int,fragment:string,finished:boolean>"
+from veilspark.functions.hof import let, once
+
+CHUNK = "struct<choice:int,tool_idx:int,fragment:string,finished:boolean,choice_at:int,call_at:int>"
 
 
 def read_chunk_files(spark: SparkSession, path: str) -> DataFrame:
@@ -33,30 +35,35 @@ def _index(v: Column) -> Column:
     return F.when(_kind(_get(v, "index")).startswith("BIGINT"), _get(v, "index", "int")).otherwise(0)
 
 
-def _chunk(choice: Column, tool: Column, text: Column, finished: Column) -> Column:
+def _chunk(choice: Column, tool: Column, text: Column, finished: Column, at: Column, call: Column) -> Column:
     return F.struct(
         choice.cast("int").alias("choice"),
         tool.cast("int").alias("tool_idx"),
         text.alias("fragment"),
         finished.alias("finished"),
+        at.cast("int").alias("choice_at"),
+        call.cast("int").alias("call_at"),
     )
 
 
-def _of_choice(c: Column) -> Column:
+def _of_choice(c: Column, at: Column) -> Column:
     finished = F.coalesce(_kind(_get(c, "finish_reason")) != "VOID", F.lit(False))
     delta = _get(c, "delta")
+    none = F.lit(None)
     content = F.when(_kind(_get(delta, "content")) == "STRING", _get(delta, "content", "string"))
-    spoken = F.array(_chunk(_index(c), F.lit(None), content, finished))
+    spoken = F.array(_chunk(_index(c), none, content, finished, at, none))
     calls = F.filter(
         F.transform(
             _list(_get(delta, "tool_calls")),
-            lambda t: _chunk(
+            lambda t, i: _chunk(
                 _index(c),
                 _index(t),
                 F.when(
                     _kind(_get(t, "function.arguments")) == "STRING", _get(t, "function.arguments", "string")
                 ),
                 finished,
+                at,
+                i,
             ),
         ),
         lambda x: x["fragment"].isNotNull(),
@@ -66,6 +73,21 @@ def _of_choice(c: Column) -> Column:
     return F.when(usable, F.concat(said, calls)).otherwise(F.array().cast(f"array<{CHUNK}>"))
 
 
+def event_payloads(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Lines that start with ``data:``, with ``payload``, ``done`` for the end marker, and ``parts``: the
+    texts the payload holds, each with the places of its choice and tool call in their arrays.
+
+    Other lines are dropped. A payload that is not JSON, or holds no text, has no parts. Stateless.
+    """
+    trimmed = lines.withColumn("__line", F.regexp_replace(line, r"^\s+|\s+$", ""))
+    payload = F.regexp_replace(F.substring("__line", 6, 2_000_000_000), r"^\s+", "")
+    data = trimmed.where(F.col("__line").startswith("data:")).withColumn("payload", payload)
+    done = F.col("payload") == "[DONE]"
+    parsed = F.when(~done, F.try_parse_json("payload"))
+    parts = let(parsed, lambda v: F.flatten(F.transform(_list(_get(v, "choices")), _of_choice)))
+    return once(data.withColumn("done", done), "parts", parts).drop("__line", line)
+
+
 def parse_chunk_lines(lines: DataFrame, ids: Sequence[str] = ("stream_id",), line: str = "line") -> DataFrame:
     """``ids, seq, choice, tool_idx, fragment, finished, done, passthrough`` from event lines.
 
@@ -73,44 +95,43 @@ def parse_chunk_lines(lines: DataFrame, ids: Sequence[str] = ("stream_id",), lin
     that is not JSON, or holds no text, gives one row with the payload in ``passthrough``. Stateless,
     so it serves batch and streaming input alike.
     """
-    trimmed = lines.withColumn("__line", F.trim(F.regexp_replace(line, r"^\s+|\s+$", "")))
-    data = trimmed.where(F.col("__line").startswith("data:"))
-    payload = F.regexp_replace(F.substring("__line", 6, 2_000_000_000), r"^\s+", "")
-    parsed = data.withColumn("__payload", payload).withColumn(
-        "__json", F.when(F.col("__payload") != "[DONE]", F.try_parse_json("__payload"))
-    )
-    done = F.col("__payload") == "[DONE]"
-    parts = F.flatten(F.transform(_list(_get(F.col("__json"), "choices")), _of_choice))
-    rows = parsed.withColumn("__parts", parts)
+    rows = event_payloads(lines.select(*ids, "seq", F.col(line).alias("line")))
+    silent = F.coalesce(F.size("parts"), F.lit(0)) <= 0
     return rows.select(
         *ids,
         "seq",
-        F.explode_outer("__parts").alias("c"),
-        done.alias("done"),
-        F.when(~done & (F.coalesce(F.size("__parts"), F.lit(0)) <= 0), F.col("__payload")).alias("passthrough"),
+        F.explode_outer("parts").alias("c"),
+        "done",
+        F.when(~F.col("done") & silent, F.col("payload")).alias("passthrough"),
     ).select(*ids, "seq", "c.choice", "c.tool_idx", "c.fragment", "c.finished", "done", "passthrough")
 
 
-def chunk_frames(emitted: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``stream_id, seq, part, line``: rehydrated chunks as event lines again.
-
-    Content goes back as a ``delta`` of its choice, arguments as those of their tool call; a released
-    tail is a frame of its own at the place of the end marker, in front of ``data: [DONE]``. Lines are
-    in order by ``seq`` and ``part``. Empty texts give no line.
-    """
-    index = F.coalesce(F.col("choice"), F.lit(0)).alias("index")
-    spoken = F.struct(index, F.struct(F.col("text").alias("content")).alias("delta"))
-    call = F.struct(F.col("tool_idx").alias("index"), F.struct(F.col("text").alias("arguments")).alias("function"))
+def synthetic_frame(choice: Column, tool: Column, text: Column) -> Column:
+    """An event line that carries one text: content of a choice, or arguments of one of its tool calls."""
+    index = F.coalesce(choice, F.lit(0)).alias("index")
+    spoken = F.struct(index, F.struct(text.alias("content")).alias("delta"))
+    call = F.struct(tool.alias("index"), F.struct(text.alias("arguments")).alias("function"))
     called = F.struct(index, F.struct(F.array(call).alias("tool_calls")).alias("delta"))
 
-    def line(choice: Column) -> Column:
-        return F.concat(F.lit("data: "), F.to_json(F.struct(F.array(choice).alias("choices"))))
+    def line(c: Column) -> Column:
+        return F.concat(F.lit("data: "), F.to_json(F.struct(F.array(c).alias("choices"))))
+
+    return F.when(tool.isNull(), line(spoken)).otherwise(line(called))
 
+
+def chunk_frames(emitted: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``stream_id, seq, part, line``: rehydrated chunk rows as event lines, for streams that came as rows.
+
+    Streams that came as lines keep them: see ``rehydrate_events``. Content becomes a ``delta`` of its
+    choice, arguments those of their tool call; a released tail is a frame of its own at the place of the
+    end marker, in front of ``data: [DONE]``. Lines are in order by ``seq`` and ``part``. Empty texts
+    give no line.
+    """
     frames = emitted.where(F.col("text") != "").select(
         "stream_id",
         "seq",
         F.col("flushed").cast("int").alias("part"),
-        F.when(F.col("tool_idx").isNull(), line(spoken)).otherwise(line(called)).alias("line"),
+        synthetic_frame(F.col("choice"), F.col("tool_idx"), F.col("text")).alias("line"),
     )
     ends = chunks.where("done").select("stream_id", "seq", F.lit(2).alias("part"), F.lit("data: [DONE]").alias("line"))
     return frames.unionByName(ends)

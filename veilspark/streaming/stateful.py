@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from veilspark.functions.kinds import MAX_STREAM_HOLD
 from veilspark.operators.admission import decisions_of_free, full_after_ms, refill_rate, unlimited_route, with_retry_after
+from veilspark.sources.chunks import event_payloads
 
 _TOKEN = re.compile(r"\[[A-Z0-9_]+\]")
 _OPEN = re.compile(r"\[[A-Z0-9_]*\Z")
@@ -22,48 +23,70 @@ EMITTED = "stream_id string, seq long, choice int, tool_idx int, text string, fl
 DECIDED = "caller string, request_id long, ts_ms long, route string, allowed boolean, retry_after_ms long, remaining int"
 
 
-def _chunk_function(max_hold: int, timeout_ms: int | None):
-    def restore(text: str, tokens: dict[str, str]) -> str:
+class _Tails:
+    """Held ends of a stream's sequences, by sequence name: ``choice`` or ``choice:tool``."""
+
+    def __init__(self, state: GroupState, max_hold: int):
+        self.held: dict[str, str] = json.loads(state.get[0]) if state.exists else {}
+        self.max_hold = max_hold
+        self.parsed: dict[str, dict[str, str]] = {}
+
+    def push(self, choice: int, tool: int | None, text: str, finished: bool) -> str:
+        """What of a sequence can be shown now that ``text`` has come."""
+        name = f"{choice}" if tool is None else f"{choice}:{tool}"
+        text = self.held.pop(name, "") + text
+        tail = None if finished else _OPEN.search(text)
+        if tail and len(text) - tail.start() <= self.max_hold:
+            self.held[name] = text[tail.start() :]
+            text = text[: tail.start()]
+        return text
+
+    def flush(self) -> list[tuple[int, int | None, str]]:
+        """(choice, tool, tail) of all that is held, content first; nothing is held afterwards."""
+        found = []
+        for name, tail in self.held.items():
+            choice, _, tool = name.partition(":")
+            found.append((int(choice), int(tool) if tool else None, tail))
+        self.held.clear()
+        return sorted(found, key=lambda f: (f[1] is not None, f[0], f[1] or 0))
+
+    def restore(self, text: str, token_map: str | None) -> str:
+        """Placeholders replaced. A map is read once, and only for a text that may hold one."""
+        if "[" not in text or not isinstance(token_map, str):
+            return text
+        if token_map not in self.parsed:
+            self.parsed = {token_map: json.loads(token_map)}
+        tokens = self.parsed[token_map]
         return _TOKEN.sub(lambda m: tokens.get(m.group(), m.group()), text)
 
+    def save(self, state: GroupState, timeout_ms: int | None) -> None:
+        if self.held:
+            state.update((json.dumps(self.held),))
+            if timeout_ms:
+                state.setTimeoutDuration(timeout_ms)
+        elif state.exists:
+            state.remove()
+
+
+def _chunk_function(max_hold: int, timeout_ms: int | None):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (stream,) = key
-        held: dict[str, str] = json.loads(state.get[0]) if state.exists else {}
+        tails = _Tails(state, max_hold)
         out: list[tuple] = []
-
-        def flush(seq: int) -> None:
-            for name, tail in held.items():
-                if tail:
-                    choice, _, tool = name.partition(":")
-                    out.append((stream, seq, int(choice), int(tool) if tool else None, tail, True))
-            held.clear()
-
         if state.hasTimedOut:
-            flush(-1)
+            out += [(stream, -1, *f, True) for f in tails.flush()]
             state.remove()
         else:
-            rows = pd.concat(batches).sort_values("seq", kind="stable")
-            for r in rows.itertuples(index=False):
+            for r in pd.concat(batches).sort_values("seq", kind="stable").itertuples(index=False):
                 if r.done is True or r.done == 1:
-                    flush(int(r.seq))
+                    out += [(stream, int(r.seq), *f, True) for f in tails.flush()]
                     continue
                 choice = 0 if pd.isna(r.choice) else int(r.choice)
                 tool = None if pd.isna(r.tool_idx) else int(r.tool_idx)
-                name = f"{choice}" if tool is None else f"{choice}:{tool}"
-                text = held.pop(name, "") + (r.fragment if isinstance(r.fragment, str) else "")
-                if not (r.finished is True or r.finished == 1):
-                    tail = _OPEN.search(text)
-                    if tail and len(text) - tail.start() <= max_hold:
-                        held[name] = text[tail.start() :]
-                        text = text[: tail.start()]
-                tokens = json.loads(r.token_map) if isinstance(r.token_map, str) else {}
-                out.append((stream, int(r.seq), choice, tool, restore(text, tokens), False))
-            if held:
-                state.update((json.dumps(held),))
-                if timeout_ms:
-                    state.setTimeoutDuration(timeout_ms)
-            elif state.exists:
-                state.remove()
+                fragment = r.fragment if isinstance(r.fragment, str) else ""
+                text = tails.push(choice, tool, fragment, r.finished is True or r.finished == 1)
+                out.append((stream, int(r.seq), choice, tool, tails.restore(text, r.token_map), False))
+            tails.save(state, timeout_ms)
         columns = ["stream_id", "seq", "choice", "tool_idx", "text", "flushed"]
         frame = pd.DataFrame(out, columns=columns)
         yield frame.astype({"seq": "int64", "choice": "Int32", "tool_idx": "Int32", "flushed": "bool"})
@@ -71,6 +94,153 @@ def _chunk_function(max_hold: int, timeout_ms: int | None):
     return run
 
 
+def _written(value: dict) -> str:
+    return "data: " + json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def _frame(choice: int, tool: int | None, text: str) -> str:
+    delta = {"content": text} if tool is None else {"tool_calls": [{"index": tool, "function": {"arguments": text}}]}
+    return _written({"choices": [{"index": choice, "delta": delta}]})
+
+
+def _is_index(value: object) -> bool:
+    return isinstance(value, int) and not isinstance(value, bool)
+
+
+def _restore_event(body: object, tails: _Tails, token_map: str | None) -> bool:
+    """Put restored texts into a parsed payload; whether anything changed."""
+    changed = False
+    choices = body.get("choices") if isinstance(body, dict) else None
+    for c in choices if isinstance(choices, list) else []:
+        delta = c.get("delta") if isinstance(c, dict) else None
+        if not isinstance(delta, dict):
+            continue
+        index = c["index"] if _is_index(c.get("index")) else 0
+        finished = c.get("finish_reason") is not None
+        content = delta.get("content")
+        if isinstance(content, str) or finished:
+            old = content if isinstance(content, str) else ""
+            new = tails.restore(tails.push(index, None, old, finished), token_map)
+            if new != old:
+                delta["content"], changed = new, True
+        calls = delta.get("tool_calls")
+        for call in calls if isinstance(calls, list) else []:
+            function = call.get("function") if isinstance(call, dict) else None
+            old = function.get("arguments") if isinstance(function, dict) else None
+            if isinstance(old, str):
+                tool = call["index"] if _is_index(call.get("index")) else 0
+                new = tails.restore(tails.push(index, tool, old, finished), token_map)
+                if new != old:
+                    function["arguments"], changed = new, True
+    return changed
+
+
+def _event_function(max_hold: int, timeout_ms: int | None):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (stream,) = key
+        tails = _Tails(state, max_hold)
+        out: list[tuple] = []
+
+        def flush(seq: int) -> None:
+            found = tails.flush()
+            out.extend((stream, seq, k - len(found), _frame(*f)) for k, f in enumerate(found))
+
+        if state.hasTimedOut:
+            flush(-1)
+            state.remove()
+        else:
+            for r in pd.concat(batches).sort_values("seq", kind="stable").itertuples(index=False):
+                line = f"data: {r.payload}"
+                if r.payload == "[DONE]":
+                    flush(int(r.seq))
+                else:
+                    try:
+                        body = json.loads(r.payload)
+                    except ValueError:
+                        body = None
+                    if _restore_event(body, tails, r.token_map):
+                        line = _written(body)
+                out.append((stream, int(r.seq), 0, line))
+            tails.save(state, timeout_ms)
+        yield pd.DataFrame(out, columns=["stream_id", "seq", "part", "line"]).astype({"seq": "int64", "part": "int32"})
+
+    return run
+
+
+def rehydrate_event_stream(
+    lines: DataFrame, maps: DataFrame, max_hold: int = MAX_STREAM_HOLD, enabled: bool = True, timeout_ms: int | None = None
+) -> DataFrame:
+    """Streaming twin of ``rehydrate_events``: ``stream_id, seq, part, line`` from ``stream_id, seq, line``.
+
+    State per stream is its held tails. A tail is released by a finish reason, by the end marker, or
+    after ``timeout_ms`` without lines; a stream that stops without any keeps it. Edited payloads keep
+    the order of their keys.
+    """
+    data = event_payloads(lines.select("stream_id", "seq", "line")).select("stream_id", "seq", "payload")
+    if not enabled:
+        return data.select("stream_id", "seq", F.lit(0).alias("part"), F.concat(F.lit("data: "), "payload").alias("line"))
+    known = data.join(maps.select("stream_id", F.to_json("token_map").alias("token_map")), "stream_id", "left")
+    return known.groupBy("stream_id").applyInPandasWithState(
+        _event_function(max_hold, timeout_ms),
+        "stream_id string, seq long, part int, line string",
+        "held string",
+        "append",
+        GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout,
+    )
+
+
+def _lines_function(timeout_ms: int | None):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (stream,) = key
+        carry, number = state.get if state.exists else (b"", 0)
+        carry, out = bytes(carry), []
+
+        def add(raw: bytes) -> None:
+            nonlocal number
+            line = raw.decode("utf-8", "replace")
+            out.append((stream, number, line.removeprefix("\ufeff") if number == 0 else line))
+            number += 1
+
+        if state.hasTimedOut:
+            if carry:
+                add(carry)
+            state.remove()
+        else:
+            closed = False
+            for r in pd.concat(batches).sort_values("seq", kind="stable").itertuples(index=False):
+                *lines, carry = (carry + bytes(r.bytes or b"")).split(b"\n")
+                for raw in lines:
+                    add(raw)
+                closed = closed or r.last is True or r.last == 1
+            if closed:
+                if carry:
+                    add(carry)
+                if state.exists:
+                    state.remove()
+            else:
+                state.update((carry, number))
+                if timeout_ms:
+                    state.setTimeoutDuration(timeout_ms)
+        yield pd.DataFrame(out, columns=["stream_id", "line_no", "line"]).astype({"line_no": "int64"})
+
+    return run
+
+
+def line_stream(chunks: DataFrame, timeout_ms: int | None = None) -> DataFrame:
+    """Streaming twin of ``lines_of_chunks``: ``stream_id, line_no, line`` from ``stream_id, seq, bytes, last``.
+
+    State per body is the bytes behind its last line feed and its count of lines. A chunk marked
+    ``last`` ends the body and releases what is left; without one it is released after ``timeout_ms``.
+    """
+    return chunks.select("stream_id", "seq", "bytes", "last").groupBy("stream_id").applyInPandasWithState(
+        _lines_function(timeout_ms),
+        "stream_id string, line_no long, line string",
+        "carry binary, number long",
+        "append",
+        GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout,
+    )
+
+
 def rehydrate_chunk_stream(
     chunks: DataFrame,
     maps: DataFrame,
