@@ -212,34 +212,66 @@ def test_words_and_shingles():
         assert len(hashing.shingle_hashes(words)) == max(1, n - 4)
 
 
-def units_of(text):
+def units_of(text, runs, least=1):
+    """(start, end, plain) of the lines, and of several lines between blank ones."""
     raw = (text or "").encode()
-    out, start = [], 0
+    out, start, open_run = [], 0, []
+
+    def close():
+        if runs and len(open_run) > 1:
+            out.append((open_run[0][0], open_run[-1][1], b" ".join(p for _, _, p in open_run)))
+        open_run.clear()
+
     for line in raw.split(b"\n"):
         end = min(len(raw), start + len(line) + 1)
         plain = b" ".join(line.lower().split())
-        if len(plain) >= 50:
+        if plain:
             out.append((start, end, plain))
+            open_run.append((start, end, plain))
+        else:
+            close()
         start = end
+    close()
+    return [u for u in out if len(u[2]) >= least]
+
+
+def merged(spans):
+    out = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
     return out
 
 
-def test_repeated_lines(docs, nothing):
-    found = docs.select("doc_id", "text").distinct().collect()
-    th = {(r.doc_id, r.text): r.h for r in docs.select("doc_id", "text", lines._key("text").alias("h")).collect()}
+@pytest.mark.parametrize("runs,least", [(True, 1), (False, 1), (False, 50)])
+def test_repeated_lines(spark, docs, nothing, runs, least):
+    passage = "one passage of some words that is wrapped in more than one way. it goes on for a while and ends here"
+    words = passage.split()
+    wrapped = ["\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n)) for n in (3, 5, 50)]
+    more = [(800 + k, f"own start {k}\n\n{w.upper()}\n \nown end {k}", "s") for k, w in enumerate(wrapped * 2)]
+    more += [(900, "x\nx\n\nX\nx\n\n x x", "s"), (901, "short\nshort", "s"), (902, "\n\n", "s")]
+    df = docs.select("doc_id", "text", "removed").unionByName(spark.createDataFrame(more, "doc_id long, text string, removed string"))
+    found = df.select("doc_id", "text").distinct().collect()
+    th = {(r.doc_id, r.text): r.h for r in df.select("doc_id", "text", lines._key("text").alias("h")).collect()}
     first = {}
     for r in sorted(found, key=lambda r: (r.doc_id is None, r.doc_id or 0, th[r.doc_id, r.text])):
-        for start, _, plain in units_of(r.text):
+        for start, _, plain in sorted(units_of(r.text, runs, least)):
             first.setdefault(plain, (r.doc_id, r.text, start))
-    done = lines.drop_repeated_lines(docs)
-    assert set(done.columns) == set(docs.columns) | {"n_units", "kept"} and done.count() == docs.count()
+    done = lines.drop_repeated_lines(df, runs=runs, least=least)
+    assert set(done.columns) == set(df.columns) | {"n_units", "n_removed", "kept"} and done.count() == df.count()
     for r in done.collect():
-        gone = [(s, e) for s, e, p in units_of(r.text) if first[p] != (r.doc_id, r.text, s)]
-        assert [(x.start, x.end) for x in r.removed] == gone and r.n_units == len(units_of(r.text))
+        units = units_of(r.text, runs, least)
+        gone = [(s, e) for s, e, p in units if first[p] != (r.doc_id, r.text, s)]
+        assert (r.n_units, r.n_removed) == (len(units), len(gone))
+        assert [(x.start, x.end) for x in r.removed] == merged(gone)
         raw = (r.text or "").encode()
-        for s, e in reversed(gone):
+        for s, e in reversed(merged(gone)):
             raw = raw[:s] + raw[e:]
         assert r.kept == raw.decode()
+        if runs and r.doc_id and 801 <= r.doc_id <= 805:  # however it is wrapped
+            assert "PASSAGE" not in r.kept and f"own end {r.doc_id - 800}" in r.kept
     assert lines.drop_repeated_lines(nothing).count() == 0
 
 

@@ -93,14 +93,14 @@ FROM sets JOIN reach ON reach.x = sets.doc_id GROUP BY sets.doc_id, s
 """
 
 
-def _lines_removed(docs: DataFrame, least: int) -> DataFrame:
-    done = drop_repeated_lines(docs, least=least)
+def _lines_removed(docs: DataFrame, runs: bool) -> DataFrame:
+    done = drop_repeated_lines(docs, least=1, runs=runs)
     ends = F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["end"]))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return done.select(
         "doc_id",
         "n_units",
-        F.size("removed").cast("long").alias("n_removed"),
+        "n_removed",
         removed.alias("bytes_removed"),
         F.array_join(ends, ",").alias("spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
@@ -108,41 +108,53 @@ def _lines_removed(docs: DataFrame, least: int) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return _lines_removed(_table(spark, folder, "documents").select("doc_id", "text"), least=50)
+    """Every line that is not blank is a unit, and so are several lines between blank ones."""
+    return _lines_removed(_table(spark, folder, "documents").select("doc_id", "text"), runs=True)
 
 
 def op5_every_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Every line that is not blank is a unit, however short."""
-    return _lines_removed(_table(spark, folder, "documents").select("doc_id", "text"), least=1)
+    """Lines only."""
+    return _lines_removed(_table(spark, folder, "documents").select("doc_id", "text"), runs=False)
 
 
-OP5_SQL = r"""
+def _op5_sql(runs: bool) -> str:
+    wrapped = """UNION ALL
+  SELECT doc_id, min(k), max(k), string_agg(plain, ' ' ORDER BY k) FROM offsets WHERE plain <> ''
+  GROUP BY doc_id, run HAVING count(*) > 1""" if runs else ""
+    return rf"""
 WITH lines AS (
   SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line,
          len(string_split(text, chr(10))) AS last FROM documents),
 placed AS (
   SELECT *, strlen(line) + CASE WHEN k < last THEN 1 ELSE 0 END AS size,
          trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-              '[\x09-\x0D\x20]+', ' ', 'g'), ' ') AS plain FROM lines),
+              '[	- ]+', ' ', 'g'), ' ') AS plain FROM lines),
 offsets AS (
-  SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY k) - size AS start FROM placed),
-ranked AS (
-  SELECT *, CASE WHEN strlen(plain) >= 50 THEN 1 ELSE 0 END AS unit,
-         CASE WHEN strlen(plain) >= 50 AND row_number() OVER (PARTITION BY plain ORDER BY doc_id, k) > 1
-              THEN 1 ELSE 0 END AS gone FROM offsets)
-SELECT doc_id, CAST(sum(unit) AS BIGINT) AS n_units, CAST(sum(gone) AS BIGINT) AS n_removed,
-       CAST(sum(gone * size) AS BIGINT) AS bytes_removed,
-       coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + size AS BIGINT), ',' ORDER BY k)
-                FILTER (WHERE gone = 1), '') AS spans,
-       sha256(coalesce(string_agg(line || CASE WHEN k < last THEN chr(10) ELSE '' END, '' ORDER BY k)
-                FILTER (WHERE gone = 0), '')) AS kept_sha256
-FROM ranked GROUP BY doc_id
+  SELECT *, sum(size) OVER w - size AS start, sum(CASE WHEN plain = '' THEN 1 ELSE 0 END) OVER w AS run
+  FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+units AS (
+  SELECT doc_id, k, k AS upto, plain FROM offsets WHERE plain <> ''
+  {wrapped}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY plain ORDER BY doc_id, k) > 1 AS again FROM units),
+counts AS (SELECT doc_id, count(*) AS n_units, count(*) FILTER (WHERE again) AS n_removed FROM ranked GROUP BY doc_id),
+marked AS (
+  SELECT o.*, EXISTS (SELECT 1 FROM ranked r WHERE again AND r.doc_id = o.doc_id AND o.k BETWEEN r.k AND r.upto) AS gone
+  FROM offsets o),
+islands AS (SELECT *, sum(CASE WHEN gone THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k) AS island FROM marked),
+spans AS (
+  SELECT doc_id, string_agg(a || '-' || b, ',' ORDER BY a) AS spans FROM (
+    SELECT doc_id, CAST(min(start) AS BIGINT) AS a, CAST(max(start + size) AS BIGINT) AS b FROM islands WHERE gone GROUP BY doc_id, island)
+  GROUP BY doc_id),
+texts AS (
+  SELECT doc_id, CAST(sum(size) FILTER (WHERE gone) AS BIGINT) AS bytes_removed,
+         string_agg(line || CASE WHEN k < last THEN chr(10) ELSE '' END, '' ORDER BY k) FILTER (WHERE NOT gone) AS kept
+  FROM marked GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(bytes_removed, 0) AS bytes_removed,
+       coalesce(spans, '') AS spans, sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts t LEFT JOIN counts c ON c.doc_id = t.doc_id LEFT JOIN spans s ON s.doc_id = t.doc_id
 """
 
 
-OP5_EVERY_SQL = OP5_SQL.replace("strlen(plain) >= 50", "strlen(plain) >= 1")
-
-
 def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return repair_roles(_table(spark, folder, "conversations"))
 
@@ -375,4 +387,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_nearest_neighbours": OP3_SQL, "op4_ngram_jaccard": OP4_SQL, "op5_line_dedup": OP5_SQL, "op5_every_line_dedup": OP5_EVERY_SQL, "op9_mixing": OP9_SQL, "op10_decontamination": OP10_SQL, "op11_vector_codes": _op11_sql(), "op13_conversation_repair": _op13_sql()}
+    return {"op3_nearest_neighbours": OP3_SQL, "op4_ngram_jaccard": OP4_SQL, "op5_line_dedup": _op5_sql(True), "op5_every_line_dedup": _op5_sql(False), "op9_mixing": OP9_SQL, "op10_decontamination": OP10_SQL, "op11_vector_codes": _op11_sql(), "op13_conversation_repair": _op13_sql()}
