@@ -39,6 +39,8 @@ EMAIL = (
     r"(?:\w(?<!\w\w)|[.%+-](?<=\w[.%+-]))[A-Za-z0-9._%+-]*+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?!\w)"
 )
 CREDIT_CARD = r"\d(?<!\w\d)(?:[ -]?\d){12,18}(?!\w)"
+#: Groups of digits parted by one blank or hyphen, each a whole word.
+DIGIT_GROUPS = r"(?<!\w)[0-9]++(?!\w)(?:[ -][0-9]++(?!\w))*+"
 SSN = r"\d(?<!\w\d)\d\d(?<!000|666|9\d\d)[- ](?!00)\d\d[- ](?!0000)\d{4}(?!\w)"
 PHONE = (
     rf"(?=[0-9+(])(?<!\w)(?:\+?\d{{1,3}}{_PHONE_SEP}?)?(?:\(\d{{3}}\)|\d{{3}})"

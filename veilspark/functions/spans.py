@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilspark.functions.hof import empty, running
+from veilspark.functions import patterns as p
+from veilspark.functions.hof import empty, let, running
 from veilspark.functions.kinds import SPANS
 
 
@@ -54,5 +55,51 @@ def luhn_ok(digits: Column) -> Column:
     return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
 
 
+def cards_in_groups(text: Column) -> Column:
+    """``array<struct<start,end>>``: card numbers made of whole digit groups, wherever they stand in a row of
+    groups. The leftmost wins, then the longest; cards do not overlap.
+
+    A row of groups is cut into groups once; a window is a run of groups with 13 to 19 digits, so a
+    group starts at most 19 windows, however long the row is.
+    """
+    none = F.lit(None)
+    rows = F.regexp_extract_all(text, F.lit(p.DIGIT_GROUPS), F.lit(0))
+    placed = place(rows, rows, F.split(text, p.DIGIT_GROUPS, -1), lambda s, e, v: span(none.cast("string"), s, e, v, none, F.lit(0)))
+    long = F.filter(placed, lambda s: F.length(F.translate(s["value"], " -", "")) >= 13)
+
+    def windows(row: Column) -> Column:
+        def of(groups: Column) -> Column:
+            # Every separator is one character, so a group starts behind the lengths of those before it.
+            def starting(i: Column) -> Column:
+                few = F.slice(groups, i + 1, F.lit(19))
+
+                def ending(n: Column) -> Column:
+                    part = F.slice(few, F.lit(1), n)
+                    digits = F.array_join(part, "")
+                    return F.when(luhn_ok(digits), F.length(digits) + n - 1)
+
+                sizes = F.array_compact(F.transform(F.sequence(F.lit(1), F.size(few)), ending))
+                return F.when(F.size(sizes) > 0, F.element_at(sizes, -1))
+
+            def step(at: Column, g: Column) -> tuple[Column, Column]:
+                # State: where the next group starts, and where the last card ended.
+                start, last = at["start"], at["last"]
+                size = F.when(start >= last, g["size"])
+                end = start + F.coalesce(size, F.lit(0))
+                nxt = F.struct(
+                    (start + F.length(g["text"]) + 1).alias("start"), F.when(size.isNotNull(), end).otherwise(last).alias("last")
+                )
+                card = F.struct((row["start"] + start).alias("start"), (row["start"] + end).alias("end"))
+                return nxt, F.when(size.isNotNull(), F.array(card)).otherwise(empty("array<struct<start:int,end:int>>"))
+
+            items = F.transform(groups, lambda g, i: F.struct(g.alias("text"), starting(i).alias("size")))
+            state = F.struct(F.lit(0).alias("start"), F.lit(0).alias("last"))
+            return running(items, state, step, "array<struct<start:int,end:int>>")
+
+        return let(F.split(row["value"], "[ -]"), of)
+
+    return F.flatten(F.transform(long, windows))
+
+
 def is_card(value: Column) -> Column:
     return luhn_ok(F.translate(value, " -", ""))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from veilspark.functions import patterns as p
 from veilspark.functions.hof import empty, once
 from veilspark.functions.kinds import ENTITY_TYPES, SPANS
-from veilspark.functions.spans import is_card, place, span
+from veilspark.functions.spans import cards_in_groups, is_card, place, span
 
 @dataclass(frozen=True)
 class Scan:
@@ -86,6 +86,13 @@ NAME = Detector(
     ),
 )
 
+def _subspan_cards(text: Column) -> Column:
+    return F.when(text.rlike(p.CREDIT_CARD), cards_in_groups(text))
+
+
+#: Opt-in: a card followed or preceded by other groups of digits is found as well.
+CREDIT_CARD_SUBSPAN = ColumnDetector("CREDIT_CARD", _subspan_cards)
+
 BUILT_IN: tuple[Detector, ...] = (
     EMAIL,
     CREDIT_CARD,

@@ -29,6 +29,26 @@ def distinct_values(occurrences: DataFrame, scope: Sequence[str], order: Sequenc
     return grouped.select(*scope, "display", "value", *(F.col(f"__first.{o}").alias(o) for o in order), "n")
 
 
+def with_rank(df: DataFrame, order: Sequence[str], out: str = "rank") -> DataFrame:
+    """Add the rows' places, from 1, in the order of the columns ``order`` over the whole table.
+
+    Rows are dealt to ranges of the order and numbered inside them; a range's offset is the count of
+    the ranges before it. Only one row a range meets in one task. Rows that are equal in ``order`` have
+    places next to each other, in any order.
+    """
+    keys = [*order, "__tie"]
+    dealt = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*keys)
+    dealt = stage(dealt.withColumn("__range", F.spark_partition_id()), "ranked")
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*keys))
+    counts = dealt.groupBy("__range").agg(F.count("*").alias("__c"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__range", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__offset"))
+    ranked = dealt.withColumn("__inside", inside).join(F.broadcast(offsets), "__range")
+    return ranked.withColumn(out, (F.col("__inside") + F.col("__offset")).cast("long")).drop(
+        "__range", "__tie", "__inside", "__offset"
+    )
+
+
 def number_values(values: DataFrame, scope: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Add ``placeholder`` to the rows of :func:`distinct_values`. Null scopes are a scope."""
     group = [*scope, "display"]

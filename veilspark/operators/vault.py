@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.kinds import TOKEN_MAP, VAULT_MAX_ENTRIES, VAULT_TTL_MS
 from veilspark.operators.lookup import ROW, attach_values, numbered_rows
+from veilspark.operators.numbering import with_rank
 from veilspark.operators.rehydrate import rehydrate, tokens_in
 from veilspark.operators.staging import stage
 
@@ -122,6 +123,86 @@ def evict(vault: DataFrame, max_entries: int = VAULT_MAX_ENTRIES) -> DataFrame:
     return vault.orderBy(F.col("created_at").desc(), F.col("map_id").desc()).limit(max_entries)
 
 
+def lifetimes(vault: DataFrame, max_entries: int = VAULT_MAX_ENTRIES) -> DataFrame:
+    """Unique maps with ``ends_at``: the time from which a vault of ``max_entries`` has them no more.
+
+    A store makes room by dropping the oldest map, so a map goes when it expires or when the
+    ``max_entries``-th map after it is stored, whichever is first. Maps are stored in the order of
+    ``created_at``, then ``map_id``. All maps live equally long, as in a vault with one lifetime;
+    otherwise a map that outlives later ones could be kept longer than is said here. Rows written again
+    count once, from their first time.
+    """
+    others = [c for c in vault.columns if c not in ("map_id", "created_at", "expires_at")]
+    stored = vault.groupBy("map_id").agg(
+        F.min("created_at").alias("created_at"),
+        F.min_by("expires_at", "created_at").alias("expires_at"),
+        *(F.min_by(c, "created_at").alias(c) for c in others),
+    )
+    ranked = stage(with_rank(stored, ("created_at", "map_id"), "__rank"), "stored")
+    later_stored = ranked.select(
+        (F.col("__rank") - max_entries).alias("__rank"), F.col("created_at").alias("__evicted")
+    ).where("__rank > 0")
+    joined = ranked.join(later_stored, "__rank", "left")
+    return joined.withColumn("ends_at", F.least("expires_at", "__evicted")).drop("__rank", "__evicted")
+
+
+def lookup_as_of(
+    texts: DataFrame, vault: DataFrame, at: str, max_entries: int = VAULT_MAX_ENTRIES, map_id: str = "map_id"
+) -> DataFrame:
+    """Texts with the ``token_map`` that a bounded vault gives at their own time ``at``; null for a miss.
+
+    A map answers from ``created_at`` up to, and not at, the end of its lifetime.
+    """
+    known = lifetimes(vault.select("map_id", "entries", "created_at", "expires_at"), max_entries).select(
+        F.col("map_id").alias("__id"), F.col("entries").alias("__entries"), F.col("created_at").alias("__from"),
+        F.col("ends_at").alias("__to"),
+    )
+    there = (F.col(at) >= F.col("__from")) & (F.col(at) < F.col("__to"))
+    joined = texts.join(known, texts[map_id] == known["__id"], "left")
+    return joined.withColumn("token_map", F.when(there, F.col("__entries"))).drop("__id", "__entries", "__from", "__to")
+
+
+def _generations(spark: SparkSession, path: str) -> tuple[object, list[tuple[int, bool]]]:
+    """The file system, and (number, complete) of the generations under a path."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return files, []
+    names = [s.getPath().getName() for s in files.listStatus(root)]
+    numbers = sorted(int(n.removeprefix("generation-")) for n in names if n.startswith("generation-"))
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return files, [(n, files.exists(make(f"{path}/generation-{n}/_SUCCESS"))) for n in numbers]
+
+
+def swept_path(spark: SparkSession, path: str) -> str | None:
+    """The folder of the newest complete generation of a swept vault: what readers read and writers append to."""
+    complete = [n for n, done in _generations(spark, path)[1] if done]
+    return f"{path}/generation-{complete[-1]}" if complete else None
+
+
+def sweep_vault(spark: SparkSession, rows: DataFrame, path: str, now: Column, keys: Sequence[str] = ("map_id",)) -> str:
+    """Write the live rows, each key once by its latest expiry, as the next generation; its folder.
+
+    A generation counts when its job has committed, which Spark marks by a file. Readers of
+    :func:`swept_path` see the old table until then and the new one afterwards. A sweep that was killed
+    leaves an unmarked generation, which the next sweep writes over, so running it again gives the same
+    table. The generation before stays for readers that have begun; older ones are deleted. Only one
+    sweep may run, and rows appended while it runs belong to the old generation.
+    """
+    files, found = _generations(spark, path)
+    complete = [n for n, done in found if done]
+    number = complete[-1] + 1 if complete else 0
+    others = [c for c in rows.columns if c not in keys]
+    latest = F.max_by(F.struct(*others), "expires_at").alias("__row")
+    folded = live(rows, now).groupBy(*keys).agg(latest).select(*keys, "__row.*").select(*rows.columns)
+    target = f"{path}/generation-{number}"
+    folded.write.mode("overwrite").partitionBy("expires_date").parquet(target)
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for old in complete[:-1]:
+        files.delete(make(f"{path}/generation-{old}"), True)
+    return target
+
+
 def entries_from_json(raw: Column) -> Column:
     """The token map of a serialized ``{"entries": {...}}``; null, a miss, when corrupt."""
     parsed = F.from_json(raw, f"struct<entries:{TOKEN_MAP},_corrupt_record:string>", {"mode": "PERMISSIVE"})

@@ -37,22 +37,27 @@ from veilspark.operators.vault import (
     entries_from_json,
     entries_to_json,
     evict,
+    later,
     live_tokens,
+    lookup_as_of,
     lookup_maps,
     map_id,
     read_vault,
     rehydrate_from_rows,
+    sweep_vault,
+    swept_path,
     to_token_vault,
     to_vault,
     vault_size,
     write_vault,
 )
 from veilspark.plans import tables as t
-from veilspark.plans.oracles import BUCKET_LIMIT, BUCKET_WINDOW_MS, CLASSES, LIMIT, LIMIT_WINDOW_SEC
+from veilspark.plans.oracles import BUCKET_LIMIT, BUCKET_WINDOW_MS, CLASSES, LIMIT, LIMIT_WINDOW_SEC, VAULT_LIFE_MS
 from veilspark.sources.bytes import lines_of_chunks
 from veilspark.sources.chunks import chunk_frames, parse_chunk_lines
 from veilspark.sources.policies import checked_policies, request_policy
 from veilspark.sources.text import split_overlong
+from veilspark.streaming.conversations import redact_conversation_stream
 from veilspark.streaming.stateful import (
     admit_stream,
     line_stream,
@@ -113,7 +118,7 @@ def _spans_out(found: DataFrame, *ids: str) -> DataFrame:
     )
 
 
-def _detect(detector: d.Detector) -> Query:
+def _detect(detector: d.Detector | d.ColumnDetector) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         found = d.detect(t.corpus(spark, sf), detectors=(detector,))
         return _spans_out(found, "src", "id").select("src", "id", "type", "start", "end", "value")
@@ -446,6 +451,18 @@ def redact_repeated_ids(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("conv_id", "turn", "redacted", "restored")
 
 
+def streaming_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    """The chats as a stream of four micro-batches, two turns each, the last one all later turns."""
+    path = staging_path(spark, "chats")
+    chats = stage(t.chats(spark, sf), "chats")
+    for k in range(4):
+        part = F.least(F.floor(F.col("turn") / 2), F.lit(3)) == k
+        chats.where(part).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(chats.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    done = drain(redact_conversation_stream(stream, ("conv_id",), ("turn",)), "conversations")
+    return done.select("conv_id", "turn", "redacted", F.size("entities").cast("long").alias("n_entities"))
+
+
 def redact_null_scopes(spark: SparkSession, sf: str) -> DataFrame:
     """Every third conversation has no scope of its own; together they are one."""
     chats = t.chats(spark, sf).withColumn("scope", F.when(F.col("conv_id") % 3 > 0, F.col("conv_id")))
@@ -695,6 +712,31 @@ def query_vault_size(spark: SparkSession, sf: str) -> DataFrame:
     return vault_size(vault, now)
 
 
+def vault_swept(spark: SparkSession, sf: str) -> DataFrame:
+    """A vault written twice and swept: expired maps are gone, others are there once."""
+    path = staging_path(spark, "swept")
+    _, vault, now = _vault(spark, sf, writes=2)
+    sweep_vault(spark, vault, path, now)
+    again = sweep_vault(spark, read_vault(spark, swept_path(spark, path)), path, now)
+    kept = read_vault(spark, again)
+    return kept.select(F.col("scope_id").cast("long").alias("note_id"), F.size("entries").cast("long").alias("n_tokens"))
+
+
+def vault_lifetimes(spark: SparkSession, sf: str) -> DataFrame:
+    """A map per event in a vault of 100 maps and a lifetime, asked for at four times after its event."""
+    made = t.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("created_at"))
+    entries = F.create_map(F.lit("[A_1]"), F.col("event_id").cast("string"))
+    vault = made.select(
+        map_id("run", F.col("event_id")).alias("map_id"), entries.alias("entries"), "created_at",
+        later(F.col("created_at"), VAULT_LIFE_MS).alias("expires_at"),
+    )
+    asked = made.select(
+        "event_id", map_id("run", F.col("event_id")).alias("map_id"), "created_at",
+        F.explode(F.array(*(F.lit(k).cast("long") for k in range(4)))).alias("k"),
+    ).withColumn("at", F.timestamp_micros(F.unix_micros("created_at") + F.col("k") * F.lit(VAULT_LIFE_MS * 480)))
+    return lookup_as_of(asked, vault, "at", 100).select("event_id", "k", F.col("token_map").isNotNull().alias("found"))
+
+
 def vault_eviction(spark: SparkSession, sf: str) -> DataFrame:
     """A vault with one map per event, cut to its newest 500."""
     events = t.table(spark, sf, "events").select(
@@ -738,6 +780,7 @@ def queries() -> dict[str, Query]:
         "chat_round_trip": _from_token_vault(1704067199),
         "token_vault_expiry": _from_token_vault(1704068100),
         **{f"detect_{x.type.lower()}": _detect(x) for x in d.BUILT_IN},
+        "detect_card_subspan": _detect(d.CREDIT_CARD_SUBSPAN),
         "detect_all": detect_all,
         "overlap_resolution": overlap_resolution,
         "mask_by_type": mask_by_type,
@@ -795,6 +838,9 @@ def queries() -> dict[str, Query]:
         "vault_misses": vault_misses,
         "vault_size": query_vault_size,
         "vault_eviction": vault_eviction,
+        "vault_swept": vault_swept,
+        "vault_lifetimes": vault_lifetimes,
+        "streaming_conversations": streaming_conversations,
         "streaming_redaction": streaming_redaction,
         "streaming_entity_counts": streaming_entity_counts,
         "streaming_request_counts": streaming_request_counts,

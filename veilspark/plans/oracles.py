@@ -287,6 +287,10 @@ def bucket(limit: int, window_ms: int, where: str = "true") -> str:
 
 
 # The rate is a column, so that it is divided by as it stands. Three requests per ten hours: a limit the sparse event table runs into.
+#: How long a map of the lifetime query lives.
+VAULT_LIFE_MS = 7 * 3_600_000
+#: Groups of digits, each a whole word, parted by one blank or hyphen.
+GROUPS = r"\b[0-9]+\b(?:[ -][0-9]+\b)*"
 BUCKET_LIMIT, BUCKET_WINDOW_MS = 3, 36_000_000
 LIMIT, LIMIT_WINDOW_SEC = 2, 36_000
 
@@ -496,6 +500,27 @@ def oracle_sql() -> dict[str, str]:
     sql["vault_size"] = f"SELECT CAST(count(*) AS BIGINT) AS size FROM customer WHERE c_custkey % 5 <> 0"
     sql["vault_eviction"] = f"""SELECT CAST(event_id AS VARCHAR) AS scope_id FROM events
       ORDER BY date_trunc('minute', ts) DESC, sha256('run' || chr(31) || CAST(event_id AS VARCHAR)) DESC LIMIT 500"""
+    sql["vault_swept"] = redaction(NOTES, "note_id") + """ SELECT note_id, CAST(count(*) AS BIGINT) AS n_tokens FROM numbered
+      WHERE note_id % 5 <> 0 GROUP BY note_id"""
+    sql["vault_lifetimes"] = f"""WITH stored AS (SELECT event_id, ts, lead(ts, 100) OVER (
+        ORDER BY ts, sha256('run' || chr(31) || CAST(event_id AS VARCHAR))) AS evicted FROM events)
+      SELECT event_id, k, asked < least(ts + to_milliseconds({VAULT_LIFE_MS}), coalesce(evicted, asked + INTERVAL 1 DAY)) AS found
+      FROM (SELECT *, ts + to_microseconds(k * {VAULT_LIFE_MS * 480}) AS asked FROM stored, (SELECT unnest(range(4)) AS k))"""
+    sql["streaming_conversations"] = _chat() + " SELECT conv_id, turn, redacted, n_entities FROM rendered"
+    sql["detect_card_subspan"] = f"""WITH RECURSIVE src AS ({CORPUS}),
+      found AS (SELECT src, id, regexp_extract_all(text, {q(GROUPS)}) AS m, string_split_regex(text, {q(GROUPS)}) AS g FROM src
+        WHERE regexp_matches(text, '[0-9][ -]?[0-9]')),
+      placed AS (SELECT src, id, unnest(m) AS grp, unnest(g[1:len(m)]) AS gap, generate_subscripts(m, 1) AS i FROM found WHERE len(m) > 0),
+      begun AS (SELECT src, id, grp, CAST(sum(length(gap) + length(grp)) OVER (PARTITION BY src, id ORDER BY i) - length(grp) AS BIGINT) AS pos
+        FROM placed),
+      windows AS (SELECT src, id, pos, grp, unnest(range(0, length(grp))) AS k FROM begun WHERE length(translate(grp, ' -', '')) >= 13),
+      cut AS (SELECT src, id, pos + k AS start, substring(grp, CAST(k + 1 AS BIGINT)) AS rest, unnest(range(13, 38)) AS n
+        FROM windows WHERE k = 0 OR grp[k] = ' ' OR grp[k] = '-'),
+      fitting AS (SELECT src, id, start, start + n AS "end", substring(rest, 1, n) AS value FROM cut
+        WHERE n <= length(rest) AND rest[n] >= '0' AND (n = length(rest) OR rest[n + 1] < '0')),
+      spans AS (SELECT src, id, 'CREDIT_CARD' AS type, CAST(NULL AS VARCHAR) AS label, 0 AS rank, value, start, "end" FROM fitting WHERE {LUHN}),
+      {kept("src, id")}
+      SELECT src, id, type, start, "end", value FROM kept"""
     sql["streaming_redaction"] = redaction(DOCS, "doc_id") + f" SELECT doc_id, {REDACTED} FROM rendered"
     sql["streaming_entity_counts"] = redaction(DOCS, "doc_id") + " " + ENTITY_COUNTS
     sql["streaming_request_counts"] = redaction(DOCS, "doc_id", "CASE type WHEN 'IPV4' THEN 'block' ELSE 'redact' END") + """

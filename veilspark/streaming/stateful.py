@@ -1,4 +1,4 @@
-"""Stateful streaming operators: chunk rehydration and admission."""
+"""Stateful streaming operators: event lines, chunks, byte lines and admission."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from veilspark.functions.kinds import MAX_STREAM_HOLD
+from veilspark.functions.kinds import LIMITER_MAX_KEYS, MAX_STREAM_HOLD
 from veilspark.operators.admission import decisions_of_free, full_after_ms, refill_rate, unlimited_route, with_retry_after
 from veilspark.sources.chunks import event_payloads
 
@@ -282,17 +282,10 @@ def _bucket_function(capacity: float, refill_per_ms: float, full_ms: int | None,
         tokens, last = state.get if state.exists else (float(capacity), int(rows["ts_ms"].iloc[0]))
         allowed, wait, left = [], [], []
         for ts in rows["ts_ms"].tolist():
-            if ts > last:
-                tokens, last = min(capacity, tokens + (ts - last) * refill_per_ms), ts
-            if tokens >= 1:
-                tokens -= 1
-                allowed.append(True)
-                wait.append(0)
-                left.append(math.floor(tokens))
-            else:
-                allowed.append(False)
-                wait.append(math.ceil((1 - tokens) / refill_per_ms) if refill_per_ms > 0 else None)
-                left.append(0)
+            tokens, last, passed = _take(tokens, last, ts, capacity, refill_per_ms)
+            allowed.append(passed)
+            wait.append(0 if passed else math.ceil((1 - tokens) / refill_per_ms) if refill_per_ms > 0 else None)
+            left.append(math.floor(tokens) if passed else 0)
         state.update((float(tokens), int(last)))
         if expire and full_ms is not None:
             state.setTimeoutTimestamp(max(last + full_ms, state.getCurrentWatermarkMs() + 1))
@@ -311,25 +304,87 @@ def _bucket_function(capacity: float, refill_per_ms: float, full_ms: int | None,
     return run
 
 
+def _take(tokens: float, last: int, ts: int, capacity: float, refill_per_ms: float) -> tuple[float, int, bool]:
+    """One request: tokens and time afterwards, and whether it passed."""
+    if ts > last:
+        tokens, last = min(capacity, tokens + (ts - last) * refill_per_ms), ts
+    return (tokens - 1, last, True) if tokens >= 1 else (tokens, last, False)
+
+
+def _shard_function(capacity: float, refill_per_ms: float, full_ms: int | None, most: int):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        buckets = {c: (t, at) for c, t, at in (json.loads(state.get[0]) if state.exists else [])}
+        rows = pd.concat(batches).sort_values(["ts_ms", "request_id"], kind="stable")
+        allowed, wait, left = [], [], []
+        callers = [None if pd.isna(c) else c for c in rows["caller"].tolist()]
+        for caller, ts in zip(callers, rows["ts_ms"].tolist()):
+            tokens, last, passed = _take(*buckets.get(caller, (float(capacity), ts)), ts, capacity, refill_per_ms)
+            buckets[caller] = (tokens, last)
+            allowed.append(passed)
+            wait.append(0 if passed else math.ceil((1 - tokens) / refill_per_ms) if refill_per_ms > 0 else None)
+            left.append(math.floor(tokens) if passed else 0)
+        if len(buckets) > most and full_ms is not None:
+            # A full bucket is the same as none. The clock is the latest request of these callers.
+            now = max(at for _, at in buckets.values())
+            buckets = {c: (t, at) for c, (t, at) in buckets.items() if now - at < full_ms}
+        state.update((json.dumps([[c, t, at] for c, (t, at) in buckets.items()]),))
+        yield pd.DataFrame(
+            {
+                "caller": callers,
+                "request_id": rows["request_id"].to_numpy(),
+                "ts_ms": rows["ts_ms"].to_numpy(),
+                "route": rows["route"].to_numpy(),
+                "allowed": allowed,
+                "retry_after_ms": pd.array(wait, dtype="Int64"),
+                "remaining": pd.array(left, dtype="Int32"),
+            }
+        )
+
+    return run
+
+
+#: Callers that share one state entry, when there are as many as the limit allows.
+CALLERS_A_SHARD = 32
+
+
 def admit_stream(
-    requests: DataFrame, capacity: float, refill_per_ms: float, watermark: str | None = None
+    requests: DataFrame,
+    capacity: float,
+    refill_per_ms: float,
+    watermark: str | None = None,
+    max_keys: int = LIMITER_MAX_KEYS,
 ) -> DataFrame:
     """Streaming admission of requests ``caller, request_id, ts_ms, route[, ts]``.
 
-    State is two numbers per caller. With ``watermark`` (a delay on the timestamp column ``ts``) the
-    state of callers idle for a full refill is dropped, which changes no outcome; as with any watermark,
-    requests later than the delay get no decision.
+    State is bounded by ``max_keys`` callers, two numbers each, kept in ``max_keys / 32`` shards by the
+    hash of the caller. A shard with more than its share drops the buckets that have refilled, which
+    are the same as none; only callers that are busy at one time can exceed the bound. No request is
+    lost, however late: one older than its caller's last is decided against the tokens left, or by a
+    full bucket if the caller's was dropped. ``max_keys`` must stay the same for one checkpoint.
+
+    With ``watermark`` (a delay on the timestamp column ``ts``) state is kept per caller and dropped by
+    timers instead; as with any watermark, requests later than the delay get no decision.
     """
-    source = requests.withWatermark("ts", watermark) if watermark else requests
-    timeout = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
-    run = _bucket_function(capacity, refill_per_ms, full_after_ms(capacity, refill_per_ms), bool(watermark))
-    return source.groupBy("caller").applyInPandasWithState(
-        run, DECIDED, "tokens double, last_ms long", "append", timeout
+    full_ms = full_after_ms(capacity, refill_per_ms)
+    if watermark:
+        run = _bucket_function(capacity, refill_per_ms, full_ms, True)
+        return requests.withWatermark("ts", watermark).groupBy("caller").applyInPandasWithState(
+            run, DECIDED, "tokens double, last_ms long", "append", GroupStateTimeout.EventTimeTimeout
+        )
+    shards = max(1, max_keys // CALLERS_A_SHARD)
+    shard = F.pmod(F.xxhash64("caller"), F.lit(shards)).cast("int")
+    run = _shard_function(capacity, refill_per_ms, full_ms, -(-max_keys // shards))
+    return requests.withColumn("__shard", shard).groupBy("__shard").applyInPandasWithState(
+        run, DECIDED, "buckets string", "append", GroupStateTimeout.NoTimeout
     )
 
 
 def rate_limit_stream(
-    requests: DataFrame, limit: int, window_sec: int = 60, watermark: str | None = None
+    requests: DataFrame,
+    limit: int,
+    window_sec: int = 60,
+    watermark: str | None = None,
+    max_keys: int = LIMITER_MAX_KEYS,
 ) -> DataFrame:
     """Streaming admission with the server's settings; adds ``retry_after_sec`` for denied requests.
 
@@ -340,6 +395,6 @@ def rate_limit_stream(
     if limit <= 0:
         return with_retry_after(requests.select(*columns).withColumns(decisions_of_free()))
     free = unlimited_route("route")
-    counted = admit_stream(requests.where(~free), limit, refill_rate(limit, window_sec), watermark)
+    counted = admit_stream(requests.where(~free), limit, refill_rate(limit, window_sec), watermark, max_keys)
     passed = requests.where(free).select(*columns).withColumns(decisions_of_free())
     return with_retry_after(counted.unionByName(passed))
