@@ -15,13 +15,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilspark.functions.kinds import UNLIMITED_ROUTES
 from veilspark.operators.lookup import join_null_safe
+from veilspark.operators.staging import stage
 
 
 def refill_rate(limit: int, window_sec: int) -> float:
@@ -117,6 +121,108 @@ def admit(
     ).drop("__place", "before", "admitted")
 
 
+def _replay(limit: int, window_ms: int, ends: bool):
+    """Decide requests in order, segment by segment, or give only the state at each segment's end.
+
+    Tokens are whole units of ``1 / window_ms``: a request costs ``window_ms``, a millisecond brings
+    ``limit``, and the bucket holds ``limit * window_ms``. So nothing is ever rounded.
+    """
+    full = limit * window_ms
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, units, last, closed = None, 0, 0, []
+        for batch in batches:
+            allowed, wait, left = [], [], []
+            columns = (batch.column(c).to_pylist() for c in ("__range", "__caller", "__ts", "__units", "__last"))
+            for part, caller, ts, given, since in zip(*columns):
+                if at != (part, caller):
+                    if at is not None:
+                        closed.append((*at, units, last))
+                    at, units, last = (part, caller), full if given is None else given, ts if given is None else since
+                if ts > last:
+                    units, last = min(full, units + (ts - last) * limit), ts
+                passed = units >= window_ms
+                if passed:
+                    units -= window_ms
+                allowed.append(passed)
+                wait.append(0 if passed else -(-(window_ms - units) // limit))
+                left.append(units // window_ms if passed else 0)
+            if not ends:
+                kept = [c for c in batch.schema.names if c not in ("__range", "__caller", "__ts", "__units", "__last", "__place")]
+                out = [pa.array(allowed, pa.bool_()), pa.array(wait, pa.int64()), pa.array(left, pa.int32())]
+                yield pa.record_batch([*(batch.column(c) for c in kept), *out], names=[*kept, "allowed", "retry_after_ms", "remaining"])
+        if ends:
+            if at is not None:
+                closed.append((*at, units, last))
+            parts = list(zip(*closed)) if closed else [[], [], [], []]
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(parts, kinds)], names=["range", "caller", "units", "last"])
+
+    return run
+
+
+def admit_spread(
+    requests: DataFrame, limit: int, window_ms: int, order: Sequence[str] = ("request_id",)
+) -> DataFrame:
+    """``allowed, retry_after_ms, remaining`` as :func:`admit` adds them, with one caller spread over many tasks.
+
+    Requests are dealt to ranges of caller, time and ``order``; a caller's requests in a range are a
+    segment. A segment is decided alone once the tokens at its start are known. They are guessed for a
+    busy caller: used up, but for the fraction that has come since its first request. All segments run
+    at once from their guesses, and those that the segment before ended otherwise run again from there,
+    until every guess has come true; then every decision is that of one bucket. A segment forgets its
+    start when its bucket runs empty or fills up, so a few rounds suffice. Only callers that cross the
+    end of a range have more than one segment, at most two for each end; these states are all that the
+    driver sees. Requests of one millisecond may be many: ranges cut them, too.
+
+    Arithmetic is in whole numbers, so a bucket never gains or loses a request by rounding. ``caller``
+    is a string and may be null, ``ts_ms`` may not be; ``limit`` is the bucket's size and what a window
+    brings. Empty tables give no rows.
+    """
+    if limit < 1 or window_ms < 1:
+        raise ValueError("limit and window_ms must be positive")
+    keyed = requests.drop("allowed", "retry_after_ms", "remaining").withColumns(
+        {"__caller": F.col("caller").cast("string"), "__ts": F.col("ts_ms").cast("long"), "__tie": F.monotonically_increasing_id()}
+    )
+    keys = ["__caller", "__ts", *order, "__tie"]
+    dealt = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("__tie")
+    placed = stage(dealt.withColumn("__place", F.monotonically_increasing_id()), "requests")
+    ranged = placed.withColumn("__range", F.shiftright("__place", 33))
+    segments = ranged.groupBy("__caller", "__range").agg(F.min("__ts").alias("first"), F.max("__ts").alias("last"))
+    several = segments.groupBy("__caller").agg(F.count("*").alias("n")).where("n > 1").select("__caller")
+    found = join_null_safe(segments, several, ["__caller"]).orderBy("__caller", "__range").collect()
+
+    entries: dict[tuple, tuple[int, int]] = {}
+    before: dict[tuple, tuple] = {}
+    for caller, group in groupby(found, key=lambda r: r["__caller"]):
+        rows = list(group)
+        for a, b in zip(rows, rows[1:]):
+            here = (b["__range"], caller)
+            before[here] = (a["__range"], caller)
+            entries[here] = ((a["last"] - rows[0]["first"]) * limit % window_ms, a["last"])
+    spark = requests.sparkSession
+
+    def started(chosen: dict, how: str) -> DataFrame:
+        table = spark.createDataFrame([(*k, *v) for k, v in chosen.items()], "__range long, __caller string, __units long, __last long")
+        joined = join_null_safe(ranged, F.broadcast(table), ["__range", "__caller"], how)
+        return joined.repartition("__range").sortWithinPartitions("__range", "__place")
+
+    ends: dict[tuple, tuple[int, int]] = {}
+    todo = {(r["__range"], r["__caller"]): (limit * window_ms, r["first"]) for r in found} | entries
+    while todo:
+        done = started(todo, "inner").mapInArrow(_replay(limit, window_ms, True), "range long, caller string, units long, last long")
+        ends |= {(r["range"], r["caller"]): (r["units"], r["last"]) for r in done.collect()}
+        wrong = {k: ends[b] for k, b in before.items() if ends[b] != entries[k]}
+        entries |= wrong
+        todo = wrong
+    columns = [c for c in ranged.columns if not c.startswith("__")]
+    schema = T.StructType(
+        [*(ranged.schema[c] for c in columns), T.StructField("allowed", T.BooleanType()),
+         T.StructField("retry_after_ms", T.LongType()), T.StructField("remaining", T.IntegerType())]
+    )
+    return started(entries, "left").mapInArrow(_replay(limit, window_ms, False), schema)
+
+
 def unlimited_route(route: str) -> Column:
     """Health and metrics routes; a query string does not matter."""
     return F.coalesce(F.substring_index(route, "?", 1).isin(*UNLIMITED_ROUTES), F.lit(False))

@@ -39,8 +39,25 @@ def staging_path(spark: SparkSession, name: str) -> str:
 def drop_staged(spark: SparkSession) -> None:
     """Delete all tables that this application staged. They hold raw values: call it when the results
     are written. Frames read from staged tables can not be used afterwards."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete_folder(spark, _own_dir(spark))
+
+
+def numbered_folders(spark: SparkSession, path: str, prefix: str) -> list[tuple[int, bool]]:
+    """(number, complete) of the folders ``prefix<number>`` under a path, in order. Spark marks a folder as
+    complete when the job that wrote it has committed."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    root = make(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(root)]
+    numbers = sorted(int(n.removeprefix(prefix)) for n in names if n.startswith(prefix))
+    return [(n, files.exists(make(f"{path}/{prefix}{n}/_SUCCESS"))) for n in numbers]
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def stage(df: DataFrame, name: str = "table") -> DataFrame:

@@ -16,13 +16,16 @@ from veilspark.functions.kinds import TOKEN_MAP, VAULT_MAX_ENTRIES, VAULT_TTL_MS
 from veilspark.operators.lookup import ROW, attach_values, numbered_rows
 from veilspark.operators.numbering import with_rank
 from veilspark.operators.rehydrate import rehydrate, tokens_in
-from veilspark.operators.staging import stage
+from veilspark.operators.staging import delete_folder, numbered_folders, stage
 
 VAULT = (
     "map_id string, scope_id string, entries map<string,string>, created_at timestamp, "
     "expires_at timestamp, expires_date date"
 )
 
+#: Folders of a swept vault.
+GENERATION = "generation-"
+
 
 def map_id(run_id: str, scope_id: Column, secret: str = "") -> Column:
     """An opaque id that is the same when a task is run again.
@@ -162,22 +165,10 @@ def lookup_as_of(
     return joined.withColumn("token_map", F.when(there, F.col("__entries"))).drop("__id", "__entries", "__from", "__to")
 
 
-def _generations(spark: SparkSession, path: str) -> tuple[object, list[tuple[int, bool]]]:
-    """The file system, and (number, complete) of the generations under a path."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(root):
-        return files, []
-    names = [s.getPath().getName() for s in files.listStatus(root)]
-    numbers = sorted(int(n.removeprefix("generation-")) for n in names if n.startswith("generation-"))
-    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    return files, [(n, files.exists(make(f"{path}/generation-{n}/_SUCCESS"))) for n in numbers]
-
-
 def swept_path(spark: SparkSession, path: str) -> str | None:
     """The folder of the newest complete generation of a swept vault: what readers read and writers append to."""
-    complete = [n for n, done in _generations(spark, path)[1] if done]
-    return f"{path}/generation-{complete[-1]}" if complete else None
+    complete = [n for n, done in numbered_folders(spark, path, GENERATION) if done]
+    return f"{path}/{GENERATION}{complete[-1]}" if complete else None
 
 
 def sweep_vault(spark: SparkSession, rows: DataFrame, path: str, now: Column, keys: Sequence[str] = ("map_id",)) -> str:
@@ -189,17 +180,15 @@ def sweep_vault(spark: SparkSession, rows: DataFrame, path: str, now: Column, ke
     table. The generation before stays for readers that have begun; older ones are deleted. Only one
     sweep may run, and rows appended while it runs belong to the old generation.
     """
-    files, found = _generations(spark, path)
-    complete = [n for n, done in found if done]
+    complete = [n for n, done in numbered_folders(spark, path, GENERATION) if done]
     number = complete[-1] + 1 if complete else 0
     others = [c for c in rows.columns if c not in keys]
     latest = F.max_by(F.struct(*others), "expires_at").alias("__row")
     folded = live(rows, now).groupBy(*keys).agg(latest).select(*keys, "__row.*").select(*rows.columns)
-    target = f"{path}/generation-{number}"
+    target = f"{path}/{GENERATION}{number}"
     folded.write.mode("overwrite").partitionBy("expires_date").parquet(target)
-    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     for old in complete[:-1]:
-        files.delete(make(f"{path}/generation-{old}"), True)
+        delete_folder(spark, f"{path}/{GENERATION}{old}")
     return target
 
 

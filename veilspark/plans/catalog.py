@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from veilspark.functions.hof import once
 from veilspark.functions.masks import mask_value
 from veilspark.operators import detect as d
-from veilspark.operators.admission import admit, rate_limit
+from veilspark.operators.admission import admit, admit_spread, rate_limit
 from veilspark.operators.audit import (
     audit_events,
     audit_scopes,
@@ -52,7 +52,16 @@ from veilspark.operators.vault import (
     write_vault,
 )
 from veilspark.plans import tables as t
-from veilspark.plans.oracles import BUCKET_LIMIT, BUCKET_WINDOW_MS, CLASSES, LIMIT, LIMIT_WINDOW_SEC, VAULT_LIFE_MS
+from veilspark.plans.oracles import (
+    BUCKET_LIMIT,
+    BUCKET_WINDOW_MS,
+    CLASSES,
+    LIMIT,
+    LIMIT_WINDOW_SEC,
+    ONE_CALLER_LIMIT,
+    ONE_CALLER_WINDOW_MS,
+    VAULT_LIFE_MS,
+)
 from veilspark.sources.bytes import lines_of_chunks
 from veilspark.sources.chunks import chunk_frames, parse_chunk_lines
 from veilspark.sources.policies import checked_policies, request_policy
@@ -67,7 +76,9 @@ from veilspark.streaming.stateful import (
 )
 from veilspark.streaming.stateless import (
     drain,
+    drain_epochs,
     drain_totals,
+    drain_window_counts,
     live_entity_counts,
     live_request_counts,
     read_stream,
@@ -570,6 +581,27 @@ def rate_limit_stream_routes(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("request_id", "allowed", "retry_after_ms", "retry_after_sec")
 
 
+def admission_one_caller(spark: SparkSession, sf: str) -> DataFrame:
+    """All requests are one caller's; eight in twelve hours pass."""
+    one = t.requests(spark, sf).withColumn("caller", F.lit("all")).drop("ts")
+    done = admit_spread(one, ONE_CALLER_LIMIT, ONE_CALLER_WINDOW_MS)
+    return done.select("request_id", "allowed", "retry_after_ms", F.col("remaining").cast("long").alias("remaining"))
+
+
+def streaming_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Audit events of a document stream, every micro-batch committed once."""
+    source = _document_stream(spark, sf).withColumnRenamed("doc_id", "id")
+    events = audit_events(redact_stream(source), "id", "/v1/redact", _ts())
+    return _audit_shown(drain_epochs(events, staging_path(spark, "audit")))
+
+
+def streaming_window_counts(spark: SparkSession, sf: str) -> DataFrame:
+    source = read_stream(spark, sf, "events.parquet", t.table(spark, sf, "events").schema)
+    requests = source.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("route"))
+    done = drain_window_counts(requests, staging_path(spark, "windows"))
+    return done.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "route", "requests")
+
+
 def admission_null_callers(spark: SparkSession, sf: str) -> DataFrame:
     """Every third request has no caller; these share one bucket."""
     caller = F.when(F.col("request_id") % 3 > 0, F.col("caller"))
@@ -819,6 +851,9 @@ def queries() -> dict[str, Query]:
         "admission": admission,
         "admission_stream": admission_stream,
         "admission_null_callers": admission_null_callers,
+        "admission_one_caller": admission_one_caller,
+        "streaming_audit": streaming_audit,
+        "streaming_window_counts": streaming_window_counts,
         "rate_limit_stream": rate_limit_stream_routes,
         "rate_limit_routes": rate_limit_routes,
         "chunk_rehydration": chunk_rehydration,

@@ -292,6 +292,7 @@ VAULT_LIFE_MS = 7 * 3_600_000
 #: Groups of digits, each a whole word, parted by one blank or hyphen.
 GROUPS = r"\b[0-9]+\b(?:[ -][0-9]+\b)*"
 BUCKET_LIMIT, BUCKET_WINDOW_MS = 3, 36_000_000
+ONE_CALLER_LIMIT, ONE_CALLER_WINDOW_MS = 8, 43_200_000
 LIMIT, LIMIT_WINDOW_SEC = 2, 36_000
 
 CHUNKS = f"""replies AS ({REPLIES}),
@@ -454,6 +455,25 @@ def oracle_sql() -> dict[str, str]:
         BUCKET.format(requests=nameless, limit=BUCKET_LIMIT, window_ms=BUCKET_WINDOW_MS, where="true")
         + " SELECT request_id, allowed, retry_after_ms FROM b"
     )
+    # Whole units of 1 / window; the rows as one list each, so that a step is a look-up.
+    full = ONE_CALLER_LIMIT * ONE_CALLER_WINDOW_MS
+    sql["admission_one_caller"] = f"""WITH RECURSIVE r AS (
+        SELECT list(request_id ORDER BY ts_ms, request_id) AS ids, list(ts_ms ORDER BY ts_ms, request_id) AS times FROM ({REQUESTS})),
+      b AS (SELECT 1 AS i, ids[1] AS request_id, CAST({full} - {ONE_CALLER_WINDOW_MS} AS BIGINT) AS units, true AS allowed, CAST(0 AS BIGINT) AS wait
+        FROM r WHERE len(ids) > 0
+        UNION ALL SELECT i, request_id, CASE WHEN u >= {ONE_CALLER_WINDOW_MS} THEN u - {ONE_CALLER_WINDOW_MS} ELSE u END,
+          u >= {ONE_CALLER_WINDOW_MS}, CASE WHEN u >= {ONE_CALLER_WINDOW_MS} THEN 0
+            ELSE ({ONE_CALLER_WINDOW_MS} - u + {ONE_CALLER_LIMIT} - 1) // {ONE_CALLER_LIMIT} END
+        FROM (SELECT i + 1 AS i, ids[i + 1] AS request_id,
+            least({full}, units + (times[i + 1] - times[i]) * {ONE_CALLER_LIMIT}) AS u FROM b, r WHERE i < len(ids)))
+      SELECT request_id, allowed, wait AS retry_after_ms, CASE WHEN allowed THEN units // {ONE_CALLER_WINDOW_MS} ELSE 0 END AS remaining FROM b"""
+    sql["streaming_audit"] = redaction(DOCS, "doc_id") + f"""
+      SELECT {TS} AS ts, CAST(r.doc_id AS VARCHAR) AS request_id, '/v1/redact' AS route, blocked,
+      coalesce((SELECT string_agg(c.type || '=' || c.n, ',' ORDER BY c.type) FROM (SELECT doc_id, type, count(*) AS n
+        FROM pieces GROUP BY doc_id, type) c WHERE c.doc_id = r.doc_id), '') AS entity_counts,
+      CAST(n_entities AS BIGINT) AS total_entities FROM rendered r"""
+    sql["streaming_window_counts"] = """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start,
+      event_type AS route, CAST(count(*) AS BIGINT) AS requests FROM events GROUP BY ALL"""
     sql["rate_limit_stream"] = sql["rate_limit_routes"]
     sql["chunk_rehydration"] = "WITH " + CHUNKS + " " + EMITTED
     sql["chunk_stream"] = sql["chunk_rehydration"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veilspark.operators.detect import BUILT_IN, ColumnDetector, Detector
 from veilspark.operators.policy import LayeredPolicy, Policy
 from veilspark.operators.redact import redact
-from veilspark.operators.staging import staging_path
+from veilspark.operators.staging import numbered_folders, staging_path
 
 
 def redact_stream(
@@ -62,6 +62,72 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
 
 
+EPOCH = "epoch-"
+
+
+def write_epoch(path: str):
+    """A writer for ``foreachBatch`` that writes every micro-batch once, as parquet.
+
+    A batch has a folder of its own, which counts when its job has committed. A batch that comes again
+    after a failure is skipped if its folder counts, and written over if it does not.
+    """
+
+    def write(rows: DataFrame, epoch: int) -> None:
+        spark = rows.sparkSession
+        if (epoch, True) not in numbered_folders(spark, path, EPOCH):
+            rows.write.mode("overwrite").parquet(f"{path}/{EPOCH}{epoch}")
+
+    return write
+
+
+def read_epochs(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The rows of all batches that :func:`write_epoch` has committed."""
+    folders = [f"{path}/{EPOCH}{n}" for n, done in numbered_folders(spark, path, EPOCH) if done]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def drain_epochs(stream: DataFrame, path: str) -> DataFrame:
+    """Run a stream over all available input into committed batches under ``path``, and read them."""
+    query = (
+        stream.writeStream.foreachBatch(write_epoch(f"{path}/data"))
+        .option("checkpointLocation", f"{path}/progress")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return read_epochs(stream.sparkSession, f"{path}/data", stream.schema)
+
+
+def window_counts(requests: DataFrame, every: str = "1 hour", ts: str = "ts", by: str = "route") -> DataFrame:
+    """``window_start, <by>, requests``: counts of requests by event-time window, of one batch of rows."""
+    counted = requests.groupBy(F.window(ts, every).alias("window"), by).agg(F.count("*").alias("requests"))
+    return counted.select(F.col("window.start").alias("window_start"), by, "requests")
+
+
+def drain_window_counts(requests: DataFrame, path: str, every: str = "1 hour", ts: str = "ts", by: str = "route") -> DataFrame:
+    """Windowed counts of a stream, without state: every micro-batch commits its own partial counts, and
+    their sums are the counts. A row counts in its window however late it comes, and once. Rows without
+    a time have no window and are not counted."""
+    spark = requests.sparkSession
+    write = write_epoch(f"{path}/data")
+    query = (
+        requests.writeStream.foreachBatch(lambda rows, epoch: write(window_counts(rows, every, ts, by), epoch))
+        .option("checkpointLocation", f"{path}/progress")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    kind = requests.schema[by].dataType.simpleString()
+    parts = read_epochs(spark, f"{path}/data", f"window_start timestamp, {by} {kind}, requests long")
+    return parts.groupBy("window_start", by).agg(F.sum("requests").alias("requests"))
+
+
+def live_window_counts(requests: DataFrame, delay: str, every: str = "1 hour", ts: str = "ts", by: str = "route") -> DataFrame:
+    """Windowed counts with state bounded by a watermark: a window is given once, when no row of it can
+    come any more. Rows later than ``delay`` behind the latest are not counted; Spark reports how many."""
+    return window_counts(requests.withWatermark(ts, delay), every, ts, by)
+
+
 def drain_totals(stream: DataFrame, name: str) -> DataFrame:
     """Run an aggregating stream over all available input; the last full result, staged.
 
