@@ -8,14 +8,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilspark.operators import lookup, numbering
+from veilspark.operators import terms as terms_module
+from veilspark.operators.admission import caller_of
 from veilspark.operators.audit import audit_scopes, write_audit
 from veilspark.operators.batch import redact_batch
+from veilspark.operators.detect import API_KEY_ASSIGNED, detect
 from veilspark.operators.lookup import attach_values
 from veilspark.operators.messages import flatten_messages, reassemble_messages, rehydrate_reply
 from veilspark.operators.models import detect_with_model, join_model_spans, parse_spans
-from veilspark.operators.policy import Policy
+from veilspark.operators.policy import Policy, with_key_policy
 from veilspark.operators.redact import redact
 from veilspark.operators.rehydrate import rehydrate
+from veilspark.operators.rules import compile_rules, load_rules
 from veilspark.operators.staging import stage
 from veilspark.operators.terms import term_spans
 from veilspark.operators.vault import (
@@ -29,6 +33,7 @@ from veilspark.operators.vault import (
     vault_size,
     write_vault,
 )
+from veilspark.sources.chunks import read_chunk_files
 from veilspark.sources.text import read_texts, split_overlong
 
 
@@ -229,20 +234,77 @@ def test_model_plugin(spark):
     assert "secret text" not in str(e.value)
 
 
+@pytest.mark.parametrize("form", ["automaton", "broadcast", "shuffle"])
 @pytest.mark.parametrize("ignore_case", [False, True])
-def test_terms_equal_a_regex(spark, ignore_case):
+def test_terms_equal_a_regex(spark, monkeypatch, ignore_case, form):
+    if form == "shuffle":
+        monkeypatch.setattr(terms_module, "BROADCAST_TERMS", 0)
+    most = terms_module.AUTOMATON_BYTES if form == "automaton" else 0
     rng = random.Random(3)
     vocab = ["red", "Red", "ring", "big", "x9", "_a", "é", "bolt"]
     texts = ["".join(rng.choice(vocab) + rng.choice([" ", "-", "  ", ". "]) for _ in range(30)) for _ in range(60)]
     terms = ["red ring", "red", "ring-big", "bolt", "big", "x9 _a x9", "ring"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     listed = spark.createDataFrame([(w, i) for i, w in enumerate(terms)], "term string, ord int")
-    got = {r.id: [(s.start, s.end, s.value) for s in r.term_spans] for r in term_spans(df, ("id",), listed, "t", ignore_case=ignore_case).collect()}
+    got = {r.id: [(s.start, s.end, s.value) for s in r.term_spans] for r in term_spans(df, ("id",), listed, "t", ignore_case=ignore_case, automaton_bytes=most).collect()}
     pattern = re.compile(r"\b(?:" + "|".join(map(re.escape, terms)) + r")\b", re.ASCII | (re.I if ignore_case else 0))
     for i, text in enumerate(texts):
         assert got.get(i, []) == [(*m.span(), m[0]) for m in pattern.finditer(text)], text
 
 
+def test_automaton_details(spark):
+    df = spark.createDataFrame([(1, "aa a aaa İred RED"), (1, None), (2, "aa"), (3, "none")], "id int, text string")
+    listed = spark.createDataFrame([("aa a",), ("a",), ("aa",), ("red",), (None,)], "term string")
+    got = term_spans(df, ("id",), listed, "t", ignore_case=True)
+    assert {r.id: [(s.start, s.value, s.label, s.type) for s in r.term_spans] for r in got.collect()} == {
+        1: [(0, "aa a", "t", "CUSTOM"), (10, "red", "t", "CUSTOM"), (14, "RED", "t", "CUSTOM")], 2: [(0, "aa", "t", "CUSTOM")],
+    }
+    assert term_spans(df, ("id",), listed.limit(0), "t").count() == 0
+    assert term_spans(df.limit(0), ("id",), listed, "t").count() == 0
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_policies_of_many_and_hot_tenants(spark, monkeypatch, most):
+    monkeypatch.setattr(lookup, "MIN_HOT", 10)
+    monkeypatch.setattr(lookup, "HOT_KEYS", 3)
+    policies = spark.createDataFrame([(f"t{k}", "mask", {"EMAIL": "allow"}) for k in range(30)],
+                                     "scope_key string, default_action string, overrides map<string,string>")
+    rows = [(i, "t1" if i % 3 else f"t{i % 40}" if i % 4 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, tenant string")
+    got = {r.id: r.key_policy and r.key_policy.default for r in with_key_policy(df, policies, "tenant", max_rows=most).collect()}
+    assert got == {i: "mask" if t and int(t[1:]) < 30 else None for i, t in rows}
+
+
+def test_rules_from_files(spark, tmp_path):
+    rules = [{"name": "a", "pattern": "x{2}"}, {"name": "b", "terms": ["red"], "flags": "i"}]
+    (tmp_path / "array.json").write_text(json.dumps(rules, indent=1))
+    (tmp_path / "lines.json").write_text("\n".join(map(json.dumps, rules)) + "\n")
+    for name in ("array.json", "lines.json"):
+        assert [r.name for r in load_rules(spark, str(tmp_path / name))] == ["a", "b"]
+    with pytest.raises(ValueError, match="too large"):
+        load_rules(spark, str(tmp_path / "array.json"), max_bytes=10)
+    (tmp_path / "broken.json").write_text('[{"name": ""}]')
+    with pytest.raises(ValueError):
+        compile_rules(spark, load_rules(spark, str(tmp_path / "broken.json")))
+
+
+def test_assigned_secrets(spark):
+    texts = ['token = "7c72db563d7f6e50cec00950f7bab1f2"', "API_KEY: 'abcdefghij0123456789'", "secret=short", "my_token = abcdefghij0123456789",
+             "password=abcdefghij0123456789-_x y", "sk-abcdefghijklmnopqrstuvwx"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: [s.value for s in r.spans] for r in detect(df, detectors=(API_KEY_ASSIGNED,)).collect()}
+    assert got == {0: ["7c72db563d7f6e50cec00950f7bab1f2"], 1: ["abcdefghij0123456789"], 2: [], 3: [],
+                   4: ["abcdefghij0123456789-_x"], 5: ["sk-abcdefghijklmnopqrstuvwx"]}
+
+
+def test_callers_and_recorded_replies(spark, tmp_path):
+    df = spark.createDataFrame([("k", "1.1.1.1"), (None, "2.2.2.2"), (None, None)], "api_key string, client_ip string")
+    assert [r[0] for r in df.select(caller_of()).collect()] == ["k", "2.2.2.2", None]
+    (tmp_path / "reply.txt").write_text('data: {"choices":[{"delta":{"content":"[A_1] é"}}]}\n\ndata: [DONE]')
+    lines = read_chunk_files(spark, str(tmp_path / "reply.txt"))
+    assert [(r.seq, r.line[:6]) for r in lines.orderBy("seq").collect()] == [(0, "data: "), (1, ""), (2, "data: ")]
+
+
 def test_sources_and_sinks(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.createDataFrame([(1, "abc", "z"), (2, "a" * 20, "z"), (3, None, "z")], "id int, body string, other string")

@@ -3,13 +3,35 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import TypeVar
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 64
 
 
+_Made = TypeVar("_Made")
+_built: dict[tuple, tuple[object, object]] = {}
+
+
+def built(key: tuple, make: Callable[[], _Made]) -> _Made:
+    """Expressions over fixed column names, built once for a Spark context and used again.
+
+    Long expressions cost thousands of calls into the JVM, more than a small table costs to redact.
+    ``key`` must name all that they depend on.
+    """
+    context = SparkContext._active_spark_context
+    if context is None:
+        return make()
+    owner, found = _built.get(key, (None, None))
+    if owner is not context:
+        found = make()
+        _built[key] = (context, found)
+    return found
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and hand it to ``body`` as a variable."""
     return F.transform(F.array(value), body)[0]

@@ -49,6 +49,10 @@ PHONE = (
 # The two secret formats have no published pattern to match; these are our own.
 JWT = r"(?<!\w)eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++"
 API_KEY = r"(?<!\w)(?:sk-[A-Za-z0-9_-]{20,}+|AKIA[0-9A-Z]{16}(?!\w))"
+#: Opt-in form: what is assigned to a name that says it is a secret. Our own, too.
+API_KEY_ASSIGNED = (
+    r"(?i)(?=[aspt])(?<!\w)(?:api[_-]?key|access[_-]?key|secret|password|token)[ \t]*[:=][ \t]*[\"']?([A-Za-z0-9_-]{20,}+)"
+)
 IPV4 = rf"(?=\d)(?<!\w)(?:{OCTET}\.){{3}}{OCTET}(?!\w)"
 
 # Ordered choice: an earlier form wins even when a later one would match more text.

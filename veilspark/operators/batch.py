@@ -11,9 +11,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.functions.hof import built
 from veilspark.operators.detect import BUILT_IN, ColumnDetector, Detector, detect
 from veilspark.operators.lookup import ROW, attach_values, join_null_safe, numbered_rows
 from veilspark.operators.numbering import distinct_values, number_values
@@ -81,12 +82,15 @@ def redact_batch(
     )
     table = tokens.withColumn("__key", F.concat("display", F.lit(" "), "value"))
     mapped = attach_values(keyed, "__keys", table, scope, "__key", "placeholder", "__placeholders")
+    def pieces() -> Column:
+        return replaced(F.col("__acted"), F.map_entries("__placeholders"), unicode_mask)
+
     texts = (
-        mapped.withColumn("__pieces", replaced(F.col("__acted"), F.map_entries("__placeholders"), unicode_mask))
+        mapped.withColumn("__pieces", built(("batch", unicode_mask), pieces))
         .withColumns(
             {
-                "redacted": splice(F.col(text), F.col("__pieces")),
-                "entities": reported(F.col("__pieces")),
+                "redacted": built(("splice", text), lambda: splice(F.col(text), F.col("__pieces"))),
+                "entities": built(("reported",), lambda: reported(F.col("__pieces"))),
                 "blocked": F.exists("__acted", lambda s: s["action"] == "block"),
             }
         )

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions import patterns as p
-from veilspark.functions.hof import empty, once
+from veilspark.functions.hof import built, empty, once
 from veilspark.functions.kinds import ENTITY_TYPES, SPANS
 from veilspark.functions.spans import cards_in_groups, is_card, place, span
 
@@ -86,6 +86,10 @@ NAME = Detector(
     ),
 )
 
+#: Opt-in: known key formats, and values assigned to a name like ``token`` or ``api_key``.
+API_KEY_ASSIGNED = Detector("API_KEY", (*API_KEY.scans, Scan(p.API_KEY_ASSIGNED, (), "[:=]", ":=", group=1)))
+
+
 def _subspan_cards(text: Column) -> Column:
     return F.when(text.rlike(p.CREDIT_CARD), cards_in_groups(text))
 
@@ -182,6 +186,21 @@ def detect(
     ``extra`` names span array columns (model output) that are appended and then dropped.
     """
     check_types(detectors)
+    if all(isinstance(d, Detector) for d in detectors):
+        # Rules that keep matches do not take part in the comparison of detectors, so they are named, too.
+        known = tuple((d, *(s.keep for s in d.scans)) for d in detectors)
+        steps = built(("detect", text, known, tuple(extra)), lambda: _steps(text, detectors, extra))
+    else:
+        steps = _steps(text, detectors, extra)
+    probed, raw, scanned, spans = steps
+    matched = df.withColumns(probed).withColumns(raw).withColumns(scanned)
+    return once(matched, out, spans).drop(*probed, *raw, *scanned, *extra)
+
+
+def _steps(
+    text: str, detectors: Sequence[Detector | ColumnDetector], extra: Sequence[str]
+) -> tuple[dict[str, Column], dict[str, Column], dict[str, Column], Column]:
+    """The probe, the raw matches, the scans and the spans, as columns to be added one after the other."""
     t = F.col(text)
     probe = _joint_probe([s for d in detectors if isinstance(d, Detector) for s in d.scans])
     probed = {"__probed": t.rlike(probe)} if probe else {}
@@ -242,8 +261,7 @@ def detect(
         steps["__scans"] = F.array_compact(F.array(*scans))
         parts.insert(0, F.flatten(F.transform("__scans", spans_of)))
     spans = F.concat(*parts) if parts else empty(SPANS)
-    matched = df.withColumns(probed).withColumns(raw).withColumns(steps)
-    return once(matched, out, spans).drop(*probed, *raw, *steps, *extra)
+    return probed, raw, steps, spans
 
 
 def findings(df: DataFrame, *ids: str, spans: str = "spans") -> DataFrame:

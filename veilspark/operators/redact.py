@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.hof import BLOCK, let, lookup_all, once
+from veilspark.functions.hof import BLOCK, built, let, lookup_all, once
 from veilspark.functions.labels import count_placeholders, normalize_label, placeholder
 from veilspark.functions.masks import mask_value
 from veilspark.operators.detect import BUILT_IN, ColumnDetector, Detector, detect
@@ -34,7 +34,8 @@ def with_actions(
             policy.action(s["type"]).alias("action"),
         )
 
-    return once(df, out, F.transform(resolve_overlaps(F.col(spans)), act))
+    key = ("acted", spans, *policy.key_of())
+    return once(df, out, built(key, lambda: F.transform(resolve_overlaps(F.col(spans)), act)))
 
 
 def tokenized(span: Column) -> Column:
@@ -164,19 +165,23 @@ def wire_entities(entities: Column) -> Column:
     )
 
 
+def _own_pieces(acted: str, unicode_mask: bool) -> Column:
+    entries = F.transform("__tokens", lambda t: F.struct(t["key"].alias("key"), t["placeholder"].alias("value")))
+    return replaced(F.col(acted), entries, unicode_mask)
+
+
 def apply_actions(df: DataFrame, text: str = "text", acted: str = "acted", unicode_mask: bool = False) -> DataFrame:
     """Replace ``text`` and ``acted`` by ``redacted, entities, token_map, blocked``."""
-    numbered = once(df, "__tokens", number_in_row(F.col(acted)))
-    entries = F.transform("__tokens", lambda t: F.struct(t["key"].alias("key"), t["placeholder"].alias("value")))
-    pieces = once(numbered, "__pieces", replaced(F.col(acted), entries, unicode_mask))
+    numbered = once(df, "__tokens", built(("tokens", acted), lambda: number_in_row(F.col(acted))))
+    pieces = once(numbered, "__pieces", built(("pieces", acted, unicode_mask), lambda: _own_pieces(acted, unicode_mask)))
     return (
         pieces.withColumn(
             "token_map", F.map_from_entries(F.transform("__tokens", lambda t: F.struct(t["placeholder"], t["value"])))
         )
         .withColumns(
             {
-                "redacted": splice(F.col(text), F.col("__pieces")),
-                "entities": reported(F.col("__pieces")),
+                "redacted": built(("splice", text), lambda: splice(F.col(text), F.col("__pieces"))),
+                "entities": built(("reported",), lambda: reported(F.col("__pieces"))),
                 "blocked": F.exists(acted, lambda s: s["action"] == "block"),
             }
         )

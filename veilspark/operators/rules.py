@@ -88,10 +88,18 @@ def compile_rules(spark: SparkSession, rules: Iterable[Rule]) -> list[Detector]:
     return detectors
 
 
-def load_rules(spark: SparkSession, path: str) -> list[Rule]:
-    """Rules from a JSON array or JSON-lines file. Rule sets are configuration, and small."""
-    raw = spark.read.text(path, wholetext=True).agg(F.concat_ws("\n", F.collect_list("value"))).first()[0]
-    text = raw.strip()
-    if text.startswith("["):
-        return rules_from_json(text)
-    return [r for line in text.splitlines() if line.strip() for r in rules_from_json(f"[{line}]")]
+def load_rules(spark: SparkSession, path: str, max_bytes: int = 4 << 20) -> list[Rule]:
+    """Rules from JSON arrays or JSON-lines files. Rule sets are configuration, and small: more than
+    ``max_bytes`` in all is an error, found before anything is read."""
+    files = spark.read.format("binaryFile").load(path)
+    size = files.agg(F.sum("length")).first()[0] or 0
+    if size > max_bytes:
+        raise ValueError(f"rule files are too large: {size} bytes")
+    rules: list[Rule] = []
+    for row in files.orderBy("path").select(F.decode("content", "UTF-8").alias("text")).collect():
+        text = row["text"].strip()
+        if text.startswith("["):
+            rules += rules_from_json(text)
+        else:
+            rules += [r for line in text.splitlines() if line.strip() for r in rules_from_json(f"[{line}]")]
+    return rules

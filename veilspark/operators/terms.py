@@ -1,19 +1,24 @@
-"""Dictionaries too large for one regex: whole-word terms found by a join on word shingles.
-
-A whole-word term starts and ends at the borders of word runs. Every run of 1 to ``longest`` words of
-a text, with the separators between them, is a candidate; candidates are joined with the dictionary
-by equality. With a dictionary of checked size the join is a broadcast, words that start no term are
-dropped first, and only matches are shuffled.
+"""Dictionaries too large for one regex: whole-word terms.
+
+A whole-word term starts and ends at the borders of word runs. A dictionary of up to
+``AUTOMATON_BYTES`` becomes an automaton (a trie with failure links) in every task, and a text is read
+once, in its place, whatever the number of terms. A larger one is joined: runs of words of a text, with
+the separators between them, are candidates and meet the dictionary by equality. If that is still of a
+checked size the join is a broadcast, words that start no term are dropped first, candidates have only
+the lengths that terms with their first word have, and only matches are shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.hof import empty, running
+from veilspark.functions.hof import empty, once, running
 from veilspark.functions.kinds import SPANS
 from veilspark.functions.spans import place, span
 from veilspark.operators.lookup import join_hot
@@ -24,6 +29,52 @@ WORD = r"\w+"
 LONGEST = 32
 BROADCAST_TERMS = 1_000_000
 BROADCAST_BYTES = 64 << 20
+#: An automaton takes some fifty bytes for each byte of its terms.
+AUTOMATON_BYTES = 2 << 20
+
+_HITS = "array<struct<start:int,end:int,value:string>>"
+_WORD_CHAR = re.compile(WORD, re.ASCII)
+_automata: dict[tuple, ahocorasick.Automaton] = {}
+
+
+def _automaton(terms: tuple[tuple[str, int], ...]) -> ahocorasick.Automaton:
+    """The terms' automaton, kept by a Python worker for its next tasks."""
+    if terms not in _automata:
+        made = ahocorasick.Automaton()
+        for term, ord_ in terms:
+            made.add_word(term, (ord_, len(term)))
+        made.make_automaton()
+        _automata.clear()
+        _automata[terms] = made
+    return _automata[terms]
+
+
+def _lowered(text: str) -> str:
+    """Lower case, character by character where the whole would change its length."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def _scan(terms: tuple[tuple[str, int], ...], ignore_case: bool) -> Callable[[pa.Array], pa.Array]:
+    def whole(text: str, start: int, end: int) -> bool:
+        return not (start and _WORD_CHAR.match(text, start - 1)) and not (end < len(text) and _WORD_CHAR.match(text, end))
+
+    def run(texts: pa.Array) -> pa.Array:
+        find, out = _automaton(terms), []
+        for t in texts:
+            text = t.as_py() or ""
+            # An automaton without terms can not be asked.
+            found = find.iter(_lowered(text) if ignore_case else text) if terms else ()
+            hits = [(e + 1 - n, o, -n) for e, (o, n) in found]
+            kept, last = [], 0
+            for start, _, size in sorted(h for h in hits if whole(text, h[0], h[0] - h[2])):
+                if start >= last:
+                    last = start - size
+                    kept.append({"start": start, "end": last, "value": text[start:last]})
+            out.append(kept)
+        return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())])))
+
+    return run
 
 
 def _positions(longest: int) -> Column:
@@ -39,10 +90,10 @@ def _positions(longest: int) -> Column:
     )
 
 
-def _candidates() -> Column:
-    """All runs of one or more words from the start of a position."""
+def _candidates(lengths: Column) -> Column:
+    """Runs of words from the start of a position, of the lengths given."""
     return F.transform(
-        F.sequence(F.lit(1), F.size("w")),
+        F.filter(lengths, lambda k: k <= F.size("w")),
         lambda k: F.array_join(
             F.zip_with(
                 F.concat(F.array(F.lit("")), F.slice("g", F.lit(1), k - 1)),
@@ -63,13 +114,15 @@ def term_spans(
     ignore_case: bool = False,
     rank: int = 0,
     out: str = "term_spans",
+    automaton_bytes: int = AUTOMATON_BYTES,
 ) -> DataFrame:
     """``ids, out``: spans of the whole-word occurrences of the terms, for texts with at least one.
 
     ``terms`` has a column ``term`` and optionally an integer ``ord``. Matches in one text do not
     overlap: the leftmost wins, then the lowest ``ord``, then the longest. Terms that do not start
     and end with a word character have no whole-word form here and fail the job, as do terms of more
-    than ``LONGEST`` words; use a rule for those. Null terms are ignored.
+    than ``LONGEST`` words; use a rule for those. Null terms are ignored. ``ids`` identify a text; with a
+    dictionary above ``automaton_bytes`` texts that share ids share a row.
     """
     ids = list(ids)
     fold = F.lower if ignore_case else (lambda c: c)
@@ -85,6 +138,15 @@ def term_spans(
     size = known.agg(
         F.max(F.regexp_count("__term", F.lit(WORD))), F.count("*"), F.sum(F.octet_length("__term"))
     ).first()
+    if (size[2] or 0) <= automaton_bytes:
+        listed = tuple((r["__term"], r["__ord"]) for r in known.orderBy("__term").collect())
+        if ignore_case:
+            listed = tuple(sorted({_lowered(t): o for t, o in reversed(listed)}.items()))
+        scan = F.arrow_udf(_scan(listed, ignore_case), _HITS)
+        hit = once(texts.where(F.col(text).isNotNull()).select(*ids, text), "__hits", scan(F.col(text)))
+        kind, named, ranked = F.lit("CUSTOM"), F.lit(label), F.lit(rank)
+        spans = F.transform("__hits", lambda h: span(kind, h["start"], h["end"], h["value"], named, ranked))
+        return hit.where(F.size("__hits") > 0).select(*ids, spans.alias(out))
     longest = size[0] or 1
     small = size[1] <= BROADCAST_TERMS and (size[2] or 0) <= BROADCAST_BYTES
 
@@ -103,11 +165,14 @@ def term_spans(
     positions = located.select(*ids, F.explode(_positions(longest)).alias("c")).select(
         *ids, "c.start", fold(F.col("c.first")).alias("__first"), "c.w", "c.g"
     )
+    lengths = F.sequence(F.lit(1), F.size("w"))
     if small:
         # Most words start no term; they are dropped before any candidate is built.
-        first = known.select(F.regexp_extract("__term", WORD, 0).alias("__first")).distinct()
-        positions = positions.join(F.broadcast(first), "__first", "left_semi")
-    found = positions.select(*ids, "start", F.explode(_candidates()).alias("value")).withColumns(
+        words_of = F.regexp_count("__term", F.lit(WORD))
+        first = known.groupBy(F.regexp_extract("__term", WORD, 0).alias("__first")).agg(F.collect_set(words_of).alias("__n"))
+        positions = positions.join(F.broadcast(first), "__first")
+        lengths = F.col("__n")
+    found = positions.select(*ids, "start", F.explode(_candidates(lengths)).alias("value")).withColumns(
         {"end": F.col("start") + F.length("value"), "__term": fold(F.col("value"))}
     )
     if small:

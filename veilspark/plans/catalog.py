@@ -30,7 +30,7 @@ from veilspark.operators.overlaps import resolve_overlaps
 from veilspark.operators.policy import LayeredPolicy, Policy, with_key_policy
 from veilspark.operators.redact import redact, split_blocked
 from veilspark.operators.rehydrate import rehydrate
-from veilspark.operators.rules import compile_rules, rules_from_json
+from veilspark.operators.rules import compile_rules, load_rules, rules_from_json
 from veilspark.operators.staging import spread, stage, staging_path
 from veilspark.operators.terms import term_spans
 from veilspark.operators.vault import (
@@ -318,6 +318,14 @@ def policy_by_key(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(redact(_keyed_notes(spark, sf), policy=policy), "note_id")
 
 
+def policy_many_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """The same keys and policies, taken for too many to broadcast."""
+    keyed = t.notes(spark, sf).withColumn("api_key", F.col("tenant").cast("string"))
+    known = with_key_policy(keyed, _tenant_policies(spark, sf), "api_key", max_rows=0)
+    policy = LayeredPolicy(Policy("redact", {"SSN": "block"}), key="key_policy")
+    return _shown(redact(known, policy=policy), "note_id")
+
+
 def policy_layers(spark: SparkSession, sf: str) -> DataFrame:
     """Requests by turns: a default with an override, an override only, no policy of their own."""
     sent = F.when(F.col("note_id") % 3 == 0, '{"default": "mask", "overrides": {"PHONE": "allow"}}').when(
@@ -346,6 +354,15 @@ def custom_rules(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def rules_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The custom rules from a file of JSON lines."""
+    path = staging_path(spark, "rules")
+    lines = [(json.dumps(r),) for r in json.loads(RULES)]
+    spark.createDataFrame(lines, "value string").coalesce(1).write.text(path)
+    rules = compile_rules(spark, load_rules(spark, path))
+    return _with_map(_notes_redacted(spark, sf, policy=Policy(), detectors=d.detector_set(*rules)), "note_id")
+
+
 def _custom(which: int) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         found = d.detect(t.notes(spark, sf), detectors=(_rules(spark)[which],))
@@ -827,6 +844,9 @@ def queries() -> dict[str, Query]:
         "policy_layers": policy_layers,
         "policy_function": policy_function,
         "custom_rules": custom_rules,
+        "rules_file": rules_file,
+        "detect_api_key_assigned": _detect(d.API_KEY_ASSIGNED),
+        "policy_many_keys": policy_many_keys,
         "custom_pattern": _custom(0),
         "custom_terms": _custom(1),
         "term_dictionary_join": term_dictionary_join,

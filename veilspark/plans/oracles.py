@@ -53,6 +53,7 @@ RE2 = {
         rf"(?:[Mm]y name is|[Nn]ame is|[Ii] am|[Ii]'m|[Tt]his is|[Nn]ame:){S}+({CAP}(?:{S}+{CAP}){{0,2}})",
     ],
 }
+ASSIGNED = r"(?i)\b(?:api[_-]?key|access[_-]?key|secret|password|token)[ \t]*[:=][ \t]*[\"']?([A-Za-z0-9_-]{20,})"
 ORDER = ["EMAIL", "CREDIT_CARD", "SSN", "PHONE", "JWT", "API_KEY", "IPV4", "IPV6", "DATE", "ADDRESS", "NAME"]
 TOKEN = r"\[[A-Z0-9_]+\]"
 
@@ -126,7 +127,9 @@ LUHN = """(length(regexp_replace(value, '[ -]', '', 'g')) BETWEEN 13 AND 19 AND
  ELSE CAST(reverse(regexp_replace(value, '[ -]', '', 'g'))[i] AS INTEGER) * 2 END)) % 10 = 0)"""
 
 
-def spans(source: str, key: str, types: list[str] = ORDER, extra: dict[str, str] | None = None) -> str:
+def spans(
+    source: str, key: str, types: list[str] = ORDER, extra: dict[str, str] | None = None, groups: dict[str, int] | None = None
+) -> str:
     """CTEs ``src`` and ``spans(key…, type, label, rank, value, start, end)``.
 
     ``extra`` maps a custom rule's label to its pattern.
@@ -136,7 +139,7 @@ def spans(source: str, key: str, types: list[str] = ORDER, extra: dict[str, str]
         scans.append(("CUSTOM", len(ORDER) + i, label, pattern))
     raw = "\n UNION ALL ".join(
         f"SELECT {key}, '{t}' AS type, CAST({q(label) if label else 'NULL'} AS VARCHAR) AS label, {rank} AS rank, {no} AS scan, "
-        f"regexp_extract_all(text, {q(p)}) AS m, regexp_extract_all(text, {q(p)}, {1 if '([A-Z]' in p else 0}) AS v, "
+        f"regexp_extract_all(text, {q(p)}) AS m, regexp_extract_all(text, {q(p)}, {1 if '([A-Z]' in p else (groups or {}).get(label, 0)}) AS v, "
         f"string_split_regex(text, {q(p)}) AS g FROM src"
         for no, (t, rank, label, p) in enumerate(scans)
     )
@@ -375,6 +378,14 @@ def oracle_sql() -> dict[str, str]:
     ) + f" SELECT note_id, {REDACTED} FROM rendered"
     sql["custom_rules"] = redaction(NOTES, "note_id", extra=CUSTOM) + f"""
       SELECT note_id, {REDACTED}, coalesce({token_map("note_id", "n.note_id = rendered.note_id")}, '') AS token_map FROM rendered"""
+    sql["rules_file"] = sql["custom_rules"]
+    sql["policy_many_keys"] = sql["policy_by_key"]
+    # Two patterns of one type; the second one's value ends where its match ends.
+    assigned = {"known": RE2["API_KEY"][0], "assigned": ASSIGNED}
+    sql["detect_api_key_assigned"] = (
+        "WITH " + spans(CORPUS, "src, id", [], assigned, groups={"assigned": 1})
+        + " SELECT src, id, 'API_KEY' AS type, start, \"end\", value FROM spans"
+    )
     sql["custom_pattern"] = (
         "WITH " + spans(NOTES, "note_id", [], {"customer no": CUSTOM["customer no"]})
         + ' SELECT note_id, label, start, "end", value FROM spans'
