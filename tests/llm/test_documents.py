@@ -356,7 +356,24 @@ def test_contained_items(spark, docs, nothing, texts):
     assert dec.contained_items(nothing, bench).count() == 0 and dec.contained_items(docs, bench.limit(0)).count() == 0
 
 
-def test_mixing(spark, docs, nothing):
+def test_mixing_of_rows_without_an_id(spark):
+    """Documents without an id, or with one id, draw by their texts, and spread over partitions."""
+    rows = [(None, f"text {k}", "a") for k in range(2000)] + [(7, f"more {k}", "a") for k in range(500)]
+    rows += [(None, "same", "b")] * 400
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    mixed = mixing.mix_sources(df, power=0.5, seed="t").select("text", "shuffle_key").collect()
+    counts = Counter(r.text for r in mixed)
+    drawn = [counts[f"text {k}"] for k in range(2000)]
+    assert len(set(drawn)) > 2 and 0 in drawn  # not one draw for all
+    assert len({counts[f"more {k}"] for k in range(500)}) > 2
+    assert counts["same"] % 400 == 0  # equal rows draw alike
+    # Every copy has a place of its own in the shuffle, equal rows included.
+    assert len({r.shuffle_key for r in mixed}) == len(mixed)
+
+
+@pytest.mark.parametrize("most", [mixing.MAX_BROADCAST, 0])
+def test_mixing(spark, docs, nothing, monkeypatch, most):
+    monkeypatch.setattr(mixing, "MAX_BROADCAST", most)
     mixed = mixing.mix_sources(docs, weights={"s0": 3.0, "s1": 1.0, "null": 1.0}, seed="t")
     got = mixed.collect()
     rate = {r["__source"]: r["rate"] for r in mixing.repetition_rates(docs, "source", F.coalesce(F.octet_length("text"), F.lit(0)) + 1, {"s0": 3.0, "s1": 1.0, "null": 1.0}, 0.5).collect()}
@@ -364,7 +381,8 @@ def test_mixing(spark, docs, nothing):
     counts = Counter((r.doc_id, r.text) for r in got)
     times = Counter((r.doc_id, r.text) for r in docs.collect())
     for r in docs.collect():
-        u = int(hashlib.md5(f"t:{'null' if r.doc_id is None else r.doc_id}:1".encode()).hexdigest()[:13], 16) / 2**52
+        text = hashlib.md5((r.text or "").encode()).hexdigest()
+        u = int(hashlib.md5(f"t:{'null' if r.doc_id is None else r.doc_id}:{text}:1".encode()).hexdigest()[:13], 16) / 2**52
         mean, k = rate[r.source], 0
         p = c = np.exp(-mean)
         while c <= u:
@@ -372,7 +390,7 @@ def test_mixing(spark, docs, nothing):
             p *= mean / k
             c += p
         if (r.doc_id, r.source) != (5, "s2"):
-            assert counts[r.doc_id, r.text] == k * times[r.doc_id, r.text] or r.doc_id in (5, None)
+            assert counts[r.doc_id, r.text] == k * times[r.doc_id, r.text] or r.doc_id == 5
     assert sorted(r.copy for r in got if r.doc_id == 3) == list(range(1, counts[3, docs.where("doc_id = 3").first().text] + 1))
     assert mixing.mix_sources(nothing).count() == 0
     many = spark.range(3_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("a").alias("source"))

@@ -81,14 +81,15 @@ def test_stages(spark, tmp_path):
     for r in pure.collect():
         mean = math.sqrt(size[r.source]) / roots * sum(size.values()) / size[r.source]
         name = "null" if r.doc_id is None else r.doc_id
-        u = int(hashlib.md5(f"mix:{name}:1".encode()).hexdigest()[:13], 16) / 2**52
+        text = hashlib.md5((r.text or "").encode()).hexdigest()
+        u = int(hashlib.md5(f"mix:{name}:{text}:1".encode()).hexdigest()[:13], 16) / 2**52
         k, p = 0, math.exp(-mean)
         total = p
         while total <= u:
             k += 1
             p *= mean / k
             total += p
-        assert counts[key(r)] == k * want[key(r)] or r.doc_id is None
+        assert counts[key(r)] == k * want[key(r)]
     assert mixed.columns == docs.columns
 
     dealt = steps["sharding"](spark, mixed, folder).toPandas()

@@ -1,10 +1,11 @@
 """Mixing sources to target weights by Poisson replication, with DataFrame functions only.
 
 Each source gets a mean number of repetitions so that its expected bytes match its target weight. A
-uniform number made from the seed and the document id is put through the inverse of the Poisson
-distribution of that mean; the document is repeated so many times and the copies are dealt to
-partitions and ordered by a second hash. The outcome depends on ids, weights and seed alone, not on
-partitions or retries.
+uniform number made from the seed, the document id and a digest of the text is put through the inverse
+of the Poisson distribution of that mean; the document is repeated so many times and the copies are
+dealt to partitions and ordered by a second hash. The digest tells documents apart that share an id or
+have none. How often a document comes depends on ids, texts, weights and seed alone, not on partitions
+or retries.
 """
 
 from __future__ import annotations
@@ -93,8 +94,10 @@ def mix_sources(
     Adds ``n_copies``, ``copy`` (from 1), ``rate`` and ``shuffle_key``, replacing columns of these
     names; all other columns are kept. A row drawn zero times is left out: that is the sampling.
     Sizes are UTF-8 bytes plus 1, so null and empty texts count as 1 and no source has size 0. Null is
-    a source of its own. Rows with equal ids, so also repeated rows, draw the same number; null ids
-    draw as ``null``. An empty table gives an empty table.
+    a source of its own. Rows that share an id draw by their texts; only rows with equal id and text draw
+    the same number. Null ids draw as ``null``; their copies are ordered by their place in the input, too,
+    so that many equal rows without an id do not meet in one partition. An empty table gives an empty
+    table.
     """
     docs = docs.drop("n_copies", "copy", "rate", "shuffle_key")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
@@ -107,14 +110,18 @@ def mix_sources(
     else:
         # Too many sources to broadcast: a hot source is spread over salts.
         salted = wanted.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = docs.withColumn("__dealt", F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int"))
+        dealt = docs.withColumn("__dealt", F.pmod(F.xxhash64(doc_id, text), F.lit(SALTS)).cast("int"))
         same = F.col(source).eqNullSafe(F.col("__source")) & (F.col("__dealt") == F.col("__salt"))
         joined = dealt.join(salted, same).drop("__salt", "__dealt")
-    draws = F.transform(F.sequence(F.lit(1), F.col("__pieces")), lambda k: uniform(seed, F.col(doc_id), k))
-    drawn = once(joined, "__draws", draws)
+    named = once(joined, "__text", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    named = named.withColumn("__place", F.when(F.col(doc_id).isNull(), F.monotonically_increasing_id()))
+    who = [F.col(doc_id), F.col("__text")]
+    draws = F.transform(F.sequence(F.lit(1), F.col("__pieces")), lambda k: uniform(seed, *who, k))
+    drawn = once(named, "__draws", draws)
     count = F.aggregate("__draws", F.lit(0), lambda n, u: n + F.size(F.filter("__cdf", lambda c: c <= u)))
     counted = once(drawn, "n_copies", count).withColumn("rate", F.col("__rate"))
     counted = counted.drop("__draws", "__cdf", "__pieces", "__rate", "__source")
     copies = counted.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    keyed = copies.withColumn("shuffle_key", uniform(f"{seed}-order", F.col(doc_id), F.col("copy")))
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key", doc_id, "copy")
+    keyed = copies.withColumn("shuffle_key", uniform(f"{seed}-order", *who, F.col("copy"), F.col("__place")))
+    dealt = keyed.drop("__text", "__place").repartition("shuffle_key")
+    return dealt.sortWithinPartitions("shuffle_key", doc_id, "copy")

@@ -128,7 +128,8 @@ WITH lines AS (
 placed AS (
   SELECT *, strlen(line) + CASE WHEN k < last THEN 1 ELSE 0 END AS size,
          trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-              '[	- ]+', ' ', 'g'), ' ') AS plain FROM lines),
+              '[	-
+ ]+', ' ', 'g'), ' ') AS plain FROM lines),
 offsets AS (
   SELECT *, sum(size) OVER w - size AS start, sum(CASE WHEN plain = '' THEN 1 ELSE 0 END) OVER w AS run
   FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
@@ -197,7 +198,7 @@ cdf AS (
   SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM cdf
   WHERE k < rate + 12 * sqrt(rate) + 30),
 drawn AS (
-  SELECT *, CAST('0x' || substr(md5('mix:' || doc_id || ':1'), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+  SELECT *, CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, '')) || ':1'), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
   FROM sized),
 counted AS (
   SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars,
