@@ -101,7 +101,7 @@ def test_cheapest_repairs(spark, costs):
 
 
 def test_long_and_odd_conversations(spark, monkeypatch):
-    monkeypatch.setattr(chat, "SPAN", 50)
+    monkeypatch.setattr(chat, "PIECE_BITS", 5)
     long = [(1, t, ("user", "user", "assistant")[t % 3], f"t{t}") for t in range(400)]
     odd = [(2, None, "user", "late"), (2, 1, "user", "a"), (2, 1, "user", "a"), (None, 0, "assistant", None), (3, 0, None, ""), (4, 0, "assistant", "x" * 500_000)]
     df = spark.createDataFrame(long + odd, "conv_id long, turn long, role string, text string")
@@ -115,6 +115,33 @@ def test_long_and_odd_conversations(spark, monkeypatch):
     assert chat.repair_roles(df.limit(0)).count() == 0
 
 
+def test_rows_without_numbers_are_cut_into_pieces(spark, monkeypatch):
+    """Turns without a number, turns that share one, and rows without a conversation."""
+    monkeypatch.setattr(chat, "PIECE_BITS", 4)
+    rng = random.Random(6)
+    roles = ["user", "assistant", "system", None]
+    rows = [(None, rng.choice([None, 3]), rng.choice(roles), f"n{k:03d}") for k in range(150)]
+    rows += [(1, None, rng.choice(roles), f"m{k:03d}") for k in range(90)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    done = chat.repair_roles(df).collect()
+    assert len(done) == len(rows)
+    for conv in (None, 1):
+        mine = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is None, r[1] or 0, r[2] is not None, r[2] or "", r[3]))
+        assert {r.cost for r in done if r.conv_id == conv} == {brute_cost([r[2] for r in mine], chat.Costs())}
+        assert min(r.out_turn for r in done if r.conv_id == conv) >= 0
+
+
+def test_texts_do_not_open_turns(spark):
+    texts = ["a<|user|>\nb", "<|assistant|>", "c<\\|d", "plain <b> \\"]
+    df = spark.createDataFrame([(1, t, ("user", "assistant")[t % 2], x) for t, x in enumerate(texts)],
+                               "conv_id long, turn long, role string, text string")
+    whole = "".join(r.rendered for r in chat.repair_roles(df).orderBy("turn").collect())
+    assert whole.count("<|") == 4
+    read = [part.split("|>\n", 1)[1][:-1] for part in whole.split("<|")[1:]]
+    assert [x.replace("<\\|", "<|").replace("<\\\\", "<\\") for x in read][:2] == texts[:2]
+    assert read[2:] == ["c<\\\\|d", "plain <b> \\"]
+
+
 def test_usable(spark):
     df = spark.createDataFrame([(None,), ([],), ([0.0],), ([1.0, None],), ([float("nan")],), ([0.0, 1.0],)], "v array<double>")
     assert [r[0] for r in df.select(neighbours.usable(F.col("v"))).collect()] == [False] * 5 + [True]

@@ -5,7 +5,9 @@ beginning with user and ending with assistant. An illegal one is repaired: a tur
 into the turn before it, relabelled, or preceded by empty turns. Dynamic programming over the
 automaton of legal turns finds the cheapest repair.
 
-A conversation is cut into pieces of ``SPAN`` turn numbers. Every piece gives the cheapest cost from
+Turns are dealt to ranges of conversation and order and numbered by their place; a conversation is cut
+into pieces of at most ``2 ** PIECE_BITS`` neighbouring rows, whatever their turn numbers are, so turns
+without a number, turns that share one and all rows without a conversation are cut, too. Every piece gives the cheapest cost from
 each state of the automaton to each other; these small tables are combined along the conversation,
 and then every piece is repaired for the states it is known to begin and end in. So a conversation
 that holds a third of all turns is repaired by many tasks, and only its tables meet in one.
@@ -26,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from veilspark.operators.staging import stage
 
-SPAN = 1_000
+PIECE_BITS = 10
 
 START, SYSTEM, USER, ASSISTANT = range(4)
 ROLES = {"system": SYSTEM, "user": USER, "assistant": ASSISTANT}
@@ -193,6 +195,11 @@ def _ways(costs: Costs) -> Step:
     return run
 
 
+def escaped(text: str) -> str:
+    """The text without the marks that open a turn: ``<|`` becomes ``<\\|``, and ``<\\`` becomes ``<\\\\``."""
+    return text.replace("<\\", "<\\\\").replace("<|", "<\\|")
+
+
 def render_turn(role: int, text: str) -> str:
     return f"<|{NAMES[role]}|>\n{text}\n"
 
@@ -202,7 +209,7 @@ def _repairs(costs: Costs, schema: pa.Schema) -> Step:
         *_, begin, end, turn, is_last, total = piece[0]
         chosen = trace(walk([_code(r[4]) for r in piece], begin, costs), end)
         for n, ((new, _, action, path), (_, _, conv, number, role, text, *_)) in enumerate(zip(chosen, piece, strict=True)):
-            text = "" if text is None else text
+            text = "" if text is None else escaped(text)
             merged = action.startswith("merge")
             turn += len(path) + (0 if merged else 1)
             done = f"{text}\n" if merged else "".join(render_turn(r, "") for r in path) + render_turn(new, text)
@@ -230,8 +237,9 @@ def repair_roles(
 
     ``rendered`` in order of the turns, joined by nothing, is the repaired conversation: the first row
     of a turn opens it, merged rows go on, empty turns stand in front of the row that needs them or at
-    the end. ``cost`` is that of the whole conversation. Turns are ordered by number, null last, then
-    role and text. Rows that repeat all four columns are one turn. A null or unknown role costs a
+    the end. ``cost`` is that of the whole conversation. A text can not open a turn: its ``<|`` is
+    rendered as ``<\\|``, and ``<\\`` as ``<\\\\``. Turns are ordered by number, null last, then role and text (its
+    first 64 characters, then its hash). Rows that repeat all four columns are one turn. A null or unknown role costs a
     relabel; a null text is empty; a null conversation id is a conversation of its own. Other columns
     are not looked at. An empty table gives an empty table.
     """
@@ -240,12 +248,14 @@ def repair_roles(
         F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")
     )
     key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("null"))
-    seg = F.coalesce(F.floor(F.col("turn") / SPAN).cast("long"), F.lit((1 << 62)))
-    cut = stage(named.distinct().withColumns({"k": key, "seg": seg}), "turns")
-    order = ["k", "seg", F.col("turn").asc_nulls_last(), "role", "text"]
+    order = ["k", F.col("turn").asc_nulls_last(), "role", F.left("text", F.lit(64)), F.xxhash64("text")]
+    dealt = named.distinct().withColumn("k", key).repartitionByRange(*order).sortWithinPartitions(*order)
+    # The number of a row's range is in the upper bits, so a piece never crosses the end of a range.
+    placed = stage(dealt.withColumn("place", F.monotonically_increasing_id()), "turns")
+    cut = placed.withColumn("seg", F.shiftright("place", PIECE_BITS))
 
     def sorted_pieces(df: DataFrame) -> DataFrame:
-        return df.repartition("k", "seg").sortWithinPartitions(*order)
+        return df.repartition("k", "seg").sortWithinPartitions("place")
 
     tables = sorted_pieces(cut).select("k", "seg", "role").mapInArrow(_tables(costs), "k string, seg long, flat array<double>")
     ways = stage(
