@@ -11,6 +11,7 @@ from veilspark.operators.events import rehydrate_events
 from veilspark.operators.messages import rehydrate_replies
 from veilspark.sources import bytes as byte_lines
 from veilspark.sources.bytes import lines_of_chunks
+from veilspark.sources.text import read_lines
 from veilspark.streaming.stateful import line_stream, rehydrate_event_stream
 from veilspark.streaming.stateless import drain
 
@@ -247,3 +248,22 @@ def test_line_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame(chunk_rows(9, seed=3), CHUNKS)
     got = drain(line_stream(in_steps(spark, df, str(tmp_path), 4)), "lines")
     assert sorted((r.stream_id, r.line_no, r.line) for r in got.collect()) == sorted(plain_lines())
+
+
+def test_lines_of_files_read_in_blocks(spark, tmp_path):
+    draw = random.Random(2)
+    want = {}
+    for name in ("a", "b"):
+        lines = ["".join(draw.choices("xyzé \r", k=draw.randint(0, 30))) for _ in range(700)]
+        (tmp_path / f"{name}.txt").write_bytes("\n".join(lines).encode() + (b"\n" if name == "a" else b""))
+        want[name] = lines[:-1] if name == "b" and not lines[-1] else lines
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 900)  # a block holds some fifty lines
+        rows = read_lines(spark, str(tmp_path / "*.txt")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.path, r.line_no)):
+        got.setdefault(r.path.split("/")[-1][0], []).append((r.line_no, r.text))
+    assert got == {k: list(enumerate(v)) for k, v in want.items()}

@@ -63,7 +63,7 @@ from veilspark.plans.oracles import (
     VAULT_LIFE_MS,
 )
 from veilspark.sources.bytes import lines_of_chunks
-from veilspark.sources.chunks import chunk_frames, parse_chunk_lines
+from veilspark.sources.chunks import chunk_frames, parse_chunk_lines, read_chunk_files
 from veilspark.sources.policies import checked_policies, request_policy
 from veilspark.sources.text import split_overlong
 from veilspark.streaming.conversations import redact_conversation_stream
@@ -145,6 +145,19 @@ def text_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def recorded_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """Replies recorded as files of event lines, 200 conversations each, and read again line by line."""
+    replies = t.replies(spark, sf)
+    part = F.floor(F.col("conv_id") / 200).cast("long").alias("part")
+    lines = t.reply_lines(replies).join(replies.select("stream_id", "conv_id", "turn", part), "stream_id")
+    path = staging_path(spark, "recorded")
+    # The streams of a file come one after the other.
+    ordered = lines.repartition("part").sortWithinPartitions("part", "conv_id", "turn", "seq")
+    ordered.select("part", F.col("line").alias("value")).write.partitionBy("part").text(path)
+    read = read_chunk_files(spark, path)
+    return read.select(F.regexp_extract("stream_id", r"part=(\d+)", 1).cast("long").alias("part"), "seq", "line")
+
+
 def _bodies(spark: SparkSession, sf: str) -> DataFrame:
     """One JSON request per message; every other message is sent in parts."""
     plain = F.to_json(F.struct(F.array(F.struct("role", F.col("text").alias("content"))).alias("messages")))
@@ -818,6 +831,7 @@ def streaming_request_counts(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "text_scan": text_scan,
+        "recorded_replies": recorded_replies,
         "message_flatten": message_flatten,
         "message_reassemble": message_reassemble,
         "message_write_back": message_write_back,

@@ -507,6 +507,17 @@ def oracle_sql() -> dict[str, str]:
       UNION ALL SELECT stream_id, {count} + 3, 0, NULL, NULL, NULL, 'data: {{broken' FROM replies
       UNION ALL SELECT stream_id, {count} + 5, -1, NULL, '[X', NULL, NULL FROM replies WHERE turn % 3 = 0
       UNION ALL SELECT stream_id, {count} + 5, 0, NULL, NULL, NULL, 'data: [DONE]' FROM replies"""
+    sql["recorded_replies"] = f"""WITH replies AS ({REPLIES}),
+      pieces AS (SELECT *, {count} AS n, unnest(range(0, CAST({count} + 6 AS BIGINT))) AS i FROM replies),
+      lines AS (SELECT turn, conv_id, i, CASE
+        WHEN i = 0 THEN 'data: {line}"model":"m","choices":[{{"index":0,"delta":{{"role":"assistant"}},"finish_reason":null}}]}}'
+        WHEN i <= n THEN 'data: {line}"model":"m","choices":[{{"index":0,"delta":{{"content":'
+          || CAST(to_json(substring(text, CAST((i - 1) * 7 + 1 AS BIGINT), 7)) AS VARCHAR) || '}}}}]}}'
+        WHEN i = n + 1 AND turn % 3 = 0 THEN ': no finish'
+        WHEN i = n + 1 THEN 'data: {line}"choices":[{{"index":0,"delta":{{}},"finish_reason":"stop"}}]}}'
+        WHEN i = n + 2 THEN 'data: {{"choices":[],"usage":{{"total_tokens":7}}}}'
+        WHEN i = n + 3 THEN 'data: {{broken' WHEN i = n + 4 THEN '' ELSE 'data: [DONE]' END AS line FROM pieces)
+      SELECT conv_id // 200 AS part, row_number() OVER (PARTITION BY conv_id // 200 ORDER BY conv_id, turn, i) - 1 AS seq, line FROM lines"""
     sql["event_stream"] = sql["event_write_back"]
     sql["byte_chunk_lines"] = """SELECT doc_id, CAST(k - 1 AS BIGINT) AS line_no, line FROM (
       SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line,

@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions.hof import let, once
+from veilspark.sources.text import read_lines
 
 CHUNK = "struct<choice:int,tool_idx:int,fragment:string,finished:boolean,choice_at:int,call_at:int>"
 
 
 def read_chunk_files(spark: SparkSession, path: str) -> DataFrame:
-    """Recorded replies, one file each: ``stream_id`` (the file), ``seq`` (the line) and ``line``."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("stream_id"), "value")
-    return files.select("stream_id", F.posexplode(F.split("value", "\n", -1)).alias("seq", "line"))
+    """Recorded replies, one file each: ``stream_id`` (the file), ``seq`` (the line) and ``line``. A long file
+    is read by many tasks."""
+    return read_lines(spark, path).select(F.col("path").alias("stream_id"), F.col("line_no").alias("seq"), F.col("text").alias("line"))
 
 
 def _kind(v: Column) -> Column:
