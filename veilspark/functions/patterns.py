@@ -7,7 +7,7 @@ Three rules keep the matches equal to what an ASCII-only engine finds:
 * ``\\s`` is spelled out, because Java's leaves out the no-break and other Unicode spaces.
 * ``(?i)`` folds ASCII only, which is what the patterns here need.
 
-Where a match can only start with a digit, the digit is consumed *before* the look-behind that
+Where a match can only start with a digit, the digit is consumed or seen *before* the look-behind that
 checks its left border. The set of matches is the same, and a position that holds no digit is
 rejected by one character test. Runs that cannot usefully give back characters are possessive.
 """
@@ -41,7 +41,7 @@ EMAIL = (
 CREDIT_CARD = r"\d(?<!\w\d)(?:[ -]?\d){12,18}(?!\w)"
 #: Groups of digits parted by one blank or hyphen, each a whole word.
 DIGIT_GROUPS = r"(?<!\w)[0-9]++(?!\w)(?:[ -][0-9]++(?!\w))*+"
-SSN = r"\d(?<!\w\d)\d\d(?<!000|666|9\d\d)[- ](?!00)\d\d[- ](?!0000)\d{4}(?!\w)"
+SSN = r"(?=\d)(?<!\w)(?!000|666|9\d\d)\d{3}[- ](?!00)\d{2}[- ](?!0000)\d{4}(?!\w)"
 PHONE = (
     rf"(?=[0-9+(])(?<!\w)(?:\+?\d{{1,3}}{_PHONE_SEP}?)?(?:\(\d{{3}}\)|\d{{3}})"
     rf"{_PHONE_SEP}?\d{{3}}{_PHONE_SEP}?\d{{4}}(?!\w)"
