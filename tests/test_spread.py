@@ -8,7 +8,7 @@ import pytest
 from test_lifetimes import batches
 
 from veilspark.operators import admission
-from veilspark.operators.admission import admit_spread
+from veilspark.operators.admission import admit_spread, rate_limit
 from veilspark.streaming.stateless import drain_epochs, drain_window_counts, live_window_counts, read_epochs, write_epoch
 
 REQ = "caller string, request_id long, ts_ms long, route string, allowed string"
@@ -69,6 +69,17 @@ def test_a_busy_caller_is_decided_in_one_round(spark, many_ranges, monkeypatch):
     assert rounds.count(True) <= 2
 
 
+def test_rate_limit_spread(spark):
+    rows = [(c, i, t, r, "x") for i, (c, _, t, r, _) in enumerate(some_requests("mixed", 200))]
+    rows += [("hot", 900 + i, 1_000 + i, "/health", "x") for i in range(20)]
+    df = spark.createDataFrame(rows, REQ)
+    got = {r.request_id: (r.allowed, r.retry_after_ms, r.retry_after_sec) for r in rate_limit(df, 2, 1, spread=True).collect()}
+    want = exact_loop([r for r in rows if r[3] != "/health"], 2, 1_000)
+    assert {k: v[:2] for k, v in got.items() if k < 900} == {k: v[:2] for k, v in want.items()}
+    assert all(got[k] == (True, 0, None) for k in range(900, 920))
+    assert all(v[2] == (None if v[0] else max(1, -(-v[1] // 1000))) for v in got.values())
+
+
 def test_spread_of_nothing_and_refusals(spark):
     df = spark.createDataFrame(some_requests("calm", 3), REQ)
     assert admit_spread(df.limit(0), 3, 100).count() == 0

@@ -238,18 +238,26 @@ def decisions_of_free() -> dict[str, Column]:
 
 
 def rate_limit(
-    requests: DataFrame, limit: int, window_sec: int = 60, order: Sequence[str] = ("request_id",)
+    requests: DataFrame,
+    limit: int,
+    window_sec: int = 60,
+    order: Sequence[str] = ("request_id",),
+    spread: bool = False,
 ) -> DataFrame:
     """Admission with the server's settings, for requests with ``caller, ts_ms, route``.
 
     A limit of zero or less turns it off, and health and metrics routes are never limited. Adds
-    ``retry_after_sec`` for denied requests.
+    ``retry_after_sec`` for denied requests. With ``spread`` one caller is spread over many tasks, as
+    :func:`admit_spread` does.
     """
     unlimited = decisions_of_free()
     if limit <= 0:
         return with_retry_after(requests.withColumns(unlimited))
     free = unlimited_route("route")
-    counted = admit(requests.where(~free), limit, refill_rate(limit, window_sec), order)
+    if spread:
+        counted = admit_spread(requests.where(~free), limit, window_sec * 1000, order)
+    else:
+        counted = admit(requests.where(~free), limit, refill_rate(limit, window_sec), order)
     return with_retry_after(counted.unionByName(requests.where(free).withColumns(unlimited)))
 
 
