@@ -38,13 +38,13 @@ def live_request_counts(redacted: DataFrame, route: str) -> DataFrame:
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
-    """Files ``name`` of a folder as a stream, a few files per micro-batch."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", name)
-        .option("maxFilesPerTrigger", 16)
-        .parquet(folder)
-    )
+    """The table ``name`` of a folder as a stream, a few files per micro-batch. It is one file or a folder of files."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16)
+    if files.getFileStatus(where).isDirectory():
+        return source.parquet(f"{folder}/{name}")
+    return source.option("pathGlobFilter", name).parquet(folder)
 
 
 def drain(stream: DataFrame, name: str) -> DataFrame:
@@ -131,14 +131,14 @@ def live_window_counts(requests: DataFrame, delay: str, every: str = "1 hour", t
 def drain_totals(stream: DataFrame, name: str) -> DataFrame:
     """Run an aggregating stream over all available input; the last full result, staged.
 
-    Every micro-batch replaces the table, so a repeated batch writes the same totals again.
+    Every micro-batch replaces the table, so a repeated batch writes the same totals again. A stream
+    without any input has no totals.
     """
     spark = stream.sparkSession
     path = staging_path(spark, name)
 
     def save(totals: DataFrame, epoch: int) -> None:
         totals.write.mode("overwrite").parquet(f"{path}/data-{epoch}")
-        totals.sparkSession.createDataFrame([(epoch,)], "epoch long").write.mode("append").json(f"{path}/epochs")
 
     query = (
         stream.writeStream.outputMode("complete")
@@ -148,5 +148,7 @@ def drain_totals(stream: DataFrame, name: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    last = spark.read.schema("epoch long").json(f"{path}/epochs").agg(F.max("epoch")).first()[0]
+    last = max((n for n, done in numbered_folders(spark, path, "data-") if done), default=None)
+    if last is None:
+        return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(f"{path}/data-{last}")
