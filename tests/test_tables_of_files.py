@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from veilspark.operators import staging
+from veilspark.operators.staging import spread
 from veilspark.streaming.stateless import drain, drain_totals, live_entity_counts, live_request_counts, read_stream, redact_stream
 
 TEXTS = "doc_id long, text string"
@@ -26,3 +28,23 @@ def test_totals_of_an_empty_table(spark, tmp_path):
     read = read_stream(spark, str(tmp_path), "documents.parquet", TEXTS)
     totals = drain_totals(read.groupBy(F.col("text")).agg(F.count("*").alias("n")), "n")
     assert totals.columns == ["text", "n"] and totals.count() == 0
+
+
+def test_one_row_group_is_dealt_over_the_cores(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    spark.range(60_000).selectExpr("id", "md5(CAST(id AS STRING)) AS name").coalesce(1).write.parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 200_000)
+    try:
+        read = spark.read.parquet(path)
+        assert read.rdd.getNumPartitions() > 1
+        per_task = lambda df: sorted(n for n in df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n)
+        assert per_task(read) == [60_000]
+        assert max(per_task(spread(read, "id"))) < 20_000
+        monkeypatch.setattr(staging, "TASK_ROWS", 5_000)
+        dealt = spread(read, "id")
+        assert len(per_task(dealt)) == 12 and dealt.exceptAll(read).isEmpty() and dealt.count() == 60_000
+        even = read.repartition(8)
+        assert spread(even, "id") is even
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

@@ -30,7 +30,7 @@ def read_texts(
         df = spark.read.format(format).load(path)
     else:
         raise ValueError(f"unknown format {format!r}")
-    return spread(df.select(*ids, F.col(text).alias("text")), *ids)
+    return spread(df.select(*ids, F.col(text).alias("text")), *ids, counted=format in ("parquet", "orc", "table"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
