@@ -168,3 +168,18 @@ def test_plugin_spans_are_bounded(spark):
     df = d.detect(spark.createDataFrame([("hello",)], "text string"), detectors=(d.ColumnDetector("NAME", fixed),))
     assert [(s.start, s.end, s.value) for s in df.first().spans] == [(0, 2, "he")]
     assert p.PLACEHOLDER
+
+
+def test_texts_that_hold_the_mark(spark):
+    """A text that holds the character set around matches gives the same spans at the same places."""
+    texts = ["my name is Ann Lee, a@b.example.com 4111 1111 1111 1111, b@c.org", "x fe80::1 and 2024-05-06 a@b.example.com", "ab"]
+    rules = (d.Detector("CUSTOM", (d.Scan("(?=b)|a"),), "rule"),)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t.replace(" ", d.MARK + " ")) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([*rows, (200, d.MARK), (201, None), (202, "")], "id int, text string")
+    other = df.selectExpr("id", "replace(text, '￿', '') AS text")
+    got = [sorted(d.findings(d.detect(x, detectors=d.detector_set(*rules)), "id").collect(), key=str) for x in (df, other)]
+    assert got[0] == got[1] and len({r.id for r in got[0]}) == 6
+    assert {"CUSTOM", "NAME", "EMAIL", "CREDIT_CARD", "IPV6", "DATE"} == {r.type for r in got[0]}
+    for r in got[0]:
+        text = dict(rows)[r.id]
+        assert text[r.start : r.end] == r.value

@@ -32,11 +32,14 @@ ORDINALS = "st|nd|rd|th"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 HEX = "[A-Fa-f0-9]{1,4}"
 
-S = f"[{SPACE_CHARS}]"
-_PHONE_SEP = f"[{SPACE_CHARS}.-]"
+# The same characters, so written that a class asks one table for ASCII and one range for the rest first:
+# Java tries the members of a class one by one.
+_SPACES = r"\s[\u00A0-\uFEFF&&[\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]]"
+S = f"[{_SPACES}]"
+_PHONE_SEP = f"[{_SPACES}.-]"
 
 EMAIL = (
-    r"(?:\w(?<!\w\w)|[.%+-](?<=\w[.%+-]))[A-Za-z0-9._%+-]*+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?!\w)"
+    r"(?:\w(?<!\w\w)|[.%+-](?<=\w[.%+-]))[\w.%+-]*+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?!\w)"
 )
 CREDIT_CARD = r"\d(?<!\w\d)(?:[ -]?\d){12,18}(?!\w)"
 #: Groups of digits parted by one blank or hyphen, each a whole word.
@@ -67,7 +70,7 @@ _IPV6_FORMS = (
     f"{HEX}:(?::{HEX}){{1,6}}",
 )
 _IPV6_TAIL = f"(?:(?::{HEX}){{1,7}}|:)"
-IPV6 = rf"(?:(?=[A-Fa-f0-9])(?<!\w)(?:{'|'.join(_IPV6_FORMS)})|:(?<=\w:){_IPV6_TAIL})"
+IPV6 = rf"(?:(?=[A-Fa-f0-9])(?<!\w)(?={HEX}:)(?:{'|'.join(_IPV6_FORMS)})|:(?<=\w:){_IPV6_TAIL})"
 # Opt-in form that takes the longest address at each place, and accepts a leading "::".
 IPV6_FULL = (
     rf"(?:(?=[A-Fa-f0-9])(?<![\w:])(?:{_IPV6_FORMS[0]}|{'|'.join(reversed(_IPV6_FORMS[2:]))}|"
@@ -83,7 +86,7 @@ DATE_DAY_FIRST = (
     rf"(?i)\d(?<!\w\d)\d?(?:{ORDINALS})?{S}+(?:{MONTHS})\.?,?{S}+\d{{4}}(?!\w)"
 )
 ADDRESS = (
-    rf"(?i)\d(?<!\w\d)\d{{0,5}}{S}++(?:[A-Za-z0-9.'-]++{S}++){{0,4}}(?:{STREET_SUFFIXES})(?!\w)\.?"
+    rf"(?i)\d(?<!\w\d)\d{{0,5}}{S}++(?:[\p{{Alnum}}.'-]++{S}++){{0,4}}(?:{STREET_SUFFIXES})(?!\w)\.?"
     rf"(?:,?{S}+(?:{ADDRESS_UNITS})\.?{S}*#?{S}*\w+)?"
 )
 NAME_HONORIFIC = (

@@ -50,6 +50,40 @@ def place(matches: Column, values: Column, gaps: Column, make: Callable[[Column,
     return running(items, F.lit(0), step, SPANS)
 
 
+def interleaved(matches: Column, values: Column | None, gaps: Column) -> Column:
+    """Gap, match and, if given, value of every match in turn, and a last piece."""
+    aligned = F.when(F.size(gaps) > F.size(matches), gaps).otherwise(F.concat(F.array(F.lit("")), gaps))
+    turns = F.zip_with(F.slice(aligned, F.lit(1), F.size(matches)), matches, lambda g, m: F.array(g, m))
+    if values is not None:
+        turns = F.zip_with(turns, values, lambda gm, v: F.concat(gm, F.array(v)))
+    return F.concat(F.flatten(turns), F.array(F.lit("")))
+
+
+def place_pieces(pieces: Column, stride: Column, make: Callable[[Column, Column, Column], Column]) -> Column:
+    """Offsets of the matches of one pattern, as spans, like :func:`place`, from the pieces of a text.
+
+    For every match there are ``stride`` pieces: the gap before it, the match and, with a stride of 3,
+    the part that counts as the span; one more piece ends the array.
+    """
+
+    def items(p: Column) -> Column:
+        def one(i: Column) -> Column:
+            n = F.length(F.get(p, i * stride + 1))
+            return F.struct(
+                (F.length(F.get(p, i * stride)) + n).alias("step"), n.alias("len"), F.get(p, i * stride + stride - 1).alias("v")
+            )
+
+        last = F.floor((F.size(p) - 1) / stride).cast("int") - 1
+        return F.transform(F.sequence(F.lit(0), last), one)
+
+    def step(pos: Column, item: Column) -> tuple[Column, Column]:
+        end = pos + item["step"]
+        one = make(end - F.length(item["v"]), end, item["v"])
+        return end, F.when(item["len"] > 0, F.array(one)).otherwise(empty(SPANS))
+
+    return running(let(pieces, items), F.lit(0), step, SPANS)
+
+
 def luhn_ok(digits: Column) -> Column:
     """13 to 19 digits whose mod-10 check holds."""
     return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)

@@ -2,8 +2,9 @@
 
 A detector is a list of scans, each one regex over the text. Most texts hold nothing, so the scans
 share one joint probe: a single regex pass (or a byte search for a literal every match must hold)
-decides whether a text is scanned at all. Offsets are worked out only where a scan matched. Probe,
-raw matches and spans sit in consecutive steps, so no regex runs twice for its consumers.
+decides whether a text is scanned at all. A scan sets marks around its matches and their values in one
+pass, and a split at the marks gives the offsets where it matched. Probe, marked texts and spans sit in
+consecutive steps, so no regex runs twice for its consumers.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions import patterns as p
-from veilspark.functions.hof import built, empty, once
+from veilspark.functions.hof import built, empty, let, once
 from veilspark.functions.kinds import ENTITY_TYPES, SPANS
-from veilspark.functions.spans import cards_in_groups, is_card, place, span
+from veilspark.functions.spans import cards_in_groups, interleaved, is_card, place_pieces, span
 
 @dataclass(frozen=True)
 class Scan:
@@ -111,6 +112,8 @@ BUILT_IN: tuple[Detector, ...] = (
     NAME,
 )
 MODEL_RANK = 1_000_000
+#: The unit separator is set around matches. Texts that hold it themselves are split at the pattern.
+MARK = "\x1f"
 
 
 def detector_set(*custom: Detector | ColumnDetector, built_in: Sequence[Detector] = BUILT_IN):
@@ -174,6 +177,13 @@ def _joint_probe(scans: Sequence[Scan]) -> str | None:
     return f"(?=[{''.join(groups)}])(?:{tried})"
 
 
+def _cut_at_pattern(text: Column, scan: Scan) -> Column:
+    """The pieces of a text, without marks."""
+    found = lambda group: F.regexp_extract_all(text, F.lit(scan.pattern), F.lit(group))
+    gaps = F.split(text, scan.pattern, -1)
+    return let(found(0), lambda matches: interleaved(matches, found(scan.group) if scan.group else None, gaps))
+
+
 def detect(
     df: DataFrame,
     text: str = "text",
@@ -204,6 +214,8 @@ def _steps(
     t = F.col(text)
     probe = _joint_probe([s for d in detectors if isinstance(d, Detector) for s in d.scans])
     probed = {"__probed": t.rlike(probe)} if probe else {}
+    if any(isinstance(d, Detector) for d in detectors):
+        probed["__marks"] = F.contains(t, F.lit(MARK))
     raw: dict[str, Column] = {}
     scans: list[Column] = []
     plugged: list[Column] = []
@@ -223,33 +235,27 @@ def _steps(
             continue
         for i, s in enumerate(d.scans):
             name = f"__d{rank}_{i}"
-            matches = F.regexp_extract_all(t, F.lit(s.pattern), F.lit(0))
-            if s.needles:
-                matches = F.when(_has_any(t, s.needles), matches)
-            elif s.probe and probe:
-                matches = F.when(F.col("__probed"), matches)
-            raw[name] = matches
-            values = F.col(name)
-            if s.group:
-                values = F.regexp_extract_all(t, F.lit(s.pattern), F.lit(s.group))
+            # The whole match, then, with a group, that group again.
+            marked = F.regexp_replace(t, s.pattern, MARK + "$0" + MARK + ("$1" + MARK if s.group else ""))
+            gate = _has_any(t, s.needles) if s.needles else F.col("__probed") if s.probe and probe else None
+            raw[name] = marked if gate is None else F.when(gate, marked)
             if s.keep:
                 rules[len(scans)] = s.keep
-            found = F.struct(
+            pieces = F.when(F.col("__marks"), _cut_at_pattern(t, s))
+            scan = F.struct(
                 F.lit(d.type).alias("type"),
                 F.lit(d.label).cast("string").alias("label"),
                 F.lit(rank).alias("rank"),
                 F.lit(len(scans)).alias("scan"),
-                F.col(name).alias("matches"),
-                values.alias("values"),
-                F.split(t, s.pattern, -1).alias("gaps"),
+                F.lit(3 if s.group else 2).alias("stride"),
+                pieces.otherwise(F.split(F.col(name), MARK, -1)).alias("pieces"),
             )
-            scans.append(F.when(F.size(name) > 0, found))
+            scans.append(F.when(F.col(name) != t, scan))
 
     def spans_of(scan: Column) -> Column:
-        placed = place(
-            scan["matches"],
-            scan["values"],
-            scan["gaps"],
+        placed = place_pieces(
+            scan["pieces"],
+            scan["stride"],
             lambda start, end, v: span(scan["type"], start, end, v, scan["label"], scan["rank"]),
         )
         return F.filter(placed, lambda x: keep(scan["scan"], x["value"])) if rules else placed
