@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from veilspark.functions.hof import empty
 from veilspark.functions.kinds import ENTITY_TYPES, SPANS
 from veilspark.operators.detect import MODEL_RANK, cut_spans
-from veilspark.operators.lookup import join_null_safe
+from veilspark.operators.lookup import join_hot, join_null_safe
+from veilspark.operators.staging import stage
 
 OFFSETS = "array<struct<start:int,end:int,type:string>>"
 
@@ -59,7 +60,7 @@ def join_model_spans(
     A type outside the known ones fails the job; name ``kind`` to map all of them to one. Spans are
     grouped per text first, so the join cannot be skewed by spans; adaptive execution broadcasts a small
     span side instead of shuffling the texts. Null ids match themselves, and texts that share an id
-    share its spans.
+    share its spans; an id that many texts share, null as well, goes through a broadcast.
     """
     ids = list(ids)
     typed = spans if "type" in spans.columns else spans.withColumn("type", F.lit(kind or "NAME"))
@@ -74,7 +75,12 @@ def join_model_spans(
             )
         ).alias("__offsets")
     )
-    joined = join_null_safe(texts, grouped, ids, "left")
+    if texts.isStreaming:
+        joined = join_null_safe(texts, grouped, ids, "left")
+    else:
+        # Every id of a text, also one without spans, so that a frequent one is known as such.
+        counts = texts.groupBy(*ids).agg(F.count("*").alias("__n"))
+        joined = join_hot(texts, stage(join_null_safe(counts, grouped, ids, "left"), "model_spans"), ids, "__n")
     cut = cut_spans(F.col("__offsets"), F.col(text), None, None, rank)
     return joined.withColumn(out, F.coalesce(cut, empty(SPANS))).drop("__offsets")
 
