@@ -48,3 +48,36 @@ def test_one_row_group_is_dealt_over_the_cores(spark, tmp_path, monkeypatch):
         assert spread(even, "id") is even
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_chunks_are_sorted_in_bounded_tasks(spark, monkeypatch):
+    """Streams of one range and of many give the same texts, in whatever number of tasks."""
+    from veilspark.operators import chunks as c
+
+    text = "say [NAME_1] and [NAME_2], [NO] [NAME_"
+    cut = [(f"s{k}", i, 0, None, text[i * w : i * w + w], False, False) for k in range(9) for w in [k + 1] for i in range(-(-len(text) // w))]
+    made = "stream_id string, seq long, choice int, tool_idx int, fragment string, finished boolean, done boolean"
+    maps = spark.createDataFrame([(f"s{k}", {"[NAME_1]": "Ann", "[NAME_2]": f"Bob{k}"}) for k in range(9)], "stream_id string, token_map map<string,string>")
+    chunks, staged, seen = spark.createDataFrame(cut, made), c.stage, []
+    monkeypatch.setattr(c, "stage", lambda df, name: seen.append((name, df.rdd.getNumPartitions())) or staged(df, name))
+    for most, bits in ((500_000, 12), (20, 12), (20, 1)):
+        monkeypatch.setattr(c, "TASK_CHUNKS", most)
+        rows = c.rehydrate_chunks(chunks, maps, range_bits=bits).orderBy("stream_id", "seq", "flushed").collect()
+        got = {f"s{k}": "".join(r.text for r in rows if r.stream_id == f"s{k}") for k in range(9)}
+        assert got == {f"s{k}": f"say Ann and Bob{k}, [NO] [NAME_" for k in range(9)}
+        if most == 20:
+            assert dict(seen)["chunks"] == -(-len(cut) // 20)
+
+
+def test_an_id_of_most_texts_does_not_make_one_task(spark, monkeypatch):
+    from veilspark.operators import lookup
+    from veilspark.operators.models import join_model_spans
+
+    monkeypatch.setattr(lookup, "MIN_HOT", 10)
+    texts = spark.range(400).selectExpr("id AS note", "IF(id % 4 > 0, NULL, id) AS id", "'Ann Lee was here' AS text").repartition(8)
+    spans = spark.createDataFrame([(None, 0, 7), (8, 4, 7), (999, 0, 3)], "id long, start int, end int")
+    joined = join_model_spans(texts, spans, ("id",))
+    got = {r.note: [(s.start, s.end) for s in r.model_spans] for r in joined.collect()}
+    assert got == {i: [(0, 7)] if i % 4 else [(4, 7)] if i == 8 else [] for i in range(400)}
+    per_task = [n for n in joined.rdd.mapPartitions(lambda rows: [sum(1 for r in rows if r.id is None)]).collect() if n]
+    assert max(per_task) < 100

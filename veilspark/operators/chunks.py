@@ -19,6 +19,8 @@ from veilspark.operators.rehydrate import rehydrate, tokens_in
 from veilspark.operators.staging import stage
 
 RANGE_BITS = 12
+#: Chunks that one task sorts.
+TASK_CHUNKS = 500_000
 _STREAM = ["stream_id", "choice", "tool_idx"]
 _KEY = ["stream_id", "__seq_key"]
 
@@ -80,30 +82,47 @@ def rehydrate_chunks(
     blank = rows.where(F.col("__text") == "")
 
     near = F.right("__text", F.lit(max_hold))
-    inside = Window.partitionBy(*_KEY, "__range").orderBy("seq").rowsBetween(-max_hold, -1)
+    by_range = Window.partitionBy(*_KEY, "__range").orderBy("seq")
+    inside = by_range.rowsBetween(-max_hold, -1)
+    tasks = -(-filled.count() // TASK_CHUNKS)
+    # Chunks are small rows that compress well, so tasks are cut by rows; by size a few would hold them all.
+    dealt = filled.repartition(tasks, *_KEY, "__range") if tasks > 1 else filled
     # Written once: the ends of ranges and the chunks themselves are two readers of it.
-    local = stage(filled.withColumn("__before", F.array_join(F.collect_list(near).over(inside), "")), "chunks")
-    ends = local.groupBy(*_KEY, "__range").agg(
-        F.max_by(F.right(F.concat("__before", near), F.lit(max_hold)), "seq").alias("__end")
+    local = stage(
+        dealt.withColumns(
+            {
+                "__before": F.array_join(F.collect_list(near).over(inside), ""),
+                "__last": F.lead(F.lit(True)).over(by_range).isNull() & F.col("seq").isNotNull(),
+            }
+        ),
+        "chunks",
+    )
+    ends = local.where("__last").select(*_KEY, "__range", F.right(F.concat("__before", near), F.lit(max_hold)).alias("__end"))
+    ranges = Window.partitionBy(*_KEY).orderBy("__range")
+    earlier = ranges.rowsBetween(-max_hold, -1)
+    # Only streams of several ranges have anything to carry over.
+    incoming = ends.select(
+        *_KEY,
+        "__range",
+        F.array_join(F.collect_list("__end").over(earlier), "").alias("__in"),
+        F.lead(F.lit(True)).over(ranges).isNotNull().alias("__more"),
+    ).where((F.col("__in") != "") | F.col("__more"))
+    known = join_null_safe(local, incoming, [*_KEY, "__range"], "left").withColumns(
+        {"__in": F.coalesce("__in", F.lit("")), "__last": F.col("__last") & ~F.coalesce("__more", F.lit(False))}
     )
-    earlier = Window.partitionBy(*_KEY).orderBy("__range").rowsBetween(-max_hold, -1)
-    incoming = ends.select(*_KEY, "__range", F.array_join(F.collect_list("__end").over(earlier), "").alias("__in"))
-    known = join_null_safe(local, incoming, [*_KEY, "__range"])
     before = F.right(F.concat("__in", "__before"), F.lit(max_hold))
     buffered = known.withColumn("__buffer", F.concat(held_tail(before, max_hold), "fragment")).withColumn(
         "__held", F.when(F.col("finished"), "").otherwise(held_tail(F.col("__buffer"), max_hold))
     )
     safe = F.substring("__buffer", F.lit(1), F.length("__buffer") - F.length("__held"))
-    buffered = stage(buffered.withColumn("__safe", safe).drop("__before", "__in", "__text"), "buffered")
+    buffered = stage(buffered.withColumn("__safe", safe).drop("__before", "__in", "__more", "__text"), "buffered")
     shown = ["stream_id", "seq", "choice", "tool_idx", "text", "flushed"]
     safe_rows = buffered.select(*shown[:4], "__safe")
     emitted = restored_texts(safe_rows, "__safe", "text", maps, tokens).withColumn("flushed", F.lit(False))
     silent = blank.withColumn("text", F.lit("")).withColumn("flushed", F.lit(False))
 
     # What is still held after the last chunk of a sequence.
-    last = buffered.groupBy(*_KEY).agg(
-        F.max_by(F.struct("seq", "choice", "tool_idx", F.col("__held").alias("text")), "seq").alias("l")
-    ).select("stream_id", "l.*").where(F.col("text") != "")
+    last = buffered.where("__last").select(*shown[:4], F.col("__held").alias("text")).where(F.col("text") != "")
     closed = chunks.where("done").groupBy("stream_id").agg(F.max("seq").alias("__done"))
     tails = join_null_safe(last, closed, ["stream_id"], "left" if flush_at_end else "inner")
     flushed = tails.withColumn("seq", F.coalesce("__done", "seq")).withColumn("flushed", F.lit(True))
