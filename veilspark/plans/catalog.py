@@ -494,13 +494,14 @@ def redact_repeated_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 def streaming_conversations(spark: SparkSession, sf: str) -> DataFrame:
     """The chats as a stream of four micro-batches, two turns each, the last one all later turns."""
-    path = staging_path(spark, "chats")
+    path, out = staging_path(spark, "chats"), staging_path(spark, "conversations")
     chats = stage(t.chats(spark, sf), "chats")
     for k in range(4):
         part = F.least(F.floor(F.col("turn") / 2), F.lit(3)) == k
-        chats.where(part).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(chats.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    done = drain(redact_conversation_stream(stream, ("conv_id",), ("turn",)), "conversations")
+        chats.where(part).write.mode("append").parquet(path)
+        # What one write added, of any number of files, is one micro-batch.
+        stream = spark.readStream.schema(chats.schema).parquet(path)
+        done = drain(redact_conversation_stream(stream, ("conv_id",), ("turn",)), "conversations", out)
     return done.select("conv_id", "turn", "redacted", F.size("entities").cast("long").alias("n_entities"))
 
 

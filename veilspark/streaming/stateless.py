@@ -47,10 +47,11 @@ def read_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFram
     return source.option("pathGlobFilter", name).parquet(folder)
 
 
-def drain(stream: DataFrame, name: str) -> DataFrame:
-    """Run an appending stream over all available input into a staged table, and read that table."""
+def drain(stream: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Run an appending stream over all available input into a staged table, and read that table. With the
+    ``path`` of an earlier run, go on from there with what has come since."""
     spark = stream.sparkSession
-    path = staging_path(spark, name)
+    path = path or staging_path(spark, name)
     query = (
         stream.writeStream.format("parquet")
         .option("path", f"{path}/data")
