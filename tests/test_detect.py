@@ -183,3 +183,35 @@ def test_texts_that_hold_the_mark(spark):
     for r in got[0]:
         text = dict(rows)[r.id]
         assert text[r.start : r.end] == r.value
+
+
+def test_few_and_many_matches_have_the_same_offsets(spark, monkeypatch):
+    """Texts with few pieces are added up, those with many are folded; both agree with Python's offsets."""
+    from veilspark.functions import hof, spans
+
+    texts = ["".join(f"é{i} " + "ab " * (i % 3) + f"token=T{i}{'x' * 20}; " for i in range(n)) for n in (1, 2, 5, 11, 12, 13, 30)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    pattern = r"token=(T[0-9]+x{20})"
+    for group in (0, 1):
+        for few in (0, 25, 10_000):
+            monkeypatch.setattr(spans, "FEW_PIECES", few)
+            monkeypatch.setattr(hof, "_built", {})
+            found = d.detect(rows, detectors=(d.Detector("CUSTOM", (d.Scan(pattern, group=group),), "t"),)).collect()
+            for r in found:
+                want = [(m.start(group), m.end(group), m.group(group)) for m in re.finditer(pattern, r.text)]
+                assert [(s.start, s.end, s.value) for s in r.spans] == want and want
+
+
+def test_lookups_among_few_and_many_entries_agree(spark, monkeypatch):
+    from veilspark.functions import hof
+
+    made = "keys array<string>, entries array<struct<key:string,value:string>>"
+    pairs = [(f"k{i}", f"v{i}") for i in range(70)]
+    asked = [(["k3", None, "no", "k3", "k0"], pairs[:n]) for n in (0, 1, 5, 64, 65, 70)] + [([], pairs[:2]), (None, pairs[:2])]
+    df = spark.createDataFrame(asked, made)
+    got = []
+    for few in (64, -1):
+        monkeypatch.setattr(hof, "BLOCK", few)
+        got.append([r[0] for r in df.select(hof.lookup_all(F.col("keys"), F.col("entries"))).collect()])
+    want = [[dict(e).get(k) for k in ks or []] for ks, e in asked]
+    assert got == [want, want]

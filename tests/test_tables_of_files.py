@@ -50,6 +50,16 @@ def test_one_row_group_is_dealt_over_the_cores(spark, tmp_path, monkeypatch):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_tasks_do_not_grow_with_the_table(spark, tmp_path):
+    """However many rows one row group holds, a task gets about as many, and all arrive once."""
+    for rows in (120_000, 240_000):
+        path = str(tmp_path / str(rows))
+        spark.range(rows).selectExpr("id", "id % 7 AS k").coalesce(1).write.parquet(path)
+        dealt = spread(spark.read.parquet(path), "id")
+        per_task = dealt.groupBy(F.spark_partition_id()).count().select("count").toPandas()["count"]
+        assert per_task.max() < 12_000 and per_task.sum() == rows
+
+
 def test_chunks_are_sorted_in_bounded_tasks(spark, monkeypatch):
     """Streams of one range and of many give the same texts, in whatever number of tasks."""
     from veilspark.operators import chunks as c

@@ -55,7 +55,8 @@ def lookup_all(keys: Column, entries: Column) -> Column:
     """For each of ``keys`` the value of ``entries`` (``array<struct<key,value>>``, unique keys), or null.
 
     Keys and entries are sorted together and every run of equal keys is answered from its head, so the
-    work is that of sorting. Searching a map for each key would walk it from its start every time.
+    work is that of sorting. Searching a map for each key would walk it from its start every time, which
+    is cheaper for few entries only.
     """
     sought = F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"), F.lit(None).cast("string").alias("v")))
     given = F.transform(entries, lambda e: F.struct(e["key"].alias("k"), F.lit(-1).alias("i"), e["value"].alias("v")))
@@ -80,8 +81,15 @@ def lookup_all(keys: Column, entries: Column) -> Column:
         in_order = F.sort_array(F.filter(let(heads, runs), lambda x: x["i"] >= 0))
         return F.transform(in_order, lambda x: x["v"])
 
-    return F.when(F.size(keys) > 0, let(F.sort_array(F.concat(given, sought)), answered)).otherwise(
-        empty("array<string>")
+    def found(names: Column) -> Column:
+        values = F.transform(entries, lambda e: e["value"])
+        return let(values, lambda vs: F.transform(keys, lambda k: F.get(vs, F.array_position(names, k).cast("int") - 1)))
+
+    few = (F.size(keys) > 0) & (F.size(entries) <= BLOCK)
+    return (
+        F.when(few, let(F.transform(entries, lambda e: e["key"]), found))
+        .when(F.size(keys) > 0, let(F.sort_array(F.concat(given, sought)), answered))
+        .otherwise(empty("array<string>"))
     )
 
 

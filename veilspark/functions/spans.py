@@ -12,6 +12,10 @@ from veilspark.functions.hof import empty, let, running
 from veilspark.functions.kinds import SPANS
 
 
+#: Pieces of a text up to which the lengths before each match are added up anew.
+FEW_PIECES = 25
+
+
 def span(kind: Column, start: Column, end: Column, value: Column, label: Column, rank: Column) -> Column:
     return F.struct(
         kind.alias("type"),
@@ -63,9 +67,25 @@ def place_pieces(pieces: Column, stride: Column, make: Callable[[Column, Column,
     """Offsets of the matches of one pattern, as spans, like :func:`place`, from the pieces of a text.
 
     For every match there are ``stride`` pieces: the gap before it, the match and, with a stride of 3,
-    the part that counts as the span; one more piece ends the array.
+    the part that counts as the span; one more piece ends the array. Few pieces are added up for each
+    match, which is cheaper than a fold that carries its results; many go through the fold.
     """
 
+    def few(p: Column) -> Column:
+        def of(sizes: Column) -> Column:
+            def one(i: Column) -> Column:
+                end = F.aggregate(F.slice(sizes, F.lit(1), i * stride + 2), F.lit(0), lambda n, x: n + x)
+                v = F.get(p, i * stride + stride - 1)
+                return let(end, lambda e: make(e - F.length(v), e, v))
+
+            return F.transform(F.filter(F.sequence(F.lit(0), last(p)), lambda i: F.get(sizes, i * stride + 1) > 0), one)
+
+        # With a stride of 3, every third piece repeats a part of the match.
+        return let(F.transform(p, lambda x, j: F.when((stride == 3) & (j % 3 == 2), 0).otherwise(F.length(x))), of)
+
+    def last(p: Column) -> Column:
+        return F.floor((F.size(p) - 1) / stride).cast("int") - 1
+
     def items(p: Column) -> Column:
         def one(i: Column) -> Column:
             n = F.length(F.get(p, i * stride + 1))
@@ -73,15 +93,14 @@ def place_pieces(pieces: Column, stride: Column, make: Callable[[Column, Column,
                 (F.length(F.get(p, i * stride)) + n).alias("step"), n.alias("len"), F.get(p, i * stride + stride - 1).alias("v")
             )
 
-        last = F.floor((F.size(p) - 1) / stride).cast("int") - 1
-        return F.transform(F.sequence(F.lit(0), last), one)
+        return F.transform(F.sequence(F.lit(0), last(p)), one)
 
     def step(pos: Column, item: Column) -> tuple[Column, Column]:
         end = pos + item["step"]
         one = make(end - F.length(item["v"]), end, item["v"])
         return end, F.when(item["len"] > 0, F.array(one)).otherwise(empty(SPANS))
 
-    return running(let(pieces, items), F.lit(0), step, SPANS)
+    return F.when(F.size(pieces) <= FEW_PIECES, let(pieces, few)).otherwise(running(let(pieces, items), F.lit(0), step, SPANS))
 
 
 def luhn_ok(digits: Column) -> Column:

@@ -57,7 +57,7 @@ def number_in_row(acted: Column) -> Column:
             F.transform(
                 displays,
                 lambda d: F.transform(
-                    F.filter(ks, lambda k: F.substring_index(k, " ", 1) == d),
+                    F.filter(ks, lambda k: F.startswith(k, F.concat(d, F.lit(" ")))),
                     lambda k, i: F.struct(
                         k.alias("key"),
                         placeholder(d, i + 1).alias("placeholder"),
