@@ -46,6 +46,10 @@ def test_one_row_group_is_dealt_over_the_cores(spark, tmp_path, monkeypatch):
         assert len(per_task(dealt)) == 12 and dealt.exceptAll(read).isEmpty() and dealt.count() == 60_000
         even = read.repartition(8)
         assert spread(even, "id") is even
+        # Even splits of more rows than a task can do in time are dealt as well.
+        monkeypatch.setattr(staging, "SPLIT_ROWS", 7_000)
+        dealt = spread(even, "id")
+        assert max(per_task(dealt)) < 6_000 and dealt.exceptAll(read).isEmpty() and dealt.count() == 60_000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
