@@ -2,13 +2,16 @@
 
 import hashlib
 import math
+import tracemalloc
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import numpy as np
 from test_documents import brute_components, prose, spelled_set
 
 import random
 
+from veilspark.llm import setjoin, toxicity
 from veilspark.llm.toxicity import score_toxicity
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -103,3 +106,25 @@ def test_stages(spark, tmp_path):
 def test_empty_tables(spark, tmp_path):
     write_tables(spark, str(tmp_path), [], [], [])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_blocks_of_hashes_are_made_in_little_memory():
+    values = np.random.default_rng(7).integers(0, 2**64, 300_000, dtype=np.uint64)
+    tracemalloc.start()
+    made = 0
+    for bucket, blob in setjoin._low_halves(values, 50):
+        own = values[(values >> np.uint64(32)) % np.uint64(50) == bucket] if bucket % 17 == 0 else None
+        made += len(blob) // 4
+        if own is not None:
+            assert blob == np.sort(own.astype(np.uint32)).tobytes()
+    assert made == len(values)
+    assert list(setjoin._low_halves(values[:0], 50)) == []
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    assert sum(len(blob) for _, blob in setjoin._low_halves(values, 50)) == 4 * len(values)
+    assert tracemalloc.get_traced_memory()[1] - before < 2.5 * values.nbytes
+    tracemalloc.stop()
+
+
+def test_scores_are_made_without_pandas_in_the_workers():
+    assert "pd" not in vars(toxicity)

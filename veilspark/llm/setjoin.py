@@ -19,6 +19,7 @@ move few large rows. Buckets are sized from the bytes of the texts.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 from math import ceil
 
 import numpy as np
@@ -75,6 +76,22 @@ def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
     return ((values >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
+def _low_halves(values: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """Buckets of hashes with the sorted lower halves of their values. One array is sorted in place, which
+    takes a third of the memory of an order and what it picks."""
+    key = values >> np.uint64(32)
+    key %= np.uint64(buckets)
+    key <<= np.uint64(32)
+    key |= values & np.uint64(0xFFFFFFFF)
+    key.sort()
+    ends = np.searchsorted(key, np.arange(1, buckets + 1, dtype=np.uint64) << np.uint64(32))
+    start = 0
+    for bucket, end in enumerate(ends.tolist()):
+        if end > start:
+            yield bucket, key[start:end].astype(np.uint32).tobytes()
+        start = end
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[str]:
     for text in batch.column("text"):
         yield text.as_py() or ""
@@ -91,11 +108,9 @@ def _sets_pass(buckets: int, n: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
             values = np.concatenate(held) if held else np.zeros(0, dtype=np.uint64)
             held.clear()
             seen.clear()
-            parts = list(_blocks(_bucket(values, buckets))) if len(values) else []
-            for at in range(0, len(parts), 64):
-                some = parts[at : at + 64]
-                rows = [b for b, _ in some]
-                blobs = [np.sort(values[i].astype(np.uint32)).tobytes() for _, i in some]
+            parts = _low_halves(values, buckets)
+            while some := list(islice(parts, 64)):
+                rows, blobs = map(list, zip(*some, strict=True))
                 none = [None] * len(rows)
                 yield pa.record_batch(
                     [pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.int64()),

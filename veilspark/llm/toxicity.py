@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -298,10 +298,12 @@ def toxicity(text: Column, model: Model | None) -> Column:
     if model is None:
         return F.lit(0.0)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    # Texts are taken from Arrow one by one: as a whole batch of Python strings beside it they, and pandas in
+    # every worker, cost more of an executor's memory than the scores do.
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series([score_text(t, model) for t in texts], dtype="float64")
+            yield pa.array((score_text(t.as_py(), model) for t in texts), pa.float64(), size=len(texts))
 
     return score(F.coalesce(text, F.lit("")))
 
