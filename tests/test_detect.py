@@ -215,3 +215,43 @@ def test_lookups_among_few_and_many_entries_agree(spark, monkeypatch):
         got.append([r[0] for r in df.select(hof.lookup_all(F.col("keys"), F.col("entries"))).collect()])
     want = [[dict(e).get(k) for k in ks or []] for ks, e in asked]
     assert got == [want, want]
+
+
+def test_patterns_written_for_speed_find_what_the_plain_ones_find(spark):
+    """The plain forms spell borders and classes as one would; texts are pieces of values in any order."""
+    hex4 = "[A-Fa-f0-9]{1,4}"
+    forms = [
+        f"(?:{hex4}:){{7}}{hex4}", f"(?:{hex4}:){{1,7}}:", f"(?:{hex4}:){{1,6}}:{hex4}",
+        *(f"(?:{hex4}:){{1,{6 - k}}}(?::{hex4}){{1,{k + 1}}}" for k in range(1, 5)), f"{hex4}:(?::{hex4}){{1,6}}",
+    ]
+    s = f"[{p.SPACE_CHARS}]"
+    sep = f"[{p.SPACE_CHARS}.-]"
+    plain = {
+        p.EMAIL: r"(?:(?<!\w)(?=\w)|(?<=\w)(?=[.%+-]))[\w.%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?!\w)",
+        p.SSN: r"(?<!\w)(?!000|666|9\d\d)\d{3}[- ](?!00)\d{2}[- ](?!0000)\d{4}(?!\w)",
+        p.PHONE: rf"(?<!\w)(?:\+?\d{{1,3}}{sep}?)?(?:\(\d{{3}}\)|\d{{3}}){sep}?\d{{3}}{sep}?\d{{4}}(?!\w)",
+        p.JWT: r"(?<!\w)eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+",
+        p.API_KEY: r"(?<!\w)(?:sk-[A-Za-z0-9_-]{20,}|AKIA[0-9A-Z]{16}(?!\w))",
+        p.IPV6: rf"(?:(?<!\w)(?:{'|'.join(forms)})|:(?<=\w:)(?:(?::{hex4}){{1,7}}|:))",
+        p.ADDRESS: rf"(?i)(?<!\w)\d{{1,6}}{s}+(?:[A-Za-z0-9.'-]+{s}+){{0,4}}(?:{p.STREET_SUFFIXES})(?!\w)\.?"
+        rf"(?:,?{s}+(?:{p.ADDRESS_UNITS})\.?{s}*#?{s}*\w+)?",
+    }
+    words = (
+        "a|Zz|é|_|%|+|.|-| |  |(|)|@|:|::|/|#|,|'|1|12|666|000|900|123|45|6789|0000|00|415|555|0132|(415)|+1 |\u00A0|\u2003|\u1680|"
+        "\u200B|\uFEFF|\t|x.co|@b.com|u.v|123-45-|-6789|415-555-|555.0132|eyJa|.eyJb|.c-d|sk-|abcdefghij0123456789|AKIA|"
+        "ABCDEFGH12345678|fe80|2001:|:db8|12 Oak |Main St|ave|Terrace.|St|, Apt 4B|suite #9|ROAD"
+    ).split("|")
+    pick = F.expr(f"transform(sequence(1, 2 + CAST(id % 13 AS INT)), i -> pmod(xxhash64(id, i), {len(words)}))")
+    joined = lambda picked: F.array_join(F.transform(picked, lambda i: F.get(F.array(*map(F.lit, words)), i.cast("int"))), "")
+    texts = spark.range(0, 40_000, 1, 8).select(joined(pick).alias("text")).cache()
+    marked = lambda pattern: F.regexp_replace("text", pattern, "\x1f$0\x1f")
+    checks = []
+    for k, (fast, slow) in enumerate(plain.items()):
+        checks += [
+            F.count_if(marked(fast) != marked(slow)).alias(f"differ{k}"),
+            F.count_if(marked(slow) != F.col("text")).alias(f"hits{k}"),
+        ]
+    got = texts.agg(*checks).first().asDict()
+    texts.unpersist()
+    assert {c: n for c, n in got.items() if c.startswith("differ") and n} == {}
+    assert all(n > 0 for c, n in got.items() if c.startswith("hits")), got

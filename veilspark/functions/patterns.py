@@ -30,28 +30,37 @@ NAME_CUES = "[Mm]y name is|[Nn]ame is|[Ii] am|[Ii]'m|[Tt]his is|[Nn]ame:"
 CAPITALIZED = "[A-Z][a-z]+"
 ORDINALS = "st|nd|rd|th"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-HEX = "[A-Fa-f0-9]{1,4}"
+# Java looks single characters of a class up in one table, but asks each range and nested class in turn.
+_DIGITS = "0123456789"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_ALNUM = _DIGITS + _UPPER + _UPPER.lower()
+_HEX_DIGIT = f"[{_DIGITS}ABCDEFabcdef]"
+HEX = f"{_HEX_DIGIT}{{1,4}}"
 
 # The same characters, so written that a class asks one table for ASCII and one range for the rest first:
 # Java tries the members of a class one by one.
+_WIDE_SPACES = r"[\u1680-\uFEFF&&[\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]]"
 _SPACES = r"\s[\u00A0-\uFEFF&&[\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]]"
+_SINGLE_SPACES = r"\t\n\x0B\f\r \u00A0"
 S = f"[{_SPACES}]"
-_PHONE_SEP = f"[{_SPACES}.-]"
+_S_TABLE = f"[{_SINGLE_SPACES}{_WIDE_SPACES}]"
+_PHONE_SEP = f"[{_SINGLE_SPACES}.{_WIDE_SPACES}-]"
 
 EMAIL = (
-    r"(?:\w(?<!\w\w)|[.%+-](?<=\w[.%+-]))[\w.%+-]*+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?!\w)"
+    rf"(?:\w(?<!\w\w)|[.%+-](?<=\w[.%+-]))[{_ALNUM}_.%+-]*+@[{_ALNUM}.-]+\.[A-Za-z]{{2,}}(?!\w)"
 )
 CREDIT_CARD = r"\d(?<!\w\d)(?:[ -]?\d){12,18}(?!\w)"
 #: Groups of digits parted by one blank or hyphen, each a whole word.
 DIGIT_GROUPS = r"(?<!\w)[0-9]++(?!\w)(?:[ -][0-9]++(?!\w))*+"
-SSN = r"(?=\d)(?<!\w)(?!000|666|9\d\d)\d{3}[- ](?!00)\d{2}[- ](?!0000)\d{4}(?!\w)"
+SSN = r"\d(?<!\w\d)(?<!9)\d\d(?<!000|666)[- ](?!00)\d{2}[- ](?!0000)\d{4}(?!\w)"
 PHONE = (
-    rf"(?=[0-9+(])(?<!\w)(?:\+?\d{{1,3}}{_PHONE_SEP}?)?(?:\(\d{{3}}\)|\d{{3}})"
+    rf"(?=[{_DIGITS}+(])(?<!\w)(?:\+?\d{{1,3}}{_PHONE_SEP}?)?(?:\(\d{{3}}\)|\d{{3}})"
     rf"{_PHONE_SEP}?\d{{3}}{_PHONE_SEP}?\d{{4}}(?!\w)"
 )
 # The two secret formats have no published pattern to match; these are our own.
-JWT = r"(?<!\w)eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++"
-API_KEY = r"(?<!\w)(?:sk-[A-Za-z0-9_-]{20,}+|AKIA[0-9A-Z]{16}(?!\w))"
+# Their left border is checked behind the literal they start with, like that of a digit.
+JWT = rf"eyJ(?<!\weyJ)[{_ALNUM}_-]++\.eyJ[{_ALNUM}_-]++\.[{_ALNUM}_-]++"
+API_KEY = rf"(?=[sA])(?:sk-(?<!\wsk-)[{_ALNUM}_-]{{20,}}+|AKIA(?<!\wAKIA)[0-9A-Z]{{16}}(?!\w))"
 #: Opt-in form: what is assigned to a name that says it is a secret. Our own, too.
 API_KEY_ASSIGNED = (
     r"(?i)(?=[aspt])(?<!\w)(?:api[_-]?key|access[_-]?key|secret|password|token)[ \t]*[:=][ \t]*[\"']?([A-Za-z0-9_-]{20,}+)"
@@ -70,10 +79,10 @@ _IPV6_FORMS = (
     f"{HEX}:(?::{HEX}){{1,6}}",
 )
 _IPV6_TAIL = f"(?:(?::{HEX}){{1,7}}|:)"
-IPV6 = rf"(?:(?=[A-Fa-f0-9])(?<!\w)(?={HEX}:)(?:{'|'.join(_IPV6_FORMS)})|:(?<=\w:){_IPV6_TAIL})"
+IPV6 = rf"(?:(?={HEX}+:)(?<!\w)(?:{'|'.join(_IPV6_FORMS)})|:(?<=\w:){_IPV6_TAIL})"
 # Opt-in form that takes the longest address at each place, and accepts a leading "::".
 IPV6_FULL = (
-    rf"(?:(?=[A-Fa-f0-9])(?<![\w:])(?:{_IPV6_FORMS[0]}|{'|'.join(reversed(_IPV6_FORMS[2:]))}|"
+    rf"(?:(?={_HEX_DIGIT})(?<![\w:])(?:{_IPV6_FORMS[0]}|{'|'.join(reversed(_IPV6_FORMS[2:]))}|"
     rf"{_IPV6_FORMS[1]})|(?<![\w:]):{_IPV6_TAIL})(?![\w:])"
 )
 
@@ -86,7 +95,8 @@ DATE_DAY_FIRST = (
     rf"(?i)\d(?<!\w\d)\d?(?:{ORDINALS})?{S}+(?:{MONTHS})\.?,?{S}+\d{{4}}(?!\w)"
 )
 ADDRESS = (
-    rf"(?i)\d(?<!\w\d)\d{{0,5}}{S}++(?:[\p{{Alnum}}.'-]++{S}++){{0,4}}(?:{STREET_SUFFIXES})(?!\w)\.?"
+    rf"(?i)\d(?<!\w\d)\d{{0,5}}{_S_TABLE}++(?:[{_ALNUM}.'-]++{_S_TABLE}++){{0,4}}"
+    rf"(?=[ABCDHLPRSTW])(?:{STREET_SUFFIXES})(?!\w)\.?"
     rf"(?:,?{S}+(?:{ADDRESS_UNITS})\.?{S}*#?{S}*\w+)?"
 )
 NAME_HONORIFIC = (
