@@ -4,6 +4,7 @@ import json
 import random
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,9 @@ from veilspark.operators.events import rehydrate_events
 from veilspark.operators.messages import rehydrate_replies
 from veilspark.sources import bytes as byte_lines
 from veilspark.sources.bytes import lines_of_chunks
+from veilspark.sources.chunks import payload_lines
 from veilspark.sources.text import read_lines
+from veilspark.streaming import stateful
 from veilspark.streaming.stateful import line_stream, rehydrate_event_stream
 from veilspark.streaming.stateless import drain
 
@@ -176,6 +179,100 @@ def test_event_stream_equals_batch(spark, tmp_path):
     assert got == want
 
 
+class State:
+    """What a group function sees of its state, without a session."""
+
+    hasTimedOut = False
+
+    def __init__(self):
+        self.get = None
+
+    @property
+    def exists(self):
+        return self.get is not None
+
+    def update(self, value):
+        self.get = value
+
+    def remove(self):
+        self.get = None
+
+
+def in_group(rows, state, run):
+    frame = pd.DataFrame([(*r, json.dumps(MAP)) for r in rows], columns=["stream_id", "seq", "payload", "token_map"])
+    return parsed(pd.concat(run((0,), iter([frame[:7], frame[7:]]), state)).itertuples(index=False))
+
+
+def test_a_group_of_many_event_streams_equals_one_at_a_time():
+    rows = [r for r in some_lines(5) if r[2].strip().startswith("data:")]
+    random.Random(1).shuffle(rows)
+    rows = sorted(rows, key=lambda r: r[1] // 4)  # out of order, but in two halves that are not
+    half = next(k for k, r in enumerate(rows) if r[1] >= 8)
+    want, held = plain_events(sorted(rows, key=lambda r: r[1]), MAP)
+    assert len({k[0] for k in held}) > 1
+    rows = [(None if s == "s1" else s, q, line.strip()[5:].strip()) for s, q, line in rows]
+    run, state = stateful._event_function(64, None), State()
+    got = in_group(rows[:half], state, run) | in_group(rows[half:], state, run)
+    assert got == {(None if s == "s1" else s, q, k): v for (s, q, k), v in want.items()}
+    # Only streams that hold something are kept, and a timer releases what they hold.
+    assert {s for s, _ in json.loads(state.get[0])} == {k[0] for k in held}
+    state.hasTimedOut = True
+    assert len(in_group([], state, run)) == len(held) and not state.exists
+
+
+def test_only_payloads_that_can_change_are_parsed(monkeypatch):
+    draw, rows = random.Random(8), []
+    bits = ["[", "]", "A", "EMAIL_1", "NAME_1]", "\\u005b", "\\u005B", "\\u0041", "\\n", "\\[", "é", " ", "x", "[ {", "[]", "1", '\\"', "\\\\"]
+    shapes = ['{"choices":[{"index":0,"delta":{"content":"%s"}}]}', '{"choices": [ {"delta":{"content":"%s"},"finish_reason":"stop"}]}',
+              '{"choices":[{"delta":{"tool_calls":[{"function":{"arguments":"%s"}}]}}]}', '{"a":["%s"],"choices":[]}', "%s", "[DONE]"]
+    for stream in "abcdefgh":
+        for seq in range(80):
+            shape = draw.choice(shapes[:4] * 6 + shapes)
+            rows.append((stream, seq, shape.replace("%s", "".join(draw.choices(bits, k=draw.randint(0, 5))))))
+    run = stateful._event_function(64, None)
+
+    def lines(rows):
+        frame = pd.DataFrame([(*r, json.dumps(MAP)) for r in rows], columns=["stream_id", "seq", "payload", "token_map"])
+        return [tuple(r) for r in pd.concat(run((0,), iter([frame]), State())).itertuples(index=False)]
+
+    got = lines(rows)
+    monkeypatch.setattr(stateful, "_MAYBE", re.compile(""))
+    assert got == lines(rows) and any("Ada" in r[3] for r in got)
+    monkeypatch.undo()
+    monkeypatch.setattr(stateful.json, "loads", lambda x: pytest.fail(x))
+    plain = [("a", k, shapes[0].replace("%s", "no bracket")) for k in range(9)]
+    assert lines(plain) == [("a", k, 0, f"data: {x}") for _, k, x in plain]
+
+
+def test_event_stream_has_no_group_for_every_stream_and_parses_nothing_twice(spark, tmp_path):
+    rows = [(f"s{k}", q, line) for k in range(30) for q, line in enumerate(['data: {"choices":[{"delta":{"content":"[EMA"}}]}', "x", "data: [DONE]"])]
+    lines = in_steps(spark, spark.createDataFrame(rows, LINES), str(tmp_path), 1)
+    plan = rehydrate_event_stream(lines, maps_of(spark, ["s1"]))._jdf.queryExecution().analyzed().toString()
+    assert "parse_json" not in plan and "__shard" in plan
+    timed = rehydrate_event_stream(lines, maps_of(spark, ["s1"]), timeout_ms=5)._jdf.queryExecution().analyzed().toString()
+    assert "xxhash64" in plan and "xxhash64" not in timed  # a timer belongs to one stream
+
+
+def test_blanks_around_lines_and_payloads(spark):
+    ends = ["", " ", "\t\r\n", "\x0b\f", "\u2028", " \u2028", "\x85", " \x85\n", "\u00a0", " \u3000", "\n\u2029"]
+    lines = [(f"{a}data:{b}x {c}y{d}",) for a in ends for b in ends for c in ("", "\u2028") for d in ends]
+    lines += [(x,) for x in ("data:", "data: ", " data: \n", "date: x", "", " ", None)]
+    df = spark.createDataFrame(lines, "line string")
+    trimmed = df.withColumn("t", F.regexp_replace("line", r"^\s+|\s+$", "")).where(F.col("t").startswith("data:"))
+    want = trimmed.select(F.regexp_replace(F.substring("t", 6, 2_000_000_000), r"^\s+", ""))
+    assert sorted(r[0] for r in payload_lines(df).collect()) == sorted(r[0] for r in want.collect())
+
+
+def test_event_stream_of_many_files_equals_the_batch_query(spark, tmp_path):
+    from veilspark.plans import catalog
+
+    rows = [(c, t, "user", f"to [EMAIL_1] é {c}" * t) for c in range(20) for t in range(3)]
+    talks = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    talks.repartition(20).write.parquet(f"{tmp_path}/conversations.parquet")  # micro-batches of 16 files
+    got, want = (q(spark, str(tmp_path)).collect() for q in (catalog.event_stream, catalog.event_write_back))
+    assert len(got) > 900 and sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_streams_without_an_id_or_lines(spark):
     df = spark.createDataFrame([(None, 0, 'data: {"choices":[{"delta":{"content":"[EMAIL_1] [E"}}]}')], LINES)
     got = [r.line for r in rehydrate_events(df, maps_of(spark, [None])).orderBy("part").collect()]

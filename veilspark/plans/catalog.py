@@ -687,8 +687,10 @@ def event_write_back(spark: SparkSession, sf: str) -> DataFrame:
 
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     source = read_stream(spark, sf, "conversations.parquet", t.table(spark, sf, "conversations").schema)
-    replies = source.selectExpr("conv_id", "turn", "conv_id || ':' || turn AS stream_id", f"{t.reply_text()} AS text")
-    maps = t.reply_maps(t.replies(spark, sf))
+    # A reply becomes a hundred lines, so replies are dealt before. Every micro-batch joins the maps: they are made once.
+    dealt = source.repartition(4 * spark.sparkContext.defaultParallelism, "conv_id", "turn")
+    replies = dealt.selectExpr("conv_id", "turn", "conv_id || ':' || turn AS stream_id", f"{t.reply_text()} AS text")
+    maps = stage(t.reply_maps(t.reply_keys(spark, sf)), "maps")
     return _event_shown(drain(rehydrate_event_stream(t.reply_lines(replies), maps), "events"))
 
 

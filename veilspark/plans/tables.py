@@ -106,6 +106,12 @@ def replies(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def reply_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """The replies without their texts, for what needs only their ids."""
+    keys = table(spark, folder, "conversations").select("conv_id", "turn")
+    return spread(keys, "conv_id", "turn").selectExpr("conv_id", "turn", "conv_id || ':' || turn AS stream_id")
+
+
 def reply_maps(replies: DataFrame) -> DataFrame:
     """``stream_id, token_map`` for the replies."""
     return replies.selectExpr(

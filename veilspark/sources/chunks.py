@@ -74,19 +74,35 @@ def _of_choice(c: Column, at: Column) -> Column:
     return F.when(usable, F.concat(said, calls)).otherwise(F.array().cast(f"array<{CHUNK}>"))
 
 
+#: What ``\\s`` matches in a pattern of Java, and what else ``$`` lets stand behind the end of a line.
+_BLANKS = " \t\n\x0b\f\r"
+_ENDS = "\x85\u2028\u2029"
+
+
+def _trimmed(line: Column) -> Column:
+    """``line`` without blanks at its ends. A pattern runs only over lines with something to take away."""
+    bare = F.btrim(line, F.lit(_BLANKS + _ENDS)) == line
+    return F.when(bare, line).otherwise(F.regexp_replace(line, r"^\s+|\s+$", ""))
+
+
+def payload_lines(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Lines that start with ``data:``, with their ``payload``. Other lines are dropped. Stateless."""
+    trimmed = lines.withColumn("__line", _trimmed(F.col(line)))
+    payload = F.ltrim(F.substring("__line", 6, 2_000_000_000), F.lit(_BLANKS))
+    return trimmed.where(F.col("__line").startswith("data:")).withColumn("payload", payload).drop("__line", line)
+
+
 def event_payloads(lines: DataFrame, line: str = "line") -> DataFrame:
     """Lines that start with ``data:``, with ``payload``, ``done`` for the end marker, and ``parts``: the
     texts the payload holds, each with the places of its choice and tool call in their arrays.
 
     Other lines are dropped. A payload that is not JSON, or holds no text, has no parts. Stateless.
     """
-    trimmed = lines.withColumn("__line", F.regexp_replace(line, r"^\s+|\s+$", ""))
-    payload = F.regexp_replace(F.substring("__line", 6, 2_000_000_000), r"^\s+", "")
-    data = trimmed.where(F.col("__line").startswith("data:")).withColumn("payload", payload)
+    data = payload_lines(lines, line)
     done = F.col("payload") == "[DONE]"
     parsed = F.when(~done, F.try_parse_json("payload"))
     parts = let(parsed, lambda v: F.flatten(F.transform(_list(_get(v, "choices")), _of_choice)))
-    return once(data.withColumn("done", done), "parts", parts).drop("__line", line)
+    return once(data.withColumn("done", done), "parts", parts)
 
 
 def parse_chunk_lines(lines: DataFrame, ids: Sequence[str] = ("stream_id",), line: str = "line") -> DataFrame:

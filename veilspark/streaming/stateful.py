@@ -6,7 +6,9 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,10 +16,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from veilspark.functions.kinds import LIMITER_MAX_KEYS, MAX_STREAM_HOLD
 from veilspark.operators.admission import decisions_of_free, full_after_ms, refill_rate, unlimited_route, with_retry_after
-from veilspark.sources.chunks import event_payloads
+from veilspark.sources.chunks import payload_lines
 
 _TOKEN = re.compile(r"\[[A-Z0-9_]+\]")
 _OPEN = re.compile(r"\[[A-Z0-9_]*\Z")
+#: Found in every payload that has a placeholder, or the start of one at its end, in one of its texts.
+_MAYBE = re.compile(r'\[[A-Z0-9_"\\]|\\u005[bB]')
 
 EMITTED = "stream_id string, seq long, choice int, tool_idx int, text string, flushed boolean"
 DECIDED = "caller string, request_id long, ts_ms long, route string, allowed boolean, retry_after_ms long, remaining int"
@@ -26,8 +30,8 @@ DECIDED = "caller string, request_id long, ts_ms long, route string, allowed boo
 class _Tails:
     """Held ends of a stream's sequences, by sequence name: ``choice`` or ``choice:tool``."""
 
-    def __init__(self, state: GroupState, max_hold: int):
-        self.held: dict[str, str] = json.loads(state.get[0]) if state.exists else {}
+    def __init__(self, held: dict[str, str], max_hold: int):
+        self.held = held
         self.max_hold = max_hold
         self.parsed: dict[str, dict[str, str]] = {}
 
@@ -59,19 +63,20 @@ class _Tails:
         tokens = self.parsed[token_map]
         return _TOKEN.sub(lambda m: tokens.get(m.group(), m.group()), text)
 
-    def save(self, state: GroupState, timeout_ms: int | None) -> None:
-        if self.held:
-            state.update((json.dumps(self.held),))
-            if timeout_ms:
-                state.setTimeoutDuration(timeout_ms)
-        elif state.exists:
-            state.remove()
+
+def _save(held: object, state: GroupState, timeout_ms: int | None) -> None:
+    if held:
+        state.update((json.dumps(held),))
+        if timeout_ms:
+            state.setTimeoutDuration(timeout_ms)
+    elif state.exists:
+        state.remove()
 
 
 def _chunk_function(max_hold: int, timeout_ms: int | None):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (stream,) = key
-        tails = _Tails(state, max_hold)
+        tails = _Tails(json.loads(state.get[0]) if state.exists else {}, max_hold)
         out: list[tuple] = []
         if state.hasTimedOut:
             out += [(stream, -1, *f, True) for f in tails.flush()]
@@ -86,7 +91,7 @@ def _chunk_function(max_hold: int, timeout_ms: int | None):
                 fragment = r.fragment if isinstance(r.fragment, str) else ""
                 text = tails.push(choice, tool, fragment, r.finished is True or r.finished == 1)
                 out.append((stream, int(r.seq), choice, tool, tails.restore(text, r.token_map), False))
-            tails.save(state, timeout_ms)
+            _save(tails.held, state, timeout_ms)
         columns = ["stream_id", "seq", "choice", "tool_idx", "text", "flushed"]
         frame = pd.DataFrame(out, columns=columns)
         yield frame.astype({"seq": "int64", "choice": "Int32", "tool_idx": "Int32", "flushed": "bool"})
@@ -94,8 +99,11 @@ def _chunk_function(max_hold: int, timeout_ms: int | None):
     return run
 
 
+_compact = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
+
+
 def _written(value: dict) -> str:
-    return "data: " + json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    return "data: " + _compact(value)
 
 
 def _frame(choice: int, tool: int | None, text: str) -> str:
@@ -136,51 +144,71 @@ def _restore_event(body: object, tails: _Tails, token_map: str | None) -> bool:
 
 
 def _event_function(max_hold: int, timeout_ms: int | None):
+    def lines_of(stream: str | None, tails: _Tails, rows: Iterator[tuple], out: list[tuple]) -> None:
+        """The lines of one stream in order, restored."""
+        for seq, payload, token_map in rows:
+            line = f"data: {payload}"
+            if payload == "[DONE]":
+                flush(stream, seq, tails, out)
+            elif tails.held or _MAYBE.search(payload):
+                try:
+                    body = json.loads(payload)
+                except ValueError:
+                    body = None
+                if _restore_event(body, tails, token_map):
+                    line = _written(body)
+            out.append((stream, seq, 0, line))
+
+    def flush(stream: str | None, seq: int, tails: _Tails, out: list[tuple]) -> None:
+        found = tails.flush()
+        out.extend((stream, seq, k - len(found), _frame(*f)) for k, f in enumerate(found))
+
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (stream,) = key
-        tails = _Tails(state, max_hold)
+        held: dict[str | None, dict[str, str]] = dict(json.loads(state.get[0])) if state.exists else {}
         out: list[tuple] = []
-
-        def flush(seq: int) -> None:
-            found = tails.flush()
-            out.extend((stream, seq, k - len(found), _frame(*f)) for k, f in enumerate(found))
-
         if state.hasTimedOut:
-            flush(-1)
+            for stream, kept in held.items():
+                flush(stream, -1, _Tails(kept, max_hold), out)
             state.remove()
         else:
-            for r in pd.concat(batches).sort_values("seq", kind="stable").itertuples(index=False):
-                line = f"data: {r.payload}"
-                if r.payload == "[DONE]":
-                    flush(int(r.seq))
-                else:
-                    try:
-                        body = json.loads(r.payload)
-                    except ValueError:
-                        body = None
-                    if _restore_event(body, tails, r.token_map):
-                        line = _written(body)
-                out.append((stream, int(r.seq), 0, line))
-            tails.save(state, timeout_ms)
+            rows = pd.concat(batches)
+            at, streams = pd.factorize(rows["stream_id"], use_na_sentinel=False)
+            seq = rows["seq"].astype("int64").to_numpy()
+            order = np.lexsort((seq, at))  # by stream and sequence number; equal ones stay as they came
+            columns = (seq[order].tolist(), *(rows[c].to_numpy()[order].tolist() for c in ("payload", "token_map")))
+            taken = zip(*columns)
+            for stream, n in zip(streams, np.bincount(at).tolist()):
+                stream = stream if isinstance(stream, str) else None
+                tails = _Tails(held.pop(stream, {}), max_hold)
+                lines_of(stream, tails, islice(taken, n), out)
+                if tails.held:
+                    held[stream] = tails.held
+            _save(list(held.items()), state, timeout_ms)
         yield pd.DataFrame(out, columns=["stream_id", "seq", "part", "line"]).astype({"seq": "int64", "part": "int32"})
 
     return run
 
 
+#: Groups of event streams, each with one state entry and one call into Python for a micro-batch.
+EVENT_SHARDS = 1024
+
+
 def rehydrate_event_stream(
     lines: DataFrame, maps: DataFrame, max_hold: int = MAX_STREAM_HOLD, enabled: bool = True, timeout_ms: int | None = None
 ) -> DataFrame:
     """Streaming twin of ``rehydrate_events``: ``stream_id, seq, part, line`` from ``stream_id, seq, line``.
 
-    State per stream is its held tails. A tail is released by a finish reason, by the end marker, or
-    after ``timeout_ms`` without lines; a stream that stops without any keeps it. Edited payloads keep
-    the order of their keys.
+    State per stream is its held tails, kept in ``EVENT_SHARDS`` shards by the hash of the stream, so the
+    cost of a group is not paid for every stream. With ``timeout_ms`` it is kept per stream, as each has a
+    timer of its own. A tail is released by a finish reason, by the end marker, or after ``timeout_ms``
+    without lines; a stream that stops without any keeps it. Edited payloads keep the order of their keys.
     """
-    data = event_payloads(lines.select("stream_id", "seq", "line")).select("stream_id", "seq", "payload")
+    data = payload_lines(lines.select("stream_id", "seq", "line")).select("stream_id", "seq", "payload")
     if not enabled:
         return data.select("stream_id", "seq", F.lit(0).alias("part"), F.concat(F.lit("data: "), "payload").alias("line"))
     known = data.join(maps.select("stream_id", F.to_json("token_map").alias("token_map")), "stream_id", "left")
-    return known.groupBy("stream_id").applyInPandasWithState(
+    shard = F.col("stream_id") if timeout_ms else F.pmod(F.xxhash64("stream_id"), F.lit(EVENT_SHARDS)).cast("int")
+    return known.withColumn("__shard", shard).groupBy("__shard").applyInPandasWithState(
         _event_function(max_hold, timeout_ms),
         "stream_id string, seq long, part int, line string",
         "held string",
