@@ -273,6 +273,19 @@ def test_event_stream_of_many_files_equals_the_batch_query(spark, tmp_path):
     assert len(got) > 900 and sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_replies_without_an_id_go_on_in_the_order_of_their_file(spark, tmp_path):
+    from veilspark.plans import catalog, tables
+
+    talks = spark.createDataFrame([(None, k, "user", "ab" * k) for k in range(12)], "conv_id long, turn long, role string, text string")
+    talks.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    replies = spark.read.parquet(f"{tmp_path}/conversations.parquet").selectExpr("turn", "CAST(NULL AS STRING) AS stream_id", f"{tables.reply_text()} AS text")
+    sent = [(None, r.seq, r.payload, None) for r in payload_lines(tables.reply_lines(replies)).collect()]
+    frame = pd.DataFrame(sent, columns=["stream_id", "seq", "payload", "token_map"])
+    want = [tuple(r) for r in pd.concat(stateful._event_function(64, None)((0,), iter([frame]), State())).itertuples(index=False)]
+    want = catalog._event_shown(spark.createDataFrame(want, "stream_id string, seq long, part int, line string"))
+    assert sorted(map(str, catalog.event_stream(spark, str(tmp_path)).collect())) == sorted(map(str, want.collect()))
+
+
 def test_streams_without_an_id_or_lines(spark):
     df = spark.createDataFrame([(None, 0, 'data: {"choices":[{"delta":{"content":"[EMAIL_1] [E"}}]}')], LINES)
     got = [r.line for r in rehydrate_events(df, maps_of(spark, [None])).orderBy("part").collect()]

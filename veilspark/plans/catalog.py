@@ -687,9 +687,12 @@ def event_write_back(spark: SparkSession, sf: str) -> DataFrame:
 
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     source = read_stream(spark, sf, "conversations.parquet", t.table(spark, sf, "conversations").schema)
-    # A reply becomes a hundred lines, so replies are dealt before. Every micro-batch joins the maps: they are made once.
-    dealt = source.repartition(4 * spark.sparkContext.defaultParallelism, "conv_id", "turn")
-    replies = dealt.selectExpr("conv_id", "turn", "conv_id || ':' || turn AS stream_id", f"{t.reply_text()} AS text")
+    replies = source.selectExpr("conv_id", "turn", "conv_id || ':' || turn AS stream_id", f"{t.reply_text()} AS text")
+    # A reply becomes a hundred lines, so replies are dealt before. Those of one stream stay in their order, and
+    # with no fewer tasks than a join has their lines are not dealt again to meet the maps.
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    replies = replies.repartition(tasks, "stream_id")
+    # Every micro-batch joins the maps: they are made once.
     maps = stage(t.reply_maps(t.reply_keys(spark, sf)), "maps")
     return _event_shown(drain(rehydrate_event_stream(t.reply_lines(replies), maps), "events"))
 
